@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import chat_template, topk, url_filter
+from fieldloom.llm import chat_template, packing, sentencepiece_codec, substring_dedup, topk, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,8 +14,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_topk": topk.op1_topk,
+        "op2_packing": packing.op2_packing,
         "op5_chat_format": chat_template.op5_chat_format,
+        "op6_substring_dedup": substring_dedup.op6_substring_dedup,
         "op8_url_filter": url_filter.op8_url_filter,
+        "op10_sentencepiece": sentencepiece_codec.op10_sentencepiece,
     }
 
 
