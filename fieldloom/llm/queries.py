@@ -6,7 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import chat_template, crf_langid, packing, sentencepiece_codec, substring_dedup, topk, url_filter
+from fieldloom.llm import (
+    chat_template,
+    crf_langid,
+    jaccard_join,
+    packing,
+    quality_rules,
+    sentencepiece_codec,
+    substring_dedup,
+    topk,
+    url_filter,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,10 +25,12 @@ def queries() -> dict[str, Query]:
     return {
         "op1_topk": topk.op1_topk,
         "op2_packing": packing.op2_packing,
+        "op3_quality_rules": quality_rules.op3_quality_rules,
         "op5_chat_format": chat_template.op5_chat_format,
         "op6_substring_dedup": substring_dedup.op6_substring_dedup,
         "op7_language": crf_langid.op7_language,
         "op8_url_filter": url_filter.op8_url_filter,
+        "op9_jaccard_join": jaccard_join.op9_jaccard_join,
         "op10_sentencepiece": sentencepiece_codec.op10_sentencepiece,
     }
 
