@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fieldloom.llm import (
     chat_template,
+    cotraining,
     crf_langid,
     jaccard_join,
     packing,
@@ -26,6 +27,7 @@ def queries() -> dict[str, Query]:
         "op1_topk": topk.op1_topk,
         "op2_packing": packing.op2_packing,
         "op3_quality_rules": quality_rules.op3_quality_rules,
+        "op4_quality_classifier": cotraining.op4_quality_classifier,
         "op5_chat_format": chat_template.op5_chat_format,
         "op6_substring_dedup": substring_dedup.op6_substring_dedup,
         "op7_language": crf_langid.op7_language,
