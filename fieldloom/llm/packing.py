@@ -8,7 +8,9 @@ a compatible one is found. If there is none, a bin is opened.
 
 Pieces are dealt to groups of about ``group_rows`` rows by a hash of id and text length, so no source or cluster
 can crowd a group, and their number grows with the input; a group is packed in one task's bounded memory.
-Texts do not move: only ids, lengths and two keys are shuffled. At most the last bins of a group stay part-filled.
+Texts are read once and do not move: only ids, lengths and two keys are shuffled. At most the last bins of a group stay part-filled.
+
+Words are runs without space or tab to carriage return; a duplicate cluster is a text's lower-cased (A-Z) words.
 
 Cases: a null or word-less text has no pieces and no row; a null source or cluster conflicts with nothing; repeated rows
 are packed each, and conflict through their equal cluster; the order among equals is by id, then piece;
@@ -17,12 +19,15 @@ an empty table gives no rows; extra columns are ignored. ``capacity`` counts wor
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import SPACES
+from fieldloom.llm.common import stored
 
 #: Words in one training sequence.
 CAPACITY = 4096
@@ -109,19 +114,18 @@ def _pack_group(capacity: int):
     return run
 
 
-def word_count(text: Column) -> Column:
-    """Number of words ``[^\\x20\\x09-\\x0D]+`` of a text; 0 for null."""
-    clean = F.trim(F.translate(text, "\t\n\x0b\x0c\r", "     "))
-    # after single separators, words are what separators divide
-    joined = F.regexp_replace(clean, " {2,}", " ")
-    n = F.length(joined) - F.length(F.replace(joined, F.lit(" "), F.lit(""))) + 1
-    return F.coalesce(F.when(F.length(clean) > 0, n), F.lit(0)).cast("long")
+_PIECES = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("source", pa.string()), ("cluster", pa.string())])
 
 
-def text_cluster(text: Column) -> Column:
-    """Duplicate cluster of a text: equal after lower-casing and joining its words by single spaces."""
-    same = F.trim(F.regexp_replace(F.lower(text), SPACES, " "))
-    return F.when(text.isNotNull(), F.substring(F.sha2(same.cast("binary"), 256), 1, 32))
+def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of each whole text, and the digest of its lower-cased words where no cluster is given."""
+    for batch in batches:
+        counts, clusters = [], []
+        for text, given in zip(batch.column(1), batch.column(3).to_pylist()):
+            words = text.as_buffer().to_pybytes().lower().split() if text.is_valid else []
+            counts.append(len(words))
+            clusters.append(given or (hashlib.blake2b(b" ".join(words), digest_size=16).hexdigest() if words else None))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), batch.column(2), pa.array(clusters, pa.string())], schema=_PIECES)
 
 
 def best_fit_bins(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -159,12 +163,9 @@ def best_fit_bins(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int =
 
 def pack_documents(docs: DataFrame, cluster_col: str | None = None, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Bins for documents (doc_id, text, source); clusters are equal texts unless a column gives them."""
-    pieces = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        word_count(F.col("text")).alias("n_words"),
-        "source",
-        (F.col(cluster_col).cast("string") if cluster_col else text_cluster(F.col("text"))).alias("cluster"),
-    )
+    given = F.col(cluster_col).cast("string") if cluster_col else F.lit(None).cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source"), given.alias("cluster"))
+    pieces = stored(rows.mapInArrow(_measure, "doc_id long, n_words long, source string, cluster string"), "pieces")
     return best_fit_bins(pieces, capacity, group_rows)
 
 
