@@ -9,7 +9,7 @@ similarity reaches the threshold; components are the sets of documents reachable
    prefix that any partner must share a gram with, with its position. A task emits equal sets once.
 3. Grams with one class are dropped. Candidates pass the length, positional and suffix filters (the suffix
    filter compares the sets' histograms over hash slices, a bound on the overlap), are made
-   distinct, and are verified once per pair on the whole sets.
+   distinct, and are verified once per pair on the whole sets, which only documents of the remaining pairs give.
 4. Pairs are generated in rounds: first each gram's classes meet one hub of their gram (a star, so a group of k
    near copies gives k pairs, not k squared); components are built; then all pairs that share a prefix gram and are
    still in different components are generated. Pairs inside a component cannot change the answer, so none
@@ -41,8 +41,10 @@ from fieldloom.llm.common import random_table, slices, splitmix, stored, utf8
 
 #: Cells of the frequency sketch, and of one shuffled slice of it.
 SKETCH_CELLS, SLICE_CELLS = 1 << 22, 1 << 16
-#: Slices of the suffix filter's histogram.
-HISTOGRAM = 16
+#: The suffix filter's histogram has at least one slice for so many grams, and so many slices at most.
+GRAMS_PER_SLICE, MAX_SLICES = 8, 1 << 16
+#: Bits of the filter of documents whose whole sets are needed: a fixed size, whatever the input.
+FILTER_BITS = 1 << 23
 #: Star turns before all remaining pairs are generated.
 STAR_TURNS = 2
 #: Bytes of text hashed at a time.
@@ -165,6 +167,21 @@ def _sketch(scan: DataFrame, cells: int) -> np.ndarray:
 
 
 _PREFIX = pa.schema([("gram", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
+_SIGNATURES = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("histogram", pa.binary())])
+
+
+def _signatures(n: int) -> Callable:
+    """The histogram of each document's set, and its class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, grams, offsets in gram_sets(batch.column(1), n):
+                bounds = offsets.tolist()
+                sets = [grams[x:y] for x, y in zip(bounds, bounds[1:])]
+                columns = [batch.column(0).slice(first, len(sets)), pa.array([_class_of(x.tobytes()) for x in sets], pa.int64()), pa.array(map(_histogram, sets), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, schema=_SIGNATURES)
+
+    return run
 
 
 def _prefixes(n: int, percent: int, cells: int, levels) -> Callable:
@@ -205,27 +222,102 @@ def _prefixes(n: int, percent: int, cells: int, levels) -> Callable:
     return run
 
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("grams", pa.binary()), ("histogram", pa.list_(pa.int32()))])
+def _class_of(blob: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(blob, digest_size=16).digest()[:8], "little", signed=True)
+
+
+def _histogram(grams: np.ndarray) -> bytes:
+    """Numbers of grams in equal slices of the hash range; the number of slices is a power of two."""
+    bits = max(3, int(np.ceil(np.log2(max(1, len(grams)) / GRAMS_PER_SLICE))))
+    bits = min(bits, MAX_SLICES.bit_length() - 1)
+    return np.bincount((grams >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint16).tobytes()
+
+
+def _wanted(bits: np.ndarray, ids: pa.Array) -> np.ndarray:
+    return bits[_filter_cells(np.asarray(ids.fill_null(-1)))] > 0
+
+
+def _filter_cells(ids: np.ndarray) -> np.ndarray:
+    return (splitmix(ids.astype(np.int64).view(np.uint64) + np.uint64(1)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+
+
+def _filtered(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``docs`` without most of those whose id is not in ``nodes``.
+
+    A bit table of ``FILTER_BITS`` bits is made on the executors and broadcast, so what moves later are the texts that are
+    needed. With very many nodes it fills up and lets all documents pass: it saves shuffling and changes no result.
+    """
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER_BITS, bool)
+        for batch in batches:
+            bits[_filter_cells(np.asarray(batch.column(0)))] = True
+        packed = np.packbits(bits).reshape(-1, SLICE_CELLS // 8)
+        rows = [{"slice": k, "blob": zlib.compress(row.tobytes(), 1)} for k, row in enumerate(packed) if row.any()]
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("slice", pa.int32()), ("blob", pa.binary())]))
+
+    def merge(key: tuple, group: pa.Table) -> pa.Table:
+        total = np.zeros(SLICE_CELLS // 8, np.uint8)
+        for blob in group["blob"]:
+            total |= np.frombuffer(zlib.decompress(blob.as_py()), np.uint8)
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["slice", "bits"])
+
+    found = nodes.mapInArrow(mark, "slice int, blob binary").groupBy("slice").applyInArrow(merge, "slice int, bits binary").collect()
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row in found:
+        bits[row["slice"] * (SLICE_CELLS // 8) : (row["slice"] + 1) * (SLICE_CELLS // 8)] = np.frombuffer(row["bits"], np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.unpackbits(shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array(_wanted(table, batch.column(0))))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
+_SETS = pa.schema([("node", pa.int64()), ("cls", pa.int64()), ("grams", pa.binary())])
 
 
 def _sets(n: int) -> Callable:
-    """Third pass: the whole set of each chosen document, its class, and its histogram."""
+    """The whole set of each document whose class is the one asked for (doc_id, text, cls)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, seen = None, set()
         for batch in batches:
-            ids = batch.column(0)
+            ids, asked = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for first, grams, offsets in gram_sets(batch.column(1), n):
-                m = len(offsets) - 1
-                owner = np.repeat(np.arange(m), np.diff(offsets))
-                slot = (grams >> np.uint64(60)).astype(np.int64)
-                table = np.bincount(owner * HISTOGRAM + slot, minlength=m * HISTOGRAM).reshape(m, HISTOGRAM).astype(np.int32)
                 data, at = grams.tobytes(), (offsets * 8).tolist()
-                blobs = [data[a:b] for a, b in zip(at, at[1:])]
-                classes = [int.from_bytes(hashlib.blake2b(b, digest_size=16).digest()[:8], "little", signed=True) for b in blobs]
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, m), pa.array(classes, pa.int64()), pa.array(blobs, pa.binary()), pa.array(list(table), pa.list_(pa.int32()))],
-                    schema=_SETS,
-                )
+                rows = []
+                for k, (x, y) in enumerate(zip(at, at[1:]), first):
+                    if ids[k] != before:
+                        before, seen = ids[k], set()
+                    if asked[k] not in seen and _class_of(data[x:y]) == asked[k]:
+                        seen.add(asked[k])
+                        rows.append((ids[k], asked[k], data[x:y]))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _SETS.types)], schema=_SETS)
+
+    return run
+
+
+def _fold(histogram: np.ndarray, slices_: int) -> np.ndarray:
+    return histogram.reshape(slices_, -1).sum(axis=1, dtype=np.int64)
+
+
+def _suffix(percent: int) -> Callable:
+    """Pairs whose histograms leave enough room for the overlap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint16), np.frombuffer(y.as_buffer(), np.uint16)
+                m = min(len(x), len(y))
+                x, y = _fold(x, m), _fold(y, m)
+                keep.append(np.minimum(x, y).sum() * (100 + percent) >= (x.sum() + y.sum()) * percent)
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -239,7 +331,8 @@ def _verify(percent: int) -> Callable:
             keep = []
             for k in range(batch.num_rows):
                 x, y = np.frombuffer(a[k].as_buffer(), np.uint64), np.frombuffer(b[k].as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
+                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                both = int((y[at] == x).sum())
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -279,13 +372,16 @@ def _bound_ok(n1: Column, p1: Column, n2: Column, p2: Column, percent: int) -> C
     return length & (possible * (100 + percent) >= (n1 + n2) * percent)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) pairs that pass the suffix filter and the exact check."""
-    left = sets.select(F.col("node").alias("a"), F.col("grams").alias("ga"), F.col("histogram").alias("ha"))
-    right = sets.select(F.col("node").alias("b"), F.col("grams").alias("gb"), F.col("histogram").alias("hb"))
-    size = lambda g: (F.length(g) / 8).cast("int")
-    shared = F.aggregate(F.zip_with("ha", "hb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    joined = pairs.join(left, "a").join(right, "b").filter(shared * (100 + percent) >= (size("ga") + size("gb")) * percent)
+def _verified(pairs: DataFrame, signatures: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The (a, b) pairs that pass the suffix filter and then the exact check on whole sets."""
+    side = lambda df, node, value, name: df.select(F.col("node").alias(node), F.col(value).alias(name))
+    close = pairs.join(side(signatures, "a", "histogram", "ha"), "a").join(side(signatures, "b", "histogram", "hb"), "b")
+    close = stored(close.select("a", "b", "ha", "hb").mapInArrow(_suffix(percent), "a long, b long").distinct(), "close")
+    nodes = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    asked = nodes.join(signatures.select("node", "cls"), "node").select(F.col("node").alias("doc_id"), "cls")
+    texts = _filtered(docs, nodes).join(asked, "doc_id").select("doc_id", "text", "cls")
+    sets = stored(texts.mapInArrow(_sets(n), "node long, cls long, grams binary"), "sets")
+    joined = close.join(side(sets, "a", "grams", "ga"), "a").join(side(sets, "b", "grams", "gb"), "b")
     return joined.select("a", "b", "ga", "gb").mapInArrow(_verify(percent), "a long, b long")
 
 
@@ -332,17 +428,17 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, cells: in
     reps = classes.select(F.col("d1").alias("cls"), F.col("rep").alias("node"))
     lists = stored(shared.select("gram", "cls", "n", "pos").dropDuplicates(["gram", "cls"]).join(reps, "cls"), "lists")
     chosen = lists.select(F.col("node").alias("doc_id"), "cls").distinct()
-    texts = named.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = texts.mapInArrow(_sets(n), "doc_id long, cls long, grams binary, histogram array<int>")
-    sets = stored(sets.join(chosen, ["doc_id", "cls"], "left_semi").withColumnRenamed("doc_id", "node").dropDuplicates(["node", "cls"]), "sets")
+    signatures = _filtered(named, chosen.select("doc_id")).mapInArrow(_signatures(n), "doc_id long, cls long, histogram binary")
+    signatures = signatures.join(chosen, ["doc_id", "cls"], "left_semi").dropDuplicates(["doc_id", "cls"])
+    signatures = stored(signatures.withColumnRenamed("doc_id", "node"), "signatures")
 
     links = None
     rest = _split_lists(lists, None)
     for turn in range(STAR_TURNS):
-        fresh = _verified(_star(rest, turn, percent), sets, percent)
+        fresh = _verified(_star(rest, turn, percent), signatures, named, n, percent)
         links = stored(fresh if links is None else links.unionByName(fresh), "verified")
         rest = stored(_split_lists(lists, links), "open-lists")
-    links = links.unionByName(_verified(_all_pairs(rest, percent), sets, percent))
+    links = links.unionByName(_verified(_all_pairs(rest, percent), signatures, named, n, percent))
     roots = connected(links)
     named_classes = classes.join(roots, classes["rep"] == roots["node"], "left").select("d1", "d2", F.coalesce("root", "rep").alias("comp"))
     out = found.join(named_classes, ["d1", "d2"], "left")
