@@ -43,12 +43,14 @@ from fieldloom.llm.common import random_table, slices, splitmix, stored, utf8
 SKETCH_CELLS, SLICE_CELLS = 1 << 22, 1 << 16
 #: The suffix filter's histogram has at least one slice for so many grams, and so many slices at most.
 GRAMS_PER_SLICE, MAX_SLICES = 8, 1 << 16
+#: Slices of the histogram that is compared while pairs are made (by the top four bits of the hash).
+COARSE = 16
 #: Bits of the filter of documents whose whole sets are needed: a fixed size, whatever the input.
 FILTER_BITS = 1 << 23
 #: Star turns before all remaining pairs are generated.
 STAR_TURNS = 2
 #: Bytes of text hashed at a time.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 1_000_000
 
 _BYTE = random_table(256, 900)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -130,7 +132,7 @@ def _scan(n: int, cells: int) -> Callable:
         for batch in batches:
             ids = batch.column(0)
             for first, grams, offsets in gram_sets(batch.column(1), n):
-                sketch += np.bincount(_cells(grams, cells), minlength=cells).astype(np.uint32)
+                np.add.at(sketch, _cells(grams, cells), np.uint32(1))
                 data = grams.tobytes()
                 at = (offsets * 8).tolist()
                 digests = b"".join([hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(at, at[1:])])
@@ -167,7 +169,7 @@ def _sketch(scan: DataFrame, cells: int) -> np.ndarray:
 
 
 _PREFIX = pa.schema([("gram", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
-_SIGNATURES = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("histogram", pa.binary())])
+_SIGNATURES = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("histogram", pa.binary()), ("coarse", pa.list_(pa.int32()))])
 
 
 def _signatures(n: int) -> Callable:
@@ -179,6 +181,7 @@ def _signatures(n: int) -> Callable:
                 bounds = offsets.tolist()
                 sets = [grams[x:y] for x, y in zip(bounds, bounds[1:])]
                 columns = [batch.column(0).slice(first, len(sets)), pa.array([_class_of(x.tobytes()) for x in sets], pa.int64()), pa.array(map(_histogram, sets), pa.binary())]
+                columns.append(pa.array([np.bincount((x >> np.uint64(60)).astype(np.int64), minlength=COARSE) for x in sets], _SIGNATURES.field(3).type))
                 yield pa.RecordBatch.from_arrays(columns, schema=_SIGNATURES)
 
     return run
@@ -202,7 +205,7 @@ def _prefixes(n: int, percent: int, cells: int, levels) -> Callable:
                     digest = hashlib.blake2b(data[at[k] : at[k + 1]], digest_size=16).digest()
                     classes[k] = int.from_bytes(digest[:8], "little", signed=True)
                     if digest not in seen:
-                        if len(seen) >= 1_000_000:  # bounded; a set emitted twice is made distinct later
+                        if len(seen) >= 200_000:  # bounded; a set emitted twice is made distinct later
                             seen.clear()
                         seen.add(digest)
                         fresh[k] = True
@@ -406,11 +409,23 @@ def _star(lists: DataFrame, turn: int, percent: int) -> DataFrame:
     return met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
 
 
-def _all_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Every pair of rows of one list in different components that passes the filters."""
-    x, y = lists.alias("x"), lists.alias("y")
-    order = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.node") < F.col("y.node"))
-    met = x.join(y, order & _bound_ok(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent))
+def _all_pairs(lists: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """Every pair of rows of one list in different components that passes the filters.
+
+    Rows meet in bands of set size: sizes of linked sets differ by one band at most. A linked pair also passes at its first
+    common gram, where no overlap lies before; and the coarse histograms must leave enough room for the overlap.
+    """
+    # the small addend keeps exact powers in their own band
+    band = F.floor(F.log(F.col("n").cast("double")) / float(max(np.log(100 / percent), 1e-6)) + 1e-9)
+    known = lists.join(signatures.select("node", "cls", "coarse"), ["node", "cls"]).withColumn("band", band)
+    x = known.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).alias("x")
+    y = known.alias("y")
+    room = F.aggregate(F.zip_with("x.coarse", "y.coarse", lambda p, q: F.least(p, q)), F.lit(0), lambda t, v: t + v)
+    sizes = (F.col("x.n") + F.col("y.n")) * percent
+    first = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
+    fits = (first * (100 + percent) >= sizes) & (room * (100 + percent) >= sizes)
+    same = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.band") == F.col("y.band"))
+    met = x.join(y, same & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.node") < F.col("y.node")) & fits)
     return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
@@ -428,7 +443,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, cells: in
     reps = classes.select(F.col("d1").alias("cls"), F.col("rep").alias("node"))
     lists = stored(shared.select("gram", "cls", "n", "pos").dropDuplicates(["gram", "cls"]).join(reps, "cls"), "lists")
     chosen = lists.select(F.col("node").alias("doc_id"), "cls").distinct()
-    signatures = _filtered(named, chosen.select("doc_id")).mapInArrow(_signatures(n), "doc_id long, cls long, histogram binary")
+    signatures = _filtered(named, chosen.select("doc_id")).mapInArrow(_signatures(n), "doc_id long, cls long, histogram binary, coarse array<int>")
     signatures = signatures.join(chosen, ["doc_id", "cls"], "left_semi").dropDuplicates(["doc_id", "cls"])
     signatures = stored(signatures.withColumnRenamed("doc_id", "node"), "signatures")
 
@@ -438,7 +453,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, cells: in
         fresh = _verified(_star(rest, turn, percent), signatures, named, n, percent)
         links = stored(fresh if links is None else links.unionByName(fresh), "verified")
         rest = stored(_split_lists(lists, links), "open-lists")
-    links = links.unionByName(_verified(_all_pairs(rest, percent), signatures, named, n, percent))
+    links = links.unionByName(_verified(_all_pairs(rest, signatures, percent), signatures, named, n, percent))
     roots = connected(links)
     named_classes = classes.join(roots, classes["rep"] == roots["node"], "left").select("d1", "d2", F.coalesce("root", "rep").alias("comp"))
     out = found.join(named_classes, ["d1", "d2"], "left")
