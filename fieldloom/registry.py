@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,10 +28,12 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    importlib.import_module("fieldloom.plans.queries")
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    importlib.import_module("fieldloom.plans.queries")
     return _SQL
 
 
