@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions import numeric, text
 from fieldloom.sources.readers import dictionary
 
 
-#: Line numbers repeat within an order; part and supplier make the place unique.
-ORDINAL = (F.col("l_linenumber").cast("long") * 10_000_000 + F.col("l_partkey")) * 10_000 + F.col("l_suppkey")
+def place() -> Column:
+    """Line numbers repeat within an order; part, supplier and quantity make the place unique."""
+    return ((F.col("l_linenumber").cast("long") * 10_000_000 + F.col("l_partkey")) * 10_000 + F.col("l_suppkey")) * 100 + F.col("l_quantity").cast("long")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,13 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as scored candidates of documents (orders)."""
     return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("doc"), ORDINAL.alias("ordinal"), F.concat(F.lit("C"), (F.col("l_partkey") % 40).cast("string")).alias("code"),
+        F.col("l_orderkey").alias("doc"), place().alias("ordinal"), F.concat(F.lit("C"), (F.col("l_partkey") % 40).cast("string")).alias("code"),
         F.col("l_returnflag").alias("family"), F.round(F.col("l_discount") * 10, 6).alias("conf"), F.round(F.col("l_tax") * 12.5, 6).alias("sim"), F.col("l_quantity").alias("quantity"),
     )
 
 
 CANDIDATES = """cand AS (
-  SELECT l_orderkey AS doc, (l_linenumber * 10000000 + l_partkey) * 10000 + l_suppkey AS ordinal, 'C' || CAST(l_partkey % 40 AS VARCHAR) AS code, l_returnflag AS family,
+  SELECT l_orderkey AS doc, ((CAST(l_linenumber AS BIGINT) * 10000000 + l_partkey) * 10000 + l_suppkey) * 100 + CAST(l_quantity AS BIGINT) AS ordinal, 'C' || CAST(l_partkey % 40 AS VARCHAR) AS code, l_returnflag AS family,
          round(l_discount * 10, 6) AS conf, round(l_tax * 12.5, 6) AS sim, l_quantity AS quantity FROM lineitem)"""
 
 
@@ -34,11 +35,11 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as boxes on pages (orders): whole numbers from ids."""
     li = table(spark, sf_dir, "lineitem")
     box = numeric.box(F.col("l_partkey") % 600, F.col("l_suppkey") % 40 * 20, 60 + F.col("l_partkey") % 40, F.lit(20))
-    return li.select(F.col("l_orderkey").alias("page"), ORDINAL.alias("block"), box.alias("box"), F.round(F.col("l_discount") * 10, 6).alias("conf"), F.col("l_returnflag").alias("flag"))
+    return li.select(F.col("l_orderkey").alias("page"), place().alias("block"), box.alias("box"), F.round(F.col("l_discount") * 10, 6).alias("conf"), F.col("l_returnflag").alias("flag"))
 
 
 BLOCKS = """blk AS (
-  SELECT l_orderkey AS page, (l_linenumber * 10000000 + l_partkey) * 10000 + l_suppkey AS block, CAST(l_partkey % 600 AS DOUBLE) AS x, CAST(l_suppkey % 40 * 20 AS DOUBLE) AS y,
+  SELECT l_orderkey AS page, ((CAST(l_linenumber AS BIGINT) * 10000000 + l_partkey) * 10000 + l_suppkey) * 100 + CAST(l_quantity AS BIGINT) AS block, CAST(l_partkey % 600 AS DOUBLE) AS x, CAST(l_suppkey % 40 * 20 AS DOUBLE) AS y,
          CAST(60 + l_partkey % 40 AS DOUBLE) AS w, 20.0::DOUBLE AS h, round(l_discount * 10, 6) AS conf, l_returnflag AS flag FROM lineitem)"""
 
 
