@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Horizontal tab to carriage return, and the space: the separators of a word.
 WHITESPACE = " \t\n\x0b\x0c\r"
+#: Rows of one Arrow batch while a table is stored: texts are long, and each batch is held by the JVM and by Python.
+ARROW_ROWS = 1000
 #: Java regular expression of one run of separators.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -38,7 +40,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     Cuts lineage so that the loss of an executor never recomputes what lies before.
     """
     path = f"{shared_dir(df.sparkSession)}/fieldloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(min(int(before), ARROW_ROWS) if int(before) > 0 else ARROW_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(key, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

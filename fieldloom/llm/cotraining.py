@@ -40,7 +40,7 @@ META_BUCKETS = 1 << 12
 SCALE = 10.0
 EPOCHS, RATE, DECAY = 60, 0.3, 1e-4
 THRESHOLD = 0.5
-CACHE_TOKENS = 400_000
+CACHE_TOKENS = 300_000
 
 _SHAPE = {**{c: "A" for c in range(65, 91)}, **{c: "a" for c in range(97, 123)}, **{c: "9" for c in range(48, 58)}}
 _RUNS = re.compile(r"(.)\1+", re.S)
@@ -301,7 +301,8 @@ def classify(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            found = scorer.score(*(batch.column(k).to_pylist() for k in at))
+            parts = [scorer.score(*(batch.column(c).slice(k, 500).to_pylist() for c in at)) for k in range(0, batch.num_rows, 500)]
+            found = [np.concatenate(x) for x in zip(*parts)] or [np.zeros(0)] * 3
             columns = [pa.array(x, pa.float64()) for x in found] + [pa.array(found[2] >= threshold)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *names])
 

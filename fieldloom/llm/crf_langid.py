@@ -43,9 +43,9 @@ LEXICON = 400
 SEGMENT, SEGMENTS = 12, 3
 EPOCHS, RATE, DECAY = 25, 0.5, 1e-6
 #: Distinct words kept in one task's cache; when it is full it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 #: Words in one run of the forward-backward algorithm.
-CHAIN_WORDS = 500_000
+CHAIN_WORDS = 100_000
 UNKNOWN = "und"
 
 _ROW_SEEDS = random_table(16, 71)
@@ -345,7 +345,11 @@ def identify(docs: DataFrame, model: Crf, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(shared.value)
         for batch in batches:
-            labels, values = labeller.predict(batch.column(at).to_pylist())
+            labels, values = [], []
+            for k in range(0, batch.num_rows, 500):
+                found = labeller.predict(batch.column(at).slice(k, 500).to_pylist())
+                labels += found[0]
+                values += found[1]
             columns = [*batch.columns, pa.array(labels, pa.string()), pa.array(values, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *names])
 

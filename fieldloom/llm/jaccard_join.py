@@ -10,8 +10,8 @@ similarity reaches the threshold; components are the sets of documents reachable
 3. Grams with one class are dropped. Candidates pass the length, positional and suffix filters (the suffix
    filter compares the sets' histograms over hash slices, a bound on the overlap), are made
    distinct, and are verified once per pair on the whole sets, which only documents of the remaining pairs give.
-4. Pairs are generated in rounds: first each gram's classes meet one hub of their gram (a star, so a group of k
-   near copies gives k pairs, not k squared); components are built; then all pairs that share a prefix gram and are
+4. Pairs are generated in rounds: first each class meets one hub of its grams (a star, so a group of k
+   near copies gives k pairs, not k squared), a few times with other hubs; components are built; then all pairs that share a prefix gram and are
    still in different components are generated. Pairs inside a component cannot change the answer, so none
    that matters is lost.
 5. Components grow by large-star and small-star rounds over stored tables.
@@ -33,6 +33,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -41,10 +42,12 @@ from fieldloom.llm.common import random_table, slices, splitmix, stored, utf8
 
 #: Cells of the frequency sketch, and of one shuffled slice of it.
 SKETCH_CELLS, SLICE_CELLS = 1 << 22, 1 << 16
-#: The suffix filter's histogram has at least one slice for so many grams, and so many slices at most.
-GRAMS_PER_SLICE, MAX_SLICES = 8, 1 << 16
-#: Slices of the histogram that is compared while pairs are made (by the top four bits of the hash).
-COARSE = 16
+#: The suffix filter's histogram has one to two slices for each gram, and 2 ** SLICE_BITS at most (so a byte holds a count).
+SLICE_BITS = 24
+#: Slices of the histogram that is compared while pairs are made (by the top eight bits of the hash).
+COARSE_BITS = 8
+#: Rarer grams of a document that are looked at to tell whether a pair has met before.
+BEFORE = 32
 #: Bits of the filter of documents whose whole sets are needed: a fixed size, whatever the input.
 FILTER_BITS = 1 << 23
 #: Star turns before all remaining pairs are generated.
@@ -172,16 +175,18 @@ _PREFIX = pa.schema([("gram", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()
 _SIGNATURES = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("histogram", pa.binary()), ("coarse", pa.list_(pa.int32()))])
 
 
-def _signatures(n: int) -> Callable:
-    """The histogram of each document's set, and its class."""
+def _signatures(n: int, bits) -> Callable:
+    """The histogram of each document's set, and its class, of documents that the filter ``bits`` lets pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.unpackbits(bits.value)
         for batch in batches:
+            batch = batch.filter(pa.array(_wanted(table, batch.column(0))))
             for first, grams, offsets in gram_sets(batch.column(1), n):
                 bounds = offsets.tolist()
                 sets = [grams[x:y] for x, y in zip(bounds, bounds[1:])]
                 columns = [batch.column(0).slice(first, len(sets)), pa.array([_class_of(x.tobytes()) for x in sets], pa.int64()), pa.array(map(_histogram, sets), pa.binary())]
-                columns.append(pa.array([np.bincount((x >> np.uint64(60)).astype(np.int64), minlength=COARSE) for x in sets], _SIGNATURES.field(3).type))
+                columns.append(pa.array([np.bincount((x >> np.uint64(64 - COARSE_BITS)).astype(np.int64), minlength=1 << COARSE_BITS) for x in sets], _SIGNATURES.field(3).type))
                 yield pa.RecordBatch.from_arrays(columns, schema=_SIGNATURES)
 
     return run
@@ -231,9 +236,8 @@ def _class_of(blob: bytes) -> int:
 
 def _histogram(grams: np.ndarray) -> bytes:
     """Numbers of grams in equal slices of the hash range; the number of slices is a power of two."""
-    bits = max(3, int(np.ceil(np.log2(max(1, len(grams)) / GRAMS_PER_SLICE))))
-    bits = min(bits, MAX_SLICES.bit_length() - 1)
-    return np.bincount((grams >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint16).tobytes()
+    bits = min(max(3, (len(grams) - 1).bit_length()), SLICE_BITS)
+    return np.bincount((grams >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint8).tobytes()
 
 
 def _wanted(bits: np.ndarray, ids: pa.Array) -> np.ndarray:
@@ -244,11 +248,11 @@ def _filter_cells(ids: np.ndarray) -> np.ndarray:
     return (splitmix(ids.astype(np.int64).view(np.uint64) + np.uint64(1)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
 
 
-def _filtered(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``docs`` without most of those whose id is not in ``nodes``.
+def _node_filter(nodes: DataFrame) -> Broadcast:
+    """A table of ``FILTER_BITS`` bits that has a bit set for each ``node``.
 
-    A bit table of ``FILTER_BITS`` bits is made on the executors and broadcast, so what moves later are the texts that are
-    needed. With very many nodes it fills up and lets all documents pass: it saves shuffling and changes no result.
+    It is made on the executors and broadcast, so that only texts that are needed move later. With very many nodes it fills
+    up and lets all documents pass: it saves shuffling and changes no result.
     """
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +274,12 @@ def _filtered(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
     for row in found:
         bits[row["slice"] * (SLICE_CELLS // 8) : (row["slice"] + 1) * (SLICE_CELLS // 8)] = np.frombuffer(row["bits"], np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    return nodes.sparkSession.sparkContext.broadcast(bits)
+
+
+def _filtered(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``docs`` without most of those whose id is not in ``nodes``."""
+    shared = _node_filter(nodes)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.unpackbits(shared.value)
@@ -316,7 +325,7 @@ def _suffix(percent: int) -> Callable:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint16), np.frombuffer(y.as_buffer(), np.uint16)
+                x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
                 m = min(len(x), len(y))
                 x, y = _fold(x, m), _fold(y, m)
                 keep.append(np.minimum(x, y).sum() * (100 + percent) >= (x.sum() + y.sum()) * percent)
@@ -401,12 +410,14 @@ def _split_lists(lists: DataFrame, links: DataFrame | None) -> DataFrame:
 
 
 def _star(lists: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Pairs of every row with its list's hub; another hub each turn, the same one in all lists of a group."""
+    """A pair of every row with the hub of its lists that it meets most often: at most one per row. Another hub each turn."""
     row = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "pos", "comp")
     hub = F.min(row).over(Window.partitionBy("gram"))
     met = lists.withColumn("hub", hub).filter("comp <> hub.comp")
     met = met.filter(_bound_ok(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos"), percent))
-    return met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+    shared = met.groupBy("node", F.col("hub.node").alias("other")).agg(F.count("*").alias("k"))
+    best = shared.groupBy("node").agg(F.max_by("other", F.struct("k", F.xxhash64("other", F.lit(turn)))).alias("other"))
+    return best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
 def _all_pairs(lists: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
@@ -417,13 +428,15 @@ def _all_pairs(lists: DataFrame, signatures: DataFrame, percent: int) -> DataFra
     """
     # the small addend keeps exact powers in their own band
     band = F.floor(F.log(F.col("n").cast("double")) / float(max(np.log(100 / percent), 1e-6)) + 1e-9)
-    known = lists.join(signatures.select("node", "cls", "coarse"), ["node", "cls"]).withColumn("band", band)
+    # a pair is made where it meets first: at a gram with no common one among the rarer grams just before
+    before = F.collect_list("gram").over(Window.partitionBy("node", "cls").orderBy("pos").rowsBetween(-BEFORE, -1))
+    known = lists.withColumn("before", before).join(signatures.select("node", "cls", "coarse"), ["node", "cls"]).withColumn("band", band)
     x = known.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).alias("x")
     y = known.alias("y")
     room = F.aggregate(F.zip_with("x.coarse", "y.coarse", lambda p, q: F.least(p, q)), F.lit(0), lambda t, v: t + v)
     sizes = (F.col("x.n") + F.col("y.n")) * percent
     first = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-    fits = (first * (100 + percent) >= sizes) & (room * (100 + percent) >= sizes)
+    fits = (first * (100 + percent) >= sizes) & ~F.arrays_overlap("x.before", "y.before") & (room * (100 + percent) >= sizes)
     same = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.band") == F.col("y.band"))
     met = x.join(y, same & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.node") < F.col("y.node")) & fits)
     return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
@@ -443,7 +456,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, cells: in
     reps = classes.select(F.col("d1").alias("cls"), F.col("rep").alias("node"))
     lists = stored(shared.select("gram", "cls", "n", "pos").dropDuplicates(["gram", "cls"]).join(reps, "cls"), "lists")
     chosen = lists.select(F.col("node").alias("doc_id"), "cls").distinct()
-    signatures = _filtered(named, chosen.select("doc_id")).mapInArrow(_signatures(n), "doc_id long, cls long, histogram binary, coarse array<int>")
+    bits = _node_filter(chosen.select("doc_id"))
+    signatures = named.mapInArrow(_signatures(n, bits), "doc_id long, cls long, histogram binary, coarse array<int>")
     signatures = signatures.join(chosen, ["doc_id", "cls"], "left_semi").dropDuplicates(["doc_id", "cls"])
     signatures = stored(signatures.withColumnRenamed("doc_id", "node"), "signatures")
 
