@@ -44,10 +44,11 @@ from fieldloom.llm.common import random_table, slices, splitmix, stored, utf8
 SKETCH_CELLS, SLICE_CELLS = 1 << 22, 1 << 16
 #: The suffix filter's histogram has one to two slices for each gram, and 2 ** SLICE_BITS at most (so a byte holds a count).
 SLICE_BITS = 24
-#: Slices of the histogram that is compared while pairs are made (by the top eight bits of the hash).
-COARSE_BITS = 8
+#: Slices of the histogram that is compared while pairs are made (by the top bits of the hash); sets
+#: beyond COARSE_SETS grams have none, so that a short integer holds a count.
+COARSE_BITS, COARSE_SETS = 6, 1_000_000
 #: Rarer grams of a document that are looked at to tell whether a pair has met before.
-BEFORE = 32
+BEFORE = 2
 #: Bits of the filter of documents whose whole sets are needed: a fixed size, whatever the input.
 FILTER_BITS = 1 << 23
 #: Star turns before all remaining pairs are generated.
@@ -172,7 +173,7 @@ def _sketch(scan: DataFrame, cells: int) -> np.ndarray:
 
 
 _PREFIX = pa.schema([("gram", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
-_SIGNATURES = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("histogram", pa.binary()), ("coarse", pa.list_(pa.int32()))])
+_SIGNATURES = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("histogram", pa.binary()), ("coarse", pa.list_(pa.int16()))])
 
 
 def _signatures(n: int, bits) -> Callable:
@@ -186,7 +187,7 @@ def _signatures(n: int, bits) -> Callable:
                 bounds = offsets.tolist()
                 sets = [grams[x:y] for x, y in zip(bounds, bounds[1:])]
                 columns = [batch.column(0).slice(first, len(sets)), pa.array([_class_of(x.tobytes()) for x in sets], pa.int64()), pa.array(map(_histogram, sets), pa.binary())]
-                columns.append(pa.array([np.bincount((x >> np.uint64(64 - COARSE_BITS)).astype(np.int64), minlength=1 << COARSE_BITS) for x in sets], _SIGNATURES.field(3).type))
+                columns.append(pa.array(map(_coarse, sets), _SIGNATURES.field(3).type))
                 yield pa.RecordBatch.from_arrays(columns, schema=_SIGNATURES)
 
     return run
@@ -240,6 +241,12 @@ def _histogram(grams: np.ndarray) -> bytes:
     return np.bincount((grams >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint8).tobytes()
 
 
+def _coarse(grams: np.ndarray) -> np.ndarray | None:
+    if len(grams) > COARSE_SETS:
+        return None
+    return np.bincount((grams >> np.uint64(64 - COARSE_BITS)).astype(np.int64), minlength=1 << COARSE_BITS).astype(np.int16)
+
+
 def _wanted(bits: np.ndarray, ids: pa.Array) -> np.ndarray:
     return bits[_filter_cells(np.asarray(ids.fill_null(-1)))] > 0
 
@@ -433,10 +440,10 @@ def _all_pairs(lists: DataFrame, signatures: DataFrame, percent: int) -> DataFra
     known = lists.withColumn("before", before).join(signatures.select("node", "cls", "coarse"), ["node", "cls"]).withColumn("band", band)
     x = known.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).alias("x")
     y = known.alias("y")
-    room = F.aggregate(F.zip_with("x.coarse", "y.coarse", lambda p, q: F.least(p, q)), F.lit(0), lambda t, v: t + v)
+    room = F.aggregate(F.zip_with("x.coarse", "y.coarse", lambda p, q: F.least(p, q)), F.lit(0), lambda t, v: t + v.cast("int"))
     sizes = (F.col("x.n") + F.col("y.n")) * percent
     first = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-    fits = (first * (100 + percent) >= sizes) & ~F.arrays_overlap("x.before", "y.before") & (room * (100 + percent) >= sizes)
+    fits = (first * (100 + percent) >= sizes) & ~F.arrays_overlap("x.before", "y.before") & F.coalesce(room * (100 + percent) >= sizes, F.lit(True))
     same = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.band") == F.col("y.band"))
     met = x.join(y, same & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.node") < F.col("y.node")) & fits)
     return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
@@ -457,7 +464,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, cells: in
     lists = stored(shared.select("gram", "cls", "n", "pos").dropDuplicates(["gram", "cls"]).join(reps, "cls"), "lists")
     chosen = lists.select(F.col("node").alias("doc_id"), "cls").distinct()
     bits = _node_filter(chosen.select("doc_id"))
-    signatures = named.mapInArrow(_signatures(n, bits), "doc_id long, cls long, histogram binary, coarse array<int>")
+    signatures = named.mapInArrow(_signatures(n, bits), "doc_id long, cls long, histogram binary, coarse array<smallint>")
     signatures = signatures.join(chosen, ["doc_id", "cls"], "left_semi").dropDuplicates(["doc_id", "cls"])
     signatures = stored(signatures.withColumnRenamed("doc_id", "node"), "signatures")
 
