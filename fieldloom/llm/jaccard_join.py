@@ -8,8 +8,8 @@ similarity reaches the threshold; components are the sets of documents reachable
 2. A second scan orders each set rarest first (by sketch class, then hash: one order for all documents) and emits the
    prefix that any partner must share a gram with, with its position. A task emits equal sets once.
 3. Grams with one class are dropped. Candidates pass the length, positional and suffix filters (the suffix
-   filter compares the sets' histograms over hash slices, a bound on the overlap), are made
-   distinct, and are verified once per pair on the whole sets, which only documents of the remaining pairs give.
+   filter counts the bits in which the sets' parity sketches differ, a bound on the grams that only one of them has), are
+   made distinct, and are verified once per pair on the whole sets, which only documents of the remaining pairs give.
 4. Pairs are generated in rounds: first each gram's classes meet one hub of their gram (a star, so a group of k
    near copies gives k pairs, not k squared); components are built; then all pairs that share a prefix gram and are
    still in different components are generated. Pairs inside a component cannot change the answer, so none
@@ -41,10 +41,10 @@ from fieldloom.llm.common import random_table, slices, splitmix, stored, utf8
 
 #: Cells of the frequency sketch, and of one shuffled slice of it.
 SKETCH_CELLS, SLICE_CELLS = 1 << 22, 1 << 16
-#: The suffix filter's histogram has at least one slice for so many grams, and so many slices at most.
-GRAMS_PER_SLICE, MAX_SLICES = 8, 1 << 16
-#: Slices of the histogram that is compared while pairs are made (by the top four bits of the hash).
-COARSE = 16
+#: Bits of a parity sketch: so many for each gram of the set or more, a power of two, at least as many as the folded
+#: sketch has that is compared while pairs are made, and at most the last number (beyond it the filter is weaker, not wrong).
+BITS_PER_GRAM, FOLDED_BITS, MAX_BITS = 2, 512, 1 << 20
+_FOLDED = [f"p{k}" for k in range(FOLDED_BITS // 64)]
 #: Bits of the filter of documents whose whole sets are needed: a fixed size, whatever the input.
 FILTER_BITS = 1 << 23
 #: Star turns before all remaining pairs are generated.
@@ -169,20 +169,22 @@ def _sketch(scan: DataFrame, cells: int) -> np.ndarray:
 
 
 _PREFIX = pa.schema([("gram", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
-_SIGNATURES = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("histogram", pa.binary()), ("coarse", pa.list_(pa.int32()))])
+_SIGNATURES = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("size", pa.int32()), ("parity", pa.binary()), *((p, pa.int64()) for p in _FOLDED)])
 
 
 def _signatures(n: int) -> Callable:
-    """The histogram of each document's set, and its class."""
+    """The parity sketch of each document's set, whole and folded, its size, and its class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, grams, offsets in gram_sets(batch.column(1), n):
                 bounds = offsets.tolist()
                 sets = [grams[x:y] for x, y in zip(bounds, bounds[1:])]
-                columns = [batch.column(0).slice(first, len(sets)), pa.array([_class_of(x.tobytes()) for x in sets], pa.int64()), pa.array(map(_histogram, sets), pa.binary())]
-                columns.append(pa.array([np.bincount((x >> np.uint64(60)).astype(np.int64), minlength=COARSE) for x in sets], _SIGNATURES.field(3).type))
-                yield pa.RecordBatch.from_arrays(columns, schema=_SIGNATURES)
+                parities = [_parity(x) for x in sets]
+                folded = np.array([_fold(x, FOLDED_BITS // 8) for x in parities]).view(np.int64)
+                classes = pa.array([_class_of(x.tobytes()) for x in sets], pa.int64())
+                columns = [batch.column(0).slice(first, len(sets)), classes, pa.array(np.diff(offsets).astype(np.int32)), pa.array([x.tobytes() for x in parities], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x) for x in folded.T.copy())], schema=_SIGNATURES)
 
     return run
 
@@ -229,11 +231,19 @@ def _class_of(blob: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(blob, digest_size=16).digest()[:8], "little", signed=True)
 
 
-def _histogram(grams: np.ndarray) -> bytes:
-    """Numbers of grams in equal slices of the hash range; the number of slices is a power of two."""
-    bits = max(3, int(np.ceil(np.log2(max(1, len(grams)) / GRAMS_PER_SLICE))))
-    bits = min(bits, MAX_SLICES.bit_length() - 1)
-    return np.bincount((grams >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint16).tobytes()
+def _parity(grams: np.ndarray) -> np.ndarray:
+    """Bytes of the sketch: bit k tells whether an odd number of the grams have k as the low bits of their hash.
+
+    A gram of one set only turns one bit, so two sets differ in at least as many grams as their sketches in bits.
+    """
+    bits = min(MAX_BITS, max(FOLDED_BITS, 1 << (BITS_PER_GRAM * max(1, len(grams)) - 1).bit_length()))
+    odd = np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little")
+
+
+def _fold(parity: np.ndarray, size: int) -> np.ndarray:
+    """The sketch of ``size`` bytes of the same set."""
+    return np.bitwise_xor.reduce(parity.reshape(-1, size), axis=0)
 
 
 def _wanted(bits: np.ndarray, ids: pa.Array) -> np.ndarray:
@@ -305,21 +315,18 @@ def _sets(n: int) -> Callable:
     return run
 
 
-def _fold(histogram: np.ndarray, slices_: int) -> np.ndarray:
-    return histogram.reshape(slices_, -1).sum(axis=1, dtype=np.int64)
-
-
 def _suffix(percent: int) -> Callable:
-    """Pairs whose histograms leave enough room for the overlap."""
+    """Pairs (a, b, pa, pb, na, nb) whose parity sketches leave enough room for the overlap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint16), np.frombuffer(y.as_buffer(), np.uint16)
-                m = min(len(x), len(y))
-                x, y = _fold(x, m), _fold(y, m)
-                keep.append(np.minimum(x, y).sum() * (100 + percent) >= (x.sum() + y.sum()) * percent)
+            total = np.asarray(batch.column(4)).astype(np.int64) + np.asarray(batch.column(5))
+            for x, y, both in zip(batch.column(2), batch.column(3), total):
+                x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+                size = min(len(x), len(y))
+                apart = int(np.bitwise_count(_fold(x, size) ^ _fold(y, size)).sum())
+                keep.append(apart * (100 + percent) <= int(both) * (100 - percent))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -377,14 +384,14 @@ def _bound_ok(n1: Column, p1: Column, n2: Column, p2: Column, percent: int) -> C
 
 def _verified(pairs: DataFrame, signatures: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The (a, b) pairs that pass the suffix filter and then the exact check on whole sets."""
-    side = lambda df, node, value, name: df.select(F.col("node").alias(node), F.col(value).alias(name))
-    close = pairs.join(side(signatures, "a", "histogram", "ha"), "a").join(side(signatures, "b", "histogram", "hb"), "b")
-    close = stored(close.select("a", "b", "ha", "hb").mapInArrow(_suffix(percent), "a long, b long").distinct(), "close")
+    side = lambda df, node, **named: df.select(F.col("node").alias(node), *(F.col(c).alias(k) for k, c in named.items()))
+    close = pairs.join(side(signatures, "a", pa="parity", na="size"), "a").join(side(signatures, "b", pb="parity", nb="size"), "b")
+    close = stored(close.select("a", "b", "pa", "pb", "na", "nb").mapInArrow(_suffix(percent), "a long, b long").distinct(), "close")
     nodes = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     asked = nodes.join(signatures.select("node", "cls"), "node").select(F.col("node").alias("doc_id"), "cls")
     texts = _filtered(docs, nodes).join(asked, "doc_id").select("doc_id", "text", "cls")
     sets = stored(texts.mapInArrow(_sets(n), "node long, cls long, grams binary"), "sets")
-    joined = close.join(side(sets, "a", "grams", "ga"), "a").join(side(sets, "b", "grams", "gb"), "b")
+    joined = close.join(side(sets, "a", ga="grams"), "a").join(side(sets, "b", gb="grams"), "b")
     return joined.select("a", "b", "ga", "gb").mapInArrow(_verify(percent), "a long, b long")
 
 
@@ -413,17 +420,17 @@ def _all_pairs(lists: DataFrame, signatures: DataFrame, percent: int) -> DataFra
     """Every pair of rows of one list in different components that passes the filters.
 
     Rows meet in bands of set size: sizes of linked sets differ by one band at most. A linked pair also passes at its first
-    common gram, where no overlap lies before; and the coarse histograms must leave enough room for the overlap.
+    common gram, where no overlap lies before; and the folded parity sketches must leave enough room for the overlap.
     """
     # the small addend keeps exact powers in their own band
     band = F.floor(F.log(F.col("n").cast("double")) / float(max(np.log(100 / percent), 1e-6)) + 1e-9)
-    known = lists.join(signatures.select("node", "cls", "coarse"), ["node", "cls"]).withColumn("band", band)
+    known = lists.join(signatures.select("node", "cls", *_FOLDED), ["node", "cls"]).withColumn("band", band)
     x = known.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).alias("x")
     y = known.alias("y")
-    room = F.aggregate(F.zip_with("x.coarse", "y.coarse", lambda p, q: F.least(p, q)), F.lit(0), lambda t, v: t + v)
-    sizes = (F.col("x.n") + F.col("y.n")) * percent
+    apart = sum((F.bit_count(F.col(f"x.{p}").bitwiseXOR(F.col(f"y.{p}"))) for p in _FOLDED), F.lit(0))
+    total = F.col("x.n") + F.col("y.n")
     first = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-    fits = (first * (100 + percent) >= sizes) & (room * (100 + percent) >= sizes)
+    fits = (first * (100 + percent) >= total * percent) & (apart * (100 + percent) <= total * (100 - percent))
     same = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.band") == F.col("y.band"))
     met = x.join(y, same & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.node") < F.col("y.node")) & fits)
     return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
@@ -443,7 +450,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, cells: in
     reps = classes.select(F.col("d1").alias("cls"), F.col("rep").alias("node"))
     lists = stored(shared.select("gram", "cls", "n", "pos").dropDuplicates(["gram", "cls"]).join(reps, "cls"), "lists")
     chosen = lists.select(F.col("node").alias("doc_id"), "cls").distinct()
-    signatures = _filtered(named, chosen.select("doc_id")).mapInArrow(_signatures(n), "doc_id long, cls long, histogram binary, coarse array<int>")
+    signatures = _filtered(named, chosen.select("doc_id")).mapInArrow(_signatures(n), "doc_id long, cls long, size int, parity binary, " + ", ".join(f"{p} long" for p in _FOLDED))
     signatures = signatures.join(chosen, ["doc_id", "cls"], "left_semi").dropDuplicates(["doc_id", "cls"])
     signatures = stored(signatures.withColumnRenamed("doc_id", "node"), "signatures")
 
