@@ -45,6 +45,8 @@ SKETCH_CELLS, SLICE_CELLS = 1 << 22, 1 << 16
 #: sketch has that is compared while pairs are made, and at most the last number (beyond it the filter is weaker, not wrong).
 BITS_PER_GRAM, FOLDED_BITS, MAX_BITS = 2, 512, 1 << 20
 _FOLDED = [f"p{k}" for k in range(FOLDED_BITS // 64)]
+#: The grams that a set has in lists just before this one, in the common order.
+_BEFORE = ["before1", "before2"]
 #: Bits of the filter of documents whose whole sets are needed: a fixed size, whatever the input.
 FILTER_BITS = 1 << 23
 #: Star turns before all remaining pairs are generated.
@@ -419,21 +421,24 @@ def _star(lists: DataFrame, turn: int, percent: int) -> DataFrame:
 def _all_pairs(lists: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
     """Every pair of rows of one list in different components that passes the filters.
 
-    Rows meet in bands of set size: sizes of linked sets differ by one band at most. A linked pair also passes at its first
-    common gram, where no overlap lies before; and the folded parity sketches must leave enough room for the overlap.
+    Rows meet in bands of set size: the larger set lies in the band of the smaller one or the next. A linked pair also passes
+    at its first common gram, where no overlap lies before, so rows that also share one of their last listed grams wait for
+    that list; and the folded parity sketches must leave enough room for the overlap.
     """
     # the small addend keeps exact powers in their own band
     band = F.floor(F.log(F.col("n").cast("double")) / float(max(np.log(100 / percent), 1e-6)) + 1e-9)
     known = lists.join(signatures.select("node", "cls", *_FOLDED), ["node", "cls"]).withColumn("band", band)
-    x = known.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).alias("x")
+    x = known.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1))).alias("x")
     y = known.alias("y")
     apart = sum((F.bit_count(F.col(f"x.{p}").bitwiseXOR(F.col(f"y.{p}"))) for p in _FOLDED), F.lit(0))
     total = F.col("x.n") + F.col("y.n")
     first = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     fits = (first * (100 + percent) >= total * percent) & (apart * (100 + percent) <= total * (100 - percent))
     same = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.band") == F.col("y.band"))
-    met = x.join(y, same & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.node") < F.col("y.node")) & fits)
-    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    later = sum((F.coalesce((F.col(f"x.{p}") == F.col(f"y.{q}")).cast("int"), F.lit(0)) for p in _BEFORE for q in _BEFORE), F.lit(0)) > 0
+    ordered = F.struct("x.n", "x.node") < F.struct("y.n", "y.node")
+    met = x.join(y, same & (F.col("x.comp") != F.col("y.comp")) & ordered & ~later & fits)
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, cells: int = SKETCH_CELLS) -> DataFrame:
@@ -448,7 +453,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, cells: in
     gram = Window.partitionBy("gram")
     shared = grams.withColumns({"lo": F.min("cls").over(gram), "hi": F.max("cls").over(gram)}).filter("lo <> hi")
     reps = classes.select(F.col("d1").alias("cls"), F.col("rep").alias("node"))
-    lists = stored(shared.select("gram", "cls", "n", "pos").dropDuplicates(["gram", "cls"]).join(reps, "cls"), "lists")
+    lists = shared.select("gram", "cls", "n", "pos").dropDuplicates(["gram", "cls"]).join(reps, "cls")
+    own = Window.partitionBy("node", "cls").orderBy("pos")
+    lists = stored(lists.withColumns({name: F.lag("gram", k).over(own) for k, name in enumerate(_BEFORE, 1)}), "lists")
     chosen = lists.select(F.col("node").alias("doc_id"), "cls").distinct()
     signatures = _filtered(named, chosen.select("doc_id")).mapInArrow(_signatures(n), "doc_id long, cls long, size int, parity binary, " + ", ".join(f"{p} long" for p in _FOLDED))
     signatures = signatures.join(chosen, ["doc_id", "cls"], "left_semi").dropDuplicates(["doc_id", "cls"])
@@ -464,8 +471,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, cells: in
     roots = connected(links)
     named_classes = classes.join(roots, classes["rep"] == roots["node"], "left").select("d1", "d2", F.coalesce("root", "rep").alias("comp"))
     out = found.join(named_classes, ["d1", "d2"], "left")
-    own = F.when((F.col("n") > 0) | F.col("doc_id").isNull(), F.col("comp")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    name = F.when((F.col("n") > 0) | F.col("doc_id").isNull(), F.col("comp")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), name.alias("component_id"))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
