@@ -37,7 +37,7 @@ GROUP_ROWS = 8192
 STRIDE = 256
 
 _BINS = pa.schema(
-    [("bin_group", pa.int32()), ("bin", pa.int32()), ("slot", pa.int32()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("n_words", pa.int64())]
+    [("bin_group", pa.int32()), ("bin", pa.int32()), ("slot", pa.int32()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("run", pa.int32()), ("n_words", pa.int64())]
 )
 
 
@@ -99,17 +99,30 @@ def pack(sizes: np.ndarray, sources: np.ndarray, clusters: np.ndarray, capacity:
 
 
 def _pack_group(capacity: int):
+    """One row for each remainder, and one for the run of full pieces of each document: its first bin and piece, and their number."""
+    room = capacity - 1
+
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        ids, pieces, words = (np.asarray(group[c], np.int64) for c in ("doc_id", "piece", "n_words"))
-        order = np.lexsort((pieces, ids, -words))
+        ids, words = (np.asarray(group[c], np.int64) for c in ("doc_id", "n_words"))
+        hash_group, pieces, left = key[0].as_py(), words // room, words % room
+        # full pieces: a bin each, numbered by document and piece
+        by_id = np.lexsort((words, ids))
+        by_id = by_id[pieces[by_id] > 0]
+        runs, n_full = pieces[by_id], len(by_id)
+        zeros = np.zeros(n_full, np.int32)
+        full = [np.full(n_full, -1 - hash_group, np.int32), (np.cumsum(runs) - runs).astype(np.int32), zeros, ids[by_id], zeros, runs.astype(np.int32), np.full(n_full, room, np.int64)]
+        # remainders: longest first into the best-fitting bin
+        order = np.lexsort((pieces, ids, -left))
+        order = order[left[order] > 0]
         sources, clusters = _keys(group["source"])[order], _keys(group["cluster"])[order]
         # clusters with one piece here conflict with nothing
         sizes = np.bincount(clusters[clusters >= 0], minlength=1)
         clusters = np.where((clusters >= 0) & (sizes[clusters] > 1), clusters, -1)
         clusters[clusters >= 0] = np.unique(clusters[clusters >= 0], return_inverse=True)[1]
-        bins, slots = pack(words[order] + 1, sources, clusters, capacity)
+        bins, slots = pack(left[order] + 1, sources, clusters, capacity)
         n = len(order)
-        return pa.table([np.full(n, key[0].as_py(), np.int32), bins.astype(np.int32), slots.astype(np.int32), ids[order], pieces[order].astype(np.int32), words[order]], schema=_BINS)
+        rest = [np.full(n, hash_group, np.int32), bins.astype(np.int32), slots.astype(np.int32), ids[order], pieces[order].astype(np.int32), np.ones(n, np.int32), left[order]]
+        return pa.table([np.concatenate(both) for both in zip(rest, full)], schema=_BINS)
 
     return run
 
@@ -131,34 +144,25 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def best_fit_bins(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Bins for (doc_id, n_words, source, cluster) rows: bin_group, bin, slot, doc_id, piece, start_word, n_words.
 
-    Full pieces get bins of group -1 - (their hash group), one each, numbered by document and piece.
+    Full pieces get bins of group -1 - (their hash group), one each, numbered by document and piece in the same grouped pass.
     """
     room = capacity - 1
     rows = pieces.filter((F.col("n_words") > 0) & F.col("doc_id").isNotNull())
     n = rows.agg(F.count("*").alias("n")).first()["n"]
     groups = max(1, -(-n // group_rows))
-    full = (F.col("n_words") / room).cast("long")
-    whole = rows.filter(F.col("n_words") >= room).select(
-        F.lit(-1).cast("int").alias("bin_group"),
-        F.lit(0).cast("int").alias("bin"),
-        F.lit(0).cast("int").alias("slot"),
-        "doc_id",
-        F.explode(F.sequence(F.lit(0), full.cast("int") - 1)).alias("piece"),
-        F.lit(room).cast("long").alias("n_words"),
-    )
-    rest = rows.filter(F.col("n_words") % room > 0).select(
+    dealt = rows.select(
         F.pmod(F.xxhash64("doc_id", "n_words", F.lit(11)), F.lit(groups)).cast("int").alias("bin_group"),
         F.col("doc_id").cast("long").alias("doc_id"),
-        full.cast("int").alias("piece"),
-        (F.col("n_words") % room).alias("n_words"),
+        F.col("n_words").cast("long").alias("n_words"),
         "source",
         "cluster",
     )
-    ddl = "bin_group int, bin int, slot int, doc_id long, piece int, n_words long"
-    packed = rest.groupBy("bin_group").applyInArrow(_pack_group(capacity), ddl)
-    return packed.unionByName(whole).select(
-        "bin_group", "bin", "slot", "doc_id", "piece", (F.col("piece").cast("long") * room).alias("start_word"), "n_words"
-    )
+    ddl = "bin_group int, bin int, slot int, doc_id long, piece int, run int, n_words long"
+    packed = dealt.groupBy("bin_group").applyInArrow(_pack_group(capacity), ddl)
+    # the pieces of a run lie in consecutive bins
+    packed = packed.withColumn("step", F.explode(F.sequence(F.lit(0), F.col("run") - 1)))
+    packed = packed.withColumns({"bin": F.col("bin") + F.col("step"), "piece": F.col("piece") + F.col("step")})
+    return packed.select("bin_group", "bin", "slot", "doc_id", "piece", (F.col("piece").cast("long") * room).alias("start_word"), "n_words")
 
 
 def pack_documents(docs: DataFrame, cluster_col: str | None = None, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:

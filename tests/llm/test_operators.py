@@ -60,6 +60,26 @@ def test_packing(spark):
     assert packing.pack_documents(docs(spark, ["a"]).filter("doc_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("group_rows", [3, 8192])
+def test_packing_full_pieces_have_bins_of_their_own(spark, group_rows):
+    texts = [f"w{k} " * n for k, n in enumerate([199, 398, 597, 1000, 5, 198, 200, 199 * 7])] + [f"w{3} " * 1000]
+    got = packing.pack_documents(docs(spark, texts), capacity=200, group_rows=group_rows).collect()
+    spans = Counter((r.doc_id, r.piece, r.start_word, r.n_words) for r in got)
+    want = Counter((k, p, 199 * p, min(199, len(t.split()) - 199 * p)) for k, t in enumerate(texts) for p in range(-(-len(t.split()) // 199)))
+    assert spans == want
+    bins = {}
+    for r in got:
+        bins.setdefault((r.bin_group, r.bin), []).append(r)
+    for (group, _), rows in bins.items():
+        assert sum(r.n_words + 1 for r in rows) <= 200 and sorted(r.slot for r in rows) == list(range(len(rows)))
+        assert len({texts[r.doc_id] for r in rows}) == len(rows)
+        assert len([r for r in rows if r.doc_id % 7]) <= 1  # all of them have one source
+        assert (group < 0) == (rows[0].n_words == 199)
+    for group in {g for g, _ in bins if g < 0}:
+        rows = sorted((r for r in got if r.bin_group == group), key=lambda r: r.bin)
+        assert [r.bin for r in rows] == list(range(len(rows))) and rows == sorted(rows, key=lambda r: (r.doc_id, r.piece))
+
+
 def test_packing_is_best_fit():
     rnd = np.random.default_rng(3)
     sizes, sources, clusters = np.sort(rnd.integers(1, 90, 300))[::-1], rnd.integers(-1, 40, 300), rnd.integers(-1, 60, 300)
