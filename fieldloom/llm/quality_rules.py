@@ -5,9 +5,11 @@ documents that pass the base rules, a statistic vector (log word length; square
 repeated-word shares) is judged by its Mahalanobis distance from its group's minimum-covariance-determinant estimate.
 
 The estimate starts from medians and quartile ranges and takes concentration steps: the share ``SUPPORT`` of a group's
-rows nearest to the centre gives the next mean and covariance. ``FLOORS`` squared are added to the variances, so that a
-statistic that is constant in a group does not reject every other value. The covariance is scaled so that the
-median distance is that of a chi-square variable; rows beyond ``CUTOFF`` are rejected. Groups are (language, source);
+rows nearest to the centre gives the next mean and covariance, until no group's estimate moves any more. A variance is at
+least that of ``FLOOR`` times the statistic's own scale in the group (its quartile range, or the standard deviation of all rows
+where the quartiles are one value), which keeps the matrix regular where the nearest rows agree in a statistic. The
+covariance is scaled so that the median distance is that of a chi-square variable with as many degrees of freedom as
+statistics vary; rows beyond ``CUTOFF`` are rejected. Groups are (language, source);
 those under ``MIN_ROWS`` rows are pooled by language, and those still smaller together.
 
 Moments and quantile sketches combine before the shuffle, so a group with a third of all rows is many partial sums. Texts
@@ -29,12 +31,13 @@ from fieldloom.llm.common import stored
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 FEATURES = ("word_length", "symbols", "lines", "repeats")
-#: Least standard deviation of each statistic.
-FLOORS = (0.06, 0.04, 0.2, 0.15)
-#: Share of a group's rows that the estimate rests on, and number of concentration steps.
-SUPPORT, STEPS = 0.75, 3
-#: Median and 0.9999 quantile of a chi-square variable with four degrees of freedom.
-CHI_MEDIAN, CUTOFF = 3.3567, 23.513
+#: Least standard deviation of a statistic, as a share of its scale in the group.
+FLOOR = 0.25
+#: Share of a group's rows that the estimate rests on, most concentration steps, and the move of a stable estimate
+#: (of the centre in standard deviations, of a deviation in its own size).
+SUPPORT, STEPS, STABLE = 0.75, 30, 0.001
+#: Medians of chi-square variables with one to four degrees of freedom, and the 0.9999 quantile with four.
+CHI_MEDIANS, CUTOFF = (0.4549, 1.3863, 2.3660, 3.3567), 23.513
 MIN_ROWS = 100
 #: Accuracy of the quantile sketches.
 ACCURACY = 2000
@@ -146,14 +149,31 @@ def _with_root(cells: DataFrame, cov: Callable[[int, int], Column]) -> DataFrame
     return cells.withColumn("root", root).drop(*done.values())
 
 
+def _moved(old: DataFrame, new: DataFrame) -> float:
+    """The largest move of any group's centre or deviations."""
+    both = new.join(old.select("cell", F.col("mean").alias("mean_was"), F.col("root").alias("root_was")), "cell")
+    moves = [F.abs(F.col(f"mean.{x}") - F.col(f"mean_was.{x}")) / F.col(f"root.l{i}{i}") for i, x in enumerate(FEATURES)]
+    moves += [F.abs(F.col(f"root.l{i}{i}") / F.col(f"root_was.l{i}{i}") - 1) for i in range(len(FEATURES))]
+    return both.agg(F.max(F.greatest(*moves))).first()[0] or 0.0
+
+
 def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
-    """cell, mean and root of every group of ``rows`` (cell and FEATURES)."""
+    """cell, mean, root and factor of every group of ``rows`` (cell and FEATURES)."""
     quartiles = [F.percentile_approx(x, [0.25, 0.5, 0.75], ACCURACY).alias(f"q_{x}") for x in FEATURES]
-    first = rows.groupBy("cell").agg(*quartiles)
+    first = rows.groupBy("cell").agg(*quartiles, *[F.stddev_pop(x).alias(f"s_{x}") for x in FEATURES])
     first = first.withColumn("mean", F.struct(*[F.col(f"q_{x}")[1].alias(x) for x in FEATURES]))
-    spread = lambda i: (F.col(f"q_{FEATURES[i]}")[2] - F.col(f"q_{FEATURES[i]}")[0]) / 1.349
-    start = _with_root(first, lambda i, j: spread(i) * spread(i) + FLOORS[i] ** 2 if i == j else F.lit(0.0)).select("cell", "mean", "root")
-    found = stored(start, "mcd")
+    spread = lambda x: (F.col(f"q_{x}")[2] - F.col(f"q_{x}")[0]) / 1.349
+    least = lambda x: FLOOR * F.greatest(F.when(spread(x) > 0, spread(x)).otherwise(F.col(f"s_{x}")), F.lit(1e-4))
+    first = first.withColumn("floor", F.struct(*[least(x).alias(x) for x in FEATURES]))
+
+    def regular(i: int, variance: Column) -> Column:
+        # a little more than that for statistics that depend on each other
+        return F.greatest(variance, F.pow(F.col(f"floor.{FEATURES[i]}"), F.lit(2))) * (1 + 1e-6)
+
+    def start(i: int, j: int) -> Column:
+        return regular(i, spread(FEATURES[i]) * spread(FEATURES[i])) if i == j else F.lit(0.0)
+
+    found = stored(_with_root(first, start).select("cell", "mean", "root", "floor", F.lit(0).alias("varying")), "mcd")
     for _ in range(steps):
         near = rows.join(found, "cell").withColumn("d", _distance("mean", "root"))
         limit = near.groupBy("cell").agg(F.percentile_approx("d", SUPPORT, ACCURACY).alias("limit"))
@@ -162,14 +182,22 @@ def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
         shift = {x: F.col(x) - F.col(f"mean.{x}") for x in FEATURES}
         sums = [F.avg(shift[x]).alias(f"m{i}") for i, x in enumerate(FEATURES)]
         sums += [F.avg(shift[x] * shift[y]).alias(f"c{i}{j}") for i, x in enumerate(FEATURES) for j, y in enumerate(FEATURES) if j <= i]
-        moments = kept.groupBy("cell").agg(*sums, F.first("mean").alias("old"))
+        moments = kept.groupBy("cell").agg(*sums, F.first("mean").alias("old"), F.first("floor").alias("floor"))
         moments = moments.withColumn("mean", F.struct(*[(F.col(f"old.{x}") + F.col(f"m{i}")).alias(x) for i, x in enumerate(FEATURES)]))
-        cov = lambda i, j: F.col(f"c{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}") + (FLOORS[i] ** 2 if i == j else 0.0)
-        found = stored(_with_root(moments, cov).select("cell", "mean", "root"), "mcd")
+        cov = lambda i, j: F.col(f"c{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")
+        above = [(cov(i, i) > F.pow(F.col(f"floor.{x}"), F.lit(2))).cast("int") for i, x in enumerate(FEATURES)]
+        moments = moments.withColumn("varying", sum(above[1:], above[0]))
+        before = found
+        held = _with_root(moments, lambda i, j: regular(i, cov(i, i)) if i == j else cov(i, j))
+        found = stored(held.select("cell", "mean", "root", "floor", "varying"), "mcd")
+        if _moved(before, found) <= STABLE:
+            break
     scaled = rows.join(found, "cell").withColumn("d", _distance("mean", "root"))
-    # a covariance of the nearest rows is too small for all rows; one of floors alone is not shrunk
-    factor = scaled.groupBy("cell").agg(F.greatest(F.percentile_approx("d", 0.5, ACCURACY) / CHI_MEDIAN, F.lit(1.0)).alias("factor"))
-    return found.join(factor, "cell")
+    # a covariance of the nearest rows is too small for all rows; one of floors alone has no such size
+    middle = scaled.groupBy("cell").agg(F.percentile_approx("d", 0.5, ACCURACY).alias("middle"), F.first("varying").alias("of"))
+    factor = F.col("middle") / F.element_at(F.array(*map(F.lit, CHI_MEDIANS)), F.greatest("of", F.lit(1)))
+    factor = F.when((F.col("of") > 0) & (F.col("middle") > 0), factor).otherwise(F.lit(1.0))
+    return found.select("cell", "mean", "root").join(middle.select("cell", factor.alias("factor")), "cell")
 
 
 def judge(docs: DataFrame) -> DataFrame:

@@ -113,6 +113,20 @@ def test_quality_rules(spark):
     assert quality_rules.judge(docs(spark, ["a"]).filter("doc_id < 0")).count() == 0
 
 
+def test_quality_rules_reject_repeats_and_keep_clean(spark):
+    rnd = random.Random(6)
+    prose = lambda n: [f"{k}{'abcdefgh'[: rnd.randint(3, 8)]}" for k in rnd.sample(range(100, 1000), n)]
+    clean = ["\n".join(" ".join(prose(12)) for _ in range(10)) for _ in range(300)]
+    # one short line again and again between long ones: no three words are repeated
+    lines = ["\n".join(f"{' '.join(prose(12))}\nmore" for _ in range(k)) for k in range(5, 12)]
+    words = [" ".join(x + x[:n]) for n in (20, 24, 28) for x in [prose(100)]]
+    rows = [(k, t, "en", "web") for k, t in enumerate(clean + lines + words)]
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert sum(got[k].kept for k in range(300)) >= 297
+    assert not any(got[k].kept for k in range(300, len(rows)))
+
+
 def test_classifier(spark):
     d, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 0
