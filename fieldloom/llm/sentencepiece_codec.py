@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -179,11 +180,17 @@ class Codec:
             end = offsets.pop()
         return "".join(chars), [*offsets, end]
 
-    def _plain(self, text: str) -> str:
-        """The normalised text alone."""
+    def aligned(self, text: str) -> tuple[str, np.ndarray]:
+        """The same as ``normalise`` with the offsets as an array."""
         if self.map.units or self.squeeze:
-            return self.normalise(text)[0]
-        return (SPACE if text and self.dummy_prefix else "") + text.replace(" ", SPACE)
+            out, offsets = self.normalise(text)
+            return out, np.asarray(offsets, np.int64)
+        raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+        offsets = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+        out = text.replace(" ", SPACE)
+        if out and self.dummy_prefix:
+            out, offsets = SPACE + out, np.append(offsets[:1], offsets)
+        return out, offsets
 
     # -- merging ----------------------------------------------------------------------------------
 
@@ -292,10 +299,17 @@ class Codec:
         return out
 
     def encode_ids(self, text: str | None) -> list[int]:
-        return [k for segment in self.segments(self._plain(text or "")) for k in self._ids(self.merge(segment))]
+        return [k for segment in self.segments(self.normalise(text or "")[0]) for k in self._ids(self.merge(segment))]
+
+    @cache  # noqa: B019
+    def _normal(self) -> frozenset[int]:
+        return frozenset(k for k, kind in enumerate(self.kinds) if kind == NORMAL)
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: spaces restored, fallback bytes joined, and the leading dummy space gone."""
+        if not self.squeeze and self._normal().issuperset(ids):
+            text = "".join([self.pieces[k] for k in ids])
+            return (text[1:] if self.dummy_prefix and text.startswith(SPACE) else text).replace(SPACE, " ")
         out: list[str] = []
         pending = bytearray()
         at_start = self.dummy_prefix or self.squeeze
@@ -343,75 +357,81 @@ def codec(path: str) -> Codec:
         return Codec(file.read())
 
 
+#: A segment's ids, and the first and the end character of each id's span inside the segment, as arrays' bytes.
+Spans = tuple[bytes, bytes, bytes]
+
+
 class CachedEncoder:
-    """Encodes whole texts through a bounded cache of segments and of their parts, in two generations."""
+    """Encodes whole texts with spans, through a bounded cache of segments and of their parts, in two generations."""
 
     def __init__(self, of: Codec):
         self.codec = of
-        self.young: dict[str, tuple[str, str]] = {}
-        self.old: dict[str, tuple[str, str]] = {}
+        self.young: dict[str, Spans] = {}
+        self.old: dict[str, Spans] = {}
 
-    def _kept(self, segment: str, found: tuple[str, str]) -> tuple[str, str]:
+    def _kept(self, segment: str, found: Spans) -> Spans:
         if len(segment) <= CACHE_CHARS:
             if len(self.young) >= CACHE_SEGMENTS:
                 self.old, self.young = self.young, {}
             self.young[segment] = found
         return found
 
-    def _segment(self, segment: str) -> tuple[str, str]:
-        """(ids joined by commas, the text these ids stand for) of one segment."""
+    def _segment(self, segment: str) -> Spans:
         found = self.young.get(segment)
         if found is None:
             found = self.old.get(segment)
             if found is None:
-                found = self._parts(segment) if self.codec.byte_fallback and not segment[1:].isalpha() else self._whole(segment)
+                found = self._parts(segment) if not segment[1:].isalpha() else self._whole(segment)
             self._kept(segment, found)
         return found
 
-    def _whole(self, segment: str) -> tuple[str, str]:
-        of = self.codec
-        pieces = of.merge(segment) if len(segment) > 24 else of._merged(segment)
-        try:
-            return ",".join([of.id_texts[p] for p in pieces]), "".join(pieces).replace(SPACE, " ")
-        except KeyError:  # some piece is unknown or falls back to bytes
-            ids = of._ids(pieces)
-            return ",".join(map(str, ids)), self._surface(ids)
-
-    def _parts(self, segment: str) -> tuple[str, str]:
-        """The same, part by part between places that no merge crosses (unknown pieces would join there)."""
-        bonds, young, old, first, found = self.codec.bonds, self.young.get, self.old.get, 0, []
+    def _whole(self, segment: str) -> Spans:
+        of, ids, starts, ends, at = self.codec, [], [], [], 0
+        for piece in of.merge(segment) if len(segment) > 24 else of._merged(segment):
+            own = of._ids([piece])
+            ids += own
+            starts += [at] * len(own)
+            at += len(piece)
+            ends += [at] * len(own)
+        return np.array(ids, np.int32).tobytes(), np.array(starts, np.int64).tobytes(), np.array(ends, np.int64).tobytes()
+
+    def _parts(self, segment: str) -> Spans:
+        """The same, part by part between places that no merge crosses."""
+        bonds, young, old, first, parts = self.codec.bonds, self.young.get, self.old.get, 0, []
         for k, pair in enumerate([*map(str.__add__, segment, segment[1:]), ""], 1):
             if pair not in bonds:
-                part = segment[first:k]
-                found.append(young(part) or old(part) or self._kept(part, self._whole(part)))
+                parts.append(segment[first:k])
                 first = k
-        return ",".join([f[0] for f in found]), "".join([f[1] for f in found])
-
-    def _surface(self, ids: list[int]) -> str:
-        """Decoded text of a segment inside a text (its leading space stays); "" if bytes hang over."""
-        kinds, pieces = self.codec.kinds, self.codec.pieces
-        if any(kinds[k] != NORMAL for k in ids):
-            return self.codec.decode([self._neutral(), *ids])[1:]
-        return "".join([pieces[k] for k in ids]).replace(SPACE, " ")
-
-    @cache  # noqa: B019
-    def _neutral(self) -> int:
-        """Some one-character piece that is no space, to decode a segment as if in mid-text."""
-        return next(k for p, k in self.codec.ids.items() if len(p) == 1 and p != SPACE)
-
-    def encode(self, text: str | None) -> tuple[int, str, str]:
-        """(number of ids, ids joined by commas, decoded text)."""
+        found = [young(part) or old(part) or self._kept(part, self._whole(part)) for part in parts]
+        return tuple(a.tobytes() for a in self._joined(parts, found))
+
+    @staticmethod
+    def _joined(parts: list[str], found: list[Spans]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Spans of neighbouring parts, each shifted by where its part begins."""
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        counts = np.fromiter([len(f[0]) // 4 for f in found], np.int64, len(found))
+        shift = np.repeat(np.cumsum(sizes) - sizes, counts)
+        starts, ends = (np.frombuffer(b"".join([f[k] for f in found]), np.int64) + shift for k in (1, 2))
+        return np.frombuffer(b"".join([f[0] for f in found]), np.int32), starts, ends
+
+    def spans(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of a text, and the first and the end byte of each id's span of the original text."""
         of = self.codec
-        segments = of.segments(of._plain(text or ""))
+        normal, offsets = of.aligned(text or "")
+        segments = of.segments(normal)
         get, miss = self.young.get, self._segment
-        found = [get(s) or miss(s) for s in segments]
-        ids = ",".join([f[0] for f in found])
-        decoded = "".join([f[1] for f in found])
-        if of.dummy_prefix and not of.squeeze:
-            decoded = decoded[1:] if decoded.startswith(" ") else decoded
-        elif of.squeeze:
-            decoded = decoded.lstrip(" ")
-        return (ids.count(",") + 1 if ids else 0), ids, decoded
+        ids, starts, ends = self._joined(segments, [get(s) or miss(s) for s in segments])
+        if not of.byte_fallback and len(ids):
+            # neighbouring unknown pieces are one
+            goes_on = (ids[1:] == of.unknown) & (ids[:-1] == of.unknown)
+            ids, starts, ends = ids[np.append(True, ~goes_on)], starts[np.append(True, ~goes_on)], ends[np.append(~goes_on, True)]
+        return ids, offsets[starts], offsets[ends]
+
+    def encode(self, text: str | None) -> tuple[int, str, str]:
+        """(number of ids, ids joined by commas, text decoded from these ids), from the pieces with their spans."""
+        ids, starts, _ = self.spans(text)
+        listed = ids.tolist()
+        return len(starts), ",".join(map(str, listed)), self.codec.decode(listed)
 
 
 @cache
@@ -428,11 +448,14 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     """``id_col`` and ``pieces``: every piece with its id and original byte span."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = codec(model_path)
+        of, spans = codec(model_path), encoder(model_path).spans
         kind = pa.list_(pa.struct([("id", pa.int32()), ("piece", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             for k in range(batch.num_rows):
-                pieces = [vars(p) for p in of.encode(batch.column(1)[k].as_py())]
+                text = batch.column(1)[k].as_py() or ""
+                raw = text.encode("utf-8", "surrogatepass")
+                surface = lambda i, a, b: of.pieces[i] if of.kinds[i] != UNKNOWN else raw[a:b].decode("utf-8", "replace")
+                pieces = [{"id": i, "piece": surface(i, a, b), "start": a, "end": b} for i, a, b in zip(*(x.tolist() for x in spans(text)))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([pieces], kind)], names=[id_col, "pieces"])
 
     kind = dict(docs.dtypes)[id_col]

@@ -224,3 +224,21 @@ def test_sentencepiece():
         spans = own.encode(t)
         assert [p.id for p in spans] == ids and (not spans or spans[-1].end == len(t.encode()))
     assert zlib.crc32(b"1") % 3 in (0, 1, 2)
+
+
+def test_sentencepiece_query_has_spans_and_decodes_its_ids(spark, monkeypatch):
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    own, encoder = sentencepiece_codec.codec(path), sentencepiece_codec.CachedEncoder(sentencepiece_codec.codec(path))
+    rnd = random.Random(9)
+    texts = [t or "" for t in ODD] + ["".join(rnd.choice("ab▁ é日\n.<0x>😀the") for _ in range(rnd.randint(1, 60))) for _ in range(300)]
+    decoded = []
+    monkeypatch.setattr(own, "decode", lambda ids, f=own.decode: decoded.append(list(ids)) or f(ids))
+    for t in texts * 2:
+        ids, starts, ends = (x.tolist() for x in encoder.spans(t))
+        assert list(zip(ids, starts, ends)) == [(p.id, p.start, p.end) for p in own.encode(t)]
+        assert encoder.encode(t)[0] == len(ids) and decoded[-1] == ids
+    got = {r.doc_id: r.pieces for r in sentencepiece_codec.encode_documents(docs(spark, texts), path).collect()}
+    for k, t in enumerate(texts):
+        assert [(p.id, p.piece, p.start, p.end) for p in got[k]] == [(p.id, p.piece, p.start, p.end) for p in own.encode(t)]
