@@ -90,3 +90,31 @@ def apply_overrides(df: DataFrame, overrides: DataFrame, key: str, ordinal: str,
     last = top_k(overrides, [key], [F.col(ordinal).desc()], 1, "_place").drop("_place", ordinal)
     kept = df.join(last.select(key), key, "left_anti")
     return kept.unionByName(last.filter(active).select(*df.columns))
+
+
+def role_gate(df: DataFrame, keys: Sequence[str], code: str, similarity: str, role: Column, address: Column, prefixes: dict[str, str], margin: float = 0.08) -> DataFrame:
+    """Candidates of a row's section role: unchanged without a role or a candidate of it; for an address prompt only that role's;
+    otherwise those of the other role only where their similarity exceeds the role's best by more than ``margin``."""
+    prefix = F
+    for name, start in prefixes.items():
+        prefix = prefix.when(role == name, start)
+    df = df.withColumn("_prefix", prefix.otherwise(None))
+    of_role = F.col(code).startswith(F.col("_prefix"))
+    rival = F.greatest(*[(F.col(code).startswith(p) & (F.col("_prefix") != p)).cast("int") for p in prefixes.values()]) == 1
+    best = F.max(F.when(of_role, F.col(similarity))).over(Window.partitionBy(*keys))
+    df = df.withColumn("_best", best)
+    kept = F.when(F.col("_prefix").isNull() | F.col("_best").isNull(), True).when(address, of_role).otherwise(~rival | (F.col(similarity) > F.col("_best") + margin))
+    return df.filter(kept).drop("_prefix", "_best")
+
+
+def denied(df: DataFrame, restricted: Column, scope: Column, excuse: Column) -> DataFrame:
+    """Rows that are not ``restricted`` inside ``scope`` without an ``excuse``; a group may lose all its rows."""
+    return df.filter(~F.coalesce(restricted & scope & ~excuse, F.lit(False)))
+
+
+def allowed_codes(df: DataFrame, keys: Sequence[str], code: str, score: str, ordinal: str, extra: Column, k: int = 3, least: float = 0.42) -> DataFrame:
+    """Candidates whose code is among the ``k`` highest scores of their key, or ``extra``; all (``relaxed``) where no score reaches ``least``."""
+    group = Window.partitionBy(*keys)
+    ranked = df.withColumns({"_rank": F.row_number().over(group.orderBy(F.col(score).desc(), ordinal)), "relaxed": F.max(score).over(group) < least})
+    named = F.collect_set(F.when(F.col("_rank") <= k, F.col(code))).over(group)
+    return ranked.withColumn("_codes", named).filter(F.array_contains("_codes", F.col(code)) | extra | F.col("relaxed")).drop("_rank", "_codes")

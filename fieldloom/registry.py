@@ -27,13 +27,21 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+MODULES = ("queries", "predicate_queries")
+
+
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"fieldloom.plans.{name}")
+
+
 def queries() -> dict[str, Query]:
-    importlib.import_module("fieldloom.plans.queries")
+    _load()
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    importlib.import_module("fieldloom.plans.queries")
+    _load()
     return _SQL
 
 
