@@ -115,30 +115,30 @@ def normal_weights(names: Sequence[str], layout_present: bool = True, no_heurist
     return {n: held[n] / total for n in names}
 
 
-def family_signal(value: Column, family: Column) -> Column:
+def family_signal(value: Column, family: Column, digits: int = 6) -> Column:
     """A signal drawn towards (or away from) one half by its family's factor."""
     factor = F.lit(1.0)
     for name, by in FAMILY_FACTORS.items():
         factor = F.when(family == name, by).otherwise(factor)
-    return F.round(clamp01(0.5 + (clamp01(value) - 0.5) * factor), 6)
+    return F.round(clamp01(0.5 + (clamp01(value) - 0.5) * factor), digits)
 
 
-def first_confidence(df: DataFrame) -> DataFrame:
+def first_confidence(df: DataFrame, digits: int = 6) -> DataFrame:
     """Adds ``normal`` (blend of family signals) and ``first`` (evidence, rank, block and fused signals) to signal rows."""
     w = normal_weights(["layout", "embedding", "lexical", "dictionary", "heuristic"])
     v = normal_weights(["embedding", "lexical", "dictionary", "heuristic"])
-    family = lambda name: family_signal(F.col(name) if name != "embedding" else F.greatest("semantic", "layout"), F.col("family"))
+    family = lambda name: family_signal(F.col(name) if name != "embedding" else F.greatest("semantic", "layout"), F.col("family"), digits)
     normal = sum((family({"lexical": "anchor"}.get(n, n)) * v[n] for n in v), F.lit(0.0))
     evidence = sum((F.col({"embedding": "semantic", "lexical": "anchor"}.get(n, n)) * w[n] for n in w), F.lit(0.0))
     fused = sum((F.col(n) * weight for n, weight in FUSION.items()), F.lit(0.0))
-    df = df.withColumn("normal", F.round(clamp01(normal), 6))
+    df = df.withColumn("normal", F.round(clamp01(normal), digits))
     base = clamp01(clamp01(evidence) * 0.52 + F.col("relative") * 0.2 + clamp01(F.col("block_conf")) * 0.1 + clamp01(F.col("heuristic") * 0.5 + F.col("normal") * 0.5) * 0.18)
     return df.withColumn("first", clamp01(base * 0.38 + clamp01(fused) * 0.62))
 
 
 def composite(df: DataFrame, digits: int = 3) -> DataFrame:
     """Adds ``confidence`` and ``ranked_confidence`` (7 percent less for a missing parent) to rows with all signals."""
-    scored = first_confidence(df).withColumn("confidence", F.round(clamp01(F.expr(chain_expression("first"))), digits))
+    scored = first_confidence(df, max(6, digits)).withColumn("confidence", F.round(clamp01(F.expr(chain_expression("first"))), digits))
     return scored.withColumn("ranked_confidence", F.round(F.col("confidence") * F.when(F.col("violations") > 0, 1 - 0.07).otherwise(1.0), digits))
 
 
@@ -169,7 +169,7 @@ def candidate_order() -> list[Column]:
 
 def reranked(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Adds ``rerank_score`` and ``rank``: the moves' sum decides, the usual order breaks ties; confidences stay."""
-    scored = df.withColumn("rerank_score", F.round(F.expr(moved("confidence", RERANK_MOVES)), 6))
+    scored = df.withColumn("rerank_score", F.round(F.expr(moved("confidence", RERANK_MOVES)), 9))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("rerank_score").desc(), *candidate_order())))
 
 

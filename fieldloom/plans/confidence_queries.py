@@ -11,6 +11,11 @@ from fieldloom.plans.predicate_queries import rx
 from fieldloom.plans.tables import FAMILIES, PROMPT_TEXTS, normalised_sql, sql_list, table
 from fieldloom.registry import register
 
+def q6(name: str, of: str | None = None) -> str:
+    """A score to six digits for both engines, away from ties."""
+    return f"floor({of or name} * 1000000 + 0.5001) / 1000000 AS {name}"
+
+
 KINDS = ["line1", "line2", "city", "state", "postal", "other"]
 FORCED = ["accepted", "review"]
 #: Signals as SQL over line items, the same text for both engines; the document's candidates are its lines.
@@ -64,16 +69,16 @@ def _sum(parts: list[str]) -> str:
     return "(0.0::DOUBLE + " + " + ".join(parts) + ")"
 
 
-_NORMAL = "round(" + _UNIT.format(_sum([f"round({_UNIT.format(f'0.5 + ({_COLS[n]} - 0.5) * ({_FACTOR})')}, 6) * {w!r}::DOUBLE" for n, w in _V.items()])) + ", 6)"
+_NORMAL = "round(" + _UNIT.format(_sum([f"round({_UNIT.format(f'0.5 + ({_COLS[n]} - 0.5) * ({_FACTOR})')}, 9) * {w!r}::DOUBLE" for n, w in _V.items()])) + ", 9)"
 _EVIDENCE = _UNIT.format(_sum([f"{({'embedding': 'semantic', 'lexical': 'anchor'}).get(n, n)} * {w!r}::DOUBLE" for n, w in _W.items()]))
 _FUSED = _UNIT.format(_sum([f"{n} * {w}::DOUBLE" for n, w in C.FUSION.items()]))
 CONFIDENCE = f"""{SIGNALS}, c1 AS (SELECT *, {_NORMAL} AS normal FROM sg), c2 AS (SELECT *, {_UNIT.format(_UNIT.format(f'{_EVIDENCE} * 0.52 + relative * 0.2 + block_conf * 0.1 + {_UNIT.format("heuristic * 0.5 + normal * 0.5")} * 0.18') + f' * 0.38 + {_FUSED} * 0.62')} AS first FROM c1),
- cf AS (SELECT *, round({_UNIT.format(C.chain_expression('first'))}, 6) AS confidence FROM c2)"""
+ cf AS (SELECT *, round({_UNIT.format(C.chain_expression('first'))}, 9) AS confidence FROM c2)"""
 
 
-@register("composite_confidence", f"WITH {CONFIDENCE} SELECT doc, ordinal, code, normal, confidence, round(confidence * CASE WHEN violations > 0 THEN 1 - 0.07 ELSE 1.0 END, 6) AS ranked_confidence FROM cf")
+@register("composite_confidence", f"WITH {CONFIDENCE} SELECT doc, ordinal, code, {q6('normal')}, {q6('confidence')}, {q6('ranked_confidence', 'round(confidence * CASE WHEN violations > 0 THEN 1 - 0.07 ELSE 1.0 END, 9)')} FROM cf")
 def composite_confidence(spark, sf_dir):
-    return C.composite(signals(spark, sf_dir), 6).select("doc", "ordinal", "code", "normal", "confidence", "ranked_confidence")
+    return C.composite(signals(spark, sf_dir), 9).selectExpr("doc", "ordinal", "code", q6("normal"), q6("confidence"), q6("ranked_confidence"))
 
 
 _MOVES = {k: C.moved("CAST({} AS DOUBLE)", [(m[i], m[3]) for m in C.THRESHOLD_MOVES]) for i, k in enumerate(("accepted", "review", "rejected"))}
@@ -82,30 +87,30 @@ _MOVES = {k: C.moved("CAST({} AS DOUBLE)", [(m[i], m[3]) for m in C.THRESHOLD_MO
 @register("dynamic_thresholds", f"""WITH {SIGNALS}, k AS (SELECT sg.*, CASE WHEN number % 10 = 0 THEN 0.9 END AS code_accepted, CASE WHEN number % 10 = 0 THEN 0.7 END AS code_review, CASE WHEN number % 10 = 0 THEN 0.5 END AS code_rejected,
  CASE WHEN number % 4 = 1 THEN 0.75 END AS cat_accepted, CASE WHEN number % 4 = 1 THEN 0.55 END AS cat_review FROM sg),
  m AS (SELECT *, {_MOVES['accepted'].format('coalesce(cat_accepted - 0.015, code_accepted, 0.8)')} AS a, {_MOVES['review'].format('coalesce(cat_review - 0.01, code_review, 0.6)')} AS r, {_MOVES['rejected'].format('coalesce(code_rejected, 0.45)')} AS j FROM k),
- f AS (SELECT *, round(greatest(0.25, least(0.97, a)), 6) AS accepted FROM m), g AS (SELECT *, round(greatest(0.18, least(accepted - 0.01, r)), 6) AS review FROM f)
-SELECT doc, ordinal, accepted, review, round(greatest(0.05, least(review - 0.01, j)), 6) AS rejected, CASE WHEN cat_accepted IS NOT NULL THEN 'category' WHEN code_accepted IS NOT NULL THEN 'code' ELSE 'global' END AS lineage FROM g""")
+ f AS (SELECT *, round(greatest(0.25, least(0.97, a)), 9) AS accepted FROM m), g AS (SELECT *, round(greatest(0.18, least(accepted - 0.01, r)), 9) AS review FROM f)
+SELECT doc, ordinal, accepted, review, round(greatest(0.05, least(review - 0.01, j)), 9) AS rejected, CASE WHEN cat_accepted IS NOT NULL THEN 'category' WHEN code_accepted IS NOT NULL THEN 'code' ELSE 'global' END AS lineage FROM g""")
 def dynamic_thresholds(spark, sf_dir):
     numbers = spark.range(40).select(F.concat(F.lit("C"), F.col("id").cast("string")).alias("code"), "id")
     codes = numbers.filter("id % 10 = 0").select("code", F.lit(0.9).alias("accepted"), F.lit(0.7).alias("review"), F.lit(0.5).alias("rejected"))
     categories = spark.range(1).select(F.lit(1).alias("category"), F.lit(0.75).alias("accepted"), F.lit(0.55).alias("review"))
     # the evidence named category makes way for the category's number
     s = signals(spark, sf_dir).withColumn("category", F.col("number") % 4)
-    return C.dynamic_thresholds(s, codes, categories, (0.8, 0.6, 0.45), 6).select("doc", "ordinal", "accepted", "review", "rejected", "lineage")
+    return C.dynamic_thresholds(s, codes, categories, (0.8, 0.6, 0.45), 9).select("doc", "ordinal", "accepted", "review", "rejected", "lineage")
 
 
 _ORDER = "confidence DESC, semantic DESC, anchor DESC, dictionary DESC, heuristic DESC, code"
 
 
-@register("rerank", f"WITH {CONFIDENCE}, r AS (SELECT *, round({C.moved('confidence', C.RERANK_MOVES)}, 6) AS rerank_score FROM cf) SELECT doc, rank, code, rerank_score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY doc ORDER BY rerank_score DESC, {_ORDER}) AS INTEGER) AS rank FROM r) WHERE rank <= 10")
+@register("rerank", f"WITH {CONFIDENCE}, r AS (SELECT *, round({C.moved('confidence', C.RERANK_MOVES)}, 9) AS rerank_score FROM cf) SELECT doc, rank, code, {q6('rerank_score')} FROM (SELECT *, CAST(row_number() OVER (PARTITION BY doc ORDER BY rerank_score DESC, {_ORDER}) AS INTEGER) AS rank FROM r) WHERE rank <= 10")
 def rerank(spark, sf_dir):
-    return C.reranked(C.composite(signals(spark, sf_dir), 6), ["doc"]).filter("rank <= 10").select("doc", "rank", "code", "rerank_score")
+    return C.reranked(C.composite(signals(spark, sf_dir), 9), ["doc"]).filter("rank <= 10").selectExpr("doc", "rank", "code", q6("rerank_score"))
 
 
 @register("fallback_pick", f"""WITH {CONFIDENCE}, r AS (SELECT *, bool_or(general >= 0.75) OVER (PARTITION BY doc) AS passes, row_number() OVER (PARTITION BY doc ORDER BY {_ORDER}) AS rn FROM cf),
  b AS (SELECT *, first_value(CASE WHEN confidence >= 0.5 AND NOT passes THEN rn END) OVER (PARTITION BY doc ORDER BY (confidence >= 0.5) DESC, confidence DESC, code, rn) AS best FROM r)
-SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY CASE WHEN rn = best THEN 0 ELSE 1 END, rn) AS INTEGER) AS rank, code, confidence, CASE WHEN best IS NOT NULL THEN 'confidence_only_fallback' END AS reason FROM b""")
+SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY CASE WHEN rn = best THEN 0 ELSE 1 END, rn) AS INTEGER) AS rank, code, {q6('confidence')}, CASE WHEN best IS NOT NULL THEN 'confidence_only_fallback' END AS reason FROM b""")
 def fallback_pick(spark, sf_dir):
-    return C.fallback_pick(C.composite(signals(spark, sf_dir), 6), ["doc"], "general", 0.75, 0.5).select("doc", "rank", "code", "confidence", "reason")
+    return C.fallback_pick(C.composite(signals(spark, sf_dir), 9), ["doc"], "general", 0.75, 0.5).selectExpr("doc", "rank", "code", q6("confidence"), "reason")
 
 
 @register("pinned_order", f"""WITH {SIGNALS}, q AS (SELECT doc, ordinal, kind, layout, doc % 3 = 0 AS wanted FROM sg), miss AS (SELECT d.doc, k.kind FROM (SELECT DISTINCT doc FROM q WHERE wanted) d, (VALUES ('city'), ('state'), ('postal')) k(kind) WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.doc = d.doc AND q.kind = k.kind)),
