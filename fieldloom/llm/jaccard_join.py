@@ -3,20 +3,23 @@
 A document is the set of its distinct word n-grams (64-bit hashes). Two documents link when their Jaccard
 similarity reaches the threshold; components are the sets of documents reachable by links.
 
-1. One scan hashes every text: the set's size, a 128-bit digest of the set, and a counting sketch of n-gram
-   frequencies of fixed size. Equal sets form one class, so copies are never expanded into pairs.
+1. One scan hashes every text: the set's size, a 128-bit digest of the set, its parity sketch, and a counting sketch of
+   n-gram frequencies of fixed size. Equal sets form one class, so copies are never expanded into pairs.
 2. A second scan orders each set rarest first (by sketch class, then hash: one order for all documents) and emits the
    prefix that any partner must share a gram with, with its position. A task emits equal sets once.
 3. Grams with one class are dropped. Candidates pass the length, positional and suffix filters (the suffix
    filter counts the bits in which the sets' parity sketches differ, a bound on the grams that only one of them has), are
    made distinct, and are verified once per pair on the whole sets, which only documents of the remaining pairs give.
-4. Pairs are generated in rounds: first each gram's classes meet one hub of their gram (a star, so a group of k
-   near copies gives k pairs, not k squared); components are built; then all pairs that share a prefix gram and are
-   still in different components are generated. Pairs inside a component cannot change the answer, so none
-   that matters is lost.
+4. Pairs are made in star turns: each gram's classes meet one hub of their gram, the class that most lists hold (in a group
+   of near copies the one with fewest grams of its own), so a group of k near copies gives k pairs, not k squared.
+   Components are built, lists that hold one component only are closed, and the hub, which has met all others of its
+   list, leaves it. After ``STAR_TURNS`` turns all pairs that still share an open list are made. Pairs inside a component
+   cannot change the answer and a pair that was refused is not made again, so none that matters is lost.
 5. Components grow by large-star and small-star rounds over stored tables.
 
-Fixed-size parts: the sketch (one byte a cell after counting). Everything else is shuffled by gram, pair or class.
+Fixed-size parts: the sketch (one byte a cell after counting). Everything else is shuffled by gram, pair or class. A gram's
+rows never meet in one task by a window: counts and hubs are partial aggregates, and the joins back to the rows have one
+row a gram on the other side, so that Spark may split a gram with very many rows.
 
 Cases: A-Z are lower-cased; a text with fewer words than n is one gram, its whole word sequence; null, empty and
 word-less texts are empty sets, linked with nothing, in a component of their own; repeated rows are
@@ -43,14 +46,12 @@ from fieldloom.llm.common import random_table, slices, splitmix, stored, utf8
 SKETCH_CELLS, SLICE_CELLS = 1 << 22, 1 << 16
 #: Bits of a parity sketch: so many for each gram of the set or more, a power of two, at least as many as the folded
 #: sketch has that is compared while pairs are made, and at most the last number (beyond it the filter is weaker, not wrong).
-BITS_PER_GRAM, FOLDED_BITS, MAX_BITS = 2, 512, 1 << 20
+BITS_PER_GRAM, FOLDED_BITS, MAX_BITS = 4, 512, 1 << 20
 _FOLDED = [f"p{k}" for k in range(FOLDED_BITS // 64)]
 #: The grams that a set has in lists just before this one, in the common order.
 _BEFORE = ["before1", "before2"]
-#: Bits of the filter of documents whose whole sets are needed: a fixed size, whatever the input.
-FILTER_BITS = 1 << 23
-#: Star turns before all remaining pairs are generated.
-STAR_TURNS = 2
+#: Star turns before all remaining pairs are made.
+STAR_TURNS = 3
 #: Bytes of text hashed at a time.
 BLOCK_BYTES = 1_000_000
 
@@ -123,7 +124,8 @@ def _cells(grams: np.ndarray, cells: int) -> np.ndarray:
     return (grams >> np.uint64(20)).astype(np.int64) & (cells - 1)
 
 
-_SCAN = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("slice", pa.int32()), ("blob", pa.binary())])
+_SCAN = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("parity", pa.binary()), ("slice", pa.int32()), ("blob", pa.binary())])
+_SCAN_DDL = "doc_id long, n long, d1 long, d2 long, parity binary, slice int, blob binary"
 
 
 def _scan(n: int, cells: int) -> Callable:
@@ -135,13 +137,14 @@ def _scan(n: int, cells: int) -> Callable:
             ids = batch.column(0)
             for first, grams, offsets in gram_sets(batch.column(1), n):
                 np.add.at(sketch, _cells(grams, cells), np.uint32(1))
-                data = grams.tobytes()
-                at = (offsets * 8).tolist()
-                digests = b"".join([hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(at, at[1:])])
+                bounds = offsets.tolist()
+                sets = [grams[x:y] for x, y in zip(bounds, bounds[1:])]
+                digests = b"".join([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets])
                 halves = np.frombuffer(digests, np.int64).reshape(-1, 2)
-                m = len(offsets) - 1
+                parities = pa.array([_parity(x).tobytes() if len(x) else None for x in sets], pa.binary())
+                m = len(sets)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, m).cast(pa.int64()), pa.array(np.diff(offsets)), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
+                    [ids.slice(first, m).cast(pa.int64()), pa.array(np.diff(offsets)), pa.array(halves[:, 0]), pa.array(halves[:, 1]), parities, pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
                     schema=_SCAN,
                 )
         for k in range(cells // SLICE_CELLS):
@@ -171,24 +174,15 @@ def _sketch(scan: DataFrame, cells: int) -> np.ndarray:
 
 
 _PREFIX = pa.schema([("gram", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
-_SIGNATURES = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("size", pa.int32()), ("parity", pa.binary()), *((p, pa.int64()) for p in _FOLDED)])
+_FOLDS = pa.schema([("node", pa.int64()), ("cls", pa.int64()), ("size", pa.int32()), ("parity", pa.binary()), *((p, pa.int64()) for p in _FOLDED)])
 
 
-def _signatures(n: int) -> Callable:
-    """The parity sketch of each document's set, whole and folded, its size, and its class."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, grams, offsets in gram_sets(batch.column(1), n):
-                bounds = offsets.tolist()
-                sets = [grams[x:y] for x, y in zip(bounds, bounds[1:])]
-                parities = [_parity(x) for x in sets]
-                folded = np.array([_fold(x, FOLDED_BITS // 8) for x in parities]).view(np.int64)
-                classes = pa.array([_class_of(x.tobytes()) for x in sets], pa.int64())
-                columns = [batch.column(0).slice(first, len(sets)), classes, pa.array(np.diff(offsets).astype(np.int32)), pa.array([x.tobytes() for x in parities], pa.binary())]
-                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x) for x in folded.T.copy())], schema=_SIGNATURES)
-
-    return run
+def _with_folds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, cls, size, parity) rows with the folded sketch."""
+    for batch in batches:
+        if batch.num_rows:
+            folded = np.array([_fold(np.frombuffer(x.as_buffer(), np.uint8), FOLDED_BITS // 8) for x in batch.column(3)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x) for x in folded.T.copy())], schema=_FOLDS)
 
 
 def _prefixes(n: int, percent: int, cells: int, levels) -> Callable:
@@ -248,50 +242,7 @@ def _fold(parity: np.ndarray, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(parity.reshape(-1, size), axis=0)
 
 
-def _wanted(bits: np.ndarray, ids: pa.Array) -> np.ndarray:
-    return bits[_filter_cells(np.asarray(ids.fill_null(-1)))] > 0
-
-
-def _filter_cells(ids: np.ndarray) -> np.ndarray:
-    return (splitmix(ids.astype(np.int64).view(np.uint64) + np.uint64(1)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
-
-
-def _filtered(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``docs`` without most of those whose id is not in ``nodes``.
-
-    A bit table of ``FILTER_BITS`` bits is made on the executors and broadcast, so what moves later are the texts that are
-    needed. With very many nodes it fills up and lets all documents pass: it saves shuffling and changes no result.
-    """
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS, bool)
-        for batch in batches:
-            bits[_filter_cells(np.asarray(batch.column(0)))] = True
-        packed = np.packbits(bits).reshape(-1, SLICE_CELLS // 8)
-        rows = [{"slice": k, "blob": zlib.compress(row.tobytes(), 1)} for k, row in enumerate(packed) if row.any()]
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("slice", pa.int32()), ("blob", pa.binary())]))
-
-    def merge(key: tuple, group: pa.Table) -> pa.Table:
-        total = np.zeros(SLICE_CELLS // 8, np.uint8)
-        for blob in group["blob"]:
-            total |= np.frombuffer(zlib.decompress(blob.as_py()), np.uint8)
-        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["slice", "bits"])
-
-    found = nodes.mapInArrow(mark, "slice int, blob binary").groupBy("slice").applyInArrow(merge, "slice int, bits binary").collect()
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for row in found:
-        bits[row["slice"] * (SLICE_CELLS // 8) : (row["slice"] + 1) * (SLICE_CELLS // 8)] = np.frombuffer(row["bits"], np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.unpackbits(shared.value)
-        for batch in batches:
-            yield batch.filter(pa.array(_wanted(table, batch.column(0))))
-
-    return docs.mapInArrow(keep, docs.schema)
-
-
+_PAIR, _PAIR_DDL = ("a", "ca", "b", "cb"), "a long, ca long, b long, cb long"
 _SETS = pa.schema([("node", pa.int64()), ("cls", pa.int64()), ("grams", pa.binary())])
 
 
@@ -299,18 +250,11 @@ def _sets(n: int) -> Callable:
     """The whole set of each document whose class is the one asked for (doc_id, text, cls)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, seen = None, set()
         for batch in batches:
             ids, asked = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for first, grams, offsets in gram_sets(batch.column(1), n):
                 data, at = grams.tobytes(), (offsets * 8).tolist()
-                rows = []
-                for k, (x, y) in enumerate(zip(at, at[1:]), first):
-                    if ids[k] != before:
-                        before, seen = ids[k], set()
-                    if asked[k] not in seen and _class_of(data[x:y]) == asked[k]:
-                        seen.add(asked[k])
-                        rows.append((ids[k], asked[k], data[x:y]))
+                rows = [(ids[k], asked[k], data[x:y]) for k, (x, y) in enumerate(zip(at, at[1:]), first) if _class_of(data[x:y]) == asked[k]]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _SETS.types)], schema=_SETS)
 
@@ -318,18 +262,18 @@ def _sets(n: int) -> Callable:
 
 
 def _suffix(percent: int) -> Callable:
-    """Pairs (a, b, pa, pb, na, nb) whose parity sketches leave enough room for the overlap."""
+    """Pairs (a, ca, b, cb, pa, pb, na, nb) whose parity sketches leave enough room for the overlap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            total = np.asarray(batch.column(4)).astype(np.int64) + np.asarray(batch.column(5))
-            for x, y, both in zip(batch.column(2), batch.column(3), total):
+            total = np.asarray(batch.column(6)).astype(np.int64) + np.asarray(batch.column(7))
+            for x, y, both in zip(batch.column(4), batch.column(5), total):
                 x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
                 size = min(len(x), len(y))
                 apart = int(np.bitwise_count(_fold(x, size) ^ _fold(y, size)).sum())
                 keep.append(apart * (100 + percent) <= int(both) * (100 - percent))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -352,27 +296,24 @@ def _verify(percent: int) -> Callable:
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """node, root (smallest node reachable) of every node of (a, b) edges, by alternating stars."""
-    links = stored(edges.select("a", "b").filter("a <> b").distinct(), "links")
+    """node, root (smallest node reachable) of every node of (a, b) edges, by alternating stars; a stored table."""
+    mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+    links = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
+    before = mark(links)
     while True:
-        both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        # large star: every larger neighbour of u goes to the smallest of u's neighbourhood
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        # small star: u and its smaller neighbours go to the smallest of them
-        down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        ).filter("a <> b").distinct()
-        after = stored(small, "links")
-        mark = lambda df: df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
-        done = mark(after) == mark(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
-        links = after
-        if done:
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # large star: every larger neighbour of a node goes to the smallest of its neighbourhood
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        # small star: a node and its smaller neighbours go to the smallest of them
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        links = stored(small.filter("a <> b").distinct(), "links")
+        now = mark(links)
+        if now == before:
             break
-    roots = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots.unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        before = now
+    return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def _bound_ok(n1: Column, p1: Column, n2: Column, p2: Column, percent: int) -> Column:
@@ -384,38 +325,51 @@ def _bound_ok(n1: Column, p1: Column, n2: Column, p2: Column, percent: int) -> C
     return length & (possible * (100 + percent) >= (n1 + n2) * percent)
 
 
-def _verified(pairs: DataFrame, signatures: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The (a, b) pairs that pass the suffix filter and then the exact check on whole sets."""
+def _verified(close: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The (a, b) pairs of a stored table that pass the exact check on whole sets.
+
+    Only the documents of these pairs are read as text; few ids are broadcast by Spark, many are joined by a shuffle.
+    """
     side = lambda df, node, **named: df.select(F.col("node").alias(node), *(F.col(c).alias(k) for k, c in named.items()))
-    close = pairs.join(side(signatures, "a", pa="parity", na="size"), "a").join(side(signatures, "b", pb="parity", nb="size"), "b")
-    close = stored(close.select("a", "b", "pa", "pb", "na", "nb").mapInArrow(_suffix(percent), "a long, b long").distinct(), "close")
-    nodes = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    asked = nodes.join(signatures.select("node", "cls"), "node").select(F.col("node").alias("doc_id"), "cls")
-    texts = _filtered(docs, nodes).join(asked, "doc_id").select("doc_id", "text", "cls")
-    sets = stored(texts.mapInArrow(_sets(n), "node long, cls long, grams binary"), "sets")
-    joined = close.join(side(sets, "a", ga="grams"), "a").join(side(sets, "b", gb="grams"), "b")
-    return joined.select("a", "b", "ga", "gb").mapInArrow(_verify(percent), "a long, b long")
-
-
-def _split_lists(lists: DataFrame, links: DataFrame | None) -> DataFrame:
-    """The posting lists that still hold several components, with each row's component."""
-    if links is None:
-        known = lists.withColumn("comp", F.col("node"))
-    else:
-        known = lists.join(connected(links).withColumnRenamed("root", "comp"), "node", "left")
-        known = known.withColumn("comp", F.coalesce("comp", "node"))
-    gram = Window.partitionBy("gram")
-    known = known.withColumns({"lo": F.min("comp").over(gram), "hi": F.max("comp").over(gram)})
-    return known.filter("lo <> hi").drop("lo", "hi")
-
-
-def _star(lists: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Pairs of every row with its list's hub; another hub each turn, the same one in all lists of a group."""
-    row = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "pos", "comp")
-    hub = F.min(row).over(Window.partitionBy("gram"))
-    met = lists.withColumn("hub", hub).filter("comp <> hub.comp")
-    met = met.filter(_bound_ok(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos"), percent))
-    return met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+    ends = close.select(F.col("a").alias("doc_id"), F.col("ca").alias("cls")).unionByName(close.select(F.col("b").alias("doc_id"), F.col("cb").alias("cls")))
+    asked = stored(ends.distinct(), "asked")
+    sets = stored(docs.join(asked, "doc_id").select("doc_id", "text", "cls").mapInArrow(_sets(n), "node long, cls long, grams binary").dropDuplicates(["node", "cls"]), "sets")
+    joined = close.join(side(sets, "a", ca="cls", ga="grams"), ["a", "ca"]).join(side(sets, "b", cb="cls", gb="grams"), ["b", "cb"])
+    return joined.select("a", "b", "ga", "gb").mapInArrow(_verify(percent), "a long, b long").distinct()
+
+
+def _close(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """The (a, ca, b, cb) pairs whose parity sketches leave enough room for the overlap."""
+    side = lambda k: signatures.select(F.col("node").alias(k), F.col("cls").alias(f"c{k}"), F.col("parity").alias(f"p{k}"), F.col("size").alias(f"n{k}"))
+    met = pairs.join(side("a"), ["a", "ca"]).join(side("b"), ["b", "cb"])
+    return met.select(*_PAIR, "pa", "pb", "na", "nb").mapInArrow(_suffix(percent), _PAIR_DDL)
+
+
+def _without(pairs: DataFrame, seen: list[DataFrame]) -> DataFrame:
+    """``pairs`` without those that were verified before."""
+    for done in seen:
+        pairs = pairs.join(done, list(_PAIR), "left_anti")
+    return pairs
+
+
+def _as_pair(x: str, y: str) -> list[Column]:
+    """a, ca, b, cb of two rows, the smaller node first."""
+    swap = F.col(f"{x}.node") > F.col(f"{y}.node")
+    pick = lambda p, q, c: F.when(swap, F.col(f"{q}.{c}")).otherwise(F.col(f"{p}.{c}"))
+    return [pick(x, y, "node").alias("a"), pick(x, y, "cls").alias("ca"), pick(y, x, "node").alias("b"), pick(y, x, "cls").alias("cb")]
+
+
+def _hubs(lists: DataFrame) -> DataFrame:
+    """Of every list with several components its hub: the row that is in most lists."""
+    row = F.struct("lists", F.xxhash64("node", "cls").alias("h"), "node", "cls", "n", "pos", "comp")
+    found = lists.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(row).alias("hub"))
+    return found.filter("lo <> hi").select("gram", "hub")
+
+
+def _star(opened: DataFrame, percent: int) -> DataFrame:
+    """Pairs of every row (with its list's ``hub``) of another component and the hub."""
+    met = opened.filter("comp <> hub.comp").filter(_bound_ok(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos"), percent))
+    return met.select(F.struct("node", "cls").alias("x"), "hub").select(*_as_pair("x", "hub")).distinct()
 
 
 def _all_pairs(lists: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
@@ -436,41 +390,47 @@ def _all_pairs(lists: DataFrame, signatures: DataFrame, percent: int) -> DataFra
     fits = (first * (100 + percent) >= total * percent) & (apart * (100 + percent) <= total * (100 - percent))
     same = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.band") == F.col("y.band"))
     later = sum((F.coalesce((F.col(f"x.{p}") == F.col(f"y.{q}")).cast("int"), F.lit(0)) for p in _BEFORE for q in _BEFORE), F.lit(0)) > 0
-    ordered = F.struct("x.n", "x.node") < F.struct("y.n", "y.node")
+    ordered = F.struct("x.n", "x.node", "x.cls") < F.struct("y.n", "y.node", "y.cls")
     met = x.join(y, same & (F.col("x.comp") != F.col("y.comp")) & ordered & ~later & fits)
-    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    return met.select(*_as_pair("x", "y")).distinct()
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, cells: int = SKETCH_CELLS) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of documents (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scan = stored(docs.mapInArrow(_scan(n, cells), "doc_id long, n long, d1 long, d2 long, slice int, blob binary"), "scan")
+    scan = stored(docs.mapInArrow(_scan(n, cells), _SCAN_DDL), "scan")
     levels = docs.sparkSession.sparkContext.broadcast(_sketch(scan, cells))
-    found = scan.filter("slice is null").select("doc_id", "n", "d1", "d2")
+    found = scan.filter("slice is null").select("doc_id", "n", "d1", "d2", "parity")
     classes = stored(found.filter("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
     named = docs.filter("doc_id is not null")
-    grams = named.mapInArrow(_prefixes(n, percent, cells, levels), "gram long, cls long, n int, pos int")
-    gram = Window.partitionBy("gram")
-    shared = grams.withColumns({"lo": F.min("cls").over(gram), "hi": F.max("cls").over(gram)}).filter("lo <> hi")
+    prefixes = stored(named.mapInArrow(_prefixes(n, percent, cells, levels), "gram long, cls long, n int, pos int"), "prefixes")
+    levels.destroy()
+    several = prefixes.groupBy("gram").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi").select("gram")
     reps = classes.select(F.col("d1").alias("cls"), F.col("rep").alias("node"))
-    lists = shared.select("gram", "cls", "n", "pos").dropDuplicates(["gram", "cls"]).join(reps, "cls")
-    own = Window.partitionBy("node", "cls").orderBy("pos")
-    lists = stored(lists.withColumns({name: F.lag("gram", k).over(own) for k, name in enumerate(_BEFORE, 1)}), "lists")
-    chosen = lists.select(F.col("node").alias("doc_id"), "cls").distinct()
-    signatures = _filtered(named, chosen.select("doc_id")).mapInArrow(_signatures(n), "doc_id long, cls long, size int, parity binary, " + ", ".join(f"{p} long" for p in _FOLDED))
-    signatures = signatures.join(chosen, ["doc_id", "cls"], "left_semi").dropDuplicates(["doc_id", "cls"])
-    signatures = stored(signatures.withColumnRenamed("doc_id", "node"), "signatures")
-
-    links = None
-    rest = _split_lists(lists, None)
-    for turn in range(STAR_TURNS):
-        fresh = _verified(_star(rest, turn, percent), signatures, named, n, percent)
-        links = stored(fresh if links is None else links.unionByName(fresh), "verified")
-        rest = stored(_split_lists(lists, links), "open-lists")
-    links = links.unionByName(_verified(_all_pairs(rest, signatures, percent), signatures, named, n, percent))
-    roots = connected(links)
+    own = Window.partitionBy("cls", "node")
+    placed = {name: F.lag("gram", k).over(own.orderBy("pos")) for k, name in enumerate(_BEFORE, 1)}
+    shared = prefixes.join(several, "gram").join(reps, "cls").dropDuplicates(["cls", "gram"])
+    lists = stored(shared.withColumns({**placed, "lists": F.count("*").over(own), "comp": F.col("node")}), "lists")
+    chosen = lists.select("node", "cls").distinct()
+    drawn = found.select(F.col("doc_id").alias("node"), F.col("d1").alias("cls"), F.col("n").cast("int").alias("size"), "parity").join(chosen, ["node", "cls"], "left_semi").dropDuplicates(["node", "cls"])
+    signatures = stored(drawn.mapInArrow(_with_folds, "node long, cls long, size int, parity binary, " + ", ".join(f"{p} long" for p in _FOLDED)), "signatures")
+
+    seen: list[DataFrame] = []
+    roots = signatures.select("node", F.col("node").alias("root")).filter("false")
+    rest = lists
+    for turn in range(STAR_TURNS + 1):
+        opened = rest.join(_hubs(rest), "gram")
+        pairs = _star(opened, percent) if turn < STAR_TURNS else _all_pairs(opened, signatures, percent)
+        close = stored(_without(_close(pairs, signatures, percent), seen), "close")
+        if not close.isEmpty():
+            fresh = _verified(close, named, n, percent)
+            roots = connected(fresh.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+            seen.append(close)
+        if turn < STAR_TURNS:
+            left = opened.filter("node <> hub.node or cls <> hub.cls").drop("hub", "comp").join(roots, "node", "left")
+            rest = stored(left.withColumn("comp", F.coalesce("root", "node")).drop("root"), "open-lists")
     named_classes = classes.join(roots, classes["rep"] == roots["node"], "left").select("d1", "d2", F.coalesce("root", "rep").alias("comp"))
-    out = found.join(named_classes, ["d1", "d2"], "left")
+    out = found.drop("parity").join(named_classes, ["d1", "d2"], "left")
     name = F.when((F.col("n") > 0) | F.col("doc_id").isNull(), F.col("comp")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), name.alias("component_id"))
 
