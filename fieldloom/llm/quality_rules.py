@@ -4,20 +4,23 @@ All of it is DataFrame expressions. Base statistics are computed per text from i
 documents that pass the base rules, a statistic vector (log word length; square roots of the symbol, repeated-line and
 repeated-word shares) is judged by its Mahalanobis distance from its group's minimum-covariance-determinant estimate.
 
-The estimate starts from medians and quartile ranges and takes concentration steps: the share ``SUPPORT`` of a group's
-rows nearest to the centre gives the next mean and covariance, until no group's estimate moves any more. A variance is at
-least that of ``FLOOR`` times the statistic's own scale in the group (its quartile range, or the standard deviation of all rows
-where the quartiles are one value), which keeps the matrix regular where the nearest rows agree in a statistic. The
-covariance is scaled so that the median distance is that of a chi-square variable with as many degrees of freedom as
-statistics vary; rows beyond ``CUTOFF`` are rejected. Groups are (language, source);
-those under ``MIN_ROWS`` rows are pooled by language, and those still smaller together.
-
-Moments and quantile sketches combine before the shuffle, so a group with a third of all rows is many partial sums. Texts
-are read once and never shuffled; the steps run on a stored table of a few numbers a row.
+The estimate is regularised, as most documents have no symbol or repeat at all: the square of ``LEAST``, the deviation that a
+statistic may have anywhere, is added to each variance (a share of ``CUTOFF * LEAST ** 2``, 19 percent of repeated lines or
+words, is an outlier alone). Every group has ``STARTS`` starts: the moments of all its rows, and those of about ``SEEDS`` rows
+picked by hash. All starts take concentration steps together, until no determinant falls any more: the ``SUPPORT`` share of rows
+nearest to the centre gives the next mean and covariance. The start with the least determinant wins; its covariance is made
+consistent by ``CONSISTENT``; the rows within ``REWEIGHT`` of it give the final mean and covariance (the usual reweighting step).
+Groups are (language, source). Each is joined with its whole language's estimate as with ``PRIOR`` rows more, whatever its size.
+Rows beyond ``CUTOFF`` are rejected.
+
+A step is one pass: distances fall into buckets of 1/16 octave, and a bucket's count and moments are partial sums, so neither a row
+nor a group of rows moves; the buckets up to the support are added up. (The support so ends at a bucket's end.) Estimates are a
+stored table of a few numbers a group, which Spark broadcasts when its measured size is small. Texts are read once, where they lie.
 
 Cases: a null text has no words and fails the base rules, as do empty and white-space texts; null language and null source
 are groups of their own; repeated rows count each; equal distances are all kept or all rejected; an empty
-table gives no rows; extra columns are ignored.
+table gives no rows; extra columns are ignored by ``judge``; ``base_statistics`` keeps columns that have the names of its own
+under ``given_<name>``.
 """
 
 from __future__ import annotations
@@ -26,21 +29,24 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fieldloom.llm.common import stored
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-FEATURES = ("word_length", "symbols", "lines", "repeats")
-#: Least standard deviation of a statistic, as a share of its scale in the group.
-FLOOR = 0.25
-#: Share of a group's rows that the estimate rests on, most concentration steps, and the move of a stable estimate
-#: (of the centre in standard deviations, of a deviation in its own size).
-SUPPORT, STEPS, STABLE = 0.75, 30, 0.001
-#: Medians of chi-square variables with one to four degrees of freedom, and the 0.9999 quantile with four.
-CHI_MEDIANS, CUTOFF = (0.4549, 1.3863, 2.3660, 3.3567), 23.513
-MIN_ROWS = 100
-#: Accuracy of the quantile sketches.
-ACCURACY = 2000
+#: The statistics, and the variation of each that is never unusual (a standard deviation).
+LEAST = {"word_length": 0.05, "symbols": 0.05, "lines": 0.09, "repeats": 0.09}
+FEATURES = tuple(LEAST)
+#: Share of a group's rows that the estimate rests on, starts, rows of a random start, most concentration steps, and the fall of
+#: a log-determinant that goes on.
+SUPPORT, STARTS, SEEDS, STEPS, FALL = 0.75, 5, 12, 12, 0.001
+#: Chi-square with four degrees of freedom: its 0.975 and 0.9999 quantiles, and 0.75 over the share of six degrees of freedom below
+#: the 0.75 quantile.
+REWEIGHT, CUTOFF, CONSISTENT = 11.143, 23.513, 1.4866
+#: Rows that the language's estimate counts as in each of its groups.
+PRIOR = 50
+#: Buckets of distances to an octave.
+OCTAVE = 16
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -75,6 +81,8 @@ def _repeat_words(words: Column) -> Column:
 
 def base_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines and base_failed."""
+    own = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "base_failed", "_words", "_lines"}
+    docs = docs.withColumnsRenamed({c: f"given_{c}" for c in docs.columns if c.lower() in own and c != text_col})
     text = F.coalesce(F.col(text_col), F.lit(""))
     spaced = F.translate(text, "\t\n\x0b\x0c\r", "     ")
     words = F.filter(F.split(spaced, " "), lambda w: w != "")
@@ -106,107 +114,117 @@ def _vector() -> dict[str, Column]:
     }
 
 
-def _grouped(rows: DataFrame) -> DataFrame:
-    """Rows with their estimation group ``cell``: (lang, source), else the language's small sources, else the rest."""
-    ok = rows.filter(~F.col("base_failed"))
+_CELLS = [(i, j) for i in range(len(FEATURES)) for j in range(i + 1)]
+_SUMS = ["n", *[f"s{i}" for i in range(len(FEATURES))], *[f"c{i}{j}" for i, j in _CELLS]]
+
+
+def _groups() -> dict[str, Column]:
+    """``cell``: the row's group; ``wide``: the group of its language."""
     name = lambda level, *parts: F.to_json(F.struct(F.lit(level).alias("level"), *parts))
-    fine = ok.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    pooled = fine.filter(F.col("n") < MIN_ROWS).groupBy("lang").agg(F.sum("n").alias("n_pool")).withColumnRenamed("lang", "pool_lang")
-    cells = fine.join(pooled, F.col("lang").eqNullSafe(F.col("pool_lang")), "left").select(
-        F.col("lang").alias("cell_lang"),
-        F.col("source").alias("cell_source"),
-        F.when(F.col("n") >= MIN_ROWS, name(2, "lang", "source")).when(F.col("n_pool") >= MIN_ROWS, name(1, "lang")).otherwise(name(0)).alias("cell"),
-    )
-    same = F.col("lang").eqNullSafe(F.col("cell_lang")) & F.col("source").eqNullSafe(F.col("cell_source"))
-    return rows.join(cells, same, "left").drop("cell_lang", "cell_source")
+    return {"cell": name(2, "lang", "source"), "wide": name(1, "lang")}
 
 
-def _distance(mean: str, root: str) -> Column:
-    """Squared Mahalanobis distance by forward substitution with the Cholesky root's cells."""
-    solved: list[Column] = []
-    total = F.lit(0.0)
+def _moments(rows: DataFrame, *keys: str) -> DataFrame:
+    """Count, sums and sums of products of the statistics of each group."""
+    at = [F.col(x) for x in FEATURES]
+    sums = [F.sum(x).alias(f"s{i}") for i, x in enumerate(at)] + [F.sum(at[i] * at[j]).alias(f"c{i}{j}") for i, j in _CELLS]
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), *sums)
+
+
+def _estimate(sums: DataFrame, factor: float = 1.0) -> DataFrame:
+    """Mean and regularised covariance ``cov`` of sums (``_SUMS``), in place of them; ``n`` stays."""
+    mean = [F.col(f"s{i}") / F.col("n") for i in range(len(FEATURES))]
+    cov = {(i, j): factor * (F.col(f"c{i}{j}") / F.col("n") - mean[i] * mean[j]) for i, j in _CELLS}
     for i, x in enumerate(FEATURES):
-        value = F.col(x) - F.col(f"{mean}.{x}")
-        for j in range(i):
-            value = value - F.col(f"{root}.l{i}{j}") * solved[j]
-        solved.append(value / F.col(f"{root}.l{i}{i}"))
-        total = total + solved[i] * solved[i]
-    return total
+        cov[i, i] = F.greatest(cov[i, i], F.lit(0.0)) + LEAST[x] ** 2
+    kept = [c for c in sums.columns if c == "n" or c not in _SUMS]
+    return sums.select(*kept, F.struct(*[m.alias(x) for m, x in zip(mean, FEATURES)]).alias("mean"), F.struct(*[v.alias(f"c{i}{j}") for (i, j), v in cov.items()]).alias("cov"))
 
 
-def _with_root(cells: DataFrame, cov: Callable[[int, int], Column]) -> DataFrame:
-    """Adds ``root``: the Cholesky root of the covariance, one column after the other."""
+def _with_root(found: DataFrame) -> DataFrame:
+    """Adds ``root``, the Cholesky root of ``cov``, and ``logdet``."""
     done: dict[tuple[int, int], str] = {}
     for j in range(len(FEATURES)):
         for i in range(j, len(FEATURES)):
-            value = cov(i, j)
+            value = F.col(f"cov.c{i}{j}")
             for k in range(j):
                 value = value - F.col(done[i, k]) * F.col(done[j, k])
+            # a diagonal is at least the square of LEAST, but for rounding
             value = F.sqrt(F.greatest(value, F.lit(1e-12))) if i == j else value / F.col(done[j, j])
             done[i, j] = f"_l{i}{j}"
-            cells = cells.withColumn(done[i, j], value)
+            found = found.withColumn(done[i, j], value)
+    logdet = sum((2 * F.log(done[i, i]) for i in range(len(FEATURES))), F.lit(0.0))
     root = F.struct(*[F.col(c).alias(f"l{i}{j}") for (i, j), c in done.items()])
-    return cells.withColumn("root", root).drop(*done.values())
-
-
-def _moved(old: DataFrame, new: DataFrame) -> float:
-    """The largest move of any group's centre or deviations."""
-    both = new.join(old.select("cell", F.col("mean").alias("mean_was"), F.col("root").alias("root_was")), "cell")
-    moves = [F.abs(F.col(f"mean.{x}") - F.col(f"mean_was.{x}")) / F.col(f"root.l{i}{i}") for i, x in enumerate(FEATURES)]
-    moves += [F.abs(F.col(f"root.l{i}{i}") / F.col(f"root_was.l{i}{i}") - 1) for i in range(len(FEATURES))]
-    return both.agg(F.max(F.greatest(*moves))).first()[0] or 0.0
-
-
-def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
-    """cell, mean, root and factor of every group of ``rows`` (cell and FEATURES)."""
-    quartiles = [F.percentile_approx(x, [0.25, 0.5, 0.75], ACCURACY).alias(f"q_{x}") for x in FEATURES]
-    first = rows.groupBy("cell").agg(*quartiles, *[F.stddev_pop(x).alias(f"s_{x}") for x in FEATURES])
-    first = first.withColumn("mean", F.struct(*[F.col(f"q_{x}")[1].alias(x) for x in FEATURES]))
-    spread = lambda x: (F.col(f"q_{x}")[2] - F.col(f"q_{x}")[0]) / 1.349
-    least = lambda x: FLOOR * F.greatest(F.when(spread(x) > 0, spread(x)).otherwise(F.col(f"s_{x}")), F.lit(1e-4))
-    first = first.withColumn("floor", F.struct(*[least(x).alias(x) for x in FEATURES]))
-
-    def regular(i: int, variance: Column) -> Column:
-        # a little more than that for statistics that depend on each other
-        return F.greatest(variance, F.pow(F.col(f"floor.{FEATURES[i]}"), F.lit(2))) * (1 + 1e-6)
-
-    def start(i: int, j: int) -> Column:
-        return regular(i, spread(FEATURES[i]) * spread(FEATURES[i])) if i == j else F.lit(0.0)
-
-    found = stored(_with_root(first, start).select("cell", "mean", "root", "floor", F.lit(0).alias("varying")), "mcd")
-    for _ in range(steps):
-        near = rows.join(found, "cell").withColumn("d", _distance("mean", "root"))
-        limit = near.groupBy("cell").agg(F.percentile_approx("d", SUPPORT, ACCURACY).alias("limit"))
-        kept = near.join(limit, "cell").filter(F.col("d") <= F.col("limit"))
-        # moments about the current centre keep the sums small
-        shift = {x: F.col(x) - F.col(f"mean.{x}") for x in FEATURES}
-        sums = [F.avg(shift[x]).alias(f"m{i}") for i, x in enumerate(FEATURES)]
-        sums += [F.avg(shift[x] * shift[y]).alias(f"c{i}{j}") for i, x in enumerate(FEATURES) for j, y in enumerate(FEATURES) if j <= i]
-        moments = kept.groupBy("cell").agg(*sums, F.first("mean").alias("old"), F.first("floor").alias("floor"))
-        moments = moments.withColumn("mean", F.struct(*[(F.col(f"old.{x}") + F.col(f"m{i}")).alias(x) for i, x in enumerate(FEATURES)]))
-        cov = lambda i, j: F.col(f"c{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")
-        above = [(cov(i, i) > F.pow(F.col(f"floor.{x}"), F.lit(2))).cast("int") for i, x in enumerate(FEATURES)]
-        moments = moments.withColumn("varying", sum(above[1:], above[0]))
-        before = found
-        held = _with_root(moments, lambda i, j: regular(i, cov(i, i)) if i == j else cov(i, j))
-        found = stored(held.select("cell", "mean", "root", "floor", "varying"), "mcd")
-        if _moved(before, found) <= STABLE:
+    return found.withColumns({"root": root, "logdet": logdet}).drop(*done.values())
+
+
+def _distance() -> Column:
+    """Squared Mahalanobis distance from ``mean`` by forward substitution with ``root``."""
+    solved: list[Column] = []
+    total = F.lit(0.0)
+    for i, x in enumerate(FEATURES):
+        value = F.col(x) - F.col(f"mean.{x}")
+        for j in range(i):
+            value = value - F.col(f"root.l{i}{j}") * solved[j]
+        solved.append(value / F.col(f"root.l{i}{i}"))
+        total = total + solved[i] * solved[i]
+    return total
+
+
+def _concentrated(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The next estimate of every (cell, start): one concentration step."""
+    bucket = F.floor(OCTAVE * F.log2(F.greatest(F.col("d"), F.lit(1e-9)))).cast("int")
+    near = rows.join(found.select("cell", "start", "mean", "root"), "cell").withColumn("d", _distance()).withColumn("bucket", bucket)
+    sums = _moments(near, "cell", "start", "bucket")
+    group = Window.partitionBy("cell", "start")
+    nearer = F.coalesce(F.sum("n").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = sums.withColumns({"_nearer": nearer, "_all": F.sum("n").over(group)}).filter(F.col("_nearer") < F.ceil(SUPPORT * F.col("_all")))
+    return _with_root(_estimate(inside.groupBy("cell", "start").agg(*[F.sum(c).alias(c) for c in _SUMS])))
+
+
+def estimates(rows: DataFrame) -> DataFrame:
+    """cell, n, mean and cov of every group of ``rows`` (key, cell and FEATURES); n is the number of rows that the last step takes."""
+    sizes = stored(rows.groupBy("cell").agg(F.count("*").alias("_n")), "group-sizes")
+    picked = [F.lit(0)] + [F.when(F.pmod(F.xxhash64("key", *FEATURES, F.lit(k)), F.col("_n")) < SEEDS, k) for k in range(1, STARTS)]
+    first = rows.join(sizes, "cell").withColumn("start", F.explode(F.array_compact(F.array(*picked))))
+    found = stored(_with_root(_estimate(_moments(first, "cell", "start"))), "starts")
+    for _ in range(STEPS):
+        after = stored(_concentrated(rows, found), "concentrated")
+        fell = after.join(found.select("cell", "start", F.col("logdet").alias("before")), ["cell", "start"])
+        most = fell.agg(F.max(F.col("before") - F.col("logdet"))).first()[0]
+        found = after
+        if most is None or most <= FALL:
             break
-    scaled = rows.join(found, "cell").withColumn("d", _distance("mean", "root"))
-    # a covariance of the nearest rows is too small for all rows; one of floors alone has no such size
-    middle = scaled.groupBy("cell").agg(F.percentile_approx("d", 0.5, ACCURACY).alias("middle"), F.first("varying").alias("of"))
-    factor = F.col("middle") / F.element_at(F.array(*map(F.lit, CHI_MEDIANS)), F.greatest("of", F.lit(1)))
-    factor = F.when((F.col("of") > 0) & (F.col("middle") > 0), factor).otherwise(F.lit(1.0))
-    return found.select("cell", "mean", "root").join(middle.select("cell", factor.alias("factor")), "cell")
+    least = found.groupBy("cell").agg(F.min_by(F.struct("mean", "cov"), F.struct("logdet", "start")).alias("best")).select("cell", "best.*")
+    wider = F.struct(*[(F.col(f"cov.c{i}{j}") * CONSISTENT).alias(f"c{i}{j}") for i, j in _CELLS])
+    raw = stored(_with_root(least.withColumn("cov", wider)), "least-determinant")
+    inside = rows.join(raw, "cell").withColumn("d", _distance()).filter(F.col("d") <= REWEIGHT)
+    final = _estimate(_moments(inside.select("cell", *FEATURES), "cell"))
+    # a group none of whose rows is that near keeps its first estimate
+    return raw.select("cell", F.col("mean").alias("m"), F.col("cov").alias("v")).join(final, "cell", "left").select(
+        "cell", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("mean", "m").alias("mean"), F.coalesce("cov", "v").alias("cov")
+    )
+
+
+def _shrunk(found: DataFrame, groups: DataFrame) -> DataFrame:
+    """cell, mean, root: each group's estimate joined with that of its language as with ``PRIOR`` rows more."""
+    wide = found.select(F.col("cell").alias("wide"), F.col("mean").alias("wide_mean"), F.col("cov").alias("wide_cov"))
+    both = found.join(groups, "cell").join(wide, "wide")
+    part = F.col("n") / (F.col("n") + PRIOR)
+    mixed = lambda name, x: (part * F.col(f"{name}.{x}") + (1 - part) * F.col(f"wide_{name}.{x}")).alias(x)
+    mean = F.struct(*[mixed("mean", x) for x in FEATURES])
+    cov = F.struct(*[mixed("cov", f"c{i}{j}") for i, j in _CELLS])
+    return _with_root(both.select("cell", mean.alias("mean"), cov.alias("cov"))).select("cell", "mean", "root")
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, the base statistics, base_failed, distance and kept of every row of documents (doc_id, text, lang, source)."""
     rows = base_statistics(docs.select("doc_id", "text", "lang", "source")).drop("text")
-    rows = stored(rows.withColumns(_vector()), "statistics")
-    grouped = _grouped(rows)
-    found = stored(estimates(grouped.filter(~F.col("base_failed")).select("cell", *FEATURES)), "estimates")
-    judged = grouped.join(found, "cell", "left").withColumn("distance", _distance("mean", "root") / F.col("factor"))
+    rows = stored(rows.withColumns({**_vector(), **_groups()}), "statistics")
+    ok = rows.filter(~F.col("base_failed")).withColumn("key", F.xxhash64("doc_id"))
+    each = ok.withColumn("cell", F.explode(F.array("cell", "wide"))).select("key", "cell", *FEATURES)
+    found = stored(_shrunk(stored(estimates(each), "estimates"), ok.select("cell", "wide").distinct()), "shrunk")
+    judged = rows.join(found, "cell", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))
     return judged.withColumn("kept", kept)
 
