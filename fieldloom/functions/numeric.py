@@ -25,10 +25,16 @@ def falsy(x: Column, other: Column) -> Column:
     return F.coalesce(F.nullif(x, F.lit(0.0)), other)
 
 
+def code_units(text: Column) -> Column:
+    """The UTF-16 code units of a text: a character beyond U+FFFF has two. Null is empty."""
+    raw = F.hex(F.encode(F.coalesce(text, F.lit("")), "UTF-16BE"))
+    places = F.sequence(F.lit(1), F.length(raw) - 3, F.lit(4))
+    return F.when(F.length(raw) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(places, lambda k: F.conv(F.substring(raw, k, F.lit(4)), 16, 10).cast("long")))
+
+
 def fnv1a(text: Column) -> Column:
-    """Eight hex digits of the FNV-1a hash over characters."""
-    codes = F.filter(F.split(F.coalesce(text, F.lit("")), ""), lambda c: c != "")
-    mixed = F.aggregate(codes, F.lit(FNV_BASIS).cast("long"), lambda h, c: h.bitwiseXOR(F.ascii(c).cast("long")) * F.lit(FNV_PRIME) % F.lit(1 << 32))
+    """Eight hex digits of the FNV-1a hash over UTF-16 code units."""
+    mixed = F.aggregate(code_units(text), F.lit(FNV_BASIS).cast("long"), lambda h, c: h.bitwiseXOR(c) * F.lit(FNV_PRIME) % F.lit(1 << 32))
     return F.lower(F.lpad(F.hex(mixed), 8, "0"))
 
 
