@@ -199,6 +199,9 @@ class Codec:
         # a run of spaces begins a segment: no piece holds a space after another character
         if self._space_leads():
             parts = text.split(SPACE)
+            if "" not in parts[1:]:
+                whole = [SPACE + part for part in parts[1:]]
+                return [parts[0], *whole] if parts[0] else whole
             out = [parts[0]] if parts[0] else []
             run = 0
             for part in parts[1:]:
@@ -302,14 +305,22 @@ class Codec:
         return [k for segment in self.segments(self.normalise(text or "")[0]) for k in self._ids(self.merge(segment))]
 
     @cache  # noqa: B019
-    def _normal(self) -> frozenset[int]:
-        return frozenset(k for k, kind in enumerate(self.kinds) if kind == NORMAL)
+    def _surfaces(self) -> list[str | None]:
+        """Texts of the ids; a fallback byte of 128 or more is a lone surrogate, and what has no text of its own is None."""
+        byte = lambda p: bytes([int(p[3:5], 16)]).decode("utf-8", "surrogateescape")
+        return [p.replace(SPACE, " ") if kind == NORMAL else byte(p) if kind == BYTE else None for p, kind in zip(self.pieces, self.kinds)]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: spaces restored, fallback bytes joined, and the leading dummy space gone."""
-        if not self.squeeze and self._normal().issuperset(ids):
-            text = "".join([self.pieces[k] for k in ids])
-            return (text[1:] if self.dummy_prefix and text.startswith(SPACE) else text).replace(SPACE, " ")
+        if not self.squeeze and ids:
+            surfaces = self._surfaces()
+            try:
+                text = "".join([surfaces[k] for k in ids])
+                if self.dummy_prefix and self.kinds[ids[0]] == NORMAL and text.startswith(" "):
+                    text = text[1:]
+                return text.encode("utf-8", "surrogateescape").decode()
+            except (TypeError, UnicodeError):
+                pass  # an id without text of its own, or bytes that are no characters
         out: list[str] = []
         pending = bytearray()
         at_start = self.dummy_prefix or self.squeeze
@@ -357,70 +368,68 @@ def codec(path: str) -> Codec:
         return Codec(file.read())
 
 
-#: A segment's ids, and the first and the end character of each id's span inside the segment, as arrays' bytes.
-Spans = tuple[bytes, bytes, bytes]
-
-
 class CachedEncoder:
-    """Encodes whole texts with spans, through a bounded cache of segments and of their parts, in two generations."""
+    """Encodes whole texts with spans, through a bounded cache of segments and of their parts, in two generations.
+
+    A segment is kept as one 32-bit number an id: the id, and in the top byte the characters after which the next id begins (0
+    for all but the last byte of a character that falls back to bytes). Sums of these are every id's place in the text.
+    """
 
     def __init__(self, of: Codec):
+        if len(of.pieces) >> 24 or max(map(len, of.ids)) > 255:
+            raise ValueError("too many or too long pieces")
         self.codec = of
-        self.young: dict[str, Spans] = {}
-        self.old: dict[str, Spans] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.names = [str(k) for k in range(len(of.pieces))]
+        self.numbers = {p: (k | len(p) << 24).to_bytes(4, "little") for p, k in of.ids.items()}
 
-    def _kept(self, segment: str, found: Spans) -> Spans:
+    def _kept(self, segment: str, found: bytes) -> bytes:
         if len(segment) <= CACHE_CHARS:
             if len(self.young) >= CACHE_SEGMENTS:
                 self.old, self.young = self.young, {}
             self.young[segment] = found
         return found
 
-    def _segment(self, segment: str) -> Spans:
+    def _segment(self, segment: str) -> bytes:
         found = self.young.get(segment)
         if found is None:
             found = self.old.get(segment)
             if found is None:
-                found = self._parts(segment) if not segment[1:].isalpha() else self._whole(segment)
+                found = self._whole(segment) if segment[1:].isalpha() else self._parts(segment)
             self._kept(segment, found)
         return found
 
-    def _whole(self, segment: str) -> Spans:
-        of, ids, starts, ends, at = self.codec, [], [], [], 0
+    def _whole(self, segment: str) -> bytes:
+        of, out = self.codec, []
         for piece in of.merge(segment) if len(segment) > 24 else of._merged(segment):
-            own = of._ids([piece])
-            ids += own
-            starts += [at] * len(own)
-            at += len(piece)
-            ends += [at] * len(own)
-        return np.array(ids, np.int32).tobytes(), np.array(starts, np.int64).tobytes(), np.array(ends, np.int64).tobytes()
-
-    def _parts(self, segment: str) -> Spans:
+            number = self.numbers.get(piece)
+            if number is None:
+                ids = of._ids([piece])
+                number = b"".join([(k | (len(piece) if at == len(ids) else 0) << 24).to_bytes(4, "little") for at, k in enumerate(ids, 1)])
+            out.append(number)
+        return b"".join(out)
+
+    def _parts(self, segment: str) -> bytes:
         """The same, part by part between places that no merge crosses."""
-        bonds, young, old, first, parts = self.codec.bonds, self.young.get, self.old.get, 0, []
+        bonds, young, old, first, out = self.codec.bonds, self.young.get, self.old.get, 0, []
         for k, pair in enumerate([*map(str.__add__, segment, segment[1:]), ""], 1):
             if pair not in bonds:
-                parts.append(segment[first:k])
+                part = segment[first:k]
                 first = k
-        found = [young(part) or old(part) or self._kept(part, self._whole(part)) for part in parts]
-        return tuple(a.tobytes() for a in self._joined(parts, found))
-
-    @staticmethod
-    def _joined(parts: list[str], found: list[Spans]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Spans of neighbouring parts, each shifted by where its part begins."""
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        counts = np.fromiter([len(f[0]) // 4 for f in found], np.int64, len(found))
-        shift = np.repeat(np.cumsum(sizes) - sizes, counts)
-        starts, ends = (np.frombuffer(b"".join([f[k] for f in found]), np.int64) + shift for k in (1, 2))
-        return np.frombuffer(b"".join([f[0] for f in found]), np.int32), starts, ends
+                out.append(young(part) or old(part) or self._kept(part, self._whole(part)))
+        return b"".join(out)
 
     def spans(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of a text, and the first and the end byte of each id's span of the original text."""
         of = self.codec
         normal, offsets = of.aligned(text or "")
-        segments = of.segments(normal)
         get, miss = self.young.get, self._segment
-        ids, starts, ends = self._joined(segments, [get(s) or miss(s) for s in segments])
+        packed = np.frombuffer(b"".join([get(s) or miss(s) for s in of.segments(normal)]), np.uint32)
+        ids, steps = packed & 0xFFFFFF, (packed >> 24).astype(np.int64)
+        ends = np.cumsum(steps)
+        starts = ends - steps
+        ends = np.maximum(ends, starts + 1)  # all bytes of a character have its span
         if not of.byte_fallback and len(ids):
             # neighbouring unknown pieces are one
             goes_on = (ids[1:] == of.unknown) & (ids[:-1] == of.unknown)
@@ -430,8 +439,8 @@ class CachedEncoder:
     def encode(self, text: str | None) -> tuple[int, str, str]:
         """(number of ids, ids joined by commas, text decoded from these ids), from the pieces with their spans."""
         ids, starts, _ = self.spans(text)
-        listed = ids.tolist()
-        return len(starts), ",".join(map(str, listed)), self.codec.decode(listed)
+        listed, names = ids.tolist(), self.names
+        return len(starts), ",".join([names[k] for k in listed]), self.codec.decode(listed)
 
 
 @cache
