@@ -2,23 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); one of its own only where none is set, as in tests."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return where.rstrip("/") if where else tempfile.mkdtemp(prefix="fieldloom-")
-
-
-def stored(df: DataFrame) -> DataFrame:
-    path = f"{shared_dir(df.sparkSession)}/fieldloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from fieldloom.storage import stored
 
 
 def neighbours(nodes: DataFrame, edges: DataFrame, incoming_only: bool = True) -> DataFrame:

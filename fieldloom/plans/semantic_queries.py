@@ -294,13 +294,13 @@ def idempotent_requests(spark, sf_dir):
 
 
 @register("submission_steps", """WITH s AS (SELECT o_orderkey AS id, o_orderkey % 7 <> 0 AS ready, o_orderkey % 5 <> 0 AS open, o_custkey % 6 AS attempts, o_orderdate AS moment, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey % 2 = 0 END AS ok FROM orders), t AS (SELECT *, attempts + CASE WHEN ok IS NOT NULL AND ready AND open THEN 1 ELSE 0 END AS tried FROM s),
- u AS (SELECT *, CASE WHEN NOT ready THEN 'blocked' WHEN NOT open THEN 'held' WHEN ok IS NULL THEN 'sent' WHEN ok THEN 'accepted' WHEN tried >= 5 THEN 'dead' ELSE 'retry' END AS status FROM t) SELECT id, status, tried AS attempts, CAST(CASE WHEN status = 'retry' THEN floor(epoch(moment)) + 30 END AS BIGINT) AS due_s FROM u WHERE id < 100000000""")
+ u AS (SELECT *, CASE WHEN NOT ready THEN 'blocked' WHEN NOT open THEN 'held' WHEN ok IS NULL THEN 'sent' WHEN ok THEN 'accepted' WHEN tried >= 5 THEN 'dead' ELSE 'retry' END AS status FROM t) SELECT id, status, tried AS attempts, CAST(CASE WHEN status = 'retry' THEN floor(epoch(moment)) + 30 ELSE -1 END AS BIGINT) AS due_s FROM u WHERE id < 100000000""")
 def submission_steps(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     key = F.col("o_orderkey")
     submissions = o.select(key.alias("id"), (key % 7 != 0).alias("ready"), (key % 5 != 0).alias("open"), (F.col("o_custkey") % 6).alias("attempts"), F.col("o_orderdate").alias("at"))
     answers = o.filter(key % 3 != 0).select(key.alias("id"), (key % 2 == 0).alias("ok"))
-    return S.submission_step(submissions, answers).select("id", "status", "attempts", F.unix_timestamp("due").alias("due_s"))
+    return S.submission_step(submissions, answers).select("id", "status", "attempts", F.coalesce(F.unix_timestamp("due"), F.lit(-1)).alias("due_s"))
 
 
 @register("edit_log", "WITH e AS (SELECT user_id AS k, event_id AS o, event_type AS v, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS b, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events), c AS (SELECT * FROM e WHERE rn = 1 OR b IS DISTINCT FROM v) SELECT k, CAST(row_number() OVER (PARTITION BY k ORDER BY o) AS INTEGER) AS step, b AS before, v AS after FROM c")
