@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fieldloom.functions import numeric
 
@@ -52,23 +53,28 @@ def consistency(df: DataFrame, code: str, family: str, value: str, spread: float
 
 def family_means(df: DataFrame, family: str, value: str) -> DataFrame:
     """Family means beside the unweighted mean of all families, and 1 - mean absolute difference."""
-    each = df.groupBy(family).agg(F.avg(value).alias("mean"))
-    whole = each.agg(F.avg("mean").alias("overall"))  # one row
-    gaps = each.crossJoin(F.broadcast(whole)).withColumn("delta", F.col("mean") - F.col("overall"))
-    transfer = gaps.agg((1 - F.avg(F.abs("delta"))).alias("transferability"))  # one row
-    return gaps.crossJoin(F.broadcast(transfer)).select(family, *[F.round(c, 6).alias(c) for c in ("mean", "overall", "delta", "transferability")])
+    everything = Window.partitionBy(F.lit(0))  # one row a family
+    each = df.groupBy(family).agg(F.avg(value).alias("mean")).withColumn("overall", F.avg("mean").over(everything))
+    gaps = each.withColumn("delta", F.col("mean") - F.col("overall")).withColumn("transferability", 1 - F.avg(F.abs("delta")).over(everything))
+    return gaps.select(family, *[F.round(c, 6).alias(c) for c in ("mean", "overall", "delta", "transferability")])
 
 
 def fusion(df: DataFrame, group: str, doc: str, family: str, code: str, signals: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Per equivalence group: distinct documents and families, signal means, canonical (first) code, and conflict of codes."""
-    return df.groupBy(group).agg(
-        F.countDistinct(doc).alias("n_docs"),
+    """Per equivalence group: distinct documents and families, signal means, canonical (first) code, and conflict of codes.
+
+    Rows are summed by (group, code, family) first, and documents made distinct by (group, document): a group with very many rows is
+    many keys until few are left of it.
+    """
+    sums = [F.sum(s).alias(f"_s{k}") for k, s in enumerate(signals)] + [F.count(s).alias(f"_n{k}") for k, s in enumerate(signals)]
+    parts = df.groupBy(group, code, family).agg(*sums, F.min(F.struct(*order, code)).alias("_first"))
+    docs = df.select(group, doc).distinct().groupBy(group).agg(F.count(doc).alias("n_docs"))
+    codes = parts.groupBy(group).agg(
         F.array_join(F.array_sort(F.collect_set(family)), ",").alias("families"),
-        *[F.round(F.avg(s), 6).alias(s) for s in signals],
-        F.min_by(code, F.struct(*order)).alias("canonical"),
-        (F.countDistinct(code) > 1).alias("conflict"),
-        F.countDistinct(code).alias("n_codes"),
+        *[F.round(F.sum(f"_s{k}") / F.sum(f"_n{k}"), 6).alias(s) for k, s in enumerate(signals)],
+        F.min("_first")[code].alias("canonical"),
+        F.size(F.collect_set(code)).cast("long").alias("n_codes"),
     )
+    return docs.join(codes, group).withColumn("conflict", F.col("n_codes") > 1).select(group, "n_docs", "families", *signals, "canonical", "conflict", "n_codes")
 
 
 def contradictions(df: DataFrame, text: str, code: str, value: str, review: float) -> DataFrame:

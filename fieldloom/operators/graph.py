@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.storage import stored
@@ -36,14 +36,33 @@ def components(edges: DataFrame) -> DataFrame:
             return roots
 
 
-def ontology(entries: DataFrame, key: str, items: str) -> DataFrame:
+def ontology(entries: DataFrame, key: str, items: str, asked: Column | None = None) -> DataFrame:
     """parent, child: an entry whose tokens are all among another's more numerous tokens is that one's parent.
 
-    Met by each entry's rarest token, then verified, so no pair is made for a common token alone.
+    Met by each entry's rarest token, then verified, so no pair is made for a common token alone. ``asked`` (over ``id``) states the parents.
     """
     each = entries.select(F.col(key).alias("id"), F.array_distinct(items).alias("tokens")).filter(F.size("tokens") > 0)
     spread = each.select("id", "tokens", F.explode("tokens").alias("token"))
     counts = spread.groupBy("token").agg(F.count("*").alias("n"))
-    rare = spread.join(counts, "token").groupBy("id").agg(F.min(F.struct("n", "token"))["token"].alias("token"), F.first("tokens").alias("tokens"))
+    parents = spread if asked is None else spread.filter(asked)
+    rare = parents.join(counts, "token").groupBy("id").agg(F.min(F.struct("n", "token"))["token"].alias("token"), F.first("tokens").alias("tokens"))
     met = rare.select(F.col("id").alias("parent"), "token", F.col("tokens").alias("few")).join(spread.select(F.col("id").alias("child"), "token", F.col("tokens").alias("many")), "token")
     return met.filter((F.size("few") < F.size("many")) & (F.size(F.array_except("few", "many")) == 0)).select("parent", "child").distinct()
+
+
+def inference_scores(edges: DataFrame, weights: dict[str, float], needed: tuple[str, ...]) -> DataFrame:
+    """node, typed_score, abstain, both_score of (src, dst, kind) edges.
+
+    typed_score: each kind of incoming edge gives its weight once; abstain: none of the ``needed`` kinds comes in; both_score: neighbours on either
+    side, up to three, and edges, up to four, half each.
+    """
+    into = edges.select(F.col("dst").alias("node"), F.col("src").alias("other"), "kind", F.lit(True).alias("incoming"))
+    out = edges.select(F.col("src").alias("node"), F.col("dst").alias("other"), "kind", F.lit(False).alias("incoming"))
+    # one row a node, neighbour, kind and direction; neighbours are counted by an aggregate of their own
+    ends = into.unionByName(out).distinct()
+    typed = ends.groupBy("node").agg(F.count("*").alias("_m"), *[F.max((F.col("incoming") & (F.col("kind") == k)).cast("int")).alias(f"_k{i}") for i, k in enumerate(weights)])
+    others = ends.select("node", "other").distinct().groupBy("node").agg(F.count("*").alias("_n"))
+    score = sum((F.col(f"_k{i}") * w for i, w in enumerate(weights.values())), F.lit(0.0))
+    none = sum((F.col(f"_k{i}") for i, k in enumerate(weights) if k in needed), F.lit(0)) == 0
+    both = F.least(F.lit(1.0), F.col("_n") / 3) * 0.5 + F.least(F.lit(1.0), F.col("_m") / 4) * 0.5
+    return typed.join(others, "node").select("node", F.round(F.least(F.lit(1.0), score), 6).alias("typed_score"), none.alias("abstain"), F.round(both, 6).alias("both_score"))

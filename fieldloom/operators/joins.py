@@ -67,15 +67,18 @@ class Rule:
 
 
 def rule_join(df: DataFrame, value: str, rules: list[Rule], family: str | None = None) -> DataFrame:
-    """One row per input row and code whose rule fits: ``code`` and its greatest ``weight``."""
-    hits = []
+    """One row per input row and code whose rule fits: ``code`` and its greatest ``weight``. Nothing is shuffled: a row's hits are an array."""
+    by_code: dict[str, list[Column]] = {}
+    low = F.lower(F.col(value))
     for rule in _stated(rules):
-        fits = F.lower(F.col(value)).rlike(rule.pattern)
+        fits = low.rlike(rule.pattern)
         if rule.family is not None and family is not None:
             fits = fits & (F.col(family) == rule.family)
-        hits.append(F.when(fits, F.struct(F.lit(rule.code).alias("code"), F.lit(rule.weight).alias("weight"))))
-    found = df.withColumn("_hit", F.explode(F.array_compact(F.array(*hits))))
-    return found.select(*df.columns, "_hit.code", "_hit.weight").groupBy(*df.columns, "code").agg(F.max("weight").alias("weight"))
+        by_code.setdefault(rule.code, []).append(F.when(fits, F.lit(float(rule.weight))))
+    best = {code: weights[0] if len(weights) == 1 else F.greatest(*weights) for code, weights in by_code.items()}
+    hits = F.array(*[F.struct(F.lit(code).alias("code"), weight.alias("weight")) for code, weight in best.items()])
+    found = df.withColumn("_hit", F.explode(F.filter(hits, lambda h: h["weight"].isNotNull())))
+    return found.select(*df.columns, "_hit.code", "_hit.weight")
 
 
 def first_rule(value: Column, rules: list[tuple[str, str]], otherwise: str) -> Column:
@@ -86,24 +89,36 @@ def first_rule(value: Column, rules: list[tuple[str, str]], otherwise: str) -> C
     return out.otherwise(otherwise)
 
 
-def token_index_join(df: DataFrame, key: str, items: str, hints: str) -> DataFrame:
-    """key, other: rows that own a token which the first row hints at, itself excluded. Joined by token."""
+def token_index_join(df: DataFrame, key: str, items: str, hints: str, asked: Column | None = None) -> DataFrame:
+    """key, other: rows that own a token which the first row hints at, itself excluded. Joined by token.
+
+    ``asked`` states the query set; all rows may answer. Each asking row meets each owner of its tokens once a common token; a token that
+    very many rows own is one key on the owners' side, which Spark splits as the askers of a token are few.
+    """
     owners = df.select(F.col(key).alias("other"), F.explode(F.array_distinct(items)).alias("token"))
-    asks = df.select(key, F.explode(F.array_distinct(hints)).alias("token"))
+    asks = (df if asked is None else df.filter(asked)).select(key, F.explode(F.array_distinct(hints)).alias("token"))
     return asks.join(owners, "token").filter(F.col(key) != F.col("other")).select(key, "other").distinct()
 
 
-def vector_join(queries: DataFrame, rows: DataFrame, key: str, vector: str, least: float = 0.3, k: int = 12, blocks: int = 16) -> DataFrame:
+#: Rows of one block of a vector search.
+BLOCK_ROWS = 4096
+
+
+def vector_join(queries: DataFrame, rows: DataFrame, key: str, vector: str, least: float = 0.3, k: int = 12) -> DataFrame:
     """query_id, rank, key and similarity: the ``k`` nearest rows by cosine of at least ``least``, itself excluded.
 
-    Unit vectors are made once; each row lies in one block and each query visits every block.
+    Unit vectors are made once; each row lies in one block of about ``BLOCK_ROWS`` rows (so there are as many as the table needs), each query
+    visits every block, and a block keeps the ``k`` best of a query before anything is shuffled.
     """
+    blocks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // BLOCK_ROWS))
     unit = numeric.unit_vector(F.col(vector))
     asked = queries.select(F.col(key).alias("query_id"), unit.alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     held = rows.select(key, unit.alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
     met = asked.join(held, "block").filter(F.col("query_id") != F.col(key))
-    found = met.select("query_id", key, F.round(numeric.dot(F.col("q"), F.col("v")), 6).alias("similarity")).filter(F.col("similarity") >= least)
-    return top_k(found, ["query_id"], [F.col("similarity").desc(), F.col(key)], k)
+    found = met.select("block", "query_id", key, F.round(numeric.dot(F.col("q"), F.col("v")), 6).alias("similarity")).filter(F.col("similarity") >= least)
+    order = [F.col("similarity").desc(), F.col(key)]
+    best = top_k(found, ["block", "query_id"], order, k, "_in_block").select("query_id", key, "similarity")
+    return top_k(best, ["query_id"], order, k)
 
 
 def nearest(fields: DataFrame, labels: DataFrame, page: str, field_key: str, label_key: str, cost: Column, k: int = 1) -> DataFrame:
@@ -114,11 +129,12 @@ def nearest(fields: DataFrame, labels: DataFrame, page: str, field_key: str, lab
 
 
 def overlapping(boxes: DataFrame, page: str, key: str, least: float) -> DataFrame:
-    """Pairs of boxes of one page with an intersection over union of at least ``least``."""
-    a, b = boxes.alias("a"), boxes.alias("b")
-    value = F.round(numeric.iou(F.col("a.box"), F.col("b.box")), 6)
-    met = a.join(b, (F.col(f"a.{page}") == F.col(f"b.{page}")) & (F.col(f"a.{key}") < F.col(f"b.{key}")))
-    return met.select(F.col(f"a.{page}").alias(page), F.col(f"a.{key}").alias("left"), F.col(f"b.{key}").alias("right"), value.alias("iou")).filter(F.col("iou") >= least)
+    """Pairs of boxes of one page with an intersection over union of at least ``least``: met cell by cell, each pair once."""
+    from fieldloom.operators.catalogue import touching
+
+    met = touching(boxes.select(page, F.col(key).alias("left"), F.col("box").alias("lb")), boxes.select(page, F.col(key).alias("right"), F.col("box").alias("rb")), page)
+    value = F.round(numeric.iou(F.col("lb"), F.col("rb")), 6)
+    return met.filter("left < right").select(page, "left", "right", value.alias("iou")).filter(F.col("iou") >= least)
 
 
 def constraint_violations(selected: DataFrame, parents: DataFrame, exclusive: DataFrame) -> DataFrame:

@@ -118,3 +118,61 @@ def allowed_codes(df: DataFrame, keys: Sequence[str], code: str, score: str, ord
     ranked = df.withColumns({"_rank": F.row_number().over(group.orderBy(F.col(score).desc(), ordinal)), "relaxed": F.max(score).over(group) < least})
     named = F.collect_set(F.when(F.col("_rank") <= k, F.col(code))).over(group)
     return ranked.withColumn("_codes", named).filter(F.array_contains("_codes", F.col(code)) | extra | F.col("relaxed")).drop("_rank", "_codes")
+
+
+def exclusive_rows(df: DataFrame, doc: str, ordinal: str, code: str, excludes: dict[str, list[str]]) -> DataFrame:
+    """The rows that are written: in order, a code excluded by one written before is left out. No window per code: one aggregate of first places.
+
+    For rules in which no excluding code is excluded itself; a chain of rules depends on what was left out before (``ordered.exclusive_export``).
+    """
+    by: dict[str, list[str]] = {}
+    for one, others in excludes.items():
+        for other in others:
+            by.setdefault(other, []).append(one)
+    if set(by) & set(excludes):
+        raise ValueError("an excluding code is excluded itself")
+    w = Window.partitionBy(doc)
+    barred = F.lit(False)
+    for other, ones in by.items():
+        first = F.min(F.when(F.col(code).isin(*ones), F.col(ordinal))).over(w)
+        df = df.withColumn(f"_first_{len(df.columns)}", first)
+        barred = barred | ((F.col(code) == other) & (F.col(ordinal) > F.col(df.columns[-1])))
+    return df.filter(~F.coalesce(barred, F.lit(False))).drop(*[c for c in df.columns if c.startswith("_first_")])
+
+
+def accepted(decisions: DataFrame, mappings: DataFrame, candidates: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, chosen and its first candidate's ordinal and score: accepted rows with a chosen code (of the decision, else of the mapping) that has
+    a candidate. ``decisions``: keys, decision, chosen; ``mappings``: keys, fallback; ``candidates``: keys, code, ordinal, score.
+    """
+    chosen = F.coalesce(F.nullif(F.col("chosen"), F.lit("")), F.nullif(F.col("fallback"), F.lit("")))
+    kept = decisions.filter("decision = 'accepted'").join(mappings, list(keys), "left").withColumn("chosen", chosen).filter("chosen is not null").select(*keys, "chosen")
+    first = candidates.groupBy(*keys, "code").agg(F.min_by("score", "ordinal").alias("score"), F.min("ordinal").alias("ordinal")).withColumnRenamed("code", "chosen")
+    return kept.join(first, [*keys, "chosen"])
+
+
+def strictly_accepted(bindings: DataFrame, suppressed: DataFrame, key: str) -> DataFrame:
+    """Bindings (mapping, label, field, candidate: decisions) that nothing speaks against."""
+    sound = (F.col("mapping") == "accepted") & (F.coalesce("label", F.lit("")) != "rejected") & (F.col("field") == "accepted") & (F.coalesce("candidate", F.lit("")) != "rejected")
+    return bindings.filter(sound).join(suppressed.select(key).distinct(), key, "left_anti")
+
+
+def promoted(df: DataFrame, doc: str, value: str, code: str, confidence: str, ordinal: str, rules: Sequence[tuple[str, str, float]]) -> DataFrame:
+    """Post-pass over a document: of the rows whose text fits a rule (code, pattern, floor), the most confident gets the code and at least the floor.
+
+    Rules come in order; a row takes the first that picks it. Adds ``promoted``.
+    """
+    low, picks = F.lower(F.col(value)), []
+    for k, (to, pattern, floor) in enumerate(rules):
+        fits = low.rlike(pattern)
+        best = F.max(F.when(fits, F.struct(F.col(confidence), -F.col(ordinal)))).over(Window.partitionBy(doc))
+        df = df.withColumn(f"_best_{k}", best)
+        mine = fits & (F.struct(F.col(confidence), -F.col(ordinal)) == F.col(f"_best_{k}"))
+        picks.append(F.when(F.coalesce(mine, F.lit(False)), F.struct(F.lit(to).alias("code"), F.lit(float(floor)).alias("floor"))))
+    df = df.withColumn("_pick", F.coalesce(*picks))
+    df = df.withColumns({"promoted": F.col("_pick").isNotNull(), code: F.coalesce("_pick.code", code), confidence: F.greatest(F.col(confidence), F.coalesce(F.col("_pick.floor"), F.lit(0.0)))})
+    return df.drop("_pick", *[f"_best_{k}" for k in range(len(rules))])
+
+
+def merge_maps(low: Column, high: Column) -> Column:
+    """Both maps' entries; where both have a key, that of ``high``."""
+    return F.map_zip_with(low, high, lambda _, a, b: F.coalesce(b, a))

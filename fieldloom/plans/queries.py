@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from fieldloom.functions import numeric, text
 from fieldloom.operators import aggregates, graph, joins, ordered, rows
-from fieldloom.plans.tables import BLOCKS, CANDIDATES, PART_TOKENS, blocks, candidates, entries, normalised_sql, part_tokens, table
+from fieldloom.plans.tables import BLOCKS, CANDIDATES, PART_TOKENS, PROMPT_BLOCKS, blocks, candidates, entries, normalised_sql, part_tokens, prompt_blocks, table
 from fieldloom.registry import register
 from fieldloom.sources import readers, sinks
 from fieldloom.streaming.state import metric_windows as metric_windows_of
@@ -160,10 +160,9 @@ def rule_join(spark, sf_dir):
     return joins.rule_join(docs, "text", RULES, "source").select("doc_id", "code", "weight")
 
 
-@register("token_index", f"""WITH n AS (SELECT n_nationkey, list_filter(string_split({_N("n_name")}, ' '), lambda t: length(t) >= 3) AS t FROM nation), o AS (SELECT DISTINCT n_nationkey AS other, unnest(t) AS token FROM n), h AS (SELECT DISTINCT n_nationkey, unnest(t) AS token FROM n) SELECT DISTINCT n_nationkey, other FROM h JOIN o USING (token) WHERE n_nationkey <> other""")
+@register("token_index", f"""WITH {PART_TOKENS}, o AS (SELECT DISTINCT p_partkey AS other, unnest(type_tokens) AS token FROM pt), h AS (SELECT DISTINCT p_partkey, unnest(type_tokens) AS token FROM pt WHERE p_partkey % 100 = 0) SELECT DISTINCT p_partkey, other FROM h JOIN o USING (token) WHERE p_partkey <> other""")
 def token_index(spark, sf_dir):
-    named = table(spark, sf_dir, "nation").select("n_nationkey", text.tokens(F.col("n_name")).alias("t"))
-    return joins.token_index_join(named, "n_nationkey", "t", "t")
+    return joins.token_index_join(part_tokens(spark, sf_dir), "p_partkey", "type_tokens", "type_tokens", F.col("p_partkey") % 100 == 0)
 
 
 @register("vector_join", """WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM u a JOIN u b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
@@ -329,53 +328,83 @@ def error_pivot(spark, sf_dir):
 
 # --- graph -----------------------------------------------------------------------------------------------
 
-@register("graph_inference", "SELECT n_nationkey AS node, 'same-region' AS kind, (SELECT string_agg(CAST(o.n_nationkey AS VARCHAR), ',' ORDER BY o.n_nationkey) FROM nation o WHERE o.n_regionkey = n.n_regionkey AND o.n_nationkey <> n.n_nationkey) AS sources FROM nation n")
+_GRAPH = "e0 AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, l_returnflag AS kind FROM lineitem WHERE l_quantity <= 2)"
+
+
+def _edges(spark, sf_dir):
+    name = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    return table(spark, sf_dir, "lineitem").filter("l_quantity <= 2").select(name("s", "l_suppkey").alias("src"), name("p", "l_partkey").alias("dst"), F.col("l_returnflag").alias("kind")).distinct()
+
+
+@register("graph_inference", f"WITH {_GRAPH} SELECT dst AS node, kind, string_agg(src, ',' ORDER BY src) AS sources FROM e0 WHERE CAST(substr(dst, 2) AS INTEGER) % 20 = 0 GROUP BY 1, 2")
 def graph_inference(spark, sf_dir):
-    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    a, b = nation.alias("a"), nation.alias("b")
-    edges = a.join(b, F.col("a.n_regionkey") == F.col("b.n_regionkey")).filter("a.n_nationkey <> b.n_nationkey").select(F.col("a.n_nationkey").alias("src"), F.col("b.n_nationkey").alias("dst"), F.lit("same-region").alias("kind"))
-    found = graph.neighbours(nation.select(F.col("n_nationkey").alias("node")), edges)
-    return found.select("node", "kind", F.array_join("sources", ",").alias("sources"))
+    nodes = table(spark, sf_dir, "part").filter("p_partkey % 20 = 0").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node"))
+    return graph.neighbours(nodes, _edges(spark, sf_dir)).select("node", "kind", F.array_join("sources", ",").alias("sources"))
+
+
+@register("graph_scores", f"""WITH {_GRAPH}, i AS (SELECT dst AS node, count(DISTINCT CASE WHEN kind = 'A' THEN src END) AS a, count(DISTINCT CASE WHEN kind = 'N' THEN src END) AS n, count(DISTINCT CASE WHEN kind = 'R' THEN src END) AS r, count(*) AS m, count(DISTINCT src) AS k FROM e0 GROUP BY 1)
+SELECT node, round(least(1.0, (CASE WHEN a > 0 THEN 0.15 ELSE 0 END) + (CASE WHEN n > 0 THEN 0.12 ELSE 0 END) + (CASE WHEN r > 0 THEN 0.08 ELSE 0 END)), 6) AS typed_score, a = 0 AND n = 0 AS abstain, round(least(1.0, k / 3) * 0.5 + least(1.0, m / 4) * 0.5, 6) AS both_score FROM i""")
+def graph_scores(spark, sf_dir):
+    return graph.inference_scores(_edges(spark, sf_dir), {"A": 0.15, "N": 0.12, "R": 0.08}, ("A", "N")).filter("node like 'p%'")
+
+
+_LINKS = "l0 AS (SELECT l_orderkey * 2 AS src, l_partkey * 2 + 1 AS dst FROM lineitem WHERE l_quantity = 1)"
 
 
-@register("graph_components", "SELECT n_nationkey AS node, min(n_nationkey) OVER (PARTITION BY n_regionkey) AS root FROM nation")
+@register("graph_components", f"WITH RECURSIVE {_LINKS}, e AS (SELECT src, dst FROM l0 UNION SELECT dst, src FROM l0), r(node, reach) AS (SELECT DISTINCT src, src FROM e UNION SELECT r.node, e.dst FROM r JOIN e ON r.reach = e.src) SELECT node, min(reach) AS root FROM r GROUP BY 1")
 def graph_components(spark, sf_dir):
-    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    chain = nation.withColumn("dst", F.lead("n_nationkey").over(Window.partitionBy("n_regionkey").orderBy("n_nationkey"))).filter("dst is not null")
-    return graph.components(chain.select(F.col("n_nationkey").alias("src"), "dst"))
+    li = table(spark, sf_dir, "lineitem").filter("l_quantity = 1")
+    return graph.components(li.select((F.col("l_orderkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst")))
 
 
-@register("ontology_edges", f"""WITH n AS (SELECT 'n' || CAST(n_nationkey AS VARCHAR) AS id, list_distinct(string_split({_N("n_name")} || ' ' || CAST(n_regionkey AS VARCHAR), ' ')) AS t FROM nation), r AS (SELECT 'r' || CAST(r_regionkey AS VARCHAR) AS id, [CAST(r_regionkey AS VARCHAR)] AS t FROM region), e AS (SELECT * FROM n UNION ALL SELECT * FROM r)
-SELECT p.id AS parent, c.id AS child FROM e p JOIN e c ON len(p.t) < len(c.t) AND list_has_all(c.t, p.t)""")
+@register("ontology_edges", f"""WITH {PART_TOKENS}, e AS (SELECT p_partkey AS id, list_distinct(CASE WHEN p_partkey % 10 = 0 THEN type_tokens ELSE list_concat(name_tokens, type_tokens) END) AS t FROM pt WHERE p_partkey % 10 < 5)
+SELECT p.id AS parent, c.id AS child FROM e p JOIN e c ON len(p.t) < len(c.t) AND len(p.t) > 0 AND p.id % 100 = 0 AND list_has_all(c.t, p.t)""")
 def ontology_edges(spark, sf_dir):
-    nation = table(spark, sf_dir, "nation")
-    words = F.array_append(F.split(text.normalise(F.col("n_name")), " "), F.col("n_regionkey").cast("string"))
-    each = nation.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), words.alias("t"))
-    region = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("id"), F.array(F.col("r_regionkey").cast("string")).alias("t"))
-    return graph.ontology(each.unionByName(region), "id", "t")
+    key = F.col("p_partkey")
+    items = F.when(key % 10 == 0, F.col("type_tokens")).otherwise(F.concat("name_tokens", "type_tokens"))
+    each = part_tokens(spark, sf_dir).filter(key % 10 < 5).select("p_partkey", items.alias("t"))
+    return graph.ontology(each, "p_partkey", "t", F.col("id") % 100 == 0)
 
 
-# --- order-dependent, rows only in SQL terms; the tests hold plain versions -------------------------------
+# --- order-dependent; the SQL goes through a page row by row ------------------------------------------------
 
-@register("consistency_carry")
+@register("consistency_carry", f"""WITH RECURSIVE {CANDIDATES}, o AS (SELECT *, row_number() OVER (PARTITION BY doc, family ORDER BY ordinal, conf, sim) AS rn FROM cand), s AS (SELECT doc, family, ordinal, rn, code AS carried, conf AS hs FROM o WHERE rn = 1
+ UNION ALL SELECT o.doc, o.family, o.ordinal, o.rn, CASE WHEN o.conf >= s.hs + 0.17 AND o.conf >= 0.8 THEN o.code ELSE s.carried END, CASE WHEN o.conf >= s.hs + 0.17 AND o.conf >= 0.8 THEN o.conf ELSE s.hs END FROM s JOIN o ON o.doc = s.doc AND o.family = s.family AND o.rn = s.rn + 1) SELECT doc, ordinal, carried FROM s""")
 def consistency_carry(spark, sf_dir):
-    found = ordered.consistency_carry(candidates(spark, sf_dir), "doc", ["ordinal"], "family", "code", "conf")
+    found = ordered.consistency_carry(candidates(spark, sf_dir), "doc", ["ordinal", "conf", "sim"], "family", "code", "conf")
     return found.select("doc", "ordinal", "carried")
 
 
-@register("overlap_suppression")
+_BOX = "{'x': o.x, 'y': o.y, 'w': o.w, 'h': o.h}"
+_MEETS = "(greatest(0, least(k.x + k.w, o.x + o.w) - greatest(k.x, o.x)) * greatest(0, least(k.y + k.h, o.y + o.h) - greatest(k.y, o.y)))"
+_KEEPS = f"len(list_filter(s.held, lambda k: {_MEETS} < o.w * o.h + k.w * k.h AND {_MEETS} >= 0.05 * (o.w * o.h + k.w * k.h - {_MEETS}))) = 0"
+
+
+@register("overlap_suppression", f"""WITH RECURSIVE {BLOCKS}, o AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY conf DESC, block) AS rn FROM blk), s AS (SELECT page, block, rn, true AS kept, [{_BOX}] AS held FROM o WHERE rn = 1
+ UNION ALL SELECT o.page, o.block, o.rn, {_KEEPS}, CASE WHEN {_KEEPS} THEN list_append(s.held, {_BOX}) ELSE s.held END FROM s JOIN o ON o.page = s.page AND o.rn = s.rn + 1) SELECT page, block, kept FROM s""")
 def overlap_suppression(spark, sf_dir):
     b = blocks(spark, sf_dir).select("page", "block", "conf", "box.*")
     return ordered.suppress_overlaps(b, "page", "block", "conf", 0.05).select("page", "block", "kept")
 
 
-@register("greedy_match")
+_NEAREST = "list_sort(list_transform(list_filter(range(1, len(p.ps) + 1), lambda i: NOT list_contains(s.used, i)), lambda i: {'d': sqrt(power(p.ps[i].x - t.x, 2) + power(p.ps[i].y - t.y, 2)), 'i': i}))[1]"
+
+
+@register("greedy_match", f"""WITH RECURSIVE {BLOCKS}, p AS (SELECT page, list({{'b': block, 'x': x, 'y': y}} ORDER BY block) AS ps FROM blk WHERE block % 2 = 1 GROUP BY 1), t AS (SELECT page, block, x, y, row_number() OVER (PARTITION BY page ORDER BY block) AS rn FROM blk WHERE block % 2 = 0),
+ s AS (SELECT DISTINCT t.page, 0::BIGINT AS rn, []::BIGINT[] AS used, NULL::BIGINT AS truth, NULL::BIGINT AS prediction, NULL::DOUBLE AS far FROM t JOIN p USING (page)
+ UNION ALL SELECT t.page, t.rn, CASE WHEN {_NEAREST}.d <= 200 THEN list_append(s.used, {_NEAREST}.i) ELSE s.used END, t.block, CASE WHEN {_NEAREST}.d <= 200 THEN p.ps[{_NEAREST}.i].b END, {_NEAREST}.d FROM s JOIN t ON t.page = s.page AND t.rn = s.rn + 1 JOIN p ON p.page = s.page)
+SELECT page, truth, prediction, round(far, 6) AS distance FROM s WHERE prediction IS NOT NULL""")
 def greedy_match(spark, sf_dir):
     b = blocks(spark, sf_dir).select("page", "block", "box.*", (F.col("block") % 2 == 0).alias("truth_row"))
     return ordered.greedy_match(b, "page", "block", "truth_row", 200.0)
 
 
-@register("leader_clusters")
+_FIRST = "coalesce(list_filter(range(1, len(s.cs) + 1), lambda i: sqrt(power(o.x - s.cs[i].a, 2) + power(o.y - s.cs[i].b, 2)) <= 200)[1], len(s.cs) + 1)"
+
+
+@register("leader_clusters", f"""WITH RECURSIVE {BLOCKS}, o AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY y, x, block) AS rn FROM blk), s AS (SELECT page, block, rn, 0::BIGINT AS cluster, [{{'a': x, 'b': y, 'n': 1}}] AS cs FROM o WHERE rn = 1
+ UNION ALL SELECT o.page, o.block, o.rn, {_FIRST} - 1, CASE WHEN {_FIRST} > len(s.cs) THEN list_append(s.cs, {{'a': o.x, 'b': o.y, 'n': 1}}) ELSE list_transform(range(1, len(s.cs) + 1), lambda i: CASE WHEN i = {_FIRST} THEN {{'a': (s.cs[i].a * s.cs[i].n + o.x) / (s.cs[i].n + 1), 'b': (s.cs[i].b * s.cs[i].n + o.y) / (s.cs[i].n + 1), 'n': s.cs[i].n + 1}} ELSE s.cs[i] END) END
+ FROM s JOIN o ON o.page = s.page AND o.rn = s.rn + 1) SELECT page, block, CAST(cluster AS INTEGER) AS cluster FROM s""")
 def leader_clusters(spark, sf_dir):
     b = blocks(spark, sf_dir).select("page", "block", "box.x", "box.y")
     return ordered.leader_clusters(b, "page", ["y", "x", "block"], 200.0).select("page", "block", "cluster")
@@ -386,7 +415,11 @@ def element_export(spark, sf_dir):
     return sinks.to_elements(candidates(spark, sf_dir).withColumn("quantity", F.col("quantity").cast("long")), "doc", ["ordinal"], "code", "quantity")
 
 
-@register("label_placement")
+_FREE = "coalesce(o.y + 4 * list_filter(range(0, 11), lambda j: len(list_filter(s.held, lambda k: least(k.x + k.w, o.x + o.w) > greatest(k.x, o.x) AND least(k.y + k.h, o.y + 4 * j + o.h) > greatest(k.y, o.y + 4 * j))) = 0)[1], list_max(list_transform(s.held, lambda k: k.y + k.h)))"
+
+
+@register("label_placement", f"""WITH RECURSIVE {BLOCKS}, o AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY conf DESC, block) AS rn FROM blk), s AS (SELECT page, block, rn, y AS placed_y, [{{'x': x, 'y': y, 'w': w, 'h': h}}] AS held FROM o WHERE rn = 1
+ UNION ALL SELECT o.page, o.block, o.rn, {_FREE}, list_append(s.held, {{'x': o.x, 'y': {_FREE}, 'w': o.w, 'h': o.h}}) FROM s JOIN o ON o.page = s.page AND o.rn = s.rn + 1) SELECT page, block, placed_y FROM s""")
 def label_placement(spark, sf_dir):
     b = blocks(spark, sf_dir).select("page", "block", "conf", "box.*")
     return ordered.nudged(b, "page", "block", "conf").select("page", "block", "placed_y")
@@ -394,12 +427,40 @@ def label_placement(spark, sf_dir):
 
 @register("exclusive_export", f"WITH {CANDIDATES}, f AS (SELECT doc, min(ordinal) AS barred_after FROM cand WHERE code = 'C3' GROUP BY 1) SELECT c.doc, c.ordinal, c.code FROM cand c LEFT JOIN f USING (doc) WHERE NOT (c.code = 'C4' AND c.ordinal > coalesce(f.barred_after, 9223372036854775807))")
 def exclusive_export(spark, sf_dir):
-    return ordered.exclusive_export(candidates(spark, sf_dir).select("doc", "ordinal", "code"), "doc", ["ordinal"], "code", {"C3": ["C4"]})
+    return rows.exclusive_rows(candidates(spark, sf_dir).select("doc", "ordinal", "code"), "doc", "ordinal", "code", {"C3": ["C4"]})
 
 
-@register("schema_export")
+@register("schema_export", f"""WITH {CANDIDATES}, n AS (SELECT doc, lower(code) AS base, family, row_number() OVER (PARTITION BY doc, code ORDER BY ordinal, family) AS n FROM cand), u AS (SELECT doc, family, CASE WHEN n > 1 THEN base || '_' || n ELSE base END AS name FROM n)
+SELECT doc, '{{"type":"object","properties":{{' || string_agg('"' || name || '":{{"type":"' || family || '"}}', ',' ORDER BY name) || '}}}}' AS schema FROM u GROUP BY 1""")
 def schema_export(spark, sf_dir):
-    return sinks.to_schema(candidates(spark, sf_dir), "doc", ["ordinal"], "code", "family")
+    return sinks.to_schema(candidates(spark, sf_dir), "doc", ["ordinal", "family"], "code", "family")
+
+
+@register("promotions", f"""WITH {PROMPT_BLOCKS}, q AS (SELECT page, block, text, conf, max(CASE WHEN regexp_matches(lower(text), 'insured') THEN {{'c': conf, 'b': -block}} END) OVER (PARTITION BY page) AS a, max(CASE WHEN regexp_matches(lower(text), 'policy|premium') THEN {{'c': conf, 'b': -block}} END) OVER (PARTITION BY page) AS b FROM pb),
+ r AS (SELECT *, coalesce(regexp_matches(lower(text), 'insured') AND a = {{'c': conf, 'b': -block}}, false) AS pa, coalesce(regexp_matches(lower(text), 'policy|premium') AND b = {{'c': conf, 'b': -block}}, false) AS pb2 FROM q)
+SELECT page, block, CASE WHEN pa THEN 'NamedInsured' WHEN pb2 THEN 'Policy' ELSE 'none' END AS code, CASE WHEN pa THEN greatest(conf, 0.84) WHEN pb2 THEN greatest(conf, 0.78) ELSE conf END AS conf, pa OR pb2 AS promoted FROM r""")
+def promotions(spark, sf_dir):
+    b = prompt_blocks(spark, sf_dir).withColumn("code", F.lit("none"))
+    return rows.promoted(b, "page", "text", "code", "conf", "block", [("NamedInsured", "insured", 0.84), ("Policy", "policy|premium", 0.78)]).select("page", "block", "code", "conf", "promoted")
+
+
+@register("accepted_candidates", f"""WITH {CANDIDATES}, d AS (SELECT o_orderkey AS doc, CASE WHEN o_orderkey % 3 = 0 THEN 'rejected' ELSE 'accepted' END AS decision, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'C' || (o_orderkey % 40) END AS chosen, CASE WHEN o_orderkey % 7 <> 0 THEN 'C' || (o_custkey % 40) END AS fallback FROM orders),
+ k AS (SELECT doc, coalesce(nullif(chosen, ''), nullif(fallback, '')) AS chosen FROM d WHERE decision = 'accepted') SELECT k.doc, k.chosen, min(ordinal) AS ordinal, arg_min(conf, ordinal) AS score FROM k JOIN cand ON k.doc = cand.doc AND k.chosen = cand.code GROUP BY 1, 2""")
+def accepted_candidates(spark, sf_dir):
+    o, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    code = lambda c: F.concat(F.lit("C"), (F.col(c) % 40).cast("string"))
+    decisions = o.select(key.alias("doc"), F.when(key % 3 == 0, "rejected").otherwise("accepted").alias("decision"), F.when(key % 5 == 0, "").otherwise(code("o_orderkey")).alias("chosen"))
+    mappings = o.select(key.alias("doc"), F.when(key % 7 != 0, code("o_custkey")).alias("fallback"))
+    c = candidates(spark, sf_dir).select("doc", "code", "ordinal", F.col("conf").alias("score"))
+    return rows.accepted(decisions, mappings, c, ["doc"])
+
+
+@register("strict_bindings", "SELECT l_orderkey, l_linenumber, l_partkey * 1000000 + l_suppkey AS k FROM lineitem WHERE l_returnflag = 'N' AND l_linestatus = 'F' AND l_partkey % 4 <> 0 AND l_suppkey % 3 <> 0 AND (l_partkey * 1000000 + l_suppkey) NOT IN (SELECT l_partkey * 1000000 + l_suppkey FROM lineitem WHERE l_quantity > 45)")
+def strict_bindings(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").withColumn("k", F.col("l_partkey") * 1_000_000 + F.col("l_suppkey"))
+    say = lambda test, other="rejected": F.when(test, "accepted").otherwise(other)
+    b = li.select("l_orderkey", "l_linenumber", "k", say(F.col("l_returnflag") == "N").alias("mapping"), F.when(F.col("l_partkey") % 4 == 0, "rejected").alias("label"), say(F.col("l_linestatus") == "F").alias("field"), F.when(F.col("l_suppkey") % 3 == 0, "rejected").alias("candidate"))
+    return rows.strictly_accepted(b, li.filter("l_quantity > 45"), "k").select("l_orderkey", "l_linenumber", "k")
 
 
 @register("page_boxes", f"WITH {BLOCKS} SELECT page, block, CAST(greatest(0, least(1000, floor(x / 700 * 1000 + 0.5))) AS INTEGER) AS x0, CAST(greatest(0, least(1000, floor((y + h) / 820 * 1000 + 0.5))) AS INTEGER) AS y1, round(sqrt((x + w / 2) * (x + w / 2) + (y + h / 2) * (y + h / 2)), 6) AS far FROM blk")
