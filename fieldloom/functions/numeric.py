@@ -96,6 +96,11 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size == 0, 0.0).otherwise(dot(a, b) / size)
 
 
+def cosine01(a: Column, b: Column) -> Column:
+    """Cosine between 0 and 1; 0 for a zero vector and for vectors of different lengths."""
+    return F.when(F.size(a) != F.size(b), 0.0).otherwise(clamp01(cosine(a, b)))
+
+
 def unit_vector(a: Column) -> Column:
     size = F.sqrt(dot(a, a))
     return F.when(size == 0, a.cast("array<double>")).otherwise(F.transform(a, lambda x: x.cast("double") / size))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -17,6 +17,12 @@ def fresh_nonces(events: DataFrame, at: str = "ts", nonce: str = "nonce", window
     return events.withWatermark(at, window).dropDuplicatesWithinWatermark([nonce])
 
 
+def within(stamp: Column, now: Column, seconds: int) -> Column:
+    """Whether an ISO time lies within ``seconds`` of ``now`` (an ISO time too), before or after; false for a text that is no time."""
+    millis = lambda c: F.unix_millis(F.try_to_timestamp(c))
+    return F.coalesce(F.abs(millis(now) - millis(stamp)) <= seconds * 1000, F.lit(False))
+
+
 def metric_windows(events: DataFrame, at: str, keys: list[str], value: str, width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """Count, total and mean of tumbling windows."""
     found = events.withWatermark(at, late).groupBy(F.window(at, width), *keys).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"))
