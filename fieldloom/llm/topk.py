@@ -1,9 +1,10 @@
 """Exact top-k inner-product search by exhaustive term-at-a-time accumulation.
 
 Vectors become sparse integer rows (``floor(scale * x)``, zeros left out). The candidate rows are dealt
-to shards of bounded size; a shard holds postings: for each term (dimension) the rows that carry it and
-their weights. A block of queries is scored against a shard term by term: the query weight times
-the posting weights is scattered into a dense score array, one line per query. ``argpartition`` selects
+to shards of bounded size; a shard stores postings, built once: for each term (dimension) the rows that carry it and
+their weights. The queries of a block are sparse rows too. A block is scored against a shard term by term: the query weights
+times the posting weights are scattered into a dense score array, one line per query; terms that no query or no row
+carries cost nothing, and memory grows with the non-zero weights, not with the dimension. ``argpartition`` selects
 k per query and shard, and a ranked merge over the shards gives the answer.
 
 Every query block meets every shard exactly once through an equi-join on (shard, block) numbers; both
@@ -48,16 +49,21 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & finite
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    """Dense int64 rows of a list column, padded with zeros."""
+Postings = dict[int, tuple[np.ndarray, np.ndarray]]
+
+
+def postings(column: pa.ChunkedArray, places: np.ndarray) -> Postings:
+    """Of a list column the non-zero weights by term: (rows, weights), where row k of the column counts as ``places[k]``."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     lengths = np.asarray(column.value_lengths().fill_null(0))
-    out = np.zeros((len(column), int(lengths.max(initial=0))), np.int64)
     flat = np.asarray(column.flatten())
-    rows = np.repeat(np.arange(len(column)), lengths)
-    starts = np.cumsum(lengths) - lengths
-    out[rows, np.arange(len(flat)) - np.repeat(starts, lengths)] = flat
-    return out
+    rows = np.repeat(places, lengths)
+    terms = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    held = np.flatnonzero(flat)
+    order = held[np.lexsort((rows[held], terms[held]))]
+    terms, rows, flat = terms[order], rows[order], flat[order]
+    found, first = np.unique(terms, return_index=True)
+    return {int(t): (rows[a:b], flat[a:b]) for t, a, b in zip(found, first, [*first[1:], len(terms)])}
 
 
 def _select(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,19 +81,21 @@ def _select(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(scores)), k), row.ravel()
 
 
-def accumulate(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Inner products of every query and row, one term's postings at a time."""
-    scores = np.zeros((len(queries), len(rows)), np.int64)
-    for term in range(min(queries.shape[1], rows.shape[1])):
-        posting = np.flatnonzero(rows[:, term])
-        asks = np.flatnonzero(queries[:, term])
-        if not len(posting) or not len(asks):
+def accumulate(asked: Postings, held: Postings, first: int, last: int, n_rows: int) -> np.ndarray:
+    """Inner products of the queries ``first`` to ``last`` and all rows: one term's postings at a time into dense score lines."""
+    scores = np.zeros((last - first, n_rows), np.int64)
+    for term, (queries, weights) in asked.items():
+        if term not in held:
+            continue
+        a, b = np.searchsorted(queries, (first, last))
+        if a == b:
             continue
-        part = np.multiply.outer(queries[asks, term], rows[posting, term])
-        if len(posting) == len(rows) and len(asks) == len(queries):
-            scores += part
+        rows, values = held[term]
+        part = np.multiply.outer(weights[a:b], values)
+        if len(rows) == n_rows and b - a == last - first:
+            scores += part  # all lines and all rows carry the term
         else:
-            scores[np.ix_(asks, posting)] += part
+            scores[np.ix_(queries[a:b] - first, rows)] += part
     return scores
 
 
@@ -97,15 +105,19 @@ def _score_block(k: int):
         if not left.num_rows or not right.num_rows:
             return empty
         order = np.argsort(np.asarray(right["vec_id"]), kind="stable")
-        ids, rows = np.asarray(right["vec_id"])[order], _matrix(right["vector"])[order]
-        q_ids, q_no, asked = np.asarray(left["query_id"]), np.asarray(left["query_no"]), _matrix(left["vector"])
+        ids = np.asarray(right["vec_id"])[order]
+        places = np.empty(len(ids), np.int64)
+        places[order] = np.arange(len(ids))
+        held = postings(right["vector"], places)
+        q_ids, q_no = np.asarray(left["query_id"]), np.asarray(left["query_no"])
+        asked = postings(left["vector"], np.arange(len(q_ids)))
         out = []
-        step = max(1, SCORE_CELLS // max(1, len(rows)))
-        for at in range(0, len(asked), step):
-            scores = accumulate(asked[at : at + step], rows)
+        step = max(1, SCORE_CELLS // max(1, len(ids)))
+        for at in range(0, len(q_ids), step):
+            scores = accumulate(asked, held, at, min(at + step, len(q_ids)), len(ids))
             # a query's own rows are one run of the sorted ids: more rows are selected, then those go
             lo, hi = np.searchsorted(ids, q_ids[at : at + step]), np.searchsorted(ids, q_ids[at : at + step], "right")
-            line, row = _select(scores, min(len(rows), k + int((hi - lo).max(initial=0))))
+            line, row = _select(scores, min(len(ids), k + int((hi - lo).max(initial=0))))
             other = ids[row] != q_ids[at + line]
             line, row = line[other], row[other]
             value = scores[line, row]
