@@ -553,35 +553,39 @@ def _uses(node: Any, name: str) -> int:
 
 
 class ReadBack:
-    """A sink that reads turns and loss text back from the formatted text as it is written."""
+    """A sink that reads turns and loss text back from the formatted text: the loss text is cut out of it by the mask's spans."""
 
     def __init__(self) -> None:
         self.buffer = ""
         self.n_turns = self.size = self.loss_chars = 0
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
-        self._mask: list[str] | None = None
+        self._from = 0
+        self._spans: list[tuple[int, int]] = []
 
     def write(self, text: str) -> None:
         self.size += len(text)
-        if self._mask is not None:
-            self._mask.append(text)
         self.buffer += text
         while (end := self.buffer.find(END + "\n")) >= 0:
+            begin = self.size - len(self.buffer)
             turn, self.buffer = self.buffer[:end], self.buffer[end + len(END) + 1 :]
             if not turn.startswith(START):
                 raise ValueError("a turn does not begin with its mark")
             role, _, body = turn[len(START) :].partition("\n")
             self.n_turns += 1
             self.turns.update(f"{unescape_role(role)}\n{unescape(body)}\n".encode("utf-8", "surrogatepass"))
+            for first, last in self._spans:
+                if first < begin or last > begin + end:
+                    raise ValueError("a loss span leaves its turn")
+                said = unescape(turn[first - begin : last - begin])
+                self.loss_chars += len(said)
+                self.loss.update(said.encode("utf-8", "surrogatepass"))
+            self._spans.clear()
 
     def masked(self, on: bool) -> None:
         if on:
-            self._mask = []
+            self._from = self.size
         else:
-            text = unescape("".join(self._mask or ()))
-            self._mask = None
-            self.loss_chars += len(text)
-            self.loss.update(text.encode("utf-8", "surrogatepass"))
+            self._spans.append((self._from, self.size))
 
     def row(self, conv_id: int | None) -> tuple:
         if self.buffer:
