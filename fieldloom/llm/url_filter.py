@@ -6,7 +6,8 @@ own host and every subdomain of it when the URL's path starts with the rule's pa
 fitting rules the one with most characters (host and path) wins, then the longer host; of two
 entries with the same host and path ``block`` wins. A URL that no rule fits gets ``default``.
 
-Null URLs and those without ``://`` have an empty host and path and get ``default``. An empty
+Null URLs and those without ``://`` have an empty host and path and get ``default``. Rules with a null
+part are left out. An empty
 rule set gives every URL ``default``. Repeated rows are judged one by one; other columns of the
 input pass through, and replace nothing: result columns are prefixed on a clash.
 
@@ -158,7 +159,7 @@ def judge_urls(
     host, path = split_url(F.col(url_col))
     parsed = pages.withColumns({names["host"]: host, names["path"]: path})
     if not isinstance(rules, DataFrame):
-        rows = list(rules)
+        rows = [rule for rule in rules if None not in rule]
         if len(rows) > max_broadcast_rules:
             rules = pages.sparkSession.createDataFrame(rows, "host string, path string, verdict string")
     if isinstance(rules, DataFrame):
