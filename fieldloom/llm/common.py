@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,8 +15,8 @@ from pyspark.sql import functions as F
 
 #: Horizontal tab to carriage return, and the space: the separators of a word.
 WHITESPACE = " \t\n\x0b\x0c\r"
-#: Rows of one Arrow batch while a table is stored: texts are long, and each batch is held by the JVM and by Python.
-ARROW_ROWS = 1000
+#: Most rows and bytes of one Arrow batch: texts are long, and each batch is held by the JVM and by Python.
+ARROW_ROWS, ARROW_BYTES = 1000, 4 << 20
 #: Java regular expression of one run of separators.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -24,14 +26,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a local one only where none is set."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if where:
-        return where.rstrip("/")
+    """The cluster's shared folder (``spark.checkpoint.dir``).
+
+    Only a local master may lack it: there the driver's folder is every task's folder. Elsewhere a missing setting is an error.
+    """
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="fieldloom-"))
-    return context.getCheckpointDir().rstrip("/")
+    where = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not where:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder")
+        where = tempfile.mkdtemp(prefix="fieldloom-")
+        context.setCheckpointDir(where)
+    return where.rstrip("/")
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Small Arrow batches for the session where it still has Spark's defaults: set once, so that concurrent queries meet no change."""
+    for key, defaults, value in (("maxRecordsPerBatch", ("10000",), ARROW_ROWS), ("maxBytesPerBatch", ("67108864b", "67108864"), ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key, None) in defaults:
+            spark.conf.set(key, str(value))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -39,17 +53,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
     Cuts lineage so that the loss of an executor never recomputes what lies before.
     """
+    bounded_batches(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/fieldloom/{name}-{uuid.uuid4().hex}"
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = conf.get(key)
-    conf.set(key, str(min(int(before), ARROW_ROWS) if int(before) > 0 else ARROW_ROWS))
-    try:
-        df.write.parquet(path)
-    finally:
-        conf.set(key, before)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """A stored table, with a broadcast hint if it has been counted to have at most ``most`` (narrow) rows; as it is beyond."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column laid end to end, and the n + 1 offsets of its rows (nulls are empty)."""
     if isinstance(column, pa.ChunkedArray):
@@ -94,3 +108,19 @@ def hashed_fraction(df: DataFrame, key: str, fraction: float, seed: int) -> Data
 
 
 MapArrow = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidy(run: MapArrow) -> MapArrow:
+    """``run``, after which the worker gives the memory of its arrays back: workers outlive tasks, and hold what they do not return."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return wrapped

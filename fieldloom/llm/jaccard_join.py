@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldloom.llm.common import random_table, slices, splitmix, stored, utf8
+from fieldloom.llm.common import random_table, slices, splitmix, stored, tidy, utf8
 
 #: Cells of the frequency sketch, and of one shuffled slice of it.
 SKETCH_CELLS, SLICE_CELLS = 1 << 22, 1 << 16
@@ -333,16 +333,16 @@ def _verified(close: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
     side = lambda df, node, **named: df.select(F.col("node").alias(node), *(F.col(c).alias(k) for k, c in named.items()))
     ends = close.select(F.col("a").alias("doc_id"), F.col("ca").alias("cls")).unionByName(close.select(F.col("b").alias("doc_id"), F.col("cb").alias("cls")))
     asked = stored(ends.distinct(), "asked")
-    sets = stored(docs.join(asked, "doc_id").select("doc_id", "text", "cls").mapInArrow(_sets(n), "node long, cls long, grams binary").dropDuplicates(["node", "cls"]), "sets")
+    sets = stored(docs.join(asked, "doc_id").select("doc_id", "text", "cls").mapInArrow(tidy(_sets(n)), "node long, cls long, grams binary").dropDuplicates(["node", "cls"]), "sets")
     joined = close.join(side(sets, "a", ca="cls", ga="grams"), ["a", "ca"]).join(side(sets, "b", cb="cls", gb="grams"), ["b", "cb"])
-    return joined.select("a", "b", "ga", "gb").mapInArrow(_verify(percent), "a long, b long").distinct()
+    return joined.select("a", "b", "ga", "gb").mapInArrow(tidy(_verify(percent)), "a long, b long").distinct()
 
 
 def _close(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
     """The (a, ca, b, cb) pairs whose parity sketches leave enough room for the overlap."""
     side = lambda k: signatures.select(F.col("node").alias(k), F.col("cls").alias(f"c{k}"), F.col("parity").alias(f"p{k}"), F.col("size").alias(f"n{k}"))
     met = pairs.join(side("a"), ["a", "ca"]).join(side("b"), ["b", "cb"])
-    return met.select(*_PAIR, "pa", "pb", "na", "nb").mapInArrow(_suffix(percent), _PAIR_DDL)
+    return met.select(*_PAIR, "pa", "pb", "na", "nb").mapInArrow(tidy(_suffix(percent)), _PAIR_DDL)
 
 
 def _without(pairs: DataFrame, seen: list[DataFrame]) -> DataFrame:
@@ -398,12 +398,12 @@ def _all_pairs(lists: DataFrame, signatures: DataFrame, percent: int) -> DataFra
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, cells: int = SKETCH_CELLS) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of documents (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scan = stored(docs.mapInArrow(_scan(n, cells), _SCAN_DDL), "scan")
+    scan = stored(docs.mapInArrow(tidy(_scan(n, cells)), _SCAN_DDL), "scan")
     levels = docs.sparkSession.sparkContext.broadcast(_sketch(scan, cells))
     found = scan.filter("slice is null").select("doc_id", "n", "d1", "d2", "parity")
     classes = stored(found.filter("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
     named = docs.filter("doc_id is not null")
-    prefixes = stored(named.mapInArrow(_prefixes(n, percent, cells, levels), "gram long, cls long, n int, pos int"), "prefixes")
+    prefixes = stored(named.mapInArrow(tidy(_prefixes(n, percent, cells, levels)), "gram long, cls long, n int, pos int"), "prefixes")
     levels.destroy()
     several = prefixes.groupBy("gram").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi").select("gram")
     reps = classes.select(F.col("d1").alias("cls"), F.col("rep").alias("node"))
@@ -419,7 +419,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, cells: in
     roots = signatures.select("node", F.col("node").alias("root")).filter("false")
     rest = lists
     for turn in range(STAR_TURNS + 1):
-        opened = rest.join(_hubs(rest), "gram")
+        hubs = stored(_hubs(rest), "hubs")
+        if hubs.isEmpty():
+            break
+        opened = rest.join(hubs, "gram")
         pairs = _star(opened, percent) if turn < STAR_TURNS else _all_pairs(opened, signatures, percent)
         close = stored(_without(_close(pairs, signatures, percent), seen), "close")
         if not close.isEmpty():

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import stored
+from fieldloom.llm.common import stored, tidy
 
 #: Words in one training sequence.
 CAPACITY = 4096
@@ -169,7 +169,7 @@ def pack_documents(docs: DataFrame, cluster_col: str | None = None, capacity: in
     """Bins for documents (doc_id, text, source); clusters are equal texts unless a column gives them."""
     given = F.col(cluster_col).cast("string") if cluster_col else F.lit(None).cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source"), given.alias("cluster"))
-    pieces = stored(rows.mapInArrow(_measure, "doc_id long, n_words long, source string, cluster string"), "pieces")
+    pieces = stored(rows.mapInArrow(tidy(_measure), "doc_id long, n_words long, source string, cluster string"), "pieces")
     return best_fit_bins(pieces, capacity, group_rows)
 
 

@@ -15,7 +15,7 @@ Rows beyond ``CUTOFF`` are rejected.
 
 A step is one pass: distances fall into buckets of 1/16 octave, and a bucket's count and moments are partial sums, so neither a row
 nor a group of rows moves; the buckets up to the support are added up. (The support so ends at a bucket's end.) Estimates are a
-stored table of a few numbers a group, which Spark broadcasts when its measured size is small. Texts are read once, where they lie.
+stored table of a few numbers a group, broadcast when it is counted to be small. Texts are read once, where they lie.
 
 Cases: a null text has no words and fails the base rules, as do empty and white-space texts; null language and null source
 are groups of their own; repeated rows count each; equal distances are all kept or all rejected; an empty
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldloom.llm.common import stored
+from fieldloom.llm.common import small, stored
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: The statistics, and the variation of each that is never unusual (a standard deviation).
@@ -174,7 +174,7 @@ def _distance() -> Column:
 def _concentrated(rows: DataFrame, found: DataFrame) -> DataFrame:
     """The next estimate of every (cell, start): one concentration step."""
     bucket = F.floor(OCTAVE * F.log2(F.greatest(F.col("d"), F.lit(1e-9)))).cast("int")
-    near = rows.join(found.select("cell", "start", "mean", "root"), "cell").withColumn("d", _distance()).withColumn("bucket", bucket)
+    near = rows.join(small(found).select("cell", "start", "mean", "root"), "cell").withColumn("d", _distance()).withColumn("bucket", bucket)
     sums = _moments(near, "cell", "start", "bucket")
     group = Window.partitionBy("cell", "start")
     nearer = F.coalesce(F.sum("n").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -186,7 +186,7 @@ def estimates(rows: DataFrame) -> DataFrame:
     """cell, n, mean and cov of every group of ``rows`` (key, cell and FEATURES); n is the number of rows that the last step takes."""
     sizes = stored(rows.groupBy("cell").agg(F.count("*").alias("_n")), "group-sizes")
     picked = [F.lit(0)] + [F.when(F.pmod(F.xxhash64("key", *FEATURES, F.lit(k)), F.col("_n")) < SEEDS, k) for k in range(1, STARTS)]
-    first = rows.join(sizes, "cell").withColumn("start", F.explode(F.array_compact(F.array(*picked))))
+    first = rows.join(small(sizes), "cell").withColumn("start", F.explode(F.array_compact(F.array(*picked))))
     found = stored(_with_root(_estimate(_moments(first, "cell", "start"))), "starts")
     for _ in range(STEPS):
         after = stored(_concentrated(rows, found), "concentrated")
@@ -198,7 +198,7 @@ def estimates(rows: DataFrame) -> DataFrame:
     least = found.groupBy("cell").agg(F.min_by(F.struct("mean", "cov"), F.struct("logdet", "start")).alias("best")).select("cell", "best.*")
     wider = F.struct(*[(F.col(f"cov.c{i}{j}") * CONSISTENT).alias(f"c{i}{j}") for i, j in _CELLS])
     raw = stored(_with_root(least.withColumn("cov", wider)), "least-determinant")
-    inside = rows.join(raw, "cell").withColumn("d", _distance()).filter(F.col("d") <= REWEIGHT)
+    inside = rows.join(small(raw), "cell").withColumn("d", _distance()).filter(F.col("d") <= REWEIGHT)
     final = _estimate(_moments(inside.select("cell", *FEATURES), "cell"))
     # a group none of whose rows is that near keeps its first estimate
     return raw.select("cell", F.col("mean").alias("m"), F.col("cov").alias("v")).join(final, "cell", "left").select(
@@ -224,7 +224,7 @@ def judge(docs: DataFrame) -> DataFrame:
     ok = rows.filter(~F.col("base_failed")).withColumn("key", F.xxhash64("doc_id"))
     each = ok.withColumn("cell", F.explode(F.array("cell", "wide"))).select("key", "cell", *FEATURES)
     found = stored(_shrunk(stored(estimates(each), "estimates"), ok.select("cell", "wide").distinct()), "shrunk")
-    judged = rows.join(found, "cell", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
+    judged = rows.join(small(found), "cell", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))
     return judged.withColumn("kept", kept)
 

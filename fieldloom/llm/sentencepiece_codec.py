@@ -26,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from fieldloom.llm.common import bounded_batches
+
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Segments in one generation of a process's cache; a full one becomes the old one.
@@ -485,6 +487,7 @@ def token_digests(docs: DataFrame, model_path: str) -> DataFrame:
                 text_hex.append(hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(ids_hex), pa.array(text_hex)], schema=_ROWS)
 
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
