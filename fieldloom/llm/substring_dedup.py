@@ -3,7 +3,8 @@
 A gear hash rolls over a text's UTF-8 bytes; a chunk ends where a word begins and the hash of the 32 bytes before
 has its top bits clear, so chunk ends depend on nearby content only and an insertion shifts no other chunk.
 ``MIN_BYTES`` and ``MAX_BYTES`` bound a chunk. Chunks with equal 128-bit digests are copies: the one with the
-smallest (doc_id, text checksum, place) stays, all others are removed from their texts.
+smallest (doc_id, text checksum, place) stays. Chunks are short, so that two texts cut a passage alike soon after it begins, but
+a short copy is a phrase rather than a passage: copies go only where neighbouring ones make a run of ``MIN_RUN`` bytes or more.
 
 The counting shuffle carries digests only and combines before it. Digests with more than a thousandth of all
 chunks are fewer than a thousand by arithmetic; they are joined by broadcast, all other repeated digests by an
@@ -27,9 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import random_table, slices, stored, utf8
+from fieldloom.llm.common import random_table, slices, stored, tidy, utf8
 
 MIN_BYTES, MAX_BYTES = 32, 512
+#: Least bytes of neighbouring copies that are removed.
+MIN_RUN = 120
 #: Top bits that must be clear: one word start in 2 ** BITS ends a chunk.
 BITS = 2
 #: Bytes hashed at a time.
@@ -127,7 +130,7 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                     schema=_CHUNKS,
                 )
 
-    return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, version long, start int, size int, high long, low long")
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), "doc_id long, version long, start int, size int, high long, low long")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -150,7 +153,20 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return spans.distinct().groupBy("doc_id", "version").agg(F.sort_array(F.collect_list(F.struct("start", "size"))).alias("spans"))
 
 
-def _without(text: str | None, spans: list[dict] | None) -> str | None:
+def runs(spans: list[dict] | None, least: int) -> list[dict]:
+    """The spans (in order) that lie in runs of neighbours with ``least`` bytes or more."""
+    kept: list[dict] = []
+    first = 0
+    spans = spans or []
+    for k, span in enumerate(spans):
+        if k + 1 == len(spans) or spans[k + 1]["start"] != span["start"] + span["size"]:
+            if span["start"] + span["size"] - spans[first]["start"] >= least:
+                kept += spans[first : k + 1]
+            first = k + 1
+    return kept
+
+
+def _without(text: str | None, spans: list[dict]) -> str | None:
     if not spans or text is None:
         return text
     raw, out, at = text.encode(), [], 0
@@ -160,26 +176,34 @@ def _without(text: str | None, spans: list[dict] | None) -> str | None:
     return b"".join([*out, raw[at:]]).decode()
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """``docs`` with repeated chunks taken out of ``text``, plus removed_spans (byte start and size) of each row."""
     taken = {c.lower() for c in docs.columns}
-    spans_col = "removed_spans"
-    while spans_col in taken:
-        spans_col = f"dedup_{spans_col}"
-    spans = repeated_spans(docs).select(F.col("doc_id").alias("_span_id"), F.col("version").alias("_version"), F.col("spans").alias(spans_col))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_span_id")) & (F.crc32(F.col("text").cast("binary")) == F.col("_version"))
-    joined = docs.join(spans, same, "left").drop("_span_id", "_version")
+
+    def free(name: str) -> str:
+        while name in taken:
+            name = f"dedup_{name}"
+        taken.add(name)
+        return name
+
+    spans_col, id_col, version_col = free("removed_spans"), free("span_id"), free("span_version")
+    spans = repeated_spans(docs).select(F.col("doc_id").alias(id_col), F.col("version").alias(version_col), F.col("spans").alias(spans_col))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_col)) & (F.crc32(F.col("text").cast("binary")) == F.col(version_col))
+    joined = docs.join(spans, same, "left").drop(id_col, version_col)
     names = joined.columns
     at_text, at_spans = names.index("text"), names.index(spans_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [_without(t, s) for t, s in zip(batch.column(at_text).to_pylist(), batch.column(at_spans).to_pylist())]
+            held = [runs(s, min_run) if s else None for s in batch.column(at_spans).to_pylist()]
             columns = list(batch.columns)
-            columns[at_text] = pa.array(texts, batch.schema.field(at_text).type)
+            columns[at_spans] = pa.array([s or None for s in held], batch.schema.field(at_spans).type)
+            if any(held):
+                texts = [_without(t, s) if s else t for t, s in zip(batch.column(at_text).to_pylist(), held)]
+                columns[at_text] = pa.array(texts, batch.schema.field(at_text).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return joined.mapInArrow(run, joined.schema)
+    return joined.mapInArrow(tidy(run), joined.schema)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
