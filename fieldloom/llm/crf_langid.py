@@ -6,13 +6,13 @@ are learned with them by maximising the conditional likelihood (forward-backward
 forward-backward algorithm gives every word's label distribution; a document's language is the label with the largest
 mean probability over its words, and that mean is the score.
 
-Training uses a bounded sample: at most ``per_label`` labelled documents of each of the ``max_labels`` most
-frequent labels (chosen by a hash of the id), and of each at most ``words_per_doc`` words from a hashed place. Runs of
-different documents are joined to chains, so that transitions between languages are seen. The model (hash
-table, lexicons, transitions) has a fixed size and is broadcast. Prediction reads every whole text where it lies and
+Training uses whole texts of a bounded sample: of every label the ``per_label`` labelled documents with the smallest hash of
+the id. Runs of words of one line, from different documents, are joined to chains, so that transitions between languages are
+seen. Every label is learned; the model (hash table, lexicons, transitions) has a fixed size for up to ``WIDE`` labels, and with
+more labels a smaller table of features for each. It is broadcast. Prediction reads every whole text where it lies and
 shuffles nothing.
 
-Cases: null text, or one without letters: ``und`` with score 0; no labelled documents: all ``und``; one label: that
+Cases: null text, or one without letters (Unicode category L; ``½`` and ``Ⅷ`` are none): ``und`` with score 0; no labelled documents: all ``und``; one label: that
 label wherever there is a letter; ties go to the smaller label; a word of any length has all its n-grams; repeated rows are
 predicted each; an empty table gives no rows; a null id counts as not held out; extra columns pass through ``identify``.
 """
@@ -20,6 +20,7 @@ predicted each; an empty table gives no rows; a null id counts as not held out;
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -28,22 +29,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from fieldloom.llm.common import random_table, splitmix
+from fieldloom.llm.common import bounded_batches, random_table, splitmix, tidy
 
-#: Words are runs of letters; a line end closes a chain.
+#: Words are runs of word characters other than decimal digits and ``_`` with a letter in them; a line end closes a chain.
 TOKENS = re.compile(r"[^\W\d_]+|\n")
-#: Bounds of the training sample.
-PER_LABEL, MAX_LABELS, WORDS_PER_DOC = 400, 64, 300
-#: Rows of the hashed feature table.
-BUCKETS = 1 << 16
+#: Documents of each label in the training sample.
+PER_LABEL = 200
+#: Rows of the hashed feature table, and labels up to which it has so many.
+BUCKETS, WIDE = 1 << 16, 64
 #: Frequent words kept per label.
 LEXICON = 400
 #: Words per training chain segment of one document, and segments per chain.
 SEGMENT, SEGMENTS = 12, 3
 EPOCHS, RATE, DECAY = 25, 0.5, 1e-6
 #: Distinct words kept in one task's cache; when it is full it starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 #: Words in one run of the forward-backward algorithm.
 CHAIN_WORDS = 100_000
 UNKNOWN = "und"
@@ -51,6 +53,19 @@ UNKNOWN = "und"
 _ROW_SEEDS = random_table(16, 71)
 
 
+def tokens(text: str) -> list[str]:
+    """Lower-cased words, and the line ends between them."""
+    found = TOKENS.findall(text.lower())
+    if not text.isascii():
+        found = [w for w in found if w == "\n" or w.isalpha() or any(map(str.isalpha, w))]
+    return found
+
+
+def buckets_for(labels: int) -> int:
+    """Rows of the feature table, a power of two."""
+    return BUCKETS if labels <= WIDE else max(1 << 10, 1 << (BUCKETS * WIDE // labels).bit_length() - 1)
+
+
 def _char_matrix(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(word numbers, characters padded by 0 with one mark at both ends, lengths) for words of like length."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
@@ -113,6 +128,7 @@ class Crf:
         out = np.tile(self.bias, (len(words), 1)).astype(np.float32)
         count = np.ones(len(words), np.float32)
         for rows, buckets, _ in features(words):
+            buckets = buckets & (len(self.weights) - 1)
             for label in range(len(self.labels)):
                 out[:, label] += np.bincount(rows, self.weights[buckets, label], len(words)).astype(np.float32)
             count += np.bincount(rows, minlength=len(words))
@@ -177,17 +193,19 @@ def train(samples: list[tuple[str, str]], epochs: int = EPOCHS) -> Crf:
     counts = [Counter() for _ in labels]
     runs: list[tuple[int, list[str]]] = []
     for text, label in samples:
-        found = [w for w in TOKENS.findall(text.lower()) if w != "\n"]
-        counts[number[label]].update(found)
-        runs += [(number[label], found[k : k + SEGMENT]) for k in range(0, len(found), SEGMENT)]
+        for line in text.split("\n"):
+            found = [w for w in tokens(line) if w != "\n"]
+            counts[number[label]].update(found)
+            runs += [(number[label], found[k : k + SEGMENT]) for k in range(0, len(found), SEGMENT)]
     n = len(labels)
     lexicon: dict[str, int] = {}
     for k, counter in enumerate(counts):
         for word, _ in sorted(counter.items(), key=lambda x: (-x[1], x[0]))[:LEXICON]:
             lexicon[word] = lexicon.get(word, 0) | 1 << k
+    size = buckets_for(n)
     vocabulary = sorted(set().union(*counts))
     index = {w: k for k, w in enumerate(vocabulary)}
-    model = Crf(labels, np.zeros((BUCKETS, n), np.float32), np.zeros(n, np.float32), np.zeros((n, n), np.float32), lexicon, np.zeros((n, n), np.float32))
+    model = Crf(labels, np.zeros((size, n), np.float32), np.zeros(n, np.float32), np.zeros((n, n), np.float32), lexicon, np.zeros((n, n), np.float32))
     if not runs or n == 1:
         return model
     # chains: documents in a fixed random order, SEGMENTS runs each
@@ -198,7 +216,7 @@ def train(samples: list[tuple[str, str]], epochs: int = EPOCHS) -> Crf:
     sizes = np.array([len(run) for _, run in runs])
     lengths = np.add.reduceat(sizes, np.arange(0, len(sizes), SEGMENTS))
     parts = [(r, b) for r, b, _ in features(vocabulary)]
-    row, bucket = np.concatenate([r for r, _ in parts]), np.concatenate([b for _, b in parts])
+    row, bucket = np.concatenate([r for r, _ in parts]), np.concatenate([b for _, b in parts]) & (size - 1)
     norm = 1 / np.sqrt(1.0 + np.bincount(row, minlength=len(vocabulary)))
     member = np.array([[lexicon.get(w, 0) >> k & 1 for k in range(n)] for w in vocabulary], np.float64)
     inside = np.ones(len(words), bool)
@@ -209,7 +227,7 @@ def train(samples: list[tuple[str, str]], epochs: int = EPOCHS) -> Crf:
     gold_words = np.zeros((len(vocabulary), n))
     np.add.at(gold_words, (words, gold), 1)
     total = len(words)
-    params = [np.zeros((BUCKETS, n)), np.zeros(n), np.zeros((n, n)), np.zeros((n, n))]
+    params = [np.zeros((size, n)), np.zeros(n), np.zeros((n, n)), np.zeros((n, n))]
     squares = [np.full_like(p, 1e-8) for p in params]
     for _ in range(epochs):
         weights, bias, moves, lex = params
@@ -220,7 +238,7 @@ def train(samples: list[tuple[str, str]], epochs: int = EPOCHS) -> Crf:
         error /= total
         scaled = error * norm[:, None]
         grads = [
-            np.stack([np.bincount(bucket, scaled[row, k], BUCKETS) for k in range(n)], axis=1) - DECAY * weights,
+            np.stack([np.bincount(bucket, scaled[row, k], size) for k in range(n)], axis=1) - DECAY * weights,
             scaled.sum(axis=0),
             (gold_moves - expected) / total - DECAY * moves,
             member.T @ error - DECAY * lex,
@@ -240,25 +258,25 @@ class Labeller:
         self.known: dict[str, int] = {"\n": -1}
         self.scores = np.zeros((0, len(model.labels)), np.float32)
 
-    def _numbers(self, tokens: list[list[str]]) -> list[np.ndarray]:
-        fresh = set().union(*tokens) - self.known.keys()
+    def _numbers(self, texts: list[list[str]]) -> list[np.ndarray]:
+        fresh = set().union(*texts) - self.known.keys()
         if len(self.known) + len(fresh) > CACHE_WORDS:
             self.known, self.scores = {"\n": -1}, self.scores[:0]
-            fresh = set().union(*tokens) - self.known.keys()
+            fresh = set().union(*texts) - self.known.keys()
         new = sorted(fresh)
         self.known.update(zip(new, range(len(self.scores), len(self.scores) + len(new))))
         if new:
             self.scores = np.concatenate([self.scores, self.model.emissions(new)])
         get = self.known.__getitem__
-        return [np.fromiter(map(get, t), np.int64, len(t)) for t in tokens]
+        return [np.fromiter(map(get, t), np.int64, len(t)) for t in texts]
 
     def word_labels(self, text: str | None) -> list[tuple[str, str, float]]:
         """(word, label, probability) of every word of a text."""
-        tokens = TOKENS.findall((text or "").lower())
-        words = [t for t in tokens if t != "\n"]
+        found = tokens(text or "")
+        words = [t for t in found if t != "\n"]
         if not words or not self.model.labels:
             return [(w, UNKNOWN, 0.0) for w in words]
-        numbers = self._numbers([tokens])[0]
+        numbers = self._numbers([found])[0]
         post = self._marginals(numbers)
         best = post.argmax(axis=1)
         return [(w, self.model.labels[k], float(p[k])) for w, k, p in zip(words, best, post)]
@@ -277,11 +295,11 @@ class Labeller:
         held: list[list[str]] = []
         size = 0
         for k, text in enumerate(texts):
-            tokens = TOKENS.findall(text.lower()) if text else []
-            tokens.append("\n")
+            found = tokens(text) if text else []
+            found.append("\n")
             batch.append(k)
-            held.append(tokens)
-            size += len(tokens)
+            held.append(found)
+            size += len(found)
             if size >= CHAIN_WORDS:
                 self._flush(batch, held, labels, values)
                 batch, held, size = [], [], 0
@@ -309,31 +327,21 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, per_label: int = PER_LABEL, max_labels: int = MAX_LABELS) -> Crf:
+def fit(docs: DataFrame, per_label: int = PER_LABEL) -> Crf:
     """Train on a bounded sample of the documents (doc_id, text, lang) that are not held out."""
     known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = known.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(max_labels).collect()
-    if not counts:
-        return Crf([])
-    picked = F.lit(False)
-    for row in counts:
-        share = min(1_000_000, int(per_label / row["count"] * 1_000_000) + 1)
-        picked = picked | ((F.col("lang") == row["lang"]) & (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < share))
-    words = F.split(F.trim(F.col("text")), r"\s+")
-    room = F.greatest(F.size(words) - WORDS_PER_DOC, F.lit(0))
-    at = F.pmod(F.xxhash64("doc_id", F.lit(6)), room + 1).cast("int") + 1
-    rows = (
-        known.filter(picked)
-        .select("lang", F.array_join(F.slice(words, at, WORDS_PER_DOC), " ").alias("sample"), F.xxhash64("doc_id", F.lit(7)).alias("at"))
-        .limit(2 * per_label * len(counts))
-        .collect()
-    )
-    rows.sort(key=lambda r: (r["at"], r["lang"], r["sample"]))
+    # ids first: each task keeps its per_label smallest hashes of a label, and no text moves
+    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id")
+    picked = known.select("doc_id", "lang").withColumn("place", F.row_number().over(by_hash)).filter(F.col("place") <= per_label).select("doc_id", "lang").distinct()
+    # at most per_label rows a label; of repeated ids the smallest text
+    rows = known.join(F.broadcast(picked), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("sample")).collect()
+    rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["lang"], r["sample"]))
     return train([(r["sample"], r["lang"]) for r in rows])
 
 
 def identify(docs: DataFrame, model: Crf, text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score (prefixed by ``crf_`` where the input has such columns)."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = []
     for name in ("lang_pred", "score"):
@@ -356,7 +364,7 @@ def identify(docs: DataFrame, model: Crf, text_col: str = "text") -> DataFrame:
     schema = docs.schema
     for name, kind in zip(names, ("string", "double")):
         schema = type(schema)([*schema.fields]).add(name, kind)
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
