@@ -2,14 +2,15 @@
 
 The content view is a logistic model on a text's tokens (each hashed as itself and by its shape, averaged over the
 text, with the share of tokens that repeat their predecessor); the metadata view is one on the page's language, source,
-length and line layout. Both start from a labelled sample. In each round a view marks the documents of an
-unlabelled pool that it is most sure of, and they join the other view's training set as pseudo-labels. At the
-end each view is calibrated (Platt) on labelled documents kept out of its training, and a logistic model of both
-calibrated scores gives the score of every document; those below ``threshold`` are not kept.
+length and line layout. Both start from a labelled sample. In each round both views score the unlabelled pool where its
+vectors lie, and of each class the ``PER_ROUND`` documents that a view is most sure of join the other view's training set as
+pseudo-labels. At the end each view is calibrated (Platt) on labelled documents kept out of its training, and a logistic model
+of both calibrated scores gives the score of every document; those below ``threshold`` are not kept.
 
-Training uses bounded samples: at most ``max_labelled`` labelled and ``max_pool`` unlabelled documents, chosen by a hash of the
-id. Executors turn them into sparse vectors; the driver fits on these. The model has a fixed size and is broadcast;
-scoring reads every whole text where it lies and shuffles nothing.
+The labelled sample is bounded: the ``max_labelled`` labels with the smallest hash of their id. The pool is not: it is the
+share ``POOL_SHARE`` of all unlabelled documents (by hash of the id), so it grows with the input. Executors turn texts into sparse vectors where they lie and keep the pool's as a stored table; each task hands its own most
+confident rows to a ranking, so the driver gets no more than the pseudo-labels of a round, and fits on them and the labelled sample.
+The model has a fixed size and is broadcast; scoring reads every whole text where it lies and shuffles nothing.
 
 Cases: null or empty text: no tokens, the content view gives its prior; null language, source or length are values of
 their own; several labels of one id: their mean, 0.5 counting as good; null labels are ignored; no labels: score 0.5; labels
@@ -22,17 +23,18 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from fieldloom.llm.common import hashed_fraction
+from fieldloom.llm.common import bounded_batches, hashed_fraction, stored, tidy
 
-MAX_LABELLED, MAX_POOL = 3000, 2000
+MAX_LABELLED, POOL_SHARE = 3000, 0.25
 #: Rounds, and pseudo-labels of each class that a view may hand over per round, and how sure it must be.
 ROUNDS, PER_ROUND, CONFIDENT = 3, 150, 0.97
 BUCKETS = 1 << 18
@@ -40,7 +42,7 @@ META_BUCKETS = 1 << 12
 SCALE = 10.0
 EPOCHS, RATE, DECAY = 60, 0.3, 1e-4
 THRESHOLD = 0.5
-CACHE_TOKENS = 300_000
+CACHE_TOKENS = 150_000
 
 _SHAPE = {**{c: "A" for c in range(65, 91)}, **{c: "a" for c in range(97, 123)}, **{c: "9" for c in range(48, 58)}}
 _RUNS = re.compile(r"(.)\1+", re.S)
@@ -169,85 +171,150 @@ class Model:
         return _sigmoid(a), _sigmoid(b), _sigmoid(np.clip(a, -10, 10) * self.stack[0] + np.clip(b, -10, 10) * self.stack[1] + self.stack[2])
 
 
-def co_train(text: Sparse, meta: Sparse, labels: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """Fit on rows whose label is 1, 0 or -1 (unlabelled); every third labelled row calibrates."""
-    known = np.flatnonzero(labels >= 0)
-    if not len(known):
+def _raw(view: Sparse, fitted: tuple[np.ndarray, float]) -> np.ndarray:
+    return view.dot(fitted[0]) + fitted[1]
+
+
+@dataclass
+class Marked:
+    """Rows of the driver: both vectors and the label that each view is trained with (-1: not with this row)."""
+
+    text: list
+    meta: list
+    labels: list[list[int]]
+
+    def views(self) -> tuple[Sparse, Sparse]:
+        return Sparse.of(self.text), Sparse.of(self.meta)
+
+
+Teach = Callable[[list[tuple[np.ndarray, float]], list[np.ndarray]], list[tuple[int, int, tuple, tuple]]]
+
+
+def co_train(text: list, meta: list, labels: np.ndarray, teach: Teach, rounds: int = ROUNDS) -> Model:
+    """Fit on labelled rows (1 or 0), every third of a class for calibration, and on what ``teach`` finds in the pool.
+
+    ``teach(fitted, platt)`` gives (view that learns, label, text vector, metadata vector) of the round's most confident documents.
+    """
+    if not len(labels):
         return Model()
-    prior = float(labels[known].mean())
+    prior = float(labels.mean())
     if prior in (0.0, 1.0):
         return Model(prior)
     aside = np.zeros(len(labels), bool)
     for value in (0, 1):
-        rows = known[labels[known] == value]
-        aside[rows[2::3]] = True
-    views = [(text, BUCKETS + 1), (meta, META_BUCKETS)]
-    marks = [np.where(aside, -1, labels), np.where(aside, -1, labels)]
+        aside[np.flatnonzero(labels == value)[2::3]] = True
+    own = np.where(aside, -1, labels).tolist()
+    rows = Marked(list(text), list(meta), [list(own), list(own)])
+    ground = aside if len(set(labels[aside])) == 2 else np.ones(len(labels), bool)
+    truth = labels[ground].astype(float)
     model = Model(prior)
     for turn in range(rounds + 1):
-        fitted = [fit_logistic(x, np.maximum(m, 0), m >= 0, width) for (x, width), m in zip(views, marks)]
-        raw = [x.dot(w) + b for (x, _), (w, b) in zip(views, fitted)]
-        ground = aside if len(set(labels[aside])) == 2 else labels >= 0
-        platt = [fit_dense([r[ground]], labels[ground].astype(float)) for r in raw]
+        marks = [np.array(x) for x in rows.labels]
+        views = rows.views()
+        fitted = [fit_logistic(x, np.maximum(m, 0), m >= 0, width) for x, m, width in zip(views, marks, (BUCKETS + 1, META_BUCKETS))]
+        raw = [_raw(x, f)[: len(labels)][ground] for x, f in zip(views, fitted)]
+        platt = [fit_dense([r], truth) for r in raw]
         if turn == rounds:
             break
-        sure = [_sigmoid(r * p[0] + p[1]) for r, p in zip(raw, platt)]
         given = [0, 0]
-        for teacher, pupil in ((0, 1), (1, 0)):
-            free = (marks[pupil] < 0) & ~aside
-            for value, score in ((1, sure[teacher]), (0, 1 - sure[teacher])):
-                best = np.flatnonzero(free & (score >= CONFIDENT))
-                best = best[np.argsort(-score[best], kind="stable")][:PER_ROUND]
-                marks[pupil][best] = value
-                given[teacher] += len(best)
+        for pupil, value, t, m in teach(fitted, platt):
+            rows.text.append(t)
+            rows.meta.append(m)
+            rows.labels[pupil].append(value)
+            rows.labels[1 - pupil].append(-1)
+            given[1 - pupil] += 1
         model.history.append((given[0], given[1]))
     model.text, model.meta = fitted
     model.platt = platt[0], platt[1]
-    logits = [np.clip(r[ground] * p[0] + p[1], -10, 10) for r, p in zip(raw, platt)]
-    model.stack = fit_dense(logits, labels[ground].astype(float))
+    logits = [np.clip(r * p[0] + p[1], -10, 10) for r, p in zip(raw, platt)]
+    model.stack = fit_dense(logits, truth)
     return model
 
 
 # --- Spark jobs ----------------------------------------------------------------------------------
 
-_VECTORS = "label double, cols array<int>, vals array<float>, meta array<int>"
+_VECTORS = pa.schema([("key", pa.int64()), ("label", pa.float64()), ("cols", pa.list_(pa.int32())), ("vals", pa.list_(pa.float32())), ("meta", pa.list_(pa.int32()))])
+_VECTORS_DDL = "key long, label double, cols array<int>, vals array<float>, meta array<int>"
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("label", pa.float64()), ("cols", pa.list_(pa.int32())), ("vals", pa.list_(pa.float32())), ("meta", pa.list_(pa.int32()))])
+    """Both vectors of (text, lang, source, n_chars, label, key) rows."""
     for batch in batches:
-        text, lang, source, n_chars, label = (batch.column(k).to_pylist() for k in range(5))
+        text, lang, source, n_chars = (batch.column(k).to_pylist() for k in range(4))
         found = [text_vector(t) for t in text]
         meta = [meta_buckets(*x) for x in zip(lang, source, n_chars, text)]
+        kinds = _VECTORS.types
         yield pa.RecordBatch.from_arrays(
-            [pa.array(label, pa.float64()), pa.array([c for c, _ in found], schema.field(1).type), pa.array([v for _, v in found], schema.field(2).type), pa.array(meta, schema.field(3).type)],
-            schema=schema,
+            [batch.column(5), batch.column(4), pa.array([c for c, _ in found], kinds[2]), pa.array([v for _, v in found], kinds[3]), pa.array(meta, kinds[4])], schema=_VECTORS
         )
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL, rounds: int = ROUNDS) -> Model:
-    """Co-train on bounded samples of documents (doc_id, text, lang, source, n_chars) and labels (doc_id, quality)."""
-    docs = docs.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
+_SURE = pa.schema([("pupil", pa.int32()), ("value", pa.int32()), ("score", pa.float64()), *((f.name, f.type) for f in _VECTORS if f.name != "label")])
+_SURE_DDL = "pupil int, value int, score double, key long, cols array<int>, vals array<float>, meta array<int>"
+
+
+def _most_confident(pool: DataFrame, fitted: list, platt: list, taken: tuple[set[int], set[int]]) -> list:
+    """The round's (pupil, value, score, key, cols, vals, meta) rows: ``PER_ROUND`` of each view and class, in order."""
+    shared = pool.sparkSession.sparkContext.broadcast((fitted, platt, taken))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (text_fit, meta_fit), (text_platt, meta_platt), known = shared.value
+        best: dict[tuple[int, int], list] = {(pupil, value): [] for pupil in (0, 1) for value in (0, 1)}
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            keys = batch.column(0).to_pylist()
+            cols, vals, metas = batch.column(2), batch.column(3), batch.column(4)
+            sums = np.zeros(n)
+            owner = np.repeat(np.arange(n), np.asarray(cols.value_lengths()))
+            np.add.at(sums, owner, text_fit[0][np.asarray(cols.flatten())] * np.asarray(vals.flatten()))
+            meta_owner = np.repeat(np.arange(n), np.asarray(metas.value_lengths()))
+            raws = (sums + text_fit[1], np.bincount(meta_owner, meta_fit[0][np.asarray(metas.flatten())], n) + meta_fit[1])
+            sure = [_sigmoid(r * p[0] + p[1]) for r, p in zip(raws, (text_platt, meta_platt))]
+            for (pupil, value), held in best.items():
+                score = sure[1 - pupil] if value else 1 - sure[1 - pupil]
+                rows = [k for k in np.flatnonzero(score >= CONFIDENT).tolist() if keys[k] not in known[pupil]]
+                rows = sorted(rows, key=lambda k: (-score[k], keys[k]))[:PER_ROUND]
+                held += [(float(score[k]), keys[k], cols[k].as_py(), vals[k].as_py(), metas[k].as_py()) for k in rows]
+                held.sort(key=lambda r: (-r[0], r[1]))
+                del held[PER_ROUND:]
+        rows = [(pupil, value, *r) for (pupil, value), held in best.items() for r in held]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _SURE.types)], schema=_SURE)
+
+    found = pool.mapInArrow(tidy(run), _SURE_DDL)
+    order = Window.partitionBy("pupil", "value").orderBy(F.col("score").desc(), "key")
+    rows = found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= PER_ROUND).collect()
+    shared.destroy()
+    return sorted(rows, key=lambda r: (r["pupil"], r["value"], r["place"]))
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, pool_share: float = POOL_SHARE, rounds: int = ROUNDS) -> Model:
+    """Co-train on documents (doc_id, text, lang, source, n_chars) and labels (doc_id, quality)."""
+    bounded_batches(docs.sparkSession)
+    docs = docs.select("text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"), "doc_id")
     marks = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("label"))
-    n_labels = labels.select("doc_id").count()
-    n_docs = docs.select("doc_id").count()
-    # at most about max_labelled rows, so the broadcast is bounded whatever the tables' sizes
-    some = hashed_fraction(marks, "doc_id", max_labelled / max(1, n_labels), 21).limit(2 * max_labelled)
-    known = docs.join(F.broadcast(some), "doc_id")
-    pool = hashed_fraction(docs, "doc_id", (max_pool + max_labelled) / max(1, n_docs), 22).limit(2 * (max_pool + max_labelled))
-    ids = pool.select("doc_id").distinct()
-    labelled_ids = marks.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id")
-    free = pool.join(labelled_ids, "doc_id", "left_anti").withColumn("label", F.lit(-1.0)).limit(max_pool)
-    names = ["text", "lang", "source", "n_chars", "label"]
-    rows = known.select(*names).limit(2 * max_labelled).unionByName(free.select(*names))
-    found = rows.mapInArrow(_vectors, _VECTORS).toArrow()
-    vectors = list(zip(found["cols"].to_pylist(), found["vals"].to_pylist()))
+    # a bounded table, whatever the number of labels
+    some = stored(marks.orderBy(F.xxhash64("doc_id", F.lit(21)), "doc_id").limit(max_labelled), "labelled-sample")
+    key = F.xxhash64("doc_id", "text", "lang", "source", "n_chars").alias("key")
+    names = ["text", "lang", "source", "n_chars", "label", key]
+    known = docs.join(F.broadcast(some), "doc_id").select(*names).mapInArrow(tidy(_vectors), _VECTORS_DDL)
+    # rows of one id may be many: of equal rows one is enough
+    found = known.groupBy("key").agg(*[F.first(c).alias(c) for c in ("label", "cols", "vals", "meta")]).orderBy("key").limit(2 * max_labelled).toArrow()
+    free = hashed_fraction(docs, "doc_id", pool_share, 22).join(marks.select("doc_id"), "doc_id", "left_anti").withColumn("label", F.lit(-1.0))
+    pool = stored(free.select(*names).mapInArrow(tidy(_vectors), _VECTORS_DDL), "pool")
+    taken: tuple[set[int], set[int]] = (set(), set())
+
+    def teach(fitted: list, platt: list) -> list:
+        rows = _most_confident(pool, fitted, platt, taken)
+        for r in rows:
+            taken[r["pupil"]].add(r["key"])
+        return [(r["pupil"], r["value"], (r["cols"], r["vals"]), (r["meta"], [1.0] * len(r["meta"]))) for r in rows]
+
+    text = list(zip(found["cols"].to_pylist(), found["vals"].to_pylist()))
     meta = [(m, [1.0] * len(m)) for m in found["meta"].to_pylist()]
-    y = np.asarray(found["label"]).astype(int)
-    # one order whatever the partitions
-    keys = [zlib.crc32(repr((c[:8], m)).encode()) for (c, _), (m, _) in zip(vectors, meta)]
-    order = np.lexsort((keys, y))
-    return co_train(Sparse.of([vectors[k] for k in order]), Sparse.of([meta[k] for k in order]), y[order], rounds)
+    return co_train(text, meta, np.asarray(found["label"]).astype(int), teach, rounds)
 
 
 class Scorer:
@@ -290,6 +357,7 @@ class Scorer:
 
 def classify(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with p_text, p_meta, quality_score and kept (prefixed by ``cot_`` where the input has such columns)."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = []
     for name in ("p_text", "p_meta", "quality_score", "kept"):
@@ -309,7 +377,7 @@ def classify(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Dat
     schema = type(docs.schema)([*docs.schema.fields])
     for name, kind in zip(names, ("double", "double", "double", "boolean")):
         schema = schema.add(name, kind)
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
