@@ -35,13 +35,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each component at five words and 0.8.
 
-    Rows without an id are not judged; of rows with one id, one stays.
+    Rows without an id are not judged. Where several rows have the id that stays, each of their different texts stays once, with the
+    smallest of its other columns. Ids are joined, not texts: those that stay are a stored table of which Spark knows the size.
     """
     docs = docs.select(*COLUMNS)
     found = jaccard_join.jaccard_components(docs, n=5, percent=80)
-    first = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull())).select(*COLUMNS)
+    first = stored(found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n")), "kept-ids")
+    once = docs.join(first.filter("n = 1").select("doc_id"), "doc_id", "left_semi")
+    many = docs.join(first.filter("n > 1").select("doc_id"), "doc_id", "left_semi")
+    many = many.groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("rest")).select("doc_id", "text", "rest.*")
+    return once.select(*COLUMNS).unionByName(many.select(*COLUMNS)).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
