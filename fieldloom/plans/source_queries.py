@@ -164,11 +164,11 @@ def ui_schemas(spark, sf_dir):
     return sinks.to_ui_schema(_named(spark, sf_dir), "doc", ["o"], "code", "kind")
 
 
-@register("unified_exports", f"""WITH {CANDIDATES}, p AS (SELECT 'g' || (ordinal % 9) AS "group", arg_min(code, (doc, ordinal)) AS code, array_to_string(list_sort(list_distinct(list(family))), ',') AS families, round(avg(conf), 4) AS confidence FROM cand GROUP BY 1)
+@register("unified_exports", f"""WITH {CANDIDATES}, p AS (SELECT 'g' || (ordinal % 9) AS "group", arg_min(code, (doc, ordinal)) AS code, array_to_string(list_sort(list_distinct(list(family))), ',') AS families, floor(round(avg(conf), 6) * 1000 + 0.5001) / 1000 AS confidence FROM cand GROUP BY 1)
 SELECT "group", '<' || code || ' group="' || "group" || '" families="' || families || '"/>' AS xml, '{{"code":"' || code || '","families":["' || replace(families, ',', '","') || '"],"confidence":' || CAST(confidence AS VARCHAR) || '}}' AS schema FROM p""")
 def unified_exports(spark, sf_dir):
     c = candidates(spark, sf_dir).withColumn("group", F.concat(F.lit("g"), (F.col("ordinal") % 9).cast("string")))
-    profiles = fusion(c, "group", "doc", "family", "code", ["conf"], ["doc", "ordinal"]).select("group", F.col("canonical").alias("code"), "families", F.round("conf", 4).alias("confidence"))
+    profiles = fusion(c, "group", "doc", "family", "code", ["conf"], ["doc", "ordinal"]).select("group", F.col("canonical").alias("code"), "families", (F.floor(F.col("conf") * 1000 + 0.5001) / 1000).alias("confidence"))
     return sinks.unified_exports(profiles)
 
 
