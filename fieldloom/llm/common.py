@@ -48,15 +48,37 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(value))
 
 
+#: Spark's own setting that removes an execution's shuffle files at its end.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again.
 
-    Cuts lineage so that the loss of an executor never recomputes what lies before.
+    Cuts lineage so that the loss of an executor never recomputes what lies before. The write's shuffle files go with it, as nothing
+    reads them again. (That setting is the session's: a query that runs beside this write may lose its shuffle files at its own end
+    too, which changes no result.)
     """
-    bounded_batches(df.sparkSession)
-    path = f"{shared_dir(df.sparkSession)}/fieldloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    bounded_batches(spark)
+    path = f"{shared_dir(spark)}/fieldloom/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete the files of stored tables that nothing reads any more (what was made of them is stored itself)."""
+    for table_ in tables:
+        jvm = table_.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table_.stored_path)
+        path.getFileSystem(table_.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def small(df: DataFrame, most: int = 10_000) -> DataFrame:

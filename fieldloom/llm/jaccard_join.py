@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldloom.llm.common import random_table, slices, splitmix, stored, tidy, utf8
+from fieldloom.llm.common import dropped, random_table, slices, small, splitmix, stored, tidy, utf8
 
 #: Cells of the frequency sketch, and of one shuffled slice of it.
 SKETCH_CELLS, SLICE_CELLS = 1 << 22, 1 << 16
@@ -335,7 +335,9 @@ def _verified(close: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
     asked = stored(ends.distinct(), "asked")
     sets = stored(docs.join(asked, "doc_id").select("doc_id", "text", "cls").mapInArrow(tidy(_sets(n)), "node long, cls long, grams binary").dropDuplicates(["node", "cls"]), "sets")
     joined = close.join(side(sets, "a", ca="cls", ga="grams"), ["a", "ca"]).join(side(sets, "b", cb="cls", gb="grams"), ["b", "cb"])
-    return joined.select("a", "b", "ga", "gb").mapInArrow(tidy(_verify(percent)), "a long, b long").distinct()
+    links = stored(joined.select("a", "b", "ga", "gb").mapInArrow(tidy(_verify(percent)), "a long, b long").distinct(), "verified")
+    dropped(asked, sets)
+    return links
 
 
 def _close(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
@@ -411,18 +413,19 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, cells: in
     placed = {name: F.lag("gram", k).over(own.orderBy("pos")) for k, name in enumerate(_BEFORE, 1)}
     shared = prefixes.join(several, "gram").join(reps, "cls").dropDuplicates(["cls", "gram"])
     lists = stored(shared.withColumns({**placed, "lists": F.count("*").over(own), "comp": F.col("node")}), "lists")
+    dropped(prefixes)
     chosen = lists.select("node", "cls").distinct()
     drawn = found.select(F.col("doc_id").alias("node"), F.col("d1").alias("cls"), F.col("n").cast("int").alias("size"), "parity").join(chosen, ["node", "cls"], "left_semi").dropDuplicates(["node", "cls"])
     signatures = stored(drawn.mapInArrow(_with_folds, "node long, cls long, size int, parity binary, " + ", ".join(f"{p} long" for p in _FOLDED)), "signatures")
 
     seen: list[DataFrame] = []
-    roots = signatures.select("node", F.col("node").alias("root")).filter("false")
+    roots = docs.sparkSession.createDataFrame([], "node long, root long")
     rest = lists
     for turn in range(STAR_TURNS + 1):
         hubs = stored(_hubs(rest), "hubs")
         if hubs.isEmpty():
             break
-        opened = rest.join(hubs, "gram")
+        opened = rest.join(small(hubs), "gram")
         pairs = _star(opened, percent) if turn < STAR_TURNS else _all_pairs(opened, signatures, percent)
         close = stored(_without(_close(pairs, signatures, percent), seen), "close")
         if not close.isEmpty():
@@ -431,7 +434,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, cells: in
             seen.append(close)
         if turn < STAR_TURNS:
             left = opened.filter("node <> hub.node or cls <> hub.cls").drop("hub", "comp").join(roots, "node", "left")
-            rest = stored(left.withColumn("comp", F.coalesce("root", "node")).drop("root"), "open-lists")
+            before, rest = rest, stored(left.withColumn("comp", F.coalesce("root", "node")).drop("root"), "open-lists")
+            dropped(before)
+    dropped(signatures, rest)
     named_classes = classes.join(roots, classes["rep"] == roots["node"], "left").select("d1", "d2", F.coalesce("root", "rep").alias("comp"))
     out = found.drop("parity").join(named_classes, ["d1", "d2"], "left")
     name = F.when((F.col("n") > 0) | F.col("doc_id").isNull(), F.col("comp")).otherwise(F.col("doc_id"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import random_table, slices, stored, tidy, utf8
+from fieldloom.llm.common import dropped, random_table, slices, stored, tidy, utf8
 
 MIN_BYTES, MAX_BYTES = 32, 512
 #: Least bytes of neighbouring copies that are removed.
@@ -150,7 +150,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     spans = spans.unionByName(
         marked.filter("hot_first is null").join(cold, ["high", "low"]).filter(later(F.col("first"))).select("doc_id", "version", "start", "size")
     )
-    return spans.distinct().groupBy("doc_id", "version").agg(F.sort_array(F.collect_list(F.struct("start", "size"))).alias("spans"))
+    out = stored(spans.distinct().groupBy("doc_id", "version").agg(F.sort_array(F.collect_list(F.struct("start", "size"))).alias("spans")), "spans")
+    dropped(found, repeated)
+    return out
 
 
 def runs(spans: list[dict] | None, least: int) -> list[dict]:
