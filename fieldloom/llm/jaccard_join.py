@@ -46,7 +46,7 @@ from fieldloom.llm.common import dropped, random_table, slices, small, splitmix,
 SKETCH_CELLS, SLICE_CELLS = 1 << 22, 1 << 16
 #: Bits of a parity sketch: so many for each gram of the set or more, a power of two, at least as many as the folded
 #: sketch has that is compared while pairs are made, and at most the last number (beyond it the filter is weaker, not wrong).
-BITS_PER_GRAM, FOLDED_BITS, MAX_BITS = 4, 512, 1 << 20
+BITS_PER_GRAM, FOLDED_BITS, MAX_BITS = 2, 512, 1 << 20
 _FOLDED = [f"p{k}" for k in range(FOLDED_BITS // 64)]
 #: The grams that a set has in lists just before this one, in the common order.
 _BEFORE = ["before1", "before2"]
@@ -340,11 +340,19 @@ def _verified(close: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
     return links
 
 
-def _close(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
-    """The (a, ca, b, cb) pairs whose parity sketches leave enough room for the overlap."""
-    side = lambda k: signatures.select(F.col("node").alias(k), F.col("cls").alias(f"c{k}"), F.col("parity").alias(f"p{k}"), F.col("size").alias(f"n{k}"))
+def _close(pairs: DataFrame, signatures: DataFrame, seen: list[DataFrame], percent: int) -> DataFrame:
+    """The (a, ca, b, cb) pairs that were not verified before and whose parity sketches leave enough room for the overlap; a stored table.
+
+    The sketches of the pairs' documents are drawn first, so that few pairs shuffle no sketches of all documents.
+    """
+    pairs = stored(_without(pairs, seen), "pairs")
+    ends = pairs.select(F.col("a").alias("node"), F.col("ca").alias("cls")).unionByName(pairs.select(F.col("b").alias("node"), F.col("cb").alias("cls")))
+    drawn = stored(signatures.select("node", "cls", "size", "parity").join(ends.distinct(), ["node", "cls"], "left_semi"), "drawn")
+    side = lambda k: drawn.select(F.col("node").alias(k), F.col("cls").alias(f"c{k}"), F.col("parity").alias(f"p{k}"), F.col("size").alias(f"n{k}"))
     met = pairs.join(side("a"), ["a", "ca"]).join(side("b"), ["b", "cb"])
-    return met.select(*_PAIR, "pa", "pb", "na", "nb").mapInArrow(tidy(_suffix(percent)), _PAIR_DDL)
+    close = stored(met.select(*_PAIR, "pa", "pb", "na", "nb").mapInArrow(tidy(_suffix(percent)), _PAIR_DDL), "close")
+    dropped(pairs, drawn)
+    return close
 
 
 def _without(pairs: DataFrame, seen: list[DataFrame]) -> DataFrame:
@@ -407,13 +415,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, cells: in
     named = docs.filter("doc_id is not null")
     prefixes = stored(named.mapInArrow(tidy(_prefixes(n, percent, cells, levels)), "gram long, cls long, n int, pos int"), "prefixes")
     levels.destroy()
-    several = prefixes.groupBy("gram").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi").select("gram")
+    several = stored(prefixes.groupBy("gram").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi").select("gram"), "several")
     reps = classes.select(F.col("d1").alias("cls"), F.col("rep").alias("node"))
     own = Window.partitionBy("cls", "node")
     placed = {name: F.lag("gram", k).over(own.orderBy("pos")) for k, name in enumerate(_BEFORE, 1)}
     shared = prefixes.join(several, "gram").join(reps, "cls").dropDuplicates(["cls", "gram"])
     lists = stored(shared.withColumns({**placed, "lists": F.count("*").over(own), "comp": F.col("node")}), "lists")
-    dropped(prefixes)
+    dropped(prefixes, several)
     chosen = lists.select("node", "cls").distinct()
     drawn = found.select(F.col("doc_id").alias("node"), F.col("d1").alias("cls"), F.col("n").cast("int").alias("size"), "parity").join(chosen, ["node", "cls"], "left_semi").dropDuplicates(["node", "cls"])
     signatures = stored(drawn.mapInArrow(_with_folds, "node long, cls long, size int, parity binary, " + ", ".join(f"{p} long" for p in _FOLDED)), "signatures")
@@ -427,7 +435,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, cells: in
             break
         opened = rest.join(small(hubs), "gram")
         pairs = _star(opened, percent) if turn < STAR_TURNS else _all_pairs(opened, signatures, percent)
-        close = stored(_without(_close(pairs, signatures, percent), seen), "close")
+        close = _close(pairs, signatures, seen, percent)
         if not close.isEmpty():
             fresh = _verified(close, named, n, percent)
             roots = connected(fresh.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
