@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -129,6 +130,26 @@ def hashed_fraction(df: DataFrame, key: str, fraction: float, seed: int) -> Data
     return df.filter(cell < F.lit(int(fraction * 1_000_000) + 1))
 
 
+_ASCII_LOWER = {code: code + 32 for code in range(65, 91)}
+
+
+def ascii_lower(text: str) -> str:
+    """``text`` with A-Z, and nothing else, in lower case."""
+    return text.lower() if text.isascii() else text.translate(_ASCII_LOWER)
+
+
+def parts_of(text: str, beyond: re.Pattern, size: int = 1 << 20) -> Iterator[str]:
+    """``text`` in parts of ``size`` characters or some more, cut at characters that match ``beyond`` and so lie in no word."""
+    at = 0
+    while len(text) - at > size:
+        cut = beyond.search(text, at + size)
+        if cut is None:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
+
+
 MapArrow = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 

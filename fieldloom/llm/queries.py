@@ -10,6 +10,7 @@ from fieldloom.llm import (
     chat_template,
     cotraining,
     crf_langid,
+    divergence,
     jaccard_join,
     packing,
     quality_rules,
@@ -34,6 +35,7 @@ def queries() -> dict[str, Query]:
         "op8_url_filter": url_filter.op8_url_filter,
         "op9_jaccard_join": jaccard_join.op9_jaccard_join,
         "op10_sentencepiece": sentencepiece_codec.op10_sentencepiece,
+        "op12_divergence": divergence.op12_divergence,
     }
 
 
@@ -42,4 +44,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_topk": topk.OP1_SQL,
         "op5_chat_format": chat_template.OP5_SQL,
         "op8_url_filter": url_filter.OP8_SQL,
+        "op12_divergence": divergence.OP12_SQL,
     }
