@@ -18,6 +18,7 @@ from fieldloom.llm import (
     substring_dedup,
     topk,
     url_filter,
+    variants,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +36,7 @@ def queries() -> dict[str, Query]:
         "op8_url_filter": url_filter.op8_url_filter,
         "op9_jaccard_join": jaccard_join.op9_jaccard_join,
         "op10_sentencepiece": sentencepiece_codec.op10_sentencepiece,
+        "op11_variants": variants.op11_variants,
         "op12_divergence": divergence.op12_divergence,
     }
 
@@ -44,5 +46,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_topk": topk.OP1_SQL,
         "op5_chat_format": chat_template.OP5_SQL,
         "op8_url_filter": url_filter.OP8_SQL,
+        "op11_variants": variants.OP11_SQL,
         "op12_divergence": divergence.OP12_SQL,
     }
