@@ -15,6 +15,7 @@ from fieldloom.llm import (
     packing,
     quality_rules,
     sentencepiece_codec,
+    sharding,
     substring_dedup,
     topk,
     url_filter,
@@ -38,6 +39,7 @@ def queries() -> dict[str, Query]:
         "op10_sentencepiece": sentencepiece_codec.op10_sentencepiece,
         "op11_variants": variants.op11_variants,
         "op12_divergence": divergence.op12_divergence,
+        "op13_sharding": sharding.op13_sharding,
     }
 
 
