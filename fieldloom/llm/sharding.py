@@ -60,8 +60,10 @@ class Ring:
         return self.owners[np.where(at == len(self.places), 0, at)]
 
 
-#: A worker keeps the rings that it has made: there is one a round.
-ring = lru_cache(maxsize=SHARDS)(Ring)
+@lru_cache(maxsize=SHARDS)
+def ring(is_open: tuple[bool, ...], nodes: int) -> Ring:
+    """A worker keeps the rings that it has made: there is one a round."""
+    return Ring(is_open, nodes)
 
 
 def asked(rounds: list[Round], nodes: int, place: np.ndarray, high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
