@@ -156,6 +156,8 @@ def _tile(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         else:
             packs[block, chunk] = at
             chunks.add(chunk)
+    if i not in heads or j not in heads:  # no source was dealt to one of the blocks
+        return _TILE_ARROW.empty_table()
     size = rows.column("size")[0].as_py()
     names = {b: rows.column("names")[at].as_py() for b, at in heads.items()}
     totals = {b: np.asarray(rows.column("totals")[at].as_py(), np.int64) for b, at in heads.items()}
