@@ -6,14 +6,15 @@ its source nor its duplicate cluster. Bins are kept ordered by free room and car
 a bitmap of clusters; the search starts at the first bin with enough room and goes on to its successors until
 a compatible one is found. If there is none, a bin is opened.
 
-Pieces are dealt to groups of about ``group_rows`` rows by a hash of id and text length, so no source or cluster
-can crowd a group, and their number grows with the input; a group is packed in one task's bounded memory.
+Pieces are dealt to groups of about ``group_rows`` rows by a hash of id, length and cluster, so no source or cluster
+can crowd a group, and their number grows with the input; a group is packed in one task's bounded memory. Rows that are alike in all three
+lie in one group up to ``COPIES`` of them; more are dealt over several groups by their place in the stored table.
 Texts are read once and do not move: only ids, lengths and two keys are shuffled. At most the last bins of a group stay part-filled.
 
 Words are runs without space or tab to carriage return; a duplicate cluster is a text's lower-cased (A-Z) words.
 
-Cases: a null or word-less text has no pieces and no row; a null source or cluster conflicts with nothing; repeated rows
-are packed each, and conflict through their equal cluster; the order among equals is by id, then piece;
+Cases: a null or word-less text has no pieces and no row; a document without an id is packed like any other, its id stays null; a null source
+or cluster conflicts with nothing; repeated rows are packed each, and conflict through their equal cluster; the order among equals is by id, then piece;
 an empty table gives no rows; extra columns are ignored. ``capacity`` counts words plus one separator per piece.
 """
 
@@ -27,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import stored, tidy
+from fieldloom.llm.common import small, stored, tidy
 
 #: Words in one training sequence.
 CAPACITY = 4096
 #: Remainders packed together in one task.
 GROUP_ROWS = 8192
+#: Rows of one id, length and cluster in one group.
+COPIES = 64
 #: Bins looked at in one step of the successor search.
 STRIDE = 256
 
@@ -103,16 +106,18 @@ def _pack_group(capacity: int):
     room = capacity - 1
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        ids, words = (np.asarray(group[c], np.int64) for c in ("doc_id", "n_words"))
+        words = np.asarray(group["n_words"], np.int64)
+        null = np.asarray(group["doc_id"].is_null())
+        ids = np.asarray(group["doc_id"].fill_null(np.iinfo(np.int64).min), np.int64)
         hash_group, pieces, left = key[0].as_py(), words // room, words % room
         # full pieces: a bin each, numbered by document and piece
-        by_id = np.lexsort((words, ids))
+        by_id = np.lexsort((words, ids, ~null))  # rows without an id come first
         by_id = by_id[pieces[by_id] > 0]
         runs, n_full = pieces[by_id], len(by_id)
         zeros = np.zeros(n_full, np.int32)
         full = [np.full(n_full, -1 - hash_group, np.int32), (np.cumsum(runs) - runs).astype(np.int32), zeros, ids[by_id], zeros, runs.astype(np.int32), np.full(n_full, room, np.int64)]
         # remainders: longest first into the best-fitting bin
-        order = np.lexsort((pieces, ids, -left))
+        order = np.lexsort((pieces, ids, ~null, -left))
         order = order[left[order] > 0]
         sources, clusters = _keys(group["source"])[order], _keys(group["cluster"])[order]
         # clusters with one piece here conflict with nothing
@@ -122,7 +127,9 @@ def _pack_group(capacity: int):
         bins, slots = pack(left[order] + 1, sources, clusters, capacity)
         n = len(order)
         rest = [np.full(n, hash_group, np.int32), bins.astype(np.int32), slots.astype(np.int32), ids[order], pieces[order].astype(np.int32), np.ones(n, np.int32), left[order]]
-        return pa.table([np.concatenate(both) for both in zip(rest, full)], schema=_BINS)
+        columns = [pa.array(np.concatenate(both), kind) for both, kind in zip(zip(rest, full), _BINS.types)]
+        columns[3] = pa.array(np.concatenate([ids[order], ids[by_id]]), mask=np.concatenate([null[order], null[by_id]]))
+        return pa.Table.from_arrays(columns, schema=_BINS)
 
     return run
 
@@ -142,16 +149,24 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def best_fit_bins(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Bins for (doc_id, n_words, source, cluster) rows: bin_group, bin, slot, doc_id, piece, start_word, n_words.
+    """Bins for a stored table of (doc_id, n_words, source, cluster) rows: bin_group, bin, slot, doc_id, piece, start_word, n_words.
 
     Full pieces get bins of group -1 - (their hash group), one each, numbered by document and piece in the same grouped pass.
     """
     room = capacity - 1
-    rows = pieces.filter((F.col("n_words") > 0) & F.col("doc_id").isNotNull())
+    rows = pieces.filter("n_words > 0")
     n = rows.agg(F.count("*").alias("n")).first()["n"]
     groups = max(1, -(-n // group_rows))
-    dealt = rows.select(
-        F.pmod(F.xxhash64("doc_id", "n_words", F.lit(11)), F.lit(groups)).cast("int").alias("bin_group"),
+    alike = ["doc_id", "n_words", "cluster"]
+    many = rows.groupBy(*alike).agg(F.count("*").alias("copies")).filter(F.col("copies") > COPIES)
+    many = small(stored(many.select(*(F.col(c).alias(f"many_{c}") for c in alike), "copies"), "many-copies"))
+    same = F.lit(True)
+    for c in alike:
+        same &= F.col(c).eqNullSafe(F.col(f"many_{c}"))
+    placed = rows.withColumn("copy", F.xxhash64(F.col("_metadata.file_name"), F.col("_metadata.row_index"))).join(many, same, "left")
+    share = F.when(F.col("copies").isNull(), 0).otherwise(F.pmod("copy", F.ceil(F.col("copies") / COPIES)))
+    dealt = placed.select(
+        F.pmod(F.xxhash64(*alike, share, F.lit(11)), F.lit(groups)).cast("int").alias("bin_group"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("n_words").cast("long").alias("n_words"),
         "source",
