@@ -5,7 +5,6 @@ from __future__ import annotations
 import ctypes
 import gc
 import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldloom.storage import shared_dir
+
 #: Horizontal tab to carriage return, and the space: the separators of a word.
 WHITESPACE = " \t\n\x0b\x0c\r"
 #: Most rows and bytes of one Arrow batch: texts are long, and each batch is held by the JVM and by Python.
@@ -26,21 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``).
-
-    Only a local master may lack it: there the driver's folder is every task's folder. Elsewhere a missing setting is an error.
-    """
-    context = spark.sparkContext
-    where = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not where:
-        if not context.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir names no shared folder")
-        where = tempfile.mkdtemp(prefix="fieldloom-")
-        context.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Small Arrow batches for the session where it still has Spark's defaults: set once, so that concurrent queries meet no change."""
     for key, defaults, value in (("maxRecordsPerBatch", ("10000",), ARROW_ROWS), ("maxBytesPerBatch", ("67108864b", "67108864"), ARROW_BYTES)):
@@ -122,14 +108,6 @@ def random_table(n: int, seed: int) -> np.ndarray:
         return splitmix(steps + np.uint64(seed))
 
 
-def hashed_fraction(df: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
-    """The rows whose hashed key falls below ``fraction``: the same rows at every run."""
-    if fraction >= 1:
-        return df
-    cell = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000))
-    return df.filter(cell < F.lit(int(fraction * 1_000_000) + 1))
-
-
 _ASCII_LOWER = {code: code + 32 for code in range(65, 91)}
 
 

@@ -7,9 +7,10 @@ vectors lie, and of each class the ``PER_ROUND`` documents that a view is most s
 pseudo-labels. At the end each view is calibrated (Platt) on labelled documents kept out of its training, and a logistic model
 of both calibrated scores gives the score of every document; those below ``threshold`` are not kept.
 
-The labelled sample is bounded: the ``max_labelled`` labels with the smallest hash of their id. The pool is not: it is the
-share ``POOL_SHARE`` of all unlabelled documents (by hash of the id), so it grows with the input. Executors turn texts into sparse vectors where they lie and keep the pool's as a stored table; each task hands its own most
-confident rows to a ranking, so the driver gets no more than the pseudo-labels of a round, and fits on them and the labelled sample.
+The labelled sample is bounded: the ``max_labelled`` labels with the smallest hash of their id. The pool is not: it is all unlabelled documents.
+Executors turn texts into sparse vectors of counts where they lie and keep the pool's as a stored table; each task hands the scores of its own most
+confident rows to a ranking, and only the winners' vectors are looked up, so the driver gets no more than the pseudo-labels of a round, and fits on them and
+the labelled sample.
 The model has a fixed size and is broadcast; scoring reads every whole text where it lies and shuffles nothing.
 
 Cases: null or empty text: no tokens, the content view gives its prior; null language, source or length are values of
@@ -23,6 +24,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -32,9 +34,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldloom.llm.common import bounded_batches, hashed_fraction, stored, tidy
+from fieldloom.llm.common import bounded_batches, dropped, stored, tidy
 
-MAX_LABELLED, POOL_SHARE = 3000, 0.25
+MAX_LABELLED = 3000
 #: Rounds, and pseudo-labels of each class that a view may hand over per round, and how sure it must be.
 ROUNDS, PER_ROUND, CONFIDENT = 3, 150, 0.97
 BUCKETS = 1 << 18
@@ -65,20 +67,23 @@ def token_buckets(token: str) -> tuple[int, int]:
 REPEATS = BUCKETS
 
 
-def text_vector(text: str | None) -> tuple[list[int], list[float]]:
-    """Sparse content vector."""
+def text_counts(text: str | None) -> tuple[list[int], list[int], int]:
+    """Buckets of a text's tokens, how often each is met, and the number of tokens."""
     tokens = (text or "").split()
-    if not tokens:
-        return [], []
-    sums: dict[int, float] = {}
-    unit = SCALE / len(tokens)
-    for token in tokens:
+    sums: dict[int, int] = {}
+    for token, n in Counter(tokens).items():
         for bucket in token_buckets(token):
-            sums[bucket] = sums.get(bucket, 0.0) + unit
-    same = sum(a == b for a, b in zip(tokens, tokens[1:]))
+            sums[bucket] = sums.get(bucket, 0) + n
+    same = sum(map(str.__eq__, tokens, tokens[1:]))
     if same:
-        sums[REPEATS] = same * unit
-    return list(sums), list(sums.values())
+        sums[REPEATS] = same
+    return list(sums), list(sums.values()), len(tokens)
+
+
+def text_vector(text: str | None) -> tuple[list[int], list[float]]:
+    """Sparse content vector."""
+    cols, counts, n = text_counts(text)
+    return cols, [c * (SCALE / n) for c in counts]
 
 
 def meta_buckets(lang: str | None, source: str | None, n_chars: int | None, text: str | None) -> list[int]:
@@ -233,28 +238,28 @@ def co_train(text: list, meta: list, labels: np.ndarray, teach: Teach, rounds: i
 
 # --- Spark jobs ----------------------------------------------------------------------------------
 
-_VECTORS = pa.schema([("key", pa.int64()), ("label", pa.float64()), ("cols", pa.list_(pa.int32())), ("vals", pa.list_(pa.float32())), ("meta", pa.list_(pa.int32()))])
-_VECTORS_DDL = "key long, label double, cols array<int>, vals array<float>, meta array<int>"
+_VECTORS = pa.schema([("key", pa.int64()), ("label", pa.float64()), ("cols", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("tokens", pa.int32()), ("meta", pa.list_(pa.int32()))])
+_VECTORS_DDL = "key long, label double, cols array<int>, counts array<int>, tokens int, meta array<int>"
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Both vectors of (text, lang, source, n_chars, label, key) rows."""
     for batch in batches:
         text, lang, source, n_chars = (batch.column(k).to_pylist() for k in range(4))
-        found = [text_vector(t) for t in text]
+        found = [text_counts(t) for t in text]
         meta = [meta_buckets(*x) for x in zip(lang, source, n_chars, text)]
         kinds = _VECTORS.types
         yield pa.RecordBatch.from_arrays(
-            [batch.column(5), batch.column(4), pa.array([c for c, _ in found], kinds[2]), pa.array([v for _, v in found], kinds[3]), pa.array(meta, kinds[4])], schema=_VECTORS
+            [batch.column(5), batch.column(4), *(pa.array([v[k] for v in found], kinds[k + 2]) for k in range(3)), pa.array(meta, kinds[5])], schema=_VECTORS
         )
 
 
-_SURE = pa.schema([("pupil", pa.int32()), ("value", pa.int32()), ("score", pa.float64()), *((f.name, f.type) for f in _VECTORS if f.name != "label")])
-_SURE_DDL = "pupil int, value int, score double, key long, cols array<int>, vals array<float>, meta array<int>"
+_SURE = pa.schema([("pupil", pa.int32()), ("value", pa.int32()), ("score", pa.float64()), ("key", pa.int64())])
+_SURE_DDL = "pupil int, value int, score double, key long"
 
 
-def _most_confident(pool: DataFrame, fitted: list, platt: list, taken: tuple[set[int], set[int]]) -> list:
-    """The round's (pupil, value, score, key, cols, vals, meta) rows: ``PER_ROUND`` of each view and class, in order."""
+def _most_confident(pool: DataFrame, fitted: list, platt: list, taken: tuple[set[int], set[int]]) -> list[tuple[int, int, int]]:
+    """The round's (pupil, value, key): ``PER_ROUND`` of each view and class, in order."""
     shared = pool.sparkSession.sparkContext.broadcast((fitted, platt, taken))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,32 +270,34 @@ def _most_confident(pool: DataFrame, fitted: list, platt: list, taken: tuple[set
             if not n:
                 continue
             keys = batch.column(0).to_pylist()
-            cols, vals, metas = batch.column(2), batch.column(3), batch.column(4)
-            sums = np.zeros(n)
+            cols, counts, metas = batch.column(1), batch.column(2), batch.column(4)
             owner = np.repeat(np.arange(n), np.asarray(cols.value_lengths()))
-            np.add.at(sums, owner, text_fit[0][np.asarray(cols.flatten())] * np.asarray(vals.flatten()))
+            sums = np.bincount(owner, text_fit[0][np.asarray(cols.flatten())] * np.asarray(counts.flatten()), n)
+            sums *= SCALE / np.maximum(np.asarray(batch.column(3)), 1)
             meta_owner = np.repeat(np.arange(n), np.asarray(metas.value_lengths()))
             raws = (sums + text_fit[1], np.bincount(meta_owner, meta_fit[0][np.asarray(metas.flatten())], n) + meta_fit[1])
             sure = [_sigmoid(r * p[0] + p[1]) for r, p in zip(raws, (text_platt, meta_platt))]
             for (pupil, value), held in best.items():
                 score = sure[1 - pupil] if value else 1 - sure[1 - pupil]
-                rows = [k for k in np.flatnonzero(score >= CONFIDENT).tolist() if keys[k] not in known[pupil]]
-                rows = sorted(rows, key=lambda k: (-score[k], keys[k]))[:PER_ROUND]
-                held += [(float(score[k]), keys[k], cols[k].as_py(), vals[k].as_py(), metas[k].as_py()) for k in rows]
-                held.sort(key=lambda r: (-r[0], r[1]))
-                del held[PER_ROUND:]
+                rows = {(float(score[k]), keys[k]) for k in np.flatnonzero(score >= CONFIDENT).tolist() if keys[k] not in known[pupil]}
+                held[:] = sorted({*held, *rows}, key=lambda r: (-r[0], r[1]))[:PER_ROUND]  # equal rows are one
         rows = [(pupil, value, *r) for (pupil, value), held in best.items() for r in held]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _SURE.types)], schema=_SURE)
 
-    found = pool.mapInArrow(tidy(run), _SURE_DDL)
+    found = pool.select("key", "cols", "counts", "tokens", "meta").mapInArrow(tidy(run), _SURE_DDL).distinct()
     order = Window.partitionBy("pupil", "value").orderBy(F.col("score").desc(), "key")
     rows = found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= PER_ROUND).collect()
     shared.destroy()
-    return sorted(rows, key=lambda r: (r["pupil"], r["value"], r["place"]))
+    return [(r["pupil"], r["value"], r["key"]) for r in sorted(rows, key=lambda r: (r["pupil"], r["value"], r["place"]))]
+
+
+def _vector(row: dict) -> tuple[tuple[list[int], list[float]], tuple[list[int], list[float]]]:
+    """Both sparse vectors of a stored row."""
+    return (row["cols"], [c * (SCALE / row["tokens"]) for c in row["counts"]]), (row["meta"], [1.0] * len(row["meta"]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, pool_share: float = POOL_SHARE, rounds: int = ROUNDS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS) -> Model:
     """Co-train on documents (doc_id, text, lang, source, n_chars) and labels (doc_id, quality)."""
     bounded_batches(docs.sparkSession)
     docs = docs.select("text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"), "doc_id")
@@ -301,20 +308,25 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, po
     names = ["text", "lang", "source", "n_chars", "label", key]
     known = docs.join(F.broadcast(some), "doc_id").select(*names).mapInArrow(tidy(_vectors), _VECTORS_DDL)
     # rows of one id may be many: of equal rows one is enough
-    found = known.groupBy("key").agg(*[F.first(c).alias(c) for c in ("label", "cols", "vals", "meta")]).orderBy("key").limit(2 * max_labelled).toArrow()
-    free = hashed_fraction(docs, "doc_id", pool_share, 22).join(marks.select("doc_id"), "doc_id", "left_anti").withColumn("label", F.lit(-1.0))
+    names_of = ("label", "cols", "counts", "tokens", "meta")
+    found = known.groupBy("key").agg(*[F.first(c).alias(c) for c in names_of]).orderBy("key").limit(2 * max_labelled).toArrow()
+    free = docs.join(marks.select("doc_id"), "doc_id", "left_anti").withColumn("label", F.lit(-1.0))
     pool = stored(free.select(*names).mapInArrow(tidy(_vectors), _VECTORS_DDL), "pool")
     taken: tuple[set[int], set[int]] = (set(), set())
 
     def teach(fitted: list, platt: list) -> list:
         rows = _most_confident(pool, fitted, platt, taken)
-        for r in rows:
-            taken[r["pupil"]].add(r["key"])
-        return [(r["pupil"], r["value"], (r["cols"], r["vals"]), (r["meta"], [1.0] * len(r["meta"]))) for r in rows]
-
-    text = list(zip(found["cols"].to_pylist(), found["vals"].to_pylist()))
-    meta = [(m, [1.0] * len(m)) for m in found["meta"].to_pylist()]
-    return co_train(text, meta, np.asarray(found["label"]).astype(int), teach, rounds)
+        for pupil, _, key in rows:
+            taken[pupil].add(key)
+        # at most 4 * PER_ROUND keys
+        asked = pool.filter(F.col("key").isin([key for *_, key in rows])).dropDuplicates(["key"]).select("key", *names_of[1:])
+        vectors = {r["key"]: _vector(r) for r in asked.collect()} if rows else {}
+        return [(pupil, value, *vectors[key]) for pupil, value, key in rows]
+
+    both = [_vector(r) for r in found.select(list(names_of[1:])).to_pylist()]
+    model = co_train([t for t, _ in both], [m for _, m in both], np.asarray(found["label"]).astype(int), teach, rounds)
+    dropped(some, pool)
+    return model
 
 
 class Scorer:
