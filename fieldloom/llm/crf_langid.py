@@ -6,10 +6,10 @@ are learned with them by maximising the conditional likelihood (forward-backward
 forward-backward algorithm gives every word's label distribution; a document's language is the label with the largest
 mean probability over its words, and that mean is the score.
 
-Training uses whole texts of a bounded sample: of every label the ``per_label`` labelled documents with the smallest hash of
-the id. Runs of words of one line, from different documents, are joined to chains, so that transitions between languages are
-seen. Every label is learned; the model (hash table, lexicons, transitions) has a fixed size for up to ``WIDE`` labels, and with
-more labels a smaller table of features for each. It is broadcast. Prediction reads every whole text where it lies and
+Training uses a bounded sample: of every label the ``per_label`` labelled documents with the smallest hash of the id, and of each up to
+``RUNS`` runs of ``SEGMENT`` words, spread over the whole text and cut out where it lies. Runs of words of one line, from different documents, are joined to chains, so that transitions between languages are
+seen. Every label is learned with a table of its own, so one more label changes nothing for the others; the model (hash table, lexicons, transitions)
+grows with the labels, not with the documents. It is broadcast. Prediction reads every whole text where it lies and
 shuffles nothing.
 
 Cases: null text, or one without letters (Unicode category L; ``½`` and ``Ⅷ`` are none): ``und`` with score 0; no labelled documents: all ``und``; one label: that
@@ -31,14 +31,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldloom.llm.common import bounded_batches, random_table, splitmix, tidy
+from fieldloom.llm.common import bounded_batches, dropped, random_table, small, splitmix, stored, tidy
 
 #: Words are runs of word characters other than decimal digits and ``_`` with a letter in them; a line end closes a chain.
 TOKENS = re.compile(r"[^\W\d_]+|\n")
 #: Documents of each label in the training sample.
 PER_LABEL = 200
-#: Rows of the hashed feature table, and labels up to which it has so many.
-BUCKETS, WIDE = 1 << 16, 64
+#: Documents of all labels in it: beyond MAX_SAMPLE / PER_LABEL labels each has fewer, but one at least.
+MAX_SAMPLE = 20_000
+#: Runs of SEGMENT words that one document of the sample gives, spread over its whole text.
+RUNS = 200
+#: Rows of the hashed feature table, the same for any number of labels.
+BUCKETS = 1 << 16
 #: Frequent words kept per label.
 LEXICON = 400
 #: Words per training chain segment of one document, and segments per chain.
@@ -61,11 +65,6 @@ def tokens(text: str) -> list[str]:
     return found
 
 
-def buckets_for(labels: int) -> int:
-    """Rows of the feature table, a power of two."""
-    return BUCKETS if labels <= WIDE else max(1 << 10, 1 << (BUCKETS * WIDE // labels).bit_length() - 1)
-
-
 def _char_matrix(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(word numbers, characters padded by 0 with one mark at both ends, lengths) for words of like length."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
@@ -202,7 +201,7 @@ def train(samples: list[tuple[str, str]], epochs: int = EPOCHS) -> Crf:
     for k, counter in enumerate(counts):
         for word, _ in sorted(counter.items(), key=lambda x: (-x[1], x[0]))[:LEXICON]:
             lexicon[word] = lexicon.get(word, 0) | 1 << k
-    size = buckets_for(n)
+    size = BUCKETS
     vocabulary = sorted(set().union(*counts))
     index = {w: k for k, w in enumerate(vocabulary)}
     model = Crf(labels, np.zeros((size, n), np.float32), np.zeros(n, np.float32), np.zeros((n, n), np.float32), lexicon, np.zeros((n, n), np.float32))
@@ -327,14 +326,42 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, per_label: int = PER_LABEL) -> Crf:
-    """Train on a bounded sample of the documents (doc_id, text, lang) that are not held out."""
+def excerpt(text: str, runs: int = RUNS) -> str:
+    """At most ``runs`` runs of SEGMENT words of the text, a line each, evenly spread from its beginning to its end."""
+    found: list[list[str]] = []
+    for line in text.split("\n"):
+        words = [w for w in tokens(line) if w != "\n"]
+        found += [words[k : k + SEGMENT] for k in range(0, len(words), SEGMENT)]
+    if len(found) > runs:
+        found = [found[k * len(found) // runs] for k in range(runs)]
+    return "\n".join(" ".join(run) for run in found)
+
+
+_SAMPLE = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("text", pa.string())])
+
+
+def _excerpts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array([excerpt(t) for t in batch.column(2).to_pylist()], pa.string())], schema=_SAMPLE)
+
+
+def fit(docs: DataFrame, per_label: int = PER_LABEL, max_sample: int = MAX_SAMPLE) -> Crf:
+    """Train on a bounded sample of the documents (doc_id, text, lang) that are not held out.
+
+    The driver gets excerpts of at most ``RUNS * SEGMENT`` words of at most ``max_sample`` documents (or one a label, if there are more labels).
+    """
     known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     # ids first: each task keeps its per_label smallest hashes of a label, and no text moves
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id")
-    picked = known.select("doc_id", "lang").withColumn("place", F.row_number().over(by_hash)).filter(F.col("place") <= per_label).select("doc_id", "lang").distinct()
-    # at most per_label rows a label; of repeated ids the smallest text
-    rows = known.join(F.broadcast(picked), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("sample")).collect()
+    picked = known.select("doc_id", "lang").withColumn("place", F.row_number().over(by_hash)).filter(F.col("place") <= per_label)
+    picked = stored(picked, "language-sample")
+    labels = picked.filter("place = 1").count()
+    each = max(1, min(per_label, max_sample // max(1, labels)))
+    chosen = small(picked.filter(F.col("place") <= each).select("doc_id", "lang").distinct(), max_sample)
+    # of repeated ids the smallest text
+    texts = known.join(chosen, ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    rows = [{"doc_id": r["doc_id"], "lang": r["lang"], "sample": r["text"]} for r in texts.mapInArrow(tidy(_excerpts), "doc_id long, lang string, text string").collect()]
+    dropped(picked)
     rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["lang"], r["sample"]))
     return train([(r["sample"], r["lang"]) for r in rows])
 
