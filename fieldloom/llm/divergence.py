@@ -67,11 +67,12 @@ def term_counts(docs: DataFrame) -> DataFrame:
             for lang, source, text in zip(*(column.to_pylist() for column in batch.columns)):
                 n, in_docs = groups.setdefault((lang or "", source or ""), (Counter(), Counter()))
                 before = len(n)
-                own: Counter = Counter()
+                own: set[str] = set()
                 for part in parts_of(text or "", beyond):
-                    own.update(find.findall(ascii_lower(part)))
-                n.update(own)
-                in_docs.update(own.keys())
+                    terms = find.findall(ascii_lower(part))
+                    n.update(terms)
+                    own.update(terms)
+                in_docs.update(own)
                 held += len(n) - before
                 if held > HELD:
                     yield from flush()

@@ -50,6 +50,8 @@ BITS_PER_GRAM, FOLDED_BITS, MAX_BITS = 2, 512, 1 << 20
 _FOLDED = [f"p{k}" for k in range(FOLDED_BITS // 64)]
 #: The grams that a set has in lists just before this one, in the common order.
 _BEFORE = ["before1", "before2"]
+#: Versions of one slice of the sketch that are added in one task.
+FAN_IN = 64
 #: Star turns before all remaining pairs are made.
 STAR_TURNS = 3
 #: Bytes of text hashed at a time.
@@ -155,18 +157,41 @@ def _scan(n: int, cells: int) -> Callable:
     return run
 
 
-def _add_slices(batches_key: tuple, group: pa.Table) -> pa.Table:
-    """The sum of one slice over all tasks, as one byte a cell: 8 classes to each doubling."""
+def _total(group: pa.Table) -> np.ndarray:
+    """The sum of the group's slices."""
     total = np.zeros(SLICE_CELLS, np.uint64)
     for blob in group["blob"]:
         total += np.frombuffer(zlib.decompress(blob.as_py()), np.uint32)
-    level = np.minimum(255, np.round(8 * np.log2(total + 1.0))).astype(np.uint8)
-    return pa.table([pa.array([batches_key[0].as_py()], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["slice", "levels"])
+    return total
+
+
+def _some_slices(key: tuple, group: pa.Table) -> pa.Table:
+    """The sum of some of the tasks' versions of one slice; counts end at the greatest of 32 bits, where the classes of rarity end too."""
+    total = np.minimum(_total(group), np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["slice", "blob"])
+
+
+def _add_slices(key: tuple, group: pa.Table) -> pa.Table:
+    """The sum of one slice over all tasks, as one byte a cell: 8 classes to each doubling."""
+    level = np.minimum(255, np.round(8 * np.log2(_total(group) + 1.0))).astype(np.uint8)
+    return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["slice", "levels"])
 
 
 def _sketch(scan: DataFrame, cells: int) -> np.ndarray:
-    """The merged sketch on the driver: ``cells`` bytes whatever the input."""
-    rows = scan.filter("slice is not null").groupBy("slice").applyInArrow(_add_slices, "slice int, levels binary").collect()
+    """The merged sketch on the driver: ``cells`` bytes whatever the input.
+
+    There is a version of each slice for each task of the scan, so they are added ``FAN_IN`` or so at a time until few are left.
+    """
+    slices_, held = scan.filter("slice is not null").select("slice", "blob"), []
+    while True:
+        most = slices_.groupBy("slice").count().agg(F.max("count").alias("n")).first()["n"] or 0
+        if most <= 2 * FAN_IN:
+            break
+        salt = F.pmod(F.xxhash64("blob"), F.lit(-(-most // FAN_IN))).alias("salt")
+        slices_ = stored(slices_.groupBy("slice", salt).applyInArrow(_some_slices, "slice int, blob binary"), "sketch-slices")
+        held.append(slices_)
+    rows = slices_.groupBy("slice").applyInArrow(_add_slices, "slice int, levels binary").collect()
+    dropped(*held)
     out = np.zeros(cells, np.uint8)
     for row in rows:
         out[row["slice"] * SLICE_CELLS : (row["slice"] + 1) * SLICE_CELLS] = np.frombuffer(row["levels"], np.uint8)
@@ -299,7 +324,7 @@ def connected(edges: DataFrame) -> DataFrame:
     """node, root (smallest node reachable) of every node of (a, b) edges, by alternating stars; a stored table."""
     mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
     links = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
-    before = mark(links)
+    before, earlier = mark(links), links
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # large star: every larger neighbour of a node goes to the smallest of its neighbourhood
@@ -310,10 +335,14 @@ def connected(edges: DataFrame) -> DataFrame:
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         links = stored(small.filter("a <> b").distinct(), "links")
         now = mark(links)
+        dropped(earlier)
+        earlier = links
         if now == before:
             break
         before = now
-    return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out.stored_path = links.stored_path
+    return out
 
 
 def _bound_ok(n1: Column, p1: Column, n2: Column, p2: Column, percent: int) -> Column:
@@ -427,11 +456,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, cells: in
     signatures = stored(drawn.mapInArrow(_with_folds, "node long, cls long, size int, parity binary, " + ", ".join(f"{p} long" for p in _FOLDED)), "signatures")
 
     seen: list[DataFrame] = []
+    older: list[DataFrame] = []
     roots = docs.sparkSession.createDataFrame([], "node long, root long")
     rest = lists
     for turn in range(STAR_TURNS + 1):
         hubs = stored(_hubs(rest), "hubs")
         if hubs.isEmpty():
+            dropped(hubs)
             break
         opened = rest.join(small(hubs), "gram")
         pairs = _star(opened, percent) if turn < STAR_TURNS else _all_pairs(opened, signatures, percent)
@@ -439,16 +470,21 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, cells: in
         if not close.isEmpty():
             fresh = _verified(close, named, n, percent)
             roots = connected(fresh.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-            seen.append(close)
+            dropped(fresh, *older)
+            older = [roots]
+        seen.append(close)
         if turn < STAR_TURNS:
             left = opened.filter("node <> hub.node or cls <> hub.cls").drop("hub", "comp").join(roots, "node", "left")
             before, rest = rest, stored(left.withColumn("comp", F.coalesce("root", "node")).drop("root"), "open-lists")
             dropped(before)
-    dropped(signatures, rest)
+        dropped(hubs)
+    dropped(signatures, rest, *seen)
     named_classes = classes.join(roots, classes["rep"] == roots["node"], "left").select("d1", "d2", F.coalesce("root", "rep").alias("comp"))
     out = found.drop("parity").join(named_classes, ["d1", "d2"], "left")
     name = F.when((F.col("n") > 0) | F.col("doc_id").isNull(), F.col("comp")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), name.alias("component_id"))
+    result = stored(out.select("doc_id", F.col("n").alias("n_shingles"), name.alias("component_id")), "components")
+    dropped(scan, classes, *older)
+    return result
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
