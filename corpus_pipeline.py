@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm import cotraining, crf_langid, jaccard_join, packing, substring_dedup
-from fieldloom.llm.common import stored
+from fieldloom.llm.common import dropped, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document whose words are on average less sure of any one language is rejected.
@@ -41,6 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     docs = docs.select(*COLUMNS)
     found = jaccard_join.jaccard_components(docs, n=5, percent=80)
     first = stored(found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n")), "kept-ids")
+    dropped(found)
     once = docs.join(first.filter("n = 1").select("doc_id"), "doc_id", "left_semi")
     many = docs.join(first.filter("n > 1").select("doc_id"), "doc_id", "left_semi")
     many = many.groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("rest")).select("doc_id", "text", "rest.*")
@@ -72,7 +73,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        dropped(*before)
+        before = [docs]
+    packing_of = STAGES[-1][1](spark, docs, sf_dir)
+    dropped(*before)  # the packing reads its own table of lengths
+    return packing_of
