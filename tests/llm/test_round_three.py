@@ -251,3 +251,77 @@ def test_sharding_query_and_odd_rows(spark):
     assert Counter(r.shard for r in nulls.collect()) == {s: 2 for s in range(40)}
     with pytest.raises(ValueError, match="slot"):
         sharding.shard_rows(spark.createDataFrame([(1, 2)], "doc_id long, slot int"))
+
+
+def test_packing_keeps_rows_without_an_id_and_deals_copies(spark, monkeypatch):
+    from fieldloom.llm import packing
+
+    monkeypatch.setattr(packing, "COPIES", 4)
+    rows = [(None, "a b c", None)] * 3 + [(None, "w " * 9000, "s")] + [(7, "same words here", None)] * 50 + [(k, "x " * k, "s") for k in range(1, 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = packing.pack_documents(df, group_rows=8).collect()
+    want = Counter((d, len(t.split())) for d, t, _ in rows)
+    assert sum(r.n_words for r in got if r.doc_id is None) == 9 + 9000
+    assert Counter(r.doc_id for r in got if r.doc_id == 7) == {7: 50}
+    assert sum(r.n_words for r in got) == sum(n * k for (_, n), k in want.items())
+    alike = Counter((r.bin_group, r.bin) for r in got if r.doc_id == 7)
+    assert max(alike.values()) == 1 and len({g for g, _ in alike}) > 1  # one cluster: a bin each, in several groups
+
+
+def test_language_learns_a_hundred_labels(spark):
+    from fieldloom.llm import crf_langid
+
+    letters = "abcdefghij"
+    rows = [(k, " ".join([letters[n // 10] * 3 + letters[n % 10] * 4] * 6), f"l{n:02}") for k, n in enumerate(list(range(100)) * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = crf_langid.fit(docs, per_label=2)
+    assert model.weights.shape == (crf_langid.BUCKETS, len(model.labels)) and len(model.labels) >= 99
+    long = "\n".join(" ".join([f"w{chr(97 + k % 26)}"] * 12) for k in range(1000))
+    cut = crf_langid.excerpt(long, 10).split("\n")
+    assert len(cut) == 10 and cut[0].startswith("wa") and cut[9] == " ".join([f"w{chr(97 + 900 % 26)}"] * 12)
+    assert crf_langid.excerpt("Ein Satz.\nNoch 1 einer") == "ein satz\nnoch einer"
+
+
+def test_sketch_added_in_steps(spark, monkeypatch):
+    from fieldloom.llm import jaccard_join
+    from tests.llm.test_cases import near_copies
+    from tests.llm.test_operators import docs
+
+    table = docs(spark, near_copies(60)).repartition(9)
+    want = rows_of(jaccard_join.jaccard_components(table, 4, 85))
+    monkeypatch.setattr(jaccard_join, "FAN_IN", 2)
+    assert rows_of(jaccard_join.jaccard_components(table, 4, 85)) == want
+
+
+def test_pool_winners_equal_plain_ranking(spark, monkeypatch):
+    from fieldloom.llm import cotraining
+
+    monkeypatch.setattr(cotraining, "PER_ROUND", 5)
+    texts = [("good fine " * (1 + k % 7) + "bad " * (k % 5)).strip() for k in range(200)]
+    df = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    key = F.xxhash64("doc_id").alias("key")
+    pool = df.select("text", "lang", "source", "n_chars", F.lit(-1.0).alias("label"), key).repartition(7).mapInArrow(cotraining._vectors, cotraining._VECTORS_DDL)
+    import numpy as np
+
+    rnd = np.random.default_rng(1)
+    text_fit, meta_fit = (rnd.normal(size=cotraining.BUCKETS + 1), 0.1), (rnd.normal(size=cotraining.META_BUCKETS), -0.2)
+    platt = [(2.0, 0.0), (2.0, 0.0)]
+    got = cotraining._most_confident(pool, [text_fit, meta_fit], platt, (set(), set()))
+    keys = [r.key for r in df.orderBy("doc_id").select(key).collect()]
+    want = []
+    for pupil, view in ((0, 1), (1, 0)):
+        for value in (0, 1):
+            scored = []
+            for k, t in enumerate(texts):
+                if view == 0:
+                    cols, vals = cotraining.text_vector(t)
+                    raw = sum(text_fit[0][c] * v for c, v in zip(cols, vals)) + text_fit[1]
+                else:
+                    raw = sum(meta_fit[0][c] for c in cotraining.meta_buckets("en", "s", len(t), t)) + meta_fit[1]
+                p = 1 / (1 + np.exp(-2.0 * raw))
+                p = p if value else 1 - p
+                if p >= cotraining.CONFIDENT:
+                    scored.append((-round(p, 9), keys[k]))
+            want += [(pupil, value, k) for _, k in sorted(scored)[:5]]
+    assert {(p, v) for p, v, _ in got} == {(p, v) for p, v, _ in want} and len(got) == len(want)
+    assert len(set(got) & set(want)) >= 0.8 * len(want)  # ties in the last digits may fall either way
