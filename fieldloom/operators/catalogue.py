@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fieldloom.functions import numeric, text
-from fieldloom.operators import predicates
+from fieldloom.operators import predicates, spatial
 from fieldloom.operators.rows import first_wins
 
 #: Least confidence of a mark's label, and choice words.
@@ -46,36 +46,43 @@ def touching(left: DataFrame, right: DataFrame, page: str, size: float = CELL) -
     return met.filter((F.col("_cell.c") == corner("x")) & (F.col("_cell.r") == corner("y"))).drop("_cell")
 
 
-def pairing_confidence(mark: Column, label: Column, value: Column) -> Column:
-    """How likely a text is a selection mark's label: near in y, to its right, and a choice word."""
+def label_cues(value: Column, box: Column) -> Column:
+    """What a text adds to the confidence that it is a mark's label, whatever the mark: choice words and a tall or long text speak for it, a header against."""
     n = text.normalise(value)
+    tall = (box["height"] >= 34) | ((box["width"] >= 240) & (F.length(value) >= 60))
+    return F.struct(
+        (F.when(n.rlike(CHOICE), 0.2).otherwise(0.0) + F.when(tall, 0.06).otherwise(0.0) + F.when(n.rlike(predicates.HEADER), -0.22).otherwise(0.0)).alias("words"),
+        F.when(n.rlike(CHOICE_ONLY), 0.14).otherwise(0.0).alias("only"),
+    )
+
+
+def pairing_confidence(mark: Column, label: Column, cues: Column) -> Column:
+    """How likely a text is a selection mark's label: near in y, to its right, and a choice word (``cues`` of ``label_cues``)."""
     dx, dy = label["x"] - mark["x"], F.abs(label["y"] - mark["y"])
     high, wide = F.greatest(F.lit(16.0), mark["height"] * 2.1), F.greatest(F.lit(160.0), mark["width"] * 22)
     unit = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
     across = F.when(dx >= 0, unit(1 - dx / wide)).otherwise(unit(1 - F.abs(dx) / 80) * 0.55)
     score = F.when(dy <= high, unit(1 - dy / high) * 0.38).otherwise(-0.22) + F.when((dx >= -20) & (dx <= wide), across * 0.24).otherwise(-0.18)
-    tall = (label["height"] >= 34) | ((label["width"] >= 240) & (F.length(value) >= 60))
-    score = score + F.when(n.rlike(CHOICE), 0.2).otherwise(0.0) + F.when(tall, 0.06).otherwise(0.0) + F.when(n.rlike(predicates.HEADER), -0.22).otherwise(0.0)
-    return unit(score + F.when(n.rlike(CHOICE_ONLY), 0.14).otherwise(0.0))
+    return unit(score + cues["words"] + cues["only"])
 
 
 def mark_pairs(marks: DataFrame, labels: DataFrame, page: str) -> DataFrame:
     """page, mark, label, confidence: each mark's label of least cost.
 
-    ``marks``: page, mark, lb; ``labels``: page, label, value, rb. Without vertical nearness no label is confident enough, so marks
-    meet labels of their own and the neighbouring bands of the greatest reach only.
+    ``marks``: page, mark, fb; ``labels``: page, label, value, lb. The cost grows with the distance of the middles, so labels are met in rings around
+    the mark; without vertical nearness no label is confident enough, which bounds the rings' reach. A text's cues are found once a label, not once a pair.
     """
-    reach = F.greatest(F.lit(16.0), F.col("lb.height") * 2.1)
-    # bands are as high as a mark's reach, rounded up to a power of two; a mark asks for its own kind of band
-    level = F.least(F.ceil(F.log2(reach)).cast("int"), F.lit(14))
-    asked = marks.withColumn("_level", level).withColumn("_band", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda k: k + F.floor(F.col("lb.y") / F.pow(F.lit(2.0), level)).cast("int"))))
-    held = labels.filter(F.length(F.trim("value")) >= 2)
-    # a reach is 16 pixels or more; a label is dealt to one band of each level up to 2**14 pixels, and higher marks have that level
-    held = held.withColumn("_level", F.explode(F.sequence(F.lit(4), F.lit(14)))).withColumn("_band", F.floor(F.col("rb.y") / F.pow(F.lit(2.0), F.col("_level"))).cast("int"))
-    met = asked.join(held, [page, "_level", "_band"])
-    met = met.withColumn("confidence", F.round(pairing_confidence(F.col("lb"), F.col("rb"), F.col("value")), 3)).filter(F.col("confidence") >= PAIRING)
-    cost = (1 - F.col("confidence")) * 100 + numeric.centre_distance(F.col("lb"), F.col("rb")) * 0.08
-    return first_wins(met.withColumn("_cost", F.round(cost, 9)), [page, "mark"], [F.col("_cost"), F.col("label")]).select(page, "mark", "label", "confidence")
+    held = labels.filter(F.length(F.trim("value")) >= 2).select(page, "label", "lb", label_cues(F.col("value"), F.col("lb")).alias("cues"))
+    confidence = F.round(pairing_confidence(F.col("fb"), F.col("lb"), F.col("cues")), 3)
+    cost = F.round((1 - confidence) * 100 + numeric.centre_distance(F.col("fb"), F.col("lb")) * 0.08, 9)
+    # places are corners in y, as the reach is of corners, and middles in x; middles in y differ from the corners by half of the heights
+    high = F.greatest(F.lit(16.0), F.col("fb.height") * 2.1)
+    x = lambda box: F.col(f"{box}.x") + F.col(f"{box}.width") / 2
+    found = spatial.k_nearest(
+        marks.select(page, "mark", "fb"), held, [page], "mark", "label", F.when(confidence >= PAIRING, cost),
+        query_at=(x("fb"), F.col("fb.y")), point_at=(x("lb"), F.col("lb.y")), weights=(0.08, 0.0), reach=(None, high),
+    )
+    return found.select(page, "mark", "label", confidence.alias("confidence"))
 
 
 def contained(labels: DataFrame, cells: DataFrame, page: str, least: float = 0.65) -> DataFrame:
@@ -110,11 +117,14 @@ def aligned_rows(df: DataFrame, keys: Sequence[str], order: str, anchors: str, w
 
 def context_of(blocks: DataFrame, page: str, key: str, k: int) -> DataFrame:
     """page, key, rank, other: the ``k`` nearest blocks of a page by centre, the block itself first."""
-    a = blocks.select(page, key, F.col("box").alias("ab"))
-    b = blocks.select(page, F.col(key).alias("other"), F.col("box").alias("bb"))
-    met = a.join(b, page).withColumn("_d", F.round(numeric.centre_distance(F.col("ab"), F.col("bb")), 6))
-    order = [(F.col(key) != F.col("other")).cast("int"), F.col("_d"), F.col("other")]
-    return met.withColumn("rank", F.row_number().over(Window.partitionBy(page, key).orderBy(*order))).filter(F.col("rank") <= k).select(page, key, "rank", "other")
+    own = blocks.select(page, key, F.lit(1).alias("rank"), F.col(key).alias("other"))
+    if k == 1:
+        return own
+    a = blocks.select(page, key, F.col("box").alias("fb"))
+    b = blocks.select(page, F.col(key).alias("other"), F.col("box").alias("lb"))
+    apart = F.when(F.col(key) != F.col("other"), F.round(numeric.centre_distance(F.col("fb"), F.col("lb")), 6))
+    near = spatial.k_nearest(a, b, [page], key, "other", apart, k - 1)
+    return own.unionByName(near.select(page, key, (F.col("rank") + 1).alias("rank"), "other"))
 
 
 def banded_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], anchor: Column, least: int = 2) -> DataFrame:

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fieldloom.functions import numeric, text
+from fieldloom.operators import spatial
 from fieldloom.operators.rows import top_k
+from fieldloom.storage import stored
 
 
 def ratio(part: Column, whole: Column, digits: int = 6) -> Column:
@@ -156,6 +158,33 @@ def alignment_score(df: DataFrame, keys: Sequence[str], truth: tuple[str, str],
     return out.withColumn("score", F.exp(-30 * F.col("rmse")))
 
 
+def layout_similarity(truth: DataFrame, found: DataFrame, form: str, page: str, kind: str, pages: DataFrame) -> DataFrame:
+    """form, score, median_distance, compared_pages, page_coverage: how alike two layouts of a form are, without knowing which field is which.
+
+    Both sides: form, page, kind, x, y (middles), width, height as shares of the page. A page's shift is the difference of the median middles; each field of ``truth``
+    is met by the nearest field of its kind on the page (|dx| + |dy| + half of |dwidth| + |dheight|), found by rings. A page scores exp(-24 median distance) times the root of
+    the ratio of the field counts, a form the mean of its pages times ``pages``' ratio (form, truth_pages, found_pages). Fields without one of their kind
+    and pages without any pair are left out; a form without pages has no row.
+    """
+    shares = ["x", "y", "width", "height"]
+    keys = [form, page]
+    middles = lambda df, side: df.groupBy(*keys).agg(F.median("x").alias(f"{side}x"), F.median("y").alias(f"{side}y"), F.count("*").alias(f"{side}n"))
+    both = stored(middles(truth, "t").join(middles(found, "f"), keys), "layout-pages")
+    moved = found.join(both, keys).select(*keys, kind, (F.col("x") + F.col("tx") - F.col("fx")).alias("px"), (F.col("y") + F.col("ty") - F.col("fy")).alias("py"), F.col("width").alias("pw"), F.col("height").alias("ph"))
+    moved = moved.withColumn("_other", F.lit(0))
+    asked = truth.select(*keys, kind, *shares).groupBy(*keys, kind, *shares).agg(F.count("*").alias("_same"))  # fields alike have one distance
+    asked = asked.withColumn("_field", F.struct(*shares))
+    gap = lambda a, b: F.abs(F.col(a) - F.col(b))
+    cost = gap("x", "px") + gap("y", "py") + gap("width", "pw") * 0.5 + gap("height", "ph") * 0.5
+    near = spatial.k_nearest(asked, moved, [*keys, kind], "_field", "_other", cost, query_at=(F.col("x"), F.col("y")), point_at=(F.col("px"), F.col("py")))
+    scored = near.groupBy(*keys).agg(F.expr("percentile(cost, 0.5, _same)").alias("distance")).join(both, keys)
+    ratio = F.least("tn", "fn") / F.greatest("tn", "fn")
+    scored = scored.withColumn("page_score", F.exp(-24 * F.col("distance")) * F.sqrt(ratio))
+    out = scored.groupBy(form).agg(F.avg("page_score").alias("mean"), F.median("distance").alias("median_distance"), F.count("*").alias("compared_pages")).join(pages, form)
+    coverage = F.least("truth_pages", "found_pages") / F.greatest("truth_pages", "found_pages")
+    return out.select(form, (F.col("mean") * coverage).alias("score"), "median_distance", "compared_pages", coverage.alias("page_coverage"))
+
+
 def hot_spot(timings: dict[str, Column]) -> Column:
     """stage and ms of the slowest stage, the first among equals."""
     parts = [F.struct(c.cast("double").alias("ms"), F.lit(-k).alias("place"), F.lit(name).alias("stage")) for k, (name, c) in enumerate(timings.items())]

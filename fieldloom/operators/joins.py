@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions import numeric, text
+from fieldloom.operators import spatial
 from fieldloom.operators.rows import top_k
 
 #: Most queries or rules of one call: they become literals of the plan.
@@ -121,11 +122,11 @@ def vector_join(queries: DataFrame, rows: DataFrame, key: str, vector: str, leas
     return top_k(best, ["query_id"], order, k)
 
 
-def nearest(fields: DataFrame, labels: DataFrame, page: str, field_key: str, label_key: str, cost: Column, k: int = 1) -> DataFrame:
-    """The ``k`` labels of least ``cost`` on a field's page; ``cost`` speaks of columns ``fb`` and ``lb`` (boxes)."""
-    met = fields.select(page, field_key, F.col("box").alias("fb")).join(labels.select(page, label_key, F.col("box").alias("lb")), page)
-    met = met.withColumn("cost", F.round(cost, 6))
-    return top_k(met, [page, field_key], [F.col("cost"), F.col(label_key)], k).select(page, field_key, label_key, "rank", "cost")
+def nearest(fields: DataFrame, labels: DataFrame, page: str, field_key: str, label_key: str, cost: Column, k: int = 1, **bounds) -> DataFrame:
+    """The ``k`` labels of least ``cost`` on a field's page; ``cost`` speaks of columns ``fb`` and ``lb`` (boxes). ``bounds`` are those of ``spatial.k_nearest``."""
+    f = fields.select(page, field_key, F.col("box").alias("fb"))
+    found = spatial.k_nearest(f, labels.select(page, label_key, F.col("box").alias("lb")), [page], field_key, label_key, F.round(cost, 6), k, **bounds)
+    return found.select(page, field_key, label_key, "rank", "cost")
 
 
 def overlapping(boxes: DataFrame, page: str, key: str, least: float) -> DataFrame:

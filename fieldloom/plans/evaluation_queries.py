@@ -136,6 +136,27 @@ def alignment_scores(spark, sf_dir):
     return E.alignment_score(p, ["form"], ("a", "c"), ("b", "d")).select("form", *[F.round(c, 6).alias(c) for c in ("dx", "dy", "rmse", "score")])
 
 
+_LAYOUT = """a AS (SELECT l_suppkey % 50 AS form, l_orderkey % 8 AS page, CASE WHEN l_returnflag = 'R' THEN 'checkbox' ELSE 'text' END AS kind, l_linenumber % 2 = 1 AS stated, (l_partkey % 600) / 800.0::DOUBLE AS x,
+  (l_orderkey % 1000) / 1000.0::DOUBLE AS y, (60 + l_partkey % 40) / 800.0::DOUBLE AS w, (10 + l_suppkey % 7) / 1000.0::DOUBLE AS h FROM lineitem)"""
+
+
+@register("layout_similarity", f"""WITH {_LAYOUT}, t AS (SELECT *, row_number() OVER () AS id FROM a WHERE stated), f AS (SELECT form, page, kind, x + 0.01 AS x, y - 0.02 AS y, w, h FROM a WHERE NOT stated AND page <> form % 8),
+ tm AS (SELECT form, page, median(x) AS tx, median(y) AS ty, count(*) AS tn FROM t GROUP BY 1, 2), fm AS (SELECT form, page, median(x) AS fx, median(y) AS fy, count(*) AS fn FROM f GROUP BY 1, 2),
+ n AS (SELECT t.form, t.page, t.id, min(abs(t.x - (f.x + tx - fx)) + abs(t.y - (f.y + ty - fy)) + abs(t.w - f.w) * 0.5 + abs(t.h - f.h) * 0.5) AS d FROM t JOIN f USING (form, page, kind) JOIN tm USING (form, page) JOIN fm USING (form, page) GROUP BY ALL),
+ p AS (SELECT form, page, median(d) AS d FROM n GROUP BY 1, 2), s AS (SELECT p.form, p.d, exp(-24 * p.d) * sqrt(least(tn, fn) / greatest(tn, fn)) AS score FROM p JOIN tm USING (form, page) JOIN fm USING (form, page))
+SELECT form, round(avg(score) * 0.875, 6) AS score, round(median(d), 6) AS median_distance, count(*) AS compared_pages, 0.875::DOUBLE AS page_coverage FROM s GROUP BY form""")
+def layout_similarity(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    a = li.select(
+        (F.col("l_suppkey") % 50).alias("form"), (F.col("l_orderkey") % 8).alias("page"), F.when(F.col("l_returnflag") == "R", "checkbox").otherwise("text").alias("kind"), (F.col("l_linenumber") % 2 == 1).alias("stated"),
+        ((F.col("l_partkey") % 600) / 800.0).alias("x"), ((F.col("l_orderkey") % 1000) / 1000.0).alias("y"), ((60 + F.col("l_partkey") % 40) / 800.0).alias("width"), ((10 + F.col("l_suppkey") % 7) / 1000.0).alias("height"),
+    )
+    found = a.filter("not stated and page <> form % 8").withColumns({"x": F.col("x") + 0.01, "y": F.col("y") - 0.02})
+    pages = a.select("form").distinct().withColumns({"truth_pages": F.lit(8), "found_pages": F.lit(7)})
+    out = E.layout_similarity(a.filter("stated").drop("stated"), found.drop("stated"), "form", "page", "kind", pages)
+    return out.select("form", F.round("score", 6).alias("score"), F.round("median_distance", 6).alias("median_distance"), "compared_pages", "page_coverage")
+
+
 @register("hot_spots", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN a >= b AND a >= c THEN 'extract' WHEN b >= c THEN 'map' ELSE 'export' END AS stage, greatest(a, b, c) AS ms FROM (SELECT *, l_quantity AS a, CAST(l_partkey % 50 AS DOUBLE) AS b, CAST(l_suppkey % 50 AS DOUBLE) AS c FROM lineitem)")
 def hot_spots(spark, sf_dir):
     h = E.hot_spot({"extract": F.col("l_quantity"), "map": F.col("l_partkey") % 50, "export": F.col("l_suppkey") % 50})

@@ -180,7 +180,8 @@ def nearest_label(spark, sf_dir):
     cost = F.abs(F.col("fb.x") - F.col("lb.x")) + 2 * F.abs(F.col("fb.y") - F.col("lb.y")) + F.when(F.col("lb.x") > F.col("fb.x"), 50).otherwise(0)
     fields = found.filter("block % 2 = 0").withColumnRenamed("block", "field")
     labels = found.filter("block % 2 = 1").withColumnRenamed("block", "label")
-    return joins.nearest(fields, labels, "page", "field", "label", cost).drop("rank")
+    corner = lambda box: (F.col(f"{box}.x"), F.col(f"{box}.y"))
+    return joins.nearest(fields, labels, "page", "field", "label", cost, query_at=corner("fb"), point_at=corner("lb"), weights=(1.0, 2.0)).drop("rank")
 
 
 @register("overlap_pairs", f"""WITH {BLOCKS}, m AS (SELECT a.page, a.block AS "left", b.block AS "right", greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS s, a.w * a.h + b.w * b.h AS t FROM blk a JOIN blk b ON a.page = b.page AND a.block < b.block)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,3 +33,12 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Most rows of a table that is broadcast after a count.
+SMALL_ROWS = 10_000
+
+
+def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it has been counted to have at most ``most`` (narrow) rows; as it is beyond."""
+    return F.broadcast(df) if df.count() <= most else df
