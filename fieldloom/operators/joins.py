@@ -101,6 +101,33 @@ def token_index_join(df: DataFrame, key: str, items: str, hints: str, asked: Col
     return asks.join(owners, "token").filter(F.col(key) != F.col("other")).select(key, "other").distinct()
 
 
+def dice_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, tokens: str, least: float) -> DataFrame:
+    """left_key, right_key, dice of token sets that are alike by ``least`` or more (Dice), by rare-first prefix filtering.
+
+    Sets of n and m tokens with a Dice of t share at least t (n + m) / 2, and m is n t / (2 - t) or more, so a partner shares one of the n - n t / (2 - t) + 1
+    rarest tokens. Rows meet by these only, under the length and position filters, so a common token makes no pairs unless a set has no other; each pair
+    is verified once. Keys tell rows of a side apart; empty sets are like nothing.
+    """
+    if not 0 < least <= 1:
+        raise ValueError("the least Dice lies between 0 and 1")
+    each = lambda df, key: df.select(F.col(key).alias("_key"), F.explode(F.array_distinct(tokens)).alias("_t"))
+    seen = each(left, left_key).unionByName(each(right, right_key)).groupBy("_t").agg(F.count("*").alias("_n"))
+
+    def prefixes(df: DataFrame, key: str, side: str) -> DataFrame:
+        rare = each(df, key).join(seen, "_t").groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_n", "_t"))).alias("_o"))
+        n = F.size("_o")
+        kept = (n - F.ceil(n * (least / (2 - least)) - 1e-9) + 1).cast("int")
+        rare = rare.select(F.col("_key").alias(key), F.col("_o._t").alias(f"_s{side}"), n.alias(f"_n{side}"), F.posexplode(F.slice("_o._t", 1, kept)).alias(f"_p{side}", "_t"))
+        return rare
+
+    met = prefixes(left, left_key, "l").join(prefixes(right, right_key, "r"), "_t")
+    both = F.col("_nl") + F.col("_nr")
+    possible = 1 + F.least(F.col("_nl") - F.col("_pl"), F.col("_nr") - F.col("_pr")) - 1 + F.least("_pl", "_pr")
+    met = met.filter((2 * F.least("_nl", "_nr") >= least * both - 1e-9) & (2 * possible >= least * both - 1e-9))
+    pairs = met.dropDuplicates([left_key, right_key]).withColumn("dice", text.dice(F.col("_sl"), F.col("_sr")))
+    return pairs.filter(F.col("dice") >= least).select(left_key, right_key, "dice")
+
+
 #: Rows of one block of a vector search.
 BLOCK_ROWS = 4096
 
