@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fieldloom.functions import text
 from fieldloom.functions.numeric import clamp01
+from fieldloom.operators import predicates
 
 # The chain that turns a first confidence into the final one, in order.
 FIRST_FLOORS = [
@@ -46,12 +48,46 @@ CHAIN = [
     ("cap", "0.44", "is_state AND kind <> 'state'"),
     ("floor", "0.79", "is_zip AND kind = 'postal'"),
     ("cap", "0.44", "is_zip AND kind <> 'postal'"),
+    ("floor", "0.84", "ask_policy AND own_policy"),
+    ("cap", "0.42", "ask_policy AND other_policy"),
+    ("floor", "0.78", "ask_agent AND producer_code"),
+    ("cap", "0.54", "ask_agent AND insured_code"),
+    ("floor", "0.84", "ask_insured AND insured_name"),
+    ("cap", "0.4", "ask_insured AND (insured_other OR insured_initial)"),
+    ("floor", "0.84", "ask_mailing AND own_mailing"),
+    ("cap", "0.46", "ask_mailing AND mailing_part"),
+    ("floor", "0.77", "ask_start AND start_code"),
     *FIRST_FLOORS,
     ("floor", "0.78", "overridden AND forced = 'accepted'"),
     ("floor", "0.62", "overridden AND forced = 'review'"),
-    ("floor", "0.56", "cue AND NOT header AND anchor >= 0.5 AND dictionary >= 0.28"),
-    ("floor", "0.605", "cue AND NOT header AND anchor >= 0.44 AND dictionary >= 0.22 AND (semantic >= 0.12 OR heuristic >= 0.32)"),
 ]
+#: Scores from the first value on rise to the second one (in two steps, the second sees what the first made).
+RESCUES = [
+    (0.44, 0.56, "cue AND NOT anchor_prompt AND NOT header AND NOT non_field AND anchor >= 0.5 AND dictionary >= 0.28"),
+    (0.4, 0.605, "cue AND NOT anchor_prompt AND NOT header AND NOT non_field AND anchor >= 0.44 AND dictionary >= 0.22 AND (semantic >= 0.12 OR heuristic >= 0.32)"),
+]
+#: After the score is rounded: the supervision's boost, then the last caps and floors.
+HINT_BOOSTS = {"supervision": 0.08, "semantic_hint": 0.06, "category_hint": 0.05, "dictionary_hint": 0.05}
+LAST_STEPS = [
+    ("cap", "0.48", "ask_mailing AND NOT is_place AND mailing_part"),
+    ("floor", "0.84", "ask_mailing AND NOT is_place AND own_mailing"),
+    ("cap", "0.42", "ask_insured AND insured_other"),
+    ("floor", "0.84", "ask_insured AND insured_name"),
+]
+#: Prompts that a text is asked for, and what a candidate's normalised code and label say. Normalised text has no underscore, so patterns with one never fit.
+ASKS = {"ask_policy": "policy_number", "ask_agent": "agent_name", "ask_insured": "named_insured", "ask_mailing": "mailing_address", "ask_start": "business_start"}
+CODE_MARKS = {
+    "own_policy": r"\bpolicy\s+policynumberidentifier\b",
+    "other_policy": r"\botherpolicy\s+policynumberidentifier\b",
+    "producer_code": r"\bproducer_(fullname|contactperson_fullname)\b",
+    "insured_code": r"\bnamedinsured_\b",
+    "insured_name": r"\b(generalinfo\s+namedinsured|namedinsured\s+fullname)\b",
+    "insured_other": r"\bnamedinsured\s+legalentity\s+otherdescription\b",
+    "insured_initial": r"\bothergivennameinitial\b",
+    "own_mailing": r"\bgeneralinfo\s+mailingaddress(\s+line1)?\b",
+    "mailing_part": r"\b(contactmailingaddress|mailingaddress)\s+(postalcode|stateorprovincecode|cityname)\b",
+    "start_code": r"\bbusiness(startdate|information_businessstartdate)\b",
+}
 FUSION = {"category": 0.38, "heuristic": 0.12, "geometry": 0.2, "prior": 0.15, "semantic": 0.1, "dictionary": 0.03, "anchor": 0.02}
 SIGNAL_WEIGHTS = {"layout": 1.2, "embedding": 0.5, "lexical": 0.25, "dictionary": 0.2, "heuristic": 0.05}
 FAMILY_FACTORS = {"form 125": 1.0, "form 140": 1.02, "contractors supplement": 0.95}
@@ -136,10 +172,31 @@ def first_confidence(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.withColumn("first", clamp01(base * 0.38 + clamp01(fused) * 0.62))
 
 
+def anchor_signals(df: DataFrame, value: str, code: str, label: str) -> DataFrame:
+    """Adds the prompts of ``ASKS``, ``anchor_prompt`` and the marks of ``CODE_MARKS`` from a block's text and a candidate's code and label."""
+    names = df.columns
+    df = df.withColumns({"_n": text.normalise(F.col(value)), "_code": text.normalise(F.concat_ws(" ", code, label))})
+    n = F.col("_n")
+    anchor = F.greatest(*[predicates.prompt(n, name).cast("int") for name in predicates.ANCHORS]) == 1
+    df = df.withColumns({**{k: predicates.prompt(n, v) for k, v in ASKS.items()}, "anchor_prompt": anchor, **{k: F.col("_code").rlike(p) for k, p in CODE_MARKS.items()}})
+    return df.select(*names, *ASKS, "anchor_prompt", *CODE_MARKS)
+
+
 def composite(df: DataFrame, digits: int = 3) -> DataFrame:
-    """Adds ``confidence`` and ``ranked_confidence`` (7 percent less for a missing parent) to rows with all signals."""
-    scored = first_confidence(df, max(6, digits)).withColumn("confidence", F.round(clamp01(F.expr(chain_expression("first"))), digits))
-    return scored.withColumn("ranked_confidence", F.round(F.col("confidence") * F.when(F.col("violations") > 0, 1 - 0.07).otherwise(1.0), digits))
+    """Adds ``confidence`` and ``ranked_confidence`` (7 percent less for a missing parent, unless overridden) to rows with all signals.
+
+    Columns beside the signals: those of ``anchor_signals``, ``non_field`` and the hints of ``HINT_BOOSTS``. Each stage is a projection of its own.
+    """
+    names = df.columns
+    df = first_confidence(df, max(6, digits)).withColumn("_c", F.expr(chain_expression("first")))
+    for least, to, condition in RESCUES:
+        df = df.withColumn("_c", F.when(F.expr(condition) & (F.col("_c") >= least), F.greatest(F.col("_c"), F.lit(to))).otherwise(F.col("_c")))
+    df = df.withColumn("_c", F.round(clamp01(F.col("_c")), digits))
+    hints = clamp01_once(sum((F.col(name) * weight for name, weight in HINT_BOOSTS.items()), F.lit(0.0)))
+    df = df.withColumn("_c", F.when(F.col("supervision") > 0, clamp01_once(F.col("_c") + hints)).otherwise(F.col("_c")))
+    df = df.withColumn("confidence", F.round(F.expr(chain_expression("_c", LAST_STEPS)), digits))
+    penalty = F.when((F.col("violations") > 0) & ~F.col("overridden"), 1 - 0.07).otherwise(1.0)
+    return df.select(*names, "normal", "first", "confidence", F.round(F.col("confidence") * penalty, digits).alias("ranked_confidence"))
 
 
 def dynamic_thresholds(df: DataFrame, codes: DataFrame, categories: DataFrame, default: tuple[float, float, float], digits: int = 3) -> DataFrame:

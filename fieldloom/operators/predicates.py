@@ -109,36 +109,43 @@ def prompt_flags(value: Column) -> Column:
     return F.array_sort(F.array_compact(F.array(*flags, anchor)))
 
 
-def field_cue(value: Column) -> Column:
-    n = text.normalise(value)
+def field_cue(value: Column, n: Column | None = None) -> Column:
+    n = text.normalise(value) if n is None else n
     return (n != "") & (F.trim(value).endswith(":") | n.rlike(FIELD_CUE))
 
 
-def structure_signals(value: Column, family: Column) -> Column:
-    """score, matched, reasons and kinds (sorted) of the structure rules; an empty text matches with 0.2."""
-    value = F.coalesce(value, F.lit(""))
-    n, plain = text.normalise(value), F.trim(value)
-    score, reasons, kinds = F.lit(0.0), [], []
-    rules = [(reason, weight, kind, n.rlike(a) & (plain.rlike(b) if b else F.lit(True)) & ((_words(n) <= most) if most else F.lit(True))) for reason, weight, kind, most, a, b in STRUCTURE]
+def with_structure(df: DataFrame, value: str, family: str, name: str = "structure") -> DataFrame:
+    """Adds ``name``: score, matched, reasons and kinds (sorted) of the structure rules; an empty text matches with 0.2.
+
+    The normalised text, and which rules fit, are columns of projections of their own, so each pattern runs once a row.
+    """
+    names = df.columns
+    df = df.withColumns({"_n": text.normalise(F.coalesce(F.col(value), F.lit(""))), "_plain": F.trim(F.coalesce(F.col(value), F.lit(""))), "_of": text.normalise(F.col(family))})
+    df = df.withColumn("_words", _words(F.col("_n")))
+    n, plain, words = F.col("_n"), F.col("_plain"), F.col("_words")
+    rules = [(reason, weight, kind, n.rlike(a) & (plain.rlike(b) if b else F.lit(True)) & ((words <= most) if most else F.lit(True))) for reason, weight, kind, most, a, b in STRUCTURE]
     reason, weight, kind, pattern = FAMILY_MARK
-    rules.insert(-1, (reason, weight, [kind], text.normalise(family).contains("contractor") & n.rlike(pattern)))
-    for reason, weight, kind, fits in rules:
-        score = score + F.when(fits, weight).otherwise(0.0)
-        reasons.append(F.when(fits, reason))
-        kinds.append(F.when(fits, F.array(*map(F.lit, kind))).otherwise(F.array().cast("array<string>")))
-    empty = n == ""
-    return F.struct(
+    rules.insert(-1, (reason, weight, [kind], F.col("_of").contains("contractor") & n.rlike(pattern)))
+    df = df.withColumn("_fits", F.array(*[fits for *_, fits in rules]))
+    fits = [F.col("_fits")[k] for k in range(len(rules))]
+    score = F.lit(0.0)
+    for (_, weight, _, _), fit in zip(rules, fits):
+        score = score + F.when(fit, weight).otherwise(0.0)
+    df = df.withColumn("_score", score)
+    empty, score = n == "", F.col("_score")
+    kinds = F.concat(*[F.when(fit, F.array(*map(F.lit, kind))).otherwise(F.array().cast("array<string>")) for (_, _, kind, _), fit in zip(rules, fits)])
+    signals = F.struct(
         F.when(empty, 0.2).otherwise(F.round(F.least(F.lit(1.0), score), 3)).alias("score"),
         (empty | (score >= STRUCTURE_MATCH)).alias("matched"),
-        F.when(empty, F.array(F.lit("empty_text"))).otherwise(F.array_compact(F.array(*reasons))).alias("reasons"),
-        F.when(empty, F.array(F.lit("empty"))).otherwise(F.array_sort(F.array_distinct(F.concat(*kinds)))).alias("kinds"),
+        F.when(empty, F.array(F.lit("empty_text"))).otherwise(F.array_compact(F.array(*[F.when(fit, reason) for (reason, *_), fit in zip(rules, fits)]))).alias("reasons"),
+        F.when(empty, F.array(F.lit("empty"))).otherwise(F.array_sort(F.array_distinct(kinds))).alias("kinds"),
     )
+    return df.withColumn(name, signals).select(*names, name)
 
 
-def not_mappable(value: Column, structure: Column) -> Column:
+def not_mappable(value: Column, n: Column, words: Column, cue: Column, structure: Column) -> Column:
     """Titles, tables, instructions and long prose without a field cue."""
-    n = text.normalise(value)
-    words, bare = _words(n), ~field_cue(value)
+    bare = ~cue
     title = (words >= 4) & n.rlike(FORM_TITLE) & ~n.rlike(FORM_FIELD)
     prose = (words >= 4) & n.rlike(TITLE_WORD) & ~n.rlike(TITLE_FIELD)
     instruction = F.trim(value).endswith("?") | n.rlike(INSTRUCTION_START) | n.rlike(INSTRUCTION)
@@ -149,30 +156,33 @@ def not_mappable(value: Column, structure: Column) -> Column:
     )
 
 
+#: Reasons and weights of the header rules, in order. The structure rules that fit give their own reasons and score in their place.
+HEADER_RULES = [
+    ("top_of_page", 0.32), ("acord_header_tokens", 0.42), ("logo_or_contact_noise", 0.24), ("no_nearby_field_cue", 0.24), ("title_geometry_proxy", 0.18), ("non_field_pattern", 0.22),
+    ("structure", None), ("phase3_field_cue_rebalance", -0.2), ("wave13_1_anchor_prompt_override", -0.34),
+]
+
+
 def header_assessment(df: DataFrame, value: str, box: str, near_cue: str, family: str) -> DataFrame:
     """Adds ``header_score``, ``header`` and ``header_reasons`` from text, place, and whether a neighbour row has a field cue."""
-    df = df.withColumn("_s", structure_signals(F.col(value), F.col(family)))
-    v, n, s, b = F.col(value), text.normalise(F.col(value)), F.col("_s"), F.col(box)
-    words, cue = _words(n), field_cue(F.col(value))
-    top, head = b["y"] < TOP_BAND, n.rlike(HEADER)
-    anchor = prompt(n, "policy_number") | prompt(n, "named_insured") | prompt(n, "mailing_address")
-    rules = [
-        ("top_of_page", F.lit(0.32), top),
-        ("header_tokens", F.lit(0.42), head),
-        ("logo_or_contact_noise", F.lit(0.24), (n.rlike(ORGANISATION) | v.rlike(TELEPHONE)) & (words >= 3)),
-        ("no_nearby_field_cue", F.lit(0.24), ~cue & ~F.col(near_cue)),
-        ("title_geometry", F.lit(0.18), ((b["height"] >= 20) | ((b["width"] >= 360) & (words >= 4))) & top),
-        ("non_field_pattern", F.lit(0.22), not_mappable(v, s)),
-        ("structure", s["score"], s["matched"]),
-        ("field_cue_rebalance", F.lit(-0.2), cue & ~top & s["matched"]),
-        ("anchor_prompt", F.lit(-0.34), anchor),
-    ]
-    score = F.lit(0.0)
-    for _, weight, fits in rules:
-        score = score + F.when(fits, weight).otherwise(0.0)
-    header = ~anchor & ((score >= HEADER_MATCH) | (top & head) | (F.array_contains(s["kinds"], "logo") & (s["score"] >= 0.35)))
-    reasons = F.array_compact(F.array(*[F.when(fits, name) for name, _, fits in rules]))
-    return df.withColumns({"header_score": F.round(clamp01(score), 3), "header": header, "header_reasons": reasons}).drop("_s")
+    names = df.columns
+    df = with_structure(df, value, family, "_s").withColumn("_n", text.normalise(F.col(value)))
+    v, n, s, b = F.col(value), F.col("_n"), F.col("_s"), F.col(box)
+    df = df.withColumns({"_words": _words(n), "_cue": field_cue(v, n), "_head": n.rlike(HEADER), "_anchor": prompt(n, "policy_number") | prompt(n, "named_insured") | prompt(n, "mailing_address")})
+    words, cue, head, anchor, top = F.col("_words"), F.col("_cue"), F.col("_head"), F.col("_anchor"), b["y"] < TOP_BAND
+    fits = [
+        top, head, (n.rlike(ORGANISATION) | v.rlike(TELEPHONE)) & (words >= 3), ~cue & ~F.col(near_cue), ((b["height"] >= 20) | ((b["width"] >= 360) & (words >= 4))) & top,
+        not_mappable(v, n, words, cue, s), s["matched"], cue & ~top & s["matched"], anchor,
+    ]
+    df = df.withColumn("_fits", F.array(*fits))
+    score, reasons = F.lit(0.0), []
+    for k, (reason, weight) in enumerate(HEADER_RULES):
+        fit = F.col("_fits")[k]
+        score = score + F.when(fit, s["score"] if weight is None else F.lit(weight)).otherwise(0.0)
+        reasons.append(F.when(fit, s["reasons"] if weight is None else F.array(F.lit(reason))).otherwise(F.array().cast("array<string>")))
+    df = df.withColumn("_score", score)
+    header = ~anchor & ((F.col("_score") >= HEADER_MATCH) | (top & head) | (F.array_contains(s["kinds"], "logo") & (s["score"] >= 0.35)))
+    return df.select(*names, F.round(clamp01(F.col("_score")), 3).alias("header_score"), header.alias("header"), F.concat(*reasons).alias("header_reasons"))
 
 
 def valid_rules(rules: Sequence[tuple[str, float, str]]) -> list[tuple[str, float, str]]:

@@ -53,8 +53,7 @@ _STRUCTURE = f"""sc AS (SELECT *, CAST(0 AS DOUBLE) + {_SCORE} AS raw FROM nb),
 
 @register("structure_suppression", f"WITH {_B}, {_STRUCTURE} SELECT page, block, s_score AS score, s_matched AS matched, array_to_string(s_reasons, ',') AS reasons, array_to_string(s_kinds, ',') AS kinds FROM st")
 def structure_suppression(spark, sf_dir):
-    s = P.structure_signals(F.col("text"), F.col("family"))
-    found = prompt_blocks(spark, sf_dir).withColumn("s", s)
+    found = P.with_structure(prompt_blocks(spark, sf_dir), "text", "family", "s")
     return found.select("page", "block", "s.score", "s.matched", F.array_join("s.reasons", ",").alias("reasons"), F.array_join("s.kinds", ",").alias("kinds"))
 
 
@@ -64,9 +63,9 @@ _NOT_MAPPABLE = f"""(n = '' OR ({WORDS} >= 4 AND {rx('n', P.FORM_TITLE)} AND NOT
   OR ends_with(t, '?') OR {rx('n', P.INSTRUCTION_START)} OR {rx('n', P.INSTRUCTION)})) OR (NOT {CUE} AND {WORDS} >= 16) OR (NOT {CUE} AND s_matched))"""
 _ANCHOR = f"({_prompt('policy_number')} OR {_prompt('named_insured')} OR {_prompt('mailing_address')})"
 _HEADER = [
-    ("top_of_page", "0.32::DOUBLE", f"y < {P.TOP_BAND}"), ("header_tokens", "0.42::DOUBLE", rx("n", P.HEADER)), ("logo_or_contact_noise", "0.24::DOUBLE", f"{_LOGO} AND {WORDS} >= 3"),
-    ("no_nearby_field_cue", "0.24::DOUBLE", f"NOT {CUE} AND NOT near"), ("title_geometry", "0.18::DOUBLE", f"(h >= 20 OR (w >= 360 AND {WORDS} >= 4)) AND y < {P.TOP_BAND}"),
-    ("non_field_pattern", "0.22::DOUBLE", _NOT_MAPPABLE), ("structure", "s_score", "s_matched"), ("field_cue_rebalance", "-0.2::DOUBLE", f"{CUE} AND NOT y < {P.TOP_BAND} AND s_matched"), ("anchor_prompt", "-0.34::DOUBLE", _ANCHOR),
+    ("top_of_page", "0.32::DOUBLE", f"y < {P.TOP_BAND}"), ("acord_header_tokens", "0.42::DOUBLE", rx("n", P.HEADER)), ("logo_or_contact_noise", "0.24::DOUBLE", f"{_LOGO} AND {WORDS} >= 3"),
+    ("no_nearby_field_cue", "0.24::DOUBLE", f"NOT {CUE} AND NOT near"), ("title_geometry_proxy", "0.18::DOUBLE", f"(h >= 20 OR (w >= 360 AND {WORDS} >= 4)) AND y < {P.TOP_BAND}"),
+    ("non_field_pattern", "0.22::DOUBLE", _NOT_MAPPABLE), ("structure", "s_score", "s_matched"), ("phase3_field_cue_rebalance", "-0.2::DOUBLE", f"{CUE} AND NOT y < {P.TOP_BAND} AND s_matched"), ("wave13_1_anchor_prompt_override", "-0.34::DOUBLE", _ANCHOR),
 ]
 _NEAR = f"""nr AS (SELECT a.page, a.block, bool_or(b.block IS NOT NULL) AS near FROM
   (SELECT *, row_number() OVER (PARTITION BY page ORDER BY y, x, block) AS rn FROM nb) a LEFT JOIN
@@ -76,7 +75,7 @@ _NEAR = f"""nr AS (SELECT a.page, a.block, bool_or(b.block IS NOT NULL) AS near
 
 @register("header_assessment", f"""WITH {_B}, {_NEAR}, {_STRUCTURE}, hd AS (SELECT *, {' + '.join(f'(CASE WHEN {c} THEN {w} ELSE 0 END)' for _, w, c in _HEADER)} AS hs FROM st JOIN nr USING (page, block))
 SELECT page, block, round(greatest(0, least(1, hs)), 3) AS header_score, NOT {_ANCHOR} AND (hs >= {P.HEADER_MATCH} OR (y < {P.TOP_BAND} AND {rx('n', P.HEADER)}) OR (list_contains(s_kinds, 'logo') AND s_score >= 0.35)) AS header,
- array_to_string({flags([(n, c) for n, _, c in _HEADER])}, ',') AS reasons FROM hd""")
+ array_to_string(flatten([{', '.join(f"CASE WHEN {c} THEN {'s_reasons' if n == 'structure' else repr([n])} ELSE []::VARCHAR[] END" for n, _, c in _HEADER)}]), ',') AS reasons FROM hd""")
 def header_assessment(spark, sf_dir):
     b = prompt_blocks(spark, sf_dir).withColumns({"y": F.col("box.y"), "x": F.col("box.x"), "cue": P.field_cue(F.col("text"))})
     near = rows.neighbour_probe(b, ["page"], ["y", "x", "block"], "y", "cue", 3, 82, "near")

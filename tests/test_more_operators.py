@@ -81,7 +81,7 @@ def test_assignment_is_the_one_form_after_the_other(spark):
 def test_suppression_skips_broken_patterns_and_null_texts(spark):
     assert [r[0] for r in predicates.valid_rules([("a(", 1.0, "x"), ("b", 0.0, "")])] == ["b"]
     df = spark.createDataFrame([(None,), ("",), ("Page 1 of 2",), ("Insured:",)], "t string")
-    got = [r[0] for r in df.select(predicates.structure_signals(F.col("t"), F.lit(None).cast("string"))).collect()]
+    got = [r[0] for r in predicates.with_structure(df.withColumn("family", F.lit(None).cast("string")), "t", "family", "s").select("s").collect()]
     assert [g.matched for g in got[:3]] == [True] * 3 and got[0].reasons == ["empty_text"] and got[2].kinds == ["footer"]
 
 
