@@ -34,9 +34,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldloom.llm.common import bounded_batches, dropped, stored, tidy
+from fieldloom.llm.common import bounded_batches, dropped, small, stored, tidy
 
 MAX_LABELLED = 3000
+#: Most ids of labelled documents that are broadcast.
+LABELLED_IDS = 1_000_000
 #: Rounds, and pseudo-labels of each class that a view may hand over per round, and how sure it must be.
 ROUNDS, PER_ROUND, CONFIDENT = 3, 150, 0.97
 BUCKETS = 1 << 18
@@ -310,7 +312,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ro
     # rows of one id may be many: of equal rows one is enough
     names_of = ("label", "cols", "counts", "tokens", "meta")
     found = known.groupBy("key").agg(*[F.first(c).alias(c) for c in names_of]).orderBy("key").limit(2 * max_labelled).toArrow()
-    free = docs.join(marks.select("doc_id"), "doc_id", "left_anti").withColumn("label", F.lit(-1.0))
+    # a million ids are a few megabytes; beyond, the join moves texts once
+    labelled = stored(marks.select("doc_id"), "labelled-ids")
+    free = docs.join(small(labelled, LABELLED_IDS), "doc_id", "left_anti").withColumn("label", F.lit(-1.0))
     pool = stored(free.select(*names).mapInArrow(tidy(_vectors), _VECTORS_DDL), "pool")
     taken: tuple[set[int], set[int]] = (set(), set())
 
@@ -325,7 +329,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ro
 
     both = [_vector(r) for r in found.select(list(names_of[1:])).to_pylist()]
     model = co_train([t for t, _ in both], [m for _, m in both], np.asarray(found["label"]).astype(int), teach, rounds)
-    dropped(some, pool)
+    dropped(some, pool, labelled)
     return model
 
 

@@ -448,9 +448,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, cells: in
     reps = classes.select(F.col("d1").alias("cls"), F.col("rep").alias("node"))
     own = Window.partitionBy("cls", "node")
     placed = {name: F.lag("gram", k).over(own.orderBy("pos")) for k, name in enumerate(_BEFORE, 1)}
-    shared = prefixes.join(several, "gram").join(reps, "cls").dropDuplicates(["cls", "gram"])
-    lists = stored(shared.withColumns({**placed, "lists": F.count("*").over(own), "comp": F.col("node")}), "lists")
+    # a table of its own, so that the shuffle by gram is gone before the one by class begins
+    shared = stored(prefixes.join(several, "gram"), "shared-prefixes")
     dropped(prefixes, several)
+    met = shared.join(reps, "cls").dropDuplicates(["cls", "gram"])
+    lists = stored(met.withColumns({**placed, "lists": F.count("*").over(own), "comp": F.col("node")}), "lists")
+    dropped(shared)
     chosen = lists.select("node", "cls").distinct()
     drawn = found.select(F.col("doc_id").alias("node"), F.col("d1").alias("cls"), F.col("n").cast("int").alias("size"), "parity").join(chosen, ["node", "cls"], "left_semi").dropDuplicates(["node", "cls"])
     signatures = stored(drawn.mapInArrow(_with_folds, "node long, cls long, size int, parity binary, " + ", ".join(f"{p} long" for p in _FOLDED)), "signatures")
