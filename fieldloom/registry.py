@@ -27,7 +27,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-MODULES = ("queries", "predicate_queries", "confidence_queries", "catalogue_queries", "evaluation_queries", "semantic_queries", "source_queries", "binding_queries")
+MODULES = ("queries", "predicate_queries", "confidence_queries", "catalogue_queries", "evaluation_queries", "semantic_queries", "source_queries", "binding_queries", "state_queries")
 
 
 def _load() -> None:
