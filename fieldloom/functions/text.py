@@ -111,3 +111,27 @@ def neighbourhood(items: Column, radius: int = 2) -> Column:
         return F.struct(token.alias("token"), F.array_sort(F.array_distinct(F.filter(near, lambda t: t != token))).alias("near"))
 
     return F.transform(items, around)
+
+
+#: The collation of sorted names: Unicode's own order, where case and accents tell only otherwise equal words apart.
+COLLATION = "UNICODE"
+
+
+def sorted_distinct(names: Column) -> Column:
+    """The distinct names (of an array) in Unicode's collation order, binary order among those that it takes for equal; nulls go."""
+    keyed = F.transform(F.array_sort(F.array_distinct(F.array_compact(names))), lambda v, k: F.struct(F.collate(v, COLLATION).alias("c"), k.alias("k"), v.alias("v")))
+    return F.transform(F.array_sort(keyed), lambda s: s["v"])
+
+
+#: The stamp of hashed artefacts, which depend on no clock (fixed value).
+CANONICAL_TIME = "1970-01-01T00:00:00.000Z"
+
+
+def iso_time(at: Column) -> Column:
+    """A time as ISO text with milliseconds in UTC, as sessions here run in UTC; later digits are cut."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def next_attempt(at: Column, wait_s: int = 30) -> Column:
+    """When a failed call is tried again."""
+    return at + F.make_dt_interval(secs=F.lit(wait_s))

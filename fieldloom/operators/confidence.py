@@ -220,8 +220,8 @@ def dynamic_thresholds(df: DataFrame, codes: DataFrame, categories: DataFrame, d
 
 
 def candidate_order() -> list[Column]:
-    """The order of candidates: confidence, similarity, lexical, dictionary, heuristic, then code."""
-    return [*[F.col(c).desc() for c in ("confidence", "semantic", "anchor", "dictionary", "heuristic")], F.col("code")]
+    """The order of candidates: confidence, similarity, lexical, dictionary, heuristic, then code in Unicode's collation order."""
+    return [*[F.col(c).desc() for c in ("confidence", "semantic", "anchor", "dictionary", "heuristic")], F.collate(F.col("code"), text.COLLATION), F.col("code")]
 
 
 def reranked(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -267,3 +267,24 @@ def duplicate_contradictions(df: DataFrame, value: str, code: str, confidence: s
     """Normalised texts with two rows or more, several codes, and every row at least at ``review``."""
     found = df.withColumn("text", text.normalise(F.col(value))).filter("text <> ''").groupBy("text").agg(F.count("*").alias("n"), F.size(F.collect_set(code)).alias("n_codes"), F.min(confidence).alias("least"))
     return found.filter((F.col("n") >= 2) & (F.col("n_codes") >= 2) & (F.col("least") >= review))
+
+
+#: Latencies that a service remembers, and parts into which one service's rows are dealt before the last are found.
+LAST_LATENCIES, PARTS = 250, 64
+
+
+def metric_snapshot(rows: DataFrame, service: str, at: Sequence[str], latency: str, counts: dict[str, Column], gauges: dict[str, Column], fallback: float, keep: int = LAST_LATENCIES) -> DataFrame:
+    """service, the counters, the gauges (last value that is not null) and mean_latency (of the last ``keep``, rounded half up; ``fallback`` without any).
+
+    Rows with the greatest ``at`` (which tells rows apart) are the last. They are found in ``PARTS`` parts of each service first, so a service with a third of all rows is many keys, and no
+    window holds more than its part; counters and gauges are sums and greatest structs that combine before the shuffle.
+    """
+    order = F.struct(*at)
+    sums = [F.count_if(c).alias(name) for name, c in counts.items()]
+    lasts = [F.max(F.when(c.isNotNull(), F.struct(order.alias("at"), c.alias("v"))))["v"].alias(name) for name, c in gauges.items()]
+    totals = rows.groupBy(service).agg(*sums, *lasts)
+    timed = rows.filter(F.col(latency).isNotNull()).select(service, *at, latency).withColumn("_part", F.pmod(F.xxhash64(*at), F.lit(PARTS)))
+    newest = [F.col(c).desc() for c in at]
+    last = top_k(top_k(timed, [service, "_part"], newest, keep, "_rank"), [service], newest, keep, "_rank")
+    means = last.groupBy(service).agg(F.floor(F.avg(latency) + 0.5).cast("double").alias("mean_latency"))
+    return totals.join(means, service, "left").withColumn("mean_latency", F.coalesce("mean_latency", F.lit(float(fallback))))

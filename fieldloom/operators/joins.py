@@ -177,3 +177,22 @@ def constraint_violations(selected: DataFrame, parents: DataFrame, exclusive: Da
     clash = chosen.join(exclusive, "code").join(present, ["doc", "other"], "left_semi").withColumn("kind", F.lit("exclusive"))
     names = ["doc", "code", "kind", "other"]
     return missing.select(*names).unionByName(clash.select(*names))
+
+
+def sibling_violations(selected: DataFrame, needs: DataFrame, members: DataFrame) -> DataFrame:
+    """doc, code, kind, other: a selected code that lacks one of the siblings that it requires.
+
+    ``selected``: doc, code; ``needs``: code, sibling_group (a code may need several); ``members``: sibling_group, code. Siblings are groups and their members, never pairs of codes. A document's selected
+    members are counted first: complete groups go before any member is looked at.
+    """
+    chosen = selected.select("doc", "code").distinct()
+    asked = chosen.join(needs, "code").select("doc", "code", "sibling_group").distinct()
+    members = members.select("sibling_group", F.col("code").alias("other")).distinct()
+    sizes = members.groupBy("sibling_group").agg(F.count("*").alias("_all"))
+    present = chosen.withColumnRenamed("code", "other")
+    have = present.join(members, "other").groupBy("doc", "sibling_group").agg(F.count("*").alias("_have"))
+    groups = asked.select("doc", "sibling_group").distinct().join(sizes, "sibling_group").join(have, ["doc", "sibling_group"], "left")
+    short = groups.filter(F.coalesce("_have", F.lit(0)) < F.col("_all")).select("doc", "sibling_group")
+    missing = short.join(members, "sibling_group").join(present, ["doc", "other"], "left_anti")
+    out = asked.join(missing, ["doc", "sibling_group"]).filter("code <> other")
+    return out.select("doc", "code", F.lit("missing-sibling").alias("kind"), "other").distinct()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldloom.functions import numeric
+from fieldloom.functions import numeric, text
 from fieldloom.operators import evaluation as E
 from fieldloom.plans.predicate_queries import flags, rx
 from fieldloom.plans.tables import BLOCKS, CANDIDATES, PROMPT_BLOCKS, blocks, candidates, normalised_sql, prompt_blocks, table
@@ -227,3 +227,52 @@ def replay_mismatch(spark, sf_dir):
 def text_contradictions(spark, sf_dir):
     b = prompt_blocks(spark, sf_dir).filter("conf >= 0.2").withColumns({"code": F.col("block") % 3, "value": F.concat("text", F.lit(" "), (F.col("page") % 400).cast("string"))})
     return E.duplicate_contradictions(b, "value", "code", "conf", 0.3)
+
+
+@register("metric_snapshot", """WITH r AS (SELECT user_id % 6 AS service, ts, event_id, event_type, value FROM events), l AS (SELECT *, row_number() OVER (PARTITION BY service ORDER BY ts DESC, event_id DESC) AS rn FROM r WHERE event_type <> 'signup' AND service <> 5)
+SELECT r.service, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'purchase') AS sales, arg_max(value, (ts, event_id)) FILTER (event_type = 'view') AS load, any_value(coalesce(m, 12.0)) AS mean_latency
+FROM r LEFT JOIN (SELECT service, floor(avg(value) + 0.5) AS m FROM l WHERE rn <= 250 GROUP BY 1) k ON k.service = r.service GROUP BY 1""")
+def metric_snapshot(spark, sf_dir):
+    kind = F.col("event_type")
+    r = table(spark, sf_dir, "events").select((F.col("user_id") % 6).alias("service"), "ts", "event_id", "event_type", "value")
+    r = r.withColumn("latency", F.when((kind != "signup") & (F.col("service") != 5), F.col("value")))
+    return E.metric_snapshot(r, "service", ["ts", "event_id"], "latency", {"errors": kind == "error", "sales": kind == "purchase"}, {"load": F.when(kind == "view", F.col("value"))}, 12.0)
+
+
+@register("sibling_violations", """WITH c AS (SELECT DISTINCT l_orderkey AS doc, l_partkey % 40 AS n FROM lineitem), m AS (SELECT i AS n, i % 8 AS grp FROM range(0, 24) t(i))
+SELECT a.doc, 'C' || a.n AS code, 'missing-sibling' AS kind, 'C' || m.n AS other FROM c a JOIN m ON m.grp = a.n % 8 AND m.n <> a.n WHERE a.n % 4 < 2 AND NOT EXISTS (SELECT 1 FROM c b WHERE b.doc = a.doc AND b.n = m.n)""")
+def sibling_violations(spark, sf_dir):
+    from fieldloom.operators import joins
+
+    code = lambda c: F.concat(F.lit("C"), c.cast("string"))
+    chosen = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), code(F.col("l_partkey") % 40).alias("code"))
+    numbers = spark.range(40).select(code(F.col("id")).alias("code"), "id", (F.col("id") % 8).alias("sibling_group"))
+    return joins.sibling_violations(chosen, numbers.filter("id % 4 < 2"), numbers.filter("id < 24"))
+
+
+_TIE = "(l_partkey * 7 + l_orderkey) % 40000"
+
+
+@register("quantised_values", f"""WITH k AS (SELECT {_TIE} AS k FROM lineitem), x AS (SELECT DISTINCT k, (2 * k + 1) / 2000.0::DOUBLE AS x FROM k)
+SELECT k, CASE WHEN (2 * k + 1) % 125 = 0 THEN (k + 1) / 1000.0::DOUBLE ELSE CAST(printf('%.3f', x) AS DOUBLE) END AS up, CASE WHEN (2 * k + 1) % 125 = 0 THEN -(k + 1) / 1000.0::DOUBLE ELSE CAST(printf('%.3f', -x) AS DOUBLE) END AS down, CAST(printf('%.7f', x / 7) AS DOUBLE) AS fine FROM x""")
+def quantised_values(spark, sf_dir):
+    k = table(spark, sf_dir, "lineitem").select(F.expr(_TIE).alias("k")).distinct()
+    x = (2 * F.col("k") + 1) / F.lit(2000.0)
+    return k.select("k", numeric.quantise(x, 3).alias("up"), numeric.quantise(-x, 3).alias("down"), numeric.quantise(x / 7, 7).alias("fine"))
+
+
+_NAMES = ["zebra", "Zebra", "élan", "elan", "Elan", "ábaco", "abaco", "Äpfel", "apfel", "côte", "cote", "Cote"]
+
+
+@register("sorted_names", f"""WITH n AS (SELECT DISTINCT l_suppkey AS id, {_NAMES}[CAST((l_partkey + l_orderkey) % 12 + 1 AS INTEGER)] AS v FROM lineitem)
+SELECT id, string_agg(v, ',' ORDER BY lower(strip_accents(v)), lower(v), translate(v, 'EZÄC', '1111') = v DESC) AS names FROM n GROUP BY id""")
+def sorted_names(spark, sf_dir):
+    pick = F.element_at(F.array(*map(F.lit, _NAMES)), ((F.col("l_partkey") + F.col("l_orderkey")) % 12 + 1).cast("int"))
+    found = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.collect_set(pick).alias("names"))
+    return found.select("id", F.array_join(text.sorted_distinct(F.col("names")), ",").alias("names"))
+
+
+@register("time_stamps", "SELECT event_id, '1970-01-01T00:00:00.000Z' AS canonical, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS made, strftime(ts + INTERVAL 30 SECOND, '%Y-%m-%dT%H:%M:%S.%gZ') AS due FROM events")
+def time_stamps(spark, sf_dir):
+    ts = F.col("ts").cast("timestamp_ntz")
+    return table(spark, sf_dir, "events").select("event_id", F.lit(text.CANONICAL_TIME).alias("canonical"), text.iso_time(ts).alias("made"), text.iso_time(text.next_attempt(ts)).alias("due"))

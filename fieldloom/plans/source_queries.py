@@ -212,3 +212,17 @@ def audit_log(spark, sf_dir):
     return sinks.audit_index(held, "user_id", "event_id").select("user_id", F.array_join("ids", ",").alias("ids"))
 
 
+
+
+@register("dictionary_file", """WITH p AS (SELECT regexp_replace(p_name, '[^A-Za-z0-9]', '', 'g') || 'Date_' || p_partkey AS code, p_type || ';' || chr(10) || 'said "' || p_brand || '"' AS glossary, p_partkey FROM part)
+SELECT code, glossary AS description, CAST(len(list_distinct([p_type, 'said "' || p_brand || '"'])) AS INTEGER) AS parts FROM (SELECT p.*, p_type, p_brand FROM p JOIN part USING (p_partkey)) WHERE p_partkey % 9 <> 0""")
+def dictionary_file(spark, sf_dir):
+    """The dictionary written as a quoted CSV with line ends and quotes inside, and rows without a code, and read again."""
+    path = fresh_path(spark, "dictionary")
+    name = F.concat(F.regexp_replace("p_name", "[^A-Za-z0-9]", ""), F.lit("Date_"), F.col("p_partkey").cast("string"))
+    glossary = F.concat("p_type", F.lit(';\nsaid "'), "p_brand", F.lit('"'))
+    rows = table(spark, sf_dir, "part").select(F.when(F.col("p_partkey") % 9 != 0, name).otherwise("").alias("code"), glossary.alias("glossary"))
+    rows.write.csv(path, header=True, quote='"', escape='"', quoteAll=True)
+    found = readers.dictionary_csv(spark, path)
+    # beside the glossary's parts the keywords hold the label's words
+    return found.select("code", "description", F.size(F.array_intersect("keywords", F.transform(F.split("description", ";"), F.trim))).alias("parts"))

@@ -152,3 +152,59 @@ def test_text_helpers(spark):
     df = spark.createDataFrame([('say "why?" or "are you sure?"', "1,234,567 a,b"), (None, None)], "a string, b string")
     got = df.select(text.quoted_question(F.col("a")).alias("q"), text.strip_digit_commas(F.col("b")).alias("n"), predicates.display_label(F.col("a")).alias("d")).collect()
     assert got[0].q == "are you sure?" and got[0].n == "1234567 a,b" and got[1].q is None and got[1].d == ""
+
+
+def test_quantise_by_the_exact_value(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    from fieldloom.functions import numeric
+
+    values = [0.3255, -0.3255, 1.005, 2.5, -2.5, 0.125, 1e-9, 0.0, 1e15 + 0.3, 4503599627370497.5, 123456.7894999999, 0.1 + 0.2, 1e300] + [(2 * k + 1) / 2000 for k in range(1000)]
+    for digits in (0, 3, 6, 11):
+        step = Decimal(1).scaleb(-digits)
+        got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(numeric.quantise(F.col("v"), digits)).collect()]
+        want = [float(Decimal(v).quantize(step, ROUND_HALF_UP)) if abs(v) * 10**digits < 2**53 else v for v in values]
+        assert got == want
+    odd = spark.createDataFrame([(float("nan"),), (float("inf"),), (None,)], "v double").select(numeric.quantise(F.col("v"))).collect()
+    assert odd[0][0] != odd[0][0] and odd[1][0] == float("inf") and odd[2][0] is None
+
+
+def test_sorted_distinct_in_collation_order(spark):
+    from fieldloom.functions import text
+
+    df = spark.createDataFrame([(["b", "a", "B", None, "\u00e1", "A", "a"],), ([],), (None,)], "v array<string>")
+    assert [r[0] for r in df.select(text.sorted_distinct(F.col("v"))).collect()] == [["a", "A", "\u00e1", "b", "B"], [], None]
+
+
+def test_sibling_groups(spark):
+    from fieldloom.operators import joins
+
+    chosen = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, "a"), (3, "x"), (4, "c")], "doc int, code string")
+    needs = spark.createDataFrame([("a", 1), ("b", 1), ("a", 2), ("x", 9)], "code string, sibling_group int")
+    members = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (2, "c")], "sibling_group int, code string")
+    got = sorted((r.doc, r.code, r.other) for r in joins.sibling_violations(chosen, needs, members).collect())
+    assert got == [(1, "a", "c"), (2, "a", "b"), (2, "a", "c")]
+
+
+def test_dice_join_equals_all_pairs(spark):
+    import random
+
+    from fieldloom.operators import joins
+
+    rnd = random.Random(4)
+    sets = [[rnd.choice("abcdefghijklmno") for _ in range(rnd.randint(0, 6))] + ["the"] * rnd.randint(0, 1) for _ in range(120)]
+    left = spark.createDataFrame([(k, s) for k, s in enumerate(sets[:60])], "l int, tokens array<string>")
+    right = spark.createDataFrame([(k, s) for k, s in enumerate(sets[60:])], "r int, tokens array<string>")
+    for least in (0.3, 0.55, 1.0):
+        got = {(r.l, r.r) for r in joins.dice_join(left, right, "l", "r", "tokens", least).collect()}
+        dice = lambda a, b: 2 * len(set(a) & set(b)) / (len(set(a)) + len(set(b))) if a and b else 0.0
+        assert got == {(i, j) for i in range(60) for j in range(60) if dice(sets[i], sets[60 + j]) >= least}
+
+
+def test_metric_snapshot(spark):
+    from fieldloom.operators import evaluation
+
+    rows = [("s", k, float(k), k % 2 == 0) for k in range(400)] + [("t", 1, None, False)]
+    df = spark.createDataFrame(rows, "service string, n int, ms double, ok boolean")
+    got = {r.service: (r.good, r.load, r.mean_latency) for r in evaluation.metric_snapshot(df, "service", ["n"], "ms", {"good": F.col("ok")}, {"load": F.when(F.col("ok"), F.col("ms"))}, 12.0).collect()}
+    assert got == {"s": (200, 398.0, 275.0), "t": (0, None, 12.0)}  # the mean of 150 to 399 is 274.5
