@@ -16,9 +16,9 @@ def fnv_sql(x: str) -> str:
     return f"printf('%08x', CAST(list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(regexp_extract_all({x}, '(?s).'), lambda c: CAST(ord(c) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) % 4294967296) AS BIGINT))"
 
 
-@register("chosen_ranks", f"WITH {CANDIDATES}, r AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY conf DESC, sim DESC, code, ordinal) AS rn, CASE WHEN doc % 5 = 0 THEN 'C' || (doc % 40) ELSE max(code) OVER (PARTITION BY doc) END AS chosen FROM cand) SELECT doc, min(chosen) AS chosen, CAST(coalesce(min(CASE WHEN code = chosen THEN rn END), -1) AS INTEGER) AS rank FROM r GROUP BY doc HAVING doc < 3000")
+@register("chosen_ranks", f"WITH {CANDIDATES}, r AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY conf DESC, sim DESC, code, ordinal) AS rn, CASE WHEN doc % 5 = 0 THEN 'C' || (doc % 40) ELSE max(code) OVER (PARTITION BY doc) END AS chosen FROM cand) SELECT doc, min(chosen) AS chosen, CAST(coalesce(min(CASE WHEN code = chosen THEN rn END), -1) AS INTEGER) AS rank FROM r GROUP BY doc")
 def chosen_ranks(spark, sf_dir):
-    c = candidates(spark, sf_dir).filter("doc < 3000")
+    c = candidates(spark, sf_dir)
     w = E.Window.partitionBy("doc")
     c = c.withColumn("chosen", F.when(F.col("doc") % 5 == 0, F.concat(F.lit("C"), (F.col("doc") % 40).cast("string"))).otherwise(F.max("code").over(w)))
     return E.chosen_rank(c, ["doc"], [F.col("conf").desc(), F.col("sim").desc(), F.col("code"), F.col("ordinal")], "code", "chosen").withColumn("rank", F.coalesce(F.col("rank"), F.lit(-1)))
@@ -93,12 +93,11 @@ def family_clusters(spark, sf_dir):
     return E.family_clusters(table(spark, sf_dir, "customer").withColumn("family", F.col("c_nationkey").cast("long")), "family", "c_acctbal", "c_name")
 
 
-@register("calibration_suggestions", f"""WITH {CANDIDATES}, e AS (SELECT family, code, count(*) AS n, avg(conf) AS m, avg(CASE WHEN abs(conf - sim) > 0.5 THEN 1 ELSE 0 END) AS g FROM cand WHERE doc % 50 < 2 GROUP BY 1, 2 HAVING count(*) >= 2 AND NOT (avg(conf) >= 0.5 AND avg(CASE WHEN abs(conf - sim) > 0.5 THEN 1 ELSE 0 END) < 0.35)),
+@register("calibration_suggestions", f"""WITH {CANDIDATES}, e AS (SELECT family, code, count(*) AS n, avg(conf) AS m, avg(CASE WHEN abs(conf - sim) > 0.5 THEN 1 ELSE 0 END) AS g FROM cand GROUP BY 1, 2 HAVING count(*) >= 2 AND NOT (avg(conf) >= 0.5 AND avg(CASE WHEN abs(conf - sim) > 0.5 THEN 1 ELSE 0 END) < 0.35)),
  r AS (SELECT *, round(greatest(0.4, least(0.95, m + 0.08)), 6) AS proposed, round(least(1.0, n / 5 + g * 0.4), 6) AS confidence FROM e)
 SELECT family, CAST(rank AS INTEGER) AS rank, code, n, proposed, confidence FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY confidence DESC, code) AS rank FROM r) WHERE rank <= 12""")
 def calibration_suggestions(spark, sf_dir):
-    c = candidates(spark, sf_dir).filter("doc % 50 < 2")
-    return E.calibration_suggestions(c, ["family"], "code", "conf", F.abs(F.col("conf") - F.col("sim")) > 0.5, 0.5, 0.4)
+    return E.calibration_suggestions(candidates(spark, sf_dir), ["family"], "code", "conf", F.abs(F.col("conf") - F.col("sim")) > 0.5, 0.5, 0.4)
 
 
 ERROR_KINDS = ["candidate_ranking", "field_type", "label_pairing", "unmapped_field", "label_mismatch", "suppression", "grouping", "table_detection", "duplicate"]

@@ -99,7 +99,7 @@ def form_truth(spark, sf_dir):
     return found.select("form_id", "pages", "fields", "labels", F.array_join(F.transform("entries", lambda e: e["sid"]), ",").alias("sids"), F.array_join("faults", ",").alias("faults"))
 
 
-@register("form_choice", """WITH d AS (SELECT p_partkey AS doc, CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 20 ELSE -1 END AS number, p_name AS name FROM part), f AS (SELECT p_partkey AS form, p_partkey AS number, p_type AS name FROM part WHERE p_partkey <= 40 AND p_partkey > 0),
+@register("form_choice", """WITH d AS (SELECT p_partkey AS doc, CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 20 ELSE -1 END AS number, p_name AS name FROM part), f AS (SELECT p_partkey AS form, p_partkey AS number, p_type AS name FROM part),
  tk AS (SELECT doc, list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(name), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda v: length(v) >= 2)) AS a FROM d), fk AS (SELECT form, list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(name), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda v: length(v) >= 2)) AS b FROM f),
  n AS (SELECT d.doc, f.form FROM d JOIN f ON d.number = f.number), s AS (SELECT doc, form, round(2.0 * len(list_intersect(a, b)) / (len(a) + len(b)), 6) AS s FROM tk JOIN fk ON list_has_any(a, b) WHERE doc NOT IN (SELECT doc FROM n)), b AS (SELECT doc, form, row_number() OVER (PARTITION BY doc ORDER BY s DESC, form) AS rn FROM s WHERE s >= 0.4)
 SELECT d.doc, coalesce(n.form, b.form, -1) AS form, CASE WHEN n.form IS NOT NULL THEN 'number' WHEN b.form IS NOT NULL THEN 'name' END AS by FROM d LEFT JOIN n ON d.doc = n.doc LEFT JOIN b ON d.doc = b.doc AND b.rn = 1""")
@@ -107,7 +107,7 @@ def form_choice(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     key = F.col("p_partkey")
     documents = part.select(key.alias("doc"), F.when(key % 3 == 0, key % 20).otherwise(-1).alias("number"), F.col("p_name").alias("name"))
-    forms = part.filter("p_partkey <= 40 and p_partkey > 0").select(key.alias("form"), key.alias("number"), F.col("p_type").alias("name"))
+    forms = part.select(key.alias("form"), key.alias("number"), F.col("p_type").alias("name"))
     return readers.choose_form(documents, forms, 0.4).select("doc", F.coalesce("form", F.lit(-1)).alias("form"), "by")
 
 
@@ -121,9 +121,9 @@ def artefact_rows(spark, sf_dir):
     return readers.artefact_rows(spark.read.text(path, wholetext=True).select(F.trim("value").alias("content")))
 
 
-@register("page_lines", "WITH l AS (SELECT l_orderkey AS doc_id, l_linenumber, l_partkey, l_suppkey, round((l_partkey % 700) / 97.0 * 96, 4) AS x, round((l_suppkey % 90) / 13.0 * 96, 4) AS y, 'w' || l_partkey AS content FROM lineitem WHERE l_orderkey % 4 = 0) SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY y, x, content) AS INTEGER) AS place, content, round(x, 2) AS x, round(y, 2) AS y FROM l")
+@register("page_lines", "WITH l AS (SELECT l_orderkey AS doc_id, l_linenumber, l_partkey, l_suppkey, round((l_partkey % 700) / 97.0 * 96, 4) AS x, round((l_suppkey % 90) / 13.0 * 96, 4) AS y, 'w' || l_partkey AS content FROM lineitem) SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY y, x, content) AS INTEGER) AS place, content, round(x, 2) AS x, round(y, 2) AS y FROM l")
 def page_lines(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").filter("l_orderkey % 4 = 0")
+    li = table(spark, sf_dir, "lineitem")
     at = lambda dx, dy: F.struct((F.col("l_partkey") % 700 / 97.0 + dx).alias("x"), (F.col("l_suppkey") % 90 / 13.0 + dy).alias("y"))
     line = F.struct(F.concat(F.lit("w"), F.col("l_partkey").cast("string")).alias("content"), F.array(at(0.0, 0.0), at(1.0, 0.5)).alias("polygon"))
     pages = li.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.collect_list(line).alias("lines")).withColumns({"pageNumber": F.lit(1), "unit": F.lit("inch"), "selectionMarks": F.array().cast("array<struct<state:string,polygon:array<struct<x:double,y:double>>>>")})
@@ -140,11 +140,11 @@ def xml_elements(spark, sf_dir):
 # --- sinks ---------------------------------------------------------------------------------------
 
 _CODES = "['Full Name', 'Full Name 2', 'Amount', 'Full-Name', '', NULL, 'Amount']"
-_NAMES = f"c0 AS (SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS o, {_CODES}[CAST((l_linenumber + l_partkey) % 7 + 1 AS INTEGER)] AS code, CASE WHEN l_partkey % 2 = 0 THEN 'number' ELSE 'string' END AS kind FROM lineitem WHERE l_orderkey < 2000)"
+_NAMES = f"c0 AS (SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS o, {_CODES}[CAST((l_linenumber + l_partkey) % 7 + 1 AS INTEGER)] AS code, CASE WHEN l_partkey % 2 = 0 THEN 'number' ELSE 'string' END AS kind FROM lineitem)"
 
 
 def _named(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").filter("l_orderkey < 2000")
+    li = table(spark, sf_dir, "lineitem")
     order = F.row_number().over(sinks.Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
     code = F.element_at(F.array(*map(F.lit, ["Full Name", "Full Name 2", "Amount", "Full-Name", "", None, "Amount"])), ((F.col("l_linenumber") + F.col("l_partkey")) % 7 + 1).cast("int"))
     return li.select(F.col("l_orderkey").alias("doc"), order.alias("o"), code.alias("code"), F.when(F.col("l_partkey") % 2 == 0, "number").otherwise("string").alias("kind"))
@@ -172,10 +172,10 @@ def unified_exports(spark, sf_dir):
     return sinks.unified_exports(profiles)
 
 
-@register("carrier_payloads", f"""WITH {CANDIDATES}, p AS (SELECT doc, '{{"carrier":"one","fields":[' || string_agg('{{"code":"' || code || '","value":"' || CAST(CAST(quantity AS BIGINT) AS VARCHAR) || '"}}', ',' ORDER BY ordinal) || ']}}' AS json, '<Submission>' || string_agg('<' || code || '>' || CAST(CAST(quantity AS BIGINT) AS VARCHAR) || '</' || code || '>', '' ORDER BY ordinal) || '</Submission>' AS xml FROM cand WHERE doc % 7 = 0 GROUP BY 1)
+@register("carrier_payloads", f"""WITH {CANDIDATES}, p AS (SELECT doc, '{{"carrier":"one","fields":[' || string_agg('{{"code":"' || code || '","value":"' || CAST(CAST(quantity AS BIGINT) AS VARCHAR) || '"}}', ',' ORDER BY ordinal) || ']}}' AS json, '<Submission>' || string_agg('<' || code || '>' || CAST(CAST(quantity AS BIGINT) AS VARCHAR) || '</' || code || '>', '' ORDER BY ordinal) || '</Submission>' AS xml FROM cand GROUP BY 1)
 SELECT doc, sha256(json) AS json_sha256, sha256(xml) AS xml_sha256 FROM p""")
 def carrier_payloads(spark, sf_dir):
-    c = candidates(spark, sf_dir).filter("doc % 7 = 0").withColumn("value", F.col("quantity").cast("long"))
+    c = candidates(spark, sf_dir).withColumn("value", F.col("quantity").cast("long"))
     return sinks.carrier_payloads(c, "doc", ["ordinal"], "code", "value", "one").select("doc", "json_sha256", "xml_sha256")
 
 
