@@ -59,12 +59,13 @@ def ontology_links(entries: DataFrame, hints: DataFrame, asked: Column) -> DataF
 def equivalence(codes: DataFrame, roots: DataFrame, code: str) -> DataFrame:
     """code, canonical, group_id, size: a code's component (node, root); an unknown code is a group of its own.
 
-    The id is the hash of the sorted codes.
+    The id is the hash of the sorted codes, found once a group and joined to its members.
     """
-    groups = roots.groupBy("root").agg(F.array_sort(F.collect_set("node")).alias("_codes"))
-    known = roots.join(groups, "root").select(F.col("node").alias(code), "root", "_codes")
-    met = codes.select(code).distinct().join(known, code, "left").withColumn("_codes", F.coalesce("_codes", F.array(code)))
-    return met.select(code, F.coalesce("root", F.col(code)).alias("canonical"), numeric.fnv1a(F.array_join("_codes", "|")).alias("group_id"), F.size("_codes").alias("size"))
+    codes_of = F.array_sort(F.collect_set("node"))
+    groups = roots.groupBy("root").agg(numeric.fnv1a(F.array_join(codes_of, "|")).alias("group_id"), F.size(codes_of).alias("size"))
+    known = roots.join(groups, "root").select(F.col("node").alias(code), "root", "group_id", "size")
+    met = codes.select(code).distinct().join(known, code, "left")
+    return met.select(code, F.coalesce("root", F.col(code)).alias("canonical"), F.coalesce("group_id", numeric.fnv1a(F.col(code))).alias("group_id"), F.coalesce("size", F.lit(1)).alias("size"))
 
 
 def arbitrated(candidates: DataFrame, bundles: DataFrame, code: str, default: str) -> DataFrame:
