@@ -1,4 +1,4 @@
-"""Registered predicates of form blocks, with their SQL; rule tables are the operators' own."""
+"""Registered predicates of form blocks, with their SQL; the SQL's fixed values are those of `stated`."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fieldloom.functions import text
 from fieldloom.operators import predicates as P
 from fieldloom.operators import rows
+from fieldloom.plans import stated as V
 from fieldloom.plans.tables import CANDIDATES, PROMPT_BLOCKS, PROMPT_TEXTS, sql_list, candidates, normalised_sql, prompt_blocks, table
 from fieldloom.registry import register
 
@@ -24,21 +25,21 @@ def flags(names: list[tuple[str, str]]) -> str:
 
 
 def _prompt(name: str) -> str:
-    return "(" + " AND ".join(rx("n", p) for p in P.PROMPTS[name]) + ")"
+    return "(" + " AND ".join(rx("n", p) for p in V.PROMPTS[name]) + ")"
 
 
 WORDS = "len(list_filter(string_split(n, ' '), lambda v: v <> ''))"
-CUE = f"(n <> '' AND (ends_with(t, ':') OR {rx('n', P.FIELD_CUE)}))"
+CUE = f"(n <> '' AND (ends_with(t, ':') OR {rx('n', V.FIELD_CUE)}))"
 
 
-@register("prompt_predicates", f"WITH {_B} SELECT page, block, array_to_string(list_sort({flags([(k, _prompt(k)) for k in P.PROMPTS] + [('anchor', '(' + ' OR '.join(map(_prompt, P.ANCHORS)) + ')')])}), ',') AS prompts, {CUE} AS cue FROM nb")
+@register("prompt_predicates", f"WITH {_B} SELECT page, block, array_to_string(list_sort({flags([(k, _prompt(k)) for k in V.PROMPTS] + [('anchor', '(' + ' OR '.join(map(_prompt, V.ANCHORS)) + ')')])}), ',') AS prompts, {CUE} AS cue FROM nb")
 def prompt_predicates(spark, sf_dir):
     return prompt_blocks(spark, sf_dir).select("page", "block", F.array_join(P.prompt_flags(F.col("text")), ",").alias("prompts"), P.field_cue(F.col("text")).alias("cue"))
 
 
 def _structure_rules() -> list[tuple[str, float, list[str], str]]:
-    found = [(r, w, k, f"{rx('n', a)}" + (f" AND {rx('t', b)}" if b else "") + (f" AND {WORDS} <= {m}" if m else "")) for r, w, k, m, a, b in P.STRUCTURE]
-    r, w, k, p = P.FAMILY_MARK
+    found = [(r, w, k, f"{rx('n', a)}" + (f" AND {rx('t', b)}" if b else "") + (f" AND {WORDS} <= {m}" if m else "")) for r, w, k, m, a, b in V.STRUCTURE]
+    r, w, k, p = V.FAMILY_MARK
     found.insert(-1, (r, w, [k], f"contains(lower(family), 'contractor') AND {rx('n', p)}"))
     return found
 
@@ -46,7 +47,7 @@ def _structure_rules() -> list[tuple[str, float, list[str], str]]:
 _SCORE = " + ".join(f"(CASE WHEN {c} THEN {w}::DOUBLE ELSE 0 END)" for _, w, _, c in _structure_rules())
 _KIND_LISTS = [f"(CASE WHEN {c} THEN [{', '.join(repr(x) for x in k)}] ELSE []::VARCHAR[] END)" for _, _, k, c in _structure_rules()]
 _STRUCTURE = f"""sc AS (SELECT *, CAST(0 AS DOUBLE) + {_SCORE} AS raw FROM nb), st AS (SELECT *,
-  CASE WHEN n = '' THEN 0.2 ELSE round(least(1.0, raw), 3) END AS s_score, (n = '' OR raw >= {P.STRUCTURE_MATCH}) AS s_matched,
+  CASE WHEN n = '' THEN 0.2 ELSE round(least(1.0, raw), 3) END AS s_score, (n = '' OR raw >= {V.STRUCTURE_MATCH}) AS s_matched,
   CASE WHEN n = '' THEN ['empty_text'] ELSE {flags([(r, c) for r, _, _, c in _structure_rules()])} END AS s_reasons,
   CASE WHEN n = '' THEN ['empty'] ELSE list_sort(list_distinct(flatten([{', '.join(_KIND_LISTS)}]))) END AS s_kinds FROM sc)"""
 
@@ -57,15 +58,15 @@ def structure_suppression(spark, sf_dir):
     return found.select("page", "block", "s.score", "s.matched", F.array_join("s.reasons", ",").alias("reasons"), F.array_join("s.kinds", ",").alias("kinds"))
 
 
-_LOGO = f"({rx('n', P.ORGANISATION)} OR {rx('text', P.TELEPHONE)})"
-_NOT_MAPPABLE = f"""(n = '' OR ({WORDS} >= 4 AND {rx('n', P.FORM_TITLE)} AND NOT {rx('n', P.FORM_FIELD)}) OR (NOT {CUE} AND {WORDS} >= 5 AND {_LOGO})
-  OR (NOT {CUE} AND {WORDS} >= 6 AND {rx('n', P.TABULAR)}) OR (NOT {CUE} AND {WORDS} >= 8 AND (({WORDS} >= 4 AND {rx('n', P.TITLE_WORD)} AND NOT {rx('n', P.TITLE_FIELD)})
-  OR ends_with(t, '?') OR {rx('n', P.INSTRUCTION_START)} OR {rx('n', P.INSTRUCTION)})) OR (NOT {CUE} AND {WORDS} >= 16) OR (NOT {CUE} AND s_matched))"""
+_LOGO = f"({rx('n', V.ORGANISATION)} OR {rx('text', V.TELEPHONE)})"
+_NOT_MAPPABLE = f"""(n = '' OR ({WORDS} >= 4 AND {rx('n', V.FORM_TITLE)} AND NOT {rx('n', V.FORM_FIELD)}) OR (NOT {CUE} AND {WORDS} >= 5 AND {_LOGO})
+  OR (NOT {CUE} AND {WORDS} >= 6 AND {rx('n', V.TABULAR)}) OR (NOT {CUE} AND {WORDS} >= 8 AND (({WORDS} >= 4 AND {rx('n', V.TITLE_WORD)} AND NOT {rx('n', V.TITLE_FIELD)})
+  OR ends_with(t, '?') OR {rx('n', V.INSTRUCTION_START)} OR {rx('n', V.INSTRUCTION)})) OR (NOT {CUE} AND {WORDS} >= 16) OR (NOT {CUE} AND s_matched))"""
 _ANCHOR = f"({_prompt('policy_number')} OR {_prompt('named_insured')} OR {_prompt('mailing_address')})"
 _HEADER = [
-    ("top_of_page", "0.32::DOUBLE", f"y < {P.TOP_BAND}"), ("acord_header_tokens", "0.42::DOUBLE", rx("n", P.HEADER)), ("logo_or_contact_noise", "0.24::DOUBLE", f"{_LOGO} AND {WORDS} >= 3"),
-    ("no_nearby_field_cue", "0.24::DOUBLE", f"NOT {CUE} AND NOT near"), ("title_geometry_proxy", "0.18::DOUBLE", f"(h >= 20 OR (w >= 360 AND {WORDS} >= 4)) AND y < {P.TOP_BAND}"),
-    ("non_field_pattern", "0.22::DOUBLE", _NOT_MAPPABLE), ("structure", "s_score", "s_matched"), ("phase3_field_cue_rebalance", "-0.2::DOUBLE", f"{CUE} AND NOT y < {P.TOP_BAND} AND s_matched"), ("wave13_1_anchor_prompt_override", "-0.34::DOUBLE", _ANCHOR),
+    ("top_of_page", "0.32::DOUBLE", f"y < {V.TOP_BAND}"), ("acord_header_tokens", "0.42::DOUBLE", rx("n", V.HEADER)), ("logo_or_contact_noise", "0.24::DOUBLE", f"{_LOGO} AND {WORDS} >= 3"),
+    ("no_nearby_field_cue", "0.24::DOUBLE", f"NOT {CUE} AND NOT near"), ("title_geometry_proxy", "0.18::DOUBLE", f"(h >= 20 OR (w >= 360 AND {WORDS} >= 4)) AND y < {V.TOP_BAND}"),
+    ("non_field_pattern", "0.22::DOUBLE", _NOT_MAPPABLE), ("structure", "s_score", "s_matched"), ("phase3_field_cue_rebalance", "-0.2::DOUBLE", f"{CUE} AND NOT y < {V.TOP_BAND} AND s_matched"), ("wave13_1_anchor_prompt_override", "-0.34::DOUBLE", _ANCHOR),
 ]
 _NEAR = f"""nr AS (SELECT a.page, a.block, bool_or(b.block IS NOT NULL) AS near FROM
   (SELECT *, row_number() OVER (PARTITION BY page ORDER BY y, x, block) AS rn FROM nb) a LEFT JOIN
@@ -74,7 +75,7 @@ _NEAR = f"""nr AS (SELECT a.page, a.block, bool_or(b.block IS NOT NULL) AS near
 
 
 @register("header_assessment", f"""WITH {_B}, {_NEAR}, {_STRUCTURE}, hd AS (SELECT *, {' + '.join(f'(CASE WHEN {c} THEN {w} ELSE 0 END)' for _, w, c in _HEADER)} AS hs FROM st JOIN nr USING (page, block))
-SELECT page, block, round(greatest(0, least(1, hs)), 3) AS header_score, NOT {_ANCHOR} AND (hs >= {P.HEADER_MATCH} OR (y < {P.TOP_BAND} AND {rx('n', P.HEADER)}) OR (list_contains(s_kinds, 'logo') AND s_score >= 0.35)) AS header,
+SELECT page, block, round(greatest(0, least(1, hs)), 3) AS header_score, NOT {_ANCHOR} AND (hs >= {V.HEADER_MATCH} OR (y < {V.TOP_BAND} AND {rx('n', V.HEADER)}) OR (list_contains(s_kinds, 'logo') AND s_score >= 0.35)) AS header,
  array_to_string(flatten([{', '.join(f"CASE WHEN {c} THEN {'s_reasons' if n == 'structure' else repr([n])} ELSE []::VARCHAR[] END" for n, _, c in _HEADER)}]), ',') AS reasons FROM hd""")
 def header_assessment(spark, sf_dir):
     b = prompt_blocks(spark, sf_dir).withColumns({"y": F.col("box.y"), "x": F.col("box.x"), "cue": P.field_cue(F.col("text"))})
@@ -110,15 +111,15 @@ def label_detection(spark, sf_dir):
     return found.select("page", "block", "d.is_label", F.array_join("d.cues", ",").alias("cues"), "d.rejected")
 
 
-@register("line_roles", f"""WITH {_B} SELECT page, block, CASE WHEN y + h >= 920 THEN 'footer' WHEN {rx('text', P.QUESTION)} THEN 'question' WHEN {rx('text', P.INSURER)} AND NOT {rx('text', '[:?]\\s*$')} THEN 'header'
- WHEN t <> '' AND length(t) <= 90 AND {rx('t', P.FILLABLE)} THEN 'label' WHEN y <= 80 THEN 'header'
+@register("line_roles", f"""WITH {_B} SELECT page, block, CASE WHEN y + h >= 920 THEN 'footer' WHEN {rx('text', V.QUESTION)} THEN 'question' WHEN {rx('text', V.INSURER)} AND NOT {rx('text', '[:?]\\s*$')} THEN 'header'
+ WHEN t <> '' AND length(t) <= 90 AND {rx('t', V.FILLABLE)} THEN 'label' WHEN y <= 80 THEN 'header'
  WHEN NOT {rx('text', '_{3,}|\\.{5,}|-{4,}')} AND length(text) BETWEEN 1 AND 90 AND ((length(regexp_replace(text, '[^A-Za-z]', '', 'g')) >= 4 AND regexp_replace(text, '[^A-Za-z]', '', 'g') = upper(regexp_replace(text, '[^A-Za-z]', '', 'g'))) OR h >= 22) THEN 'title'
- WHEN length(text) >= 120 OR {rx('text', P.NOTE)} THEN 'description' ELSE 'label' END AS role FROM nb""")
+ WHEN length(text) >= 120 OR {rx('text', V.NOTE)} THEN 'description' ELSE 'label' END AS role FROM nb""")
 def line_roles(spark, sf_dir):
     return prompt_blocks(spark, sf_dir).select("page", "block", P.line_role(F.col("text"), F.col("box"), 1000.0).alias("role"))
 
 
-_RISK = "CASE " + " ".join(f"WHEN {rx('n', p)} THEN '{c}'" for c, p in P.RISK_CATEGORIES) + " ELSE 'supplemental' END"
+_RISK = "CASE " + " ".join(f"WHEN {rx('n', p)} THEN '{c}'" for c, p in V.RISK_CATEGORIES) + " ELSE 'supplemental' END"
 
 
 @register("risk_outcomes", f"""WITH {_B}, q AS (SELECT page, block, {_RISK} AS category, greatest(0, least(1, round(1 - least(1, greatest(0, conf)) + (CASE WHEN {rx('n', 'hazard|loss|injury|fire|chemical|decline')} THEN 0.15 ELSE 0 END), 6))) AS severity FROM nb)
@@ -150,7 +151,7 @@ _VALUES = ["2020-01-31", "1/2/99", "yes", "-12.50", "abc", "", "0"]
 
 @register("value_shapes", f"""WITH q AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_CODES}[CAST(l_partkey % 4 + 1 AS INTEGER)] AS code, {_VALUES}[CAST(l_suppkey % 7 + 1 AS INTEGER)] AS value FROM lineitem),
  k AS (SELECT *, CASE WHEN {rx('lower(code)', 'date|time')} THEN 'date' WHEN {rx('lower(code)', 'amount|premium|count|number|limit')} THEN 'number' WHEN {rx('lower(code)', 'indicator|^is|flag$')} THEN 'boolean' ELSE 'string' END AS expected FROM q)
-SELECT expected, value, count(*) AS n, bool_and(CASE WHEN value = '' OR expected = 'string' THEN true WHEN expected = 'date' THEN {rx('value', P.SHAPES['date'])} WHEN expected = 'boolean' THEN {rx('value', P.SHAPES['boolean'])} ELSE {rx('value', P.SHAPES['number'])} END) AS fits FROM k GROUP BY ALL""")
+SELECT expected, value, count(*) AS n, bool_and(CASE WHEN value = '' OR expected = 'string' THEN true WHEN expected = 'date' THEN {rx('value', V.SHAPES['date'])} WHEN expected = 'boolean' THEN {rx('value', V.SHAPES['boolean'])} ELSE {rx('value', V.SHAPES['number'])} END) AS fits FROM k GROUP BY ALL""")
 def value_shapes(spark, sf_dir):
     pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (F.col(at) % len(values) + 1).cast("int"))
     found = table(spark, sf_dir, "lineitem").select(pick(_CODES, "l_partkey").alias("code"), pick(_VALUES, "l_suppkey").alias("value")).withColumn("expected", P.expected_type(F.col("code")))
@@ -196,7 +197,7 @@ def allowed_codes(spark, sf_dir):
 _FACTOR_TEXTS = sql_list(PROMPT_TEXTS)
 _MEET = "contains(y, x) OR contains(x, y)"
 _FACTORS = [
-    (f"short AND {rx('n', P.FORM_FIELD)} AND {rx('m', 'acordform|certificate|statement|filing|remark|liability|workers|compensation')}", 0.4), (f"{_prompt('name')} AND {rx('m', 'indicator|explanation|same as|merged|changed')}", 0.25),
+    (f"short AND {rx('n', V.FORM_FIELD)} AND {rx('m', 'acordform|certificate|statement|filing|remark|liability|workers|compensation')}", 0.4), (f"{_prompt('name')} AND {rx('m', 'indicator|explanation|same as|merged|changed')}", 0.25),
     (f"{_prompt('name')} AND {rx('m', 'full name|given name|surname|last name|first name')}", 1.4), (f"{_prompt('address')} AND {rx('m', 'line one|line two|street|mailing')}", 1.25), (rx("m", "capacity|watercraft|trailer|vehicle"), 0.45),
 ]
 
@@ -216,7 +217,7 @@ def label_factors(spark, sf_dir):
 
 _PLAIN = "regexp_replace(regexp_replace(coalesce(text, ''), '(\\d),(\\d)', '\\1\\2', 'g'), '([a-z0-9])([A-Z])', '\\1 \\2', 'g')"
 _FOLD = normalised_sql(_PLAIN)
-for _p, _w in P.ALIASES:
+for _p, _w in V.ALIASES:
     _FOLD = f"regexp_replace({_FOLD}, '{_p}', '{_w}', 'g')"
 _SHOWN = "trim(regexp_replace(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '\\.{3,}|_{2,}', ' ', 'g'), '[\\s:;,.\\-]+$', ''))"
 
