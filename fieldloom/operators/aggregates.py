@@ -39,8 +39,9 @@ def code_profile(df: DataFrame, code: str, value: str, threshold: str, ordinal:
     )
 
 
-def consistency(df: DataFrame, code: str, family: str, value: str, spread: float = 0.35, rate: float = 0.45) -> DataFrame:
-    """Per code over families: range of the family means, and flags beyond ``spread`` and ``rate`` (share of weak rows)."""
+def consistency(df: DataFrame, code: str, family: str, value: str, spread: float = 0.35, rate: float = 0.45, accepted: Column | None = None) -> DataFrame:
+    """Per code over families: range of the family means, and flags beyond ``spread`` and ``rate`` (share of weak rows). Rows that are not ``accepted`` do not count."""
+    df = df if accepted is None else df.filter(accepted)
     means = df.groupBy(code, family).agg(F.avg(value).alias("mean"), F.count("*").alias("n"), F.count_if(F.col(value) < 0.4).alias("weak"))
     return means.groupBy(code).agg(
         F.count("*").alias("n_families"),

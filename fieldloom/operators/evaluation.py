@@ -142,6 +142,14 @@ def counters(df: DataFrame, keys: Sequence[str], counts: dict[str, Column], rate
     return found.withColumns({f"{name}_rate": F.round(F.col(name) / F.greatest(F.col("n"), F.lit(1)), 6) for name in rates})
 
 
+def mismatch_rates(df: DataFrame, keys: Sequence[str], mismatch: str, kinds: Sequence[str]) -> DataFrame:
+    """keys, n, the rows of each kind of mismatch and their share of all rows, and ``any_rate``; the row of a kind that is not stated counts in ``any_rate`` only."""
+    counts = [F.count_if(F.col(mismatch) == kind).alias(kind) for kind in kinds]
+    found = df.groupBy(*keys).agg(F.count("*").alias("n"), *counts, F.count(mismatch).alias("_any"))
+    rates = {f"{kind}_rate": ratio(F.col(kind), F.col("n")) for kind in kinds}
+    return found.withColumns({**rates, "any_rate": ratio(F.col("_any"), F.col("n"))}).drop("_any")
+
+
 def same_counts(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys with their number of rows on both sides, and whether these are the same."""
     n = lambda df, name: df.groupBy(*keys).agg(F.count("*").alias(name))

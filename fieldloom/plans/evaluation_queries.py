@@ -214,6 +214,10 @@ def export_faults(spark, sf_dir):
 @register("replay_mismatch", f"""WITH {BLOCKS}, b AS (SELECT block, min(flag) AS flag, min(x) AS x, min(page) AS page FROM blk GROUP BY 1)
 SELECT block, CASE WHEN block % 13 = 0 THEN 'missing' WHEN block % 11 = 0 THEN 'label' WHEN block % 7 = 0 THEN 'category' WHEN block % 5 = 0 THEN 'box' END AS mismatch FROM b""")
 def replay_mismatch(spark, sf_dir):
+    return _replayed(spark, sf_dir)
+
+
+def _replayed(spark, sf_dir):
     b = blocks(spark, sf_dir).groupBy("block").agg(F.min("flag").alias("label"), F.min("box.x").alias("x"), F.min("page").alias("page")).withColumn("category", F.col("page") % 4)
     at = lambda shift: numeric.box(F.col("x") + shift, F.lit(0), F.lit(10), F.lit(10))
     block = F.col("block")
@@ -222,6 +226,14 @@ def replay_mismatch(spark, sf_dir):
     return E.replay_mismatch(b.withColumn("box", at(F.lit(0))), stale.unionByName(fresh), "block", "label", "category", "ordinal").select("block", "mismatch")
 
 
+@register("mismatch_rates", f"""WITH {BLOCKS}, m AS (SELECT DISTINCT block, CASE WHEN block % 13 = 0 THEN 'missing' WHEN block % 11 = 0 THEN 'label' WHEN block % 7 = 0 THEN 'category' WHEN block % 5 = 0 THEN 'box' END AS k FROM blk)
+SELECT block % 100 AS quantity, count(*) AS n, count(*) FILTER (k = 'missing') AS missing, count(*) FILTER (k = 'label') AS label, count(*) FILTER (k = 'category') AS category, count(*) FILTER (k = 'box') AS box, round(count(*) FILTER (k = 'missing') / count(*), 6) AS missing_rate,
+ round(count(*) FILTER (k = 'label') / count(*), 6) AS label_rate, round(count(*) FILTER (k = 'category') / count(*), 6) AS category_rate, round(count(*) FILTER (k = 'box') / count(*), 6) AS box_rate, round(count(k) / count(*), 6) AS any_rate FROM m GROUP BY 1""")
+def mismatch_rates(spark, sf_dir):
+    found = _replayed(spark, sf_dir).withColumn("quantity", F.col("block") % 100)
+    return E.mismatch_rates(found, ["quantity"], "mismatch", ["missing", "label", "category", "box"])
+
+
 @register("text_contradictions", f"""WITH {PROMPT_BLOCKS}, q AS (SELECT {normalised_sql("text || ' ' || CAST(page % 400 AS VARCHAR)")} AS text, block % 3 AS code, conf FROM pb WHERE conf >= 0.2) SELECT text, count(*) AS n, CAST(count(DISTINCT code) AS INTEGER) AS n_codes, min(conf) AS least FROM q WHERE text <> '' GROUP BY text HAVING count(*) >= 2 AND count(DISTINCT code) >= 2 AND min(conf) >= 0.3""")
 def text_contradictions(spark, sf_dir):
     b = prompt_blocks(spark, sf_dir).filter("conf >= 0.2").withColumns({"code": F.col("block") % 3, "value": F.concat("text", F.lit(" "), (F.col("page") % 400).cast("string"))})

@@ -233,11 +233,12 @@ def dedupe_rules(spark, sf_dir):
     return last.join(first, keys).join(best, keys)
 
 
-@register("candidate_rank", f"""WITH {CANDIDATES}, r AS (SELECT doc, ordinal, row_number() OVER w AS rank, conf - lead(conf) OVER w AS gap, conf, max(conf) OVER (PARTITION BY doc) AS top FROM cand WINDOW w AS (PARTITION BY doc ORDER BY conf DESC, sim DESC, code, ordinal)) SELECT doc, ordinal, CAST(rank AS INTEGER) AS rank, round(gap, 6) AS margin, round(CASE WHEN top = 0 THEN 0.0 ELSE conf / top END, 6) AS relative FROM r""")
+@register("candidate_rank", f"""WITH {CANDIDATES}, r AS (SELECT doc, ordinal, row_number() OVER w AS rank, conf - lead(conf) OVER w AS gap, conf, max(conf) OVER (PARTITION BY doc) AS top FROM cand WINDOW w AS (PARTITION BY doc ORDER BY conf DESC, sim DESC, code, ordinal)) SELECT doc, ordinal, CAST(rank AS INTEGER) AS rank, round(gap, 6) AS margin, round(CASE WHEN top = 0 THEN 0.0 ELSE conf / top END, 6) AS relative, round(CASE WHEN top = 0 THEN 0.0 ELSE gap / top END, 6) AS relative_margin FROM r""")
 def candidate_rank(spark, sf_dir):
     w = Window.partitionBy("doc").orderBy(F.col("conf").desc(), F.col("sim").desc(), "code", "ordinal")
     top = F.max("conf").over(Window.partitionBy("doc"))
-    return candidates(spark, sf_dir).select("doc", "ordinal", F.row_number().over(w).alias("rank"), F.round(F.col("conf") - F.lead("conf").over(w), 6).alias("margin"), F.round(F.when(top == 0, 0.0).otherwise(F.col("conf") / top), 6).alias("relative"))
+    gap, share = F.col("conf") - F.lead("conf").over(w), lambda part: F.round(F.when(top == 0, 0.0).otherwise(part / top), 6)
+    return candidates(spark, sf_dir).select("doc", "ordinal", F.row_number().over(w).alias("rank"), F.round(gap, 6).alias("margin"), share(F.col("conf")).alias("relative"), share(gap).alias("relative_margin"))
 
 
 @register("neighbour_probe", f"""WITH {BLOCKS}, o AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY y, x, block) AS k FROM blk) SELECT a.page, a.block, coalesce(bool_or(b.flag = 'R' AND abs(a.y - b.y) <= 82), false) AS near FROM o a LEFT JOIN o b ON a.page = b.page AND a.k <> b.k AND abs(a.k - b.k) <= 3 GROUP BY 1, 2""")
@@ -289,6 +290,11 @@ def code_consistency(spark, sf_dir):
     return aggregates.consistency(candidates(spark, sf_dir), "code", "family", "conf")
 
 
+@register("accepted_consistency", f"WITH {CANDIDATES}, m AS (SELECT code, family, avg(conf) AS mean, count(*) AS n, count(*) FILTER (WHERE conf < 0.4) AS weak FROM cand WHERE sim >= 0.5 GROUP BY 1, 2) SELECT code, count(*) AS n_families, CAST(sum(n) AS BIGINT) AS n, round(max(mean) - min(mean), 6) AS delta, round(max(mean) - min(mean), 6) >= 0.35 AS inconsistent, sum(weak) / sum(n) >= 0.45 AS weak FROM m GROUP BY 1")
+def accepted_consistency(spark, sf_dir):
+    return aggregates.consistency(candidates(spark, sf_dir), "code", "family", "conf", accepted=F.col("sim") >= 0.5)
+
+
 @register("family_means", f"WITH {CANDIDATES}, m AS (SELECT family, avg(conf) AS mean FROM cand GROUP BY 1), o AS (SELECT *, avg(mean) OVER () AS overall FROM m) SELECT family, round(mean, 6) AS mean, round(overall, 6) AS overall, round(mean - overall, 6) AS delta, round(1 - avg(abs(mean - overall)) OVER (), 6) AS transferability FROM o")
 def family_means(spark, sf_dir):
     return aggregates.family_means(candidates(spark, sf_dir), "family", "conf")
