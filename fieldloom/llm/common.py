@@ -131,17 +131,22 @@ def parts_of(text: str, beyond: re.Pattern, size: int = 1 << 20) -> Iterator[str
 MapArrow = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
+def give_back() -> None:
+    """The memory of arrays that are gone goes back to the system: a process that lives on holds what it does not return."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def tidy(run: MapArrow) -> MapArrow:
-    """``run``, after which the worker gives the memory of its arrays back: workers outlive tasks, and hold what they do not return."""
+    """``run``, after which the worker gives the memory of its arrays back, as workers outlive tasks."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+            give_back()
 
     return wrapped

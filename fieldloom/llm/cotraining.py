@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldloom.llm.common import bounded_batches, dropped, small, stored, tidy
+from fieldloom.llm.common import bounded_batches, dropped, give_back, small, stored, tidy
 
 MAX_LABELLED = 3000
 #: Most ids of labelled documents that are broadcast.
@@ -330,6 +330,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ro
     both = [_vector(r) for r in found.select(list(names_of[1:])).to_pylist()]
     model = co_train([t for t, _ in both], [m for _, m in both], np.asarray(found["label"]).astype(int), teach, rounds)
     dropped(some, pool, labelled)
+    give_back()
     return model
 
 

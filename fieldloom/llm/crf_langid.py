@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldloom.llm.common import bounded_batches, dropped, random_table, small, splitmix, stored, tidy
+from fieldloom.llm.common import bounded_batches, dropped, give_back, random_table, small, splitmix, stored, tidy
 
 #: Words are runs of word characters other than decimal digits and ``_`` with a letter in them; a line end closes a chain.
 TOKENS = re.compile(r"[^\W\d_]+|\n")
@@ -363,7 +363,9 @@ def fit(docs: DataFrame, per_label: int = PER_LABEL, max_sample: int = MAX_SAMPL
     rows = [{"doc_id": r["doc_id"], "lang": r["lang"], "sample": r["text"]} for r in texts.mapInArrow(tidy(_excerpts), "doc_id long, lang string, text string").collect()]
     dropped(picked)
     rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["lang"], r["sample"]))
-    return train([(r["sample"], r["lang"]) for r in rows])
+    model = train([(r["sample"], r["lang"]) for r in rows])
+    give_back()
+    return model
 
 
 def identify(docs: DataFrame, model: Crf, text_col: str = "text") -> DataFrame:
