@@ -23,7 +23,6 @@ go to the smaller item in UTF-8 order; an empty table gives no rows; other colum
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,52 +30,121 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import ascii_lower, bounded_batches, dropped, parts_of, small, stored, tidy
+from fieldloom.llm.common import bounded_batches, dropped, parts_of, slices, small, stored, tidy, utf8
 
 #: Fixed values of the contract.
 MIN_DOCS, TOP_TERMS, SCALE = 3, 200, 1_000_000_000
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Sources in a block, terms in a chunk (about), chunks in a stripe.
 BLOCK, CHUNK, STRIPE = 16, 8192, 8
 #: SCALE = FIRST * SECOND: a share is found in two divisions, so that no product leaves 64 bits.
 FIRST, SECOND = 31_250, 32_000
-#: Distinct (group, term) that one task holds before it hands its sums on.
-HELD = 200_000
+#: Bytes and documents that one task counts at once.
+HELD, ROWS = 8 << 20, 1 << 16
+#: Bytes that are cut into terms at once.
+BYTES = 1 << 20
+#: Rows of an Arrow batch of counts.
+OUT_ROWS = 10_000
+#: What each byte of a text is in a term: A-Z in lower case, other ASCII but a-z nothing (0).
+LOWER = np.asarray([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 0 for c in range(256)], np.uint8)
+#: The bytes that lie in no term.
+BEYOND = re.compile(rb"[\x00-\x40\x5B-\x60\x7B-\x7F]")
+
+
+def _terms(raw: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The lower-cased terms of the rows of UTF-8 bytes ``raw``, and the number of terms of each row. The separators are ASCII, so no
+    term is cut within a code point."""
+    low = LOWER[raw]
+    inside = low > 0
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    heads = offsets[:-1][offsets[:-1] < len(raw)]
+    first[heads] = inside[heads]
+    begins = np.flatnonzero(first)
+    at = np.append(np.flatnonzero(first[inside]), np.count_nonzero(inside)).astype(np.int32)
+    words = pa.Array.from_buffers(pa.string(), len(begins), [None, pa.py_buffer(at), pa.py_buffer(low[inside])])
+    return words, np.diff(np.searchsorted(begins, offsets))
+
+
+def _blocks(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """First row, bytes and offsets of ranges of rows or parts of a row of about ``BYTES``."""
+    for first, last in slices(offsets, BYTES):
+        text = raw[offsets[first] : offsets[last]]
+        if last - first > 1:
+            yield first, text, offsets[first : last + 1] - offsets[first]
+            continue
+        for part in parts_of(text, BEYOND, BYTES):
+            yield first, part, np.asarray([0, len(part)])
+
+
+def _counted(raw: np.ndarray, offsets: np.ndarray, groups: np.ndarray) -> pa.Table:
+    """group, term, n and docs of at most ``ROWS`` rows, each group and term once."""
+    words, rows = [], []
+    for first, text, own in _blocks(raw, offsets):
+        found, per_row = _terms(text, own)
+        words.append(found)
+        rows.append(np.repeat(np.arange(first, first + len(per_row), dtype=np.int32), per_row))
+    if not any(map(len, words)):
+        none = pa.array([], pa.int64())
+        return pa.table({"group": none, "term": pa.array([], pa.string()), "n": none, "docs": none})
+    words = pa.chunked_array(words).dictionary_encode()
+    known = words.chunk(0).dictionary  # of all chunks
+    size = len(known)
+    rows = np.concatenate(rows)
+    keys = groups[rows]
+    keys *= size
+    keys += np.concatenate([chunk.indices.to_numpy() for chunk in words.chunks])
+    keys *= ROWS
+    keys += rows
+    del words, rows
+    keys.sort()
+    fresh = np.append(True, keys[1:] != keys[:-1])  # a row's first of a term
+    keys //= ROWS
+    heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    docs = np.add.reduceat(fresh, heads, dtype=np.int64)
+    found, n = keys[heads], np.diff(heads, append=len(keys))
+    return pa.table({"group": found // size, "term": known.take(pa.array(found % size)), "n": n, "docs": docs})
+
+
+def _counts(table: pa.Table) -> Iterator[pa.Table]:
+    """The counts of some documents."""
+    raw, offsets = utf8(table.column("text"))
+    table = table.drop_columns("text")  # it has been copied
+    for begin, end in slices(offsets, HELD):
+        for first in range(begin, end, ROWS):
+            last = min(end, first + ROWS)
+            lang, source = (table.column(name).slice(first, last - first).cast(pa.string()).combine_chunks().fill_null("").dictionary_encode() for name in ("lang", "source"))
+            width = len(source.dictionary)
+            pairs, groups = np.unique(lang.indices.to_numpy().astype(np.int64) * width + source.indices.to_numpy(), return_inverse=True)
+            text = raw[offsets[first] : offsets[last]]
+            if last - first > 1 or len(text) <= HELD:
+                counts = _counted(text, offsets[first : last + 1] - offsets[first], groups)
+            else:
+                parts = [_counted(part, np.asarray([0, len(part)]), groups) for part in parts_of(text, BEYOND, HELD)]
+                counts = pa.concat_tables(parts).group_by(["group", "term"]).aggregate([("n", "sum"), ("docs", "max")])
+                counts = counts.rename_columns({"n_sum": "n", "docs_max": "docs"})
+            none = np.zeros(len(pairs), np.int64)
+            own = pa.table({"group": np.arange(len(pairs)), "term": pa.repeat("", len(pairs)), "n": none, "docs": none})
+            names = {"lang": lang.dictionary.take(pa.array(pairs // width)), "source": source.dictionary.take(pa.array(pairs % width))}
+            for found in (own, counts):
+                group = found.column("group")
+                yield pa.table({key: names[key].take(group) for key in names} | {key: found.column(key) for key in ("term", "n", "docs")})
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, n (occurrences), docs (documents): partial sums. Term '' stands for the group itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, beyond = re.compile(TERM), re.compile(r"[\x00-\x40\x5B-\x60\x7B-\x7F]")
-        groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-
         def flush() -> Iterator[pa.RecordBatch]:
-            for (lang, source), (n, in_docs) in groups.items():
-                terms = ["", *n]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "lang": pa.repeat(lang, len(terms)), "source": pa.repeat(source, len(terms)), "term": terms,
-                        "n": pa.array([0, *n.values()], pa.int64()), "docs": pa.array([0, *(in_docs[t] for t in n)], pa.int64()),
-                    }
-                )
-            groups.clear()
-
-        held = 0
+            found = _counts(pa.Table.from_batches(held)) if held else ()
+            held.clear()
+            for counts in found:
+                yield from counts.to_batches(max_chunksize=OUT_ROWS)
+
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            for lang, source, text in zip(*(column.to_pylist() for column in batch.columns)):
-                n, in_docs = groups.setdefault((lang or "", source or ""), (Counter(), Counter()))
-                before = len(n)
-                own: set[str] = set()
-                for part in parts_of(text or "", beyond):
-                    terms = find.findall(ascii_lower(part))
-                    n.update(terms)
-                    own.update(terms)
-                in_docs.update(own)
-                held += len(n) - before
-                if held > HELD:
-                    yield from flush()
-                    held = 0
+            if sum(b.nbytes for b in (*held, batch)) > HELD or sum(b.num_rows for b in (*held, batch)) > ROWS:
+                yield from flush()
+            held.append(batch)
         yield from flush()
 
     return docs.select("lang", "source", "text").mapInArrow(tidy(run), "lang string, source string, term string, n long, docs long")

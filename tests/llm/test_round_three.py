@@ -164,6 +164,45 @@ def test_share_of_huge_counts(spark):
     assert divergence.shares(np.asarray([counts]), np.asarray([total]), size)[0].tolist() == want
 
 
+def plain_counts(rows):
+    import re
+
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    n, docs = Counter(), Counter()
+    for _, text, lang, source in rows:
+        terms = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", (text or "").translate(lower))
+        n.update((lang or "", source or "", t) for t in ["", *terms])
+        docs.update((lang or "", source or "", t) for t in {"", *terms})
+    return {key: (n[key], docs[key]) if key[2] else (0, 0) for key in n}
+
+
+def test_term_counts_of_a_task_meet_once(spark):
+    text = lambda k: " ".join(["again", *("".join(chr(97 + (300 * k + d) // 26**at % 26) for at in range(4)) for d in range(300))])
+    rows = [(k, text(k), "en", "s") for k in range(700)]
+    counts = divergence.term_counts(spark.createDataFrame(rows, SCHEMA).coalesce(1)).filter("term != ''")
+    found = counts.groupBy("term").agg(F.count("*").alias("rows"), F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    assert found.count() == 210_001  # one task used to hold 200,000 and hand them on
+    assert [tuple(r) for r in found.filter("term = 'again'").collect()] == [("again", 1, 700, 700)]
+
+
+@pytest.mark.parametrize(("held", "most"), [(1 << 25, 1 << 16), (40, 1 << 16), (1 << 25, 3), (1, 1)])
+def test_term_counts_of_parts_equal_plain_ones(monkeypatch, held, most):
+    import pyarrow as pa
+
+    monkeypatch.setattr(divergence, "HELD", held)
+    monkeypatch.setattr(divergence, "ROWS", most)
+    monkeypatch.setattr(divergence, "BYTES", min(held, 500))
+    ends = ["ab", "cd", "", None, "Ab ÉÀß\u0080\u00a0x\x00y z{|}~\x7f", "日本 日本\U0001f600語", "long " * 30 + "w" * 90, " ", "ab"]
+    rows = corpus() + [(k, text, lang, "end") for k, text in enumerate(ends) for lang in ("en", None)]
+    table = pa.table({name: pa.array([r[at] for r in rows], pa.string()) for name, at in (("lang", 2), ("source", 3), ("text", 1))})
+    got = {}
+    for part in divergence._counts(table):
+        for r in part.to_pylist():
+            n, docs = got.get((key := (r["lang"], r["source"], r["term"])), (0, 0))
+            got[key] = n + r["n"], docs + r["docs"]
+    assert got == plain_counts(rows)
+
+
 def test_divergence_of_nothing(spark):
     assert divergence.audit(spark.createDataFrame([], SCHEMA)).count() == 0
 
