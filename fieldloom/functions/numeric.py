@@ -43,15 +43,23 @@ def falsy(x: Column, other: Column) -> Column:
 
 
 def code_units(text: Column) -> Column:
-    """The UTF-16 code units of a text: a character beyond U+FFFF has two. Null is empty."""
-    raw = F.hex(F.encode(F.coalesce(text, F.lit("")), "UTF-16BE"))
-    places = F.sequence(F.lit(1), F.length(raw) - 3, F.lit(4))
-    return F.when(F.length(raw) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(places, lambda k: F.conv(F.substring(raw, k, F.lit(4)), 16, 10).cast("long")))
+    """The UTF-16 code units of a text: a character beyond U+FFFF has two. Null is empty.
+
+    The bytes are bound by a lambda: an expression inside one is found anew for each item, and so is a place in a string, which would cost the square of a long text.
+    """
+    raw = F.encode(F.coalesce(text, F.lit("")), "UTF-16BE")
+    unit = lambda b, k: F.conv(F.hex(F.substring(b, k, F.lit(2))), 16, 10).cast("long")
+    return F.flatten(F.transform(F.filter(F.array(raw), lambda b: F.length(b) > 0), lambda b: F.transform(F.sequence(F.lit(1), F.length(b) - 1, F.lit(2)), lambda k: unit(b, k))))
 
 
 def fnv1a(text: Column) -> Column:
     """Eight hex digits of the FNV-1a hash over UTF-16 code units."""
-    mixed = F.aggregate(code_units(text), F.lit(FNV_BASIS).cast("long"), lambda h, c: h.bitwiseXOR(c) * F.lit(FNV_PRIME) % F.lit(1 << 32))
+    return fnv1a_units(code_units(text))
+
+
+def fnv1a_units(units: Column) -> Column:
+    """``fnv1a`` of a text whose code units are known."""
+    mixed = F.aggregate(units, F.lit(FNV_BASIS).cast("long"), lambda h, c: h.bitwiseXOR(c) * F.lit(FNV_PRIME) % F.lit(1 << 32))
     return F.lower(F.lpad(F.hex(mixed), 8, "0"))
 
 

@@ -111,9 +111,15 @@ def decision_rollup(df: DataFrame, key: str, score: str, blockers: Column, confl
 
 
 def family_clusters(df: DataFrame, family: str, value: str, signature: str) -> DataFrame:
-    """Per family: documents, mean confidence, and a hash of their signatures that does not depend on order."""
-    joined = F.array_join(F.array_sort(F.collect_list(signature)), "|")
-    return df.groupBy(family).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"), joined.alias("_all")).select(family, "n", "mean", numeric.fnv1a(F.col("_all")).alias("signature"))
+    """Per family: documents, mean confidence, and a hash of their signatures that does not depend on order.
+
+    Code units are found a row, where it lies: what is left for a family's one task is to sort its signatures and to go through their units once.
+    """
+    each = df.withColumn("_signature", F.when(F.col(signature).isNotNull(), F.struct(F.col(signature).alias("text"), numeric.code_units(F.col(signature)).alias("units"))))
+    bar = F.array(F.lit(ord("|")).cast("long"))
+    found = each.groupBy(family).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"), F.sort_array(F.collect_list("_signature")).alias("_all"))
+    units = F.flatten(F.transform("_all", lambda s, k: F.when(k > 0, F.concat(bar, s["units"])).otherwise(s["units"])))
+    return found.select(family, "n", "mean", numeric.fnv1a_units(units).alias("signature"))
 
 
 def calibration_suggestions(df: DataFrame, keys: Sequence[str], code: str, value: str, gap: Column, accepted: float, review: float, limit: int = 12) -> DataFrame:
