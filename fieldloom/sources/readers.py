@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fieldloom.functions import numeric, text
+from fieldloom.operators import joins
 
 #: Data type of a code by its name, first match first.
 DATA_TYPES = [("date", "date|effective|expiration"), ("currency", "amount|premium|limit|price"), ("boolean", "indicator|flag"), ("number", "count|number|percent|size")]
@@ -217,14 +218,19 @@ def ground_truth(fields: DataFrame) -> DataFrame:
 def choose_form(documents: DataFrame, forms: DataFrame, least: float = 0.55) -> DataFrame:
     """doc, form, by: the form of a document's number, else the one whose name is most similar (Dice of tokens, at least ``least``); null without one.
 
-    ``documents``: doc, number, name; ``forms``: form, number, name. Documents meet forms by number or by a common token.
+    ``documents``: doc, number, name; ``forms``: form, number, name. Documents meet forms by number, else the distinct token sets of names meet by their rare tokens
+    (``joins.dice_join``), of forms with one set the first: names that repeat make no pairs of their own.
     """
     numbered = documents.join(forms.groupBy("number").agg(F.min("form").alias("form")), "number").select("doc", "form", F.lit("number").alias("by"))
-    named = documents.join(numbered.select("doc"), "doc", "left_anti").select("doc", text.tokens(F.col("name"), 2).alias("a"))
-    known = forms.select("form", text.tokens(F.col("name"), 2).alias("b"))
-    met = named.withColumn("t", F.explode(F.array_distinct("a"))).join(known.withColumn("t", F.explode(F.array_distinct("b"))), "t").drop("t").dropDuplicates(["doc", "form"])
-    scored = met.withColumn("s", F.round(text.dice(F.col("a"), F.col("b")), 6)).filter(F.col("s") >= least)
-    best = scored.groupBy("doc").agg(F.min(F.struct((-F.col("s")).alias("s"), "form"))["form"].alias("form")).withColumn("by", F.lit("name"))
+    of = lambda c: F.array_sort(F.array_distinct(text.tokens(F.col(c), 2)))
+    named = documents.join(numbered.select("doc"), "doc", "left_anti").select("doc", of("name").alias("a"))
+    known = forms.groupBy(of("name").alias("b")).agg(F.min("form").alias("form"))
+    # similarities are rounded before they are compared
+    met = joins.dice_join(named.select("a", F.col("a").alias("t")).distinct(), known.select("b", F.col("b").alias("t")), "a", "b", "t", max(1e-9, least - 1e-6))
+    scored = met.withColumn("s", F.round("dice", 6)).filter(F.col("s") >= least).join(known, "b")
+    first = F.min(F.struct((-F.col("s")).alias("s"), "form"))
+    sets = scored.groupBy("a").agg(first.alias("_best")).select("a", "_best.*")
+    best = named.join(sets, "a").groupBy("doc").agg(first["form"].alias("form")).withColumn("by", F.lit("name"))
     return documents.select("doc").join(numbered.unionByName(best), "doc", "left")
 
 
