@@ -28,22 +28,25 @@ def reading_order(df: DataFrame, doc: str, page: str, box: str, key: str, name:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(doc).orderBy(*order)))
 
 
-def cells_of(box: Column, size: float = CELL) -> Column:
-    """The (column, row) cells that a box touches."""
-    span = lambda low, length: F.sequence(F.floor(low / size).cast("int"), F.floor((low + F.greatest(length, F.lit(0.0))) / size).cast("int"))
-    return F.flatten(F.transform(span(box["x"], box["width"]), lambda c: F.transform(span(box["y"], box["height"]), lambda r: F.struct(c.alias("c"), r.alias("r")))))
+def cells_of(box: Column, size: float | tuple[float, float] = CELL) -> Column:
+    """The (column, row) cells that a box touches; ``size`` is a cell's, or its width and height."""
+    wide, high = size if isinstance(size, tuple) else (size, size)
+    span = lambda low, length, step: F.sequence(F.floor(low / step).cast("int"), F.floor((low + F.greatest(length, F.lit(0.0))) / step).cast("int"))
+    return F.flatten(F.transform(span(box["x"], box["width"], wide), lambda c: F.transform(span(box["y"], box["height"], high), lambda r: F.struct(c.alias("c"), r.alias("r")))))
 
 
-def touching(left: DataFrame, right: DataFrame, page: str, size: float = CELL) -> DataFrame:
+def touching(left: DataFrame, right: DataFrame, page: str, size: float | tuple[float, float] = CELL) -> DataFrame:
     """Rows of both tables whose boxes share area on a page, each pair once: in the cell of their shared area's first corner.
 
-    ``left`` has box ``lb``, ``right`` box ``rb``; other column names differ but for ``page``.
+    ``left`` has box ``lb``, ``right`` box ``rb``; other column names differ but for ``page``. Neither side is broadcast: its size is guessed from before boxes are
+    dealt to cells.
     """
+    wide, high = size if isinstance(size, tuple) else (size, size)
     a = left.withColumn("_cell", F.explode(cells_of(F.col("lb"), size)))
     b = right.withColumn("_cell", F.explode(cells_of(F.col("rb"), size)))
-    met = a.join(b, [page, "_cell"]).filter(numeric.shared_area(F.col("lb"), F.col("rb")) > 0)
-    corner = lambda p: F.floor(F.greatest(F.col(f"lb.{p}"), F.col(f"rb.{p}")) / size).cast("int")
-    return met.filter((F.col("_cell.c") == corner("x")) & (F.col("_cell.r") == corner("y"))).drop("_cell")
+    met = a.join(b.hint("merge"), [page, "_cell"]).filter(numeric.shared_area(F.col("lb"), F.col("rb")) > 0)
+    corner = lambda p, step: F.floor(F.greatest(F.col(f"lb.{p}"), F.col(f"rb.{p}")) / step).cast("int")
+    return met.filter((F.col("_cell.c") == corner("x", wide)) & (F.col("_cell.r") == corner("y", high))).drop("_cell")
 
 
 def label_cues(value: Column, box: Column) -> Column:
