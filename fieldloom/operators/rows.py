@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fieldloom.storage import SMALL_ROWS, stored
+
 
 def first_wins(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row per key: the first in ``order``."""
@@ -176,3 +178,12 @@ def promoted(df: DataFrame, doc: str, value: str, code: str, confidence: str, or
 def merge_maps(low: Column, high: Column) -> Column:
     """Both maps' entries; where both have a key, that of ``high``."""
     return F.map_zip_with(low, high, lambda _, a, b: F.coalesce(b, a))
+
+
+def each_value(df: DataFrame, value: str, columns: dict[str, Column]) -> DataFrame:
+    """Adds ``columns`` that depend on ``value`` alone: found once a distinct value while these are few, and on each row beyond."""
+    values = stored(df.select(value).distinct(), "values")
+    if values.count() > SMALL_ROWS:
+        return df.withColumns(columns)
+    known = values.withColumns(columns).withColumnRenamed(value, "_value")
+    return df.join(F.broadcast(known), F.col(value).eqNullSafe(F.col("_value"))).drop("_value")

@@ -34,7 +34,8 @@ CUE = f"(n <> '' AND (ends_with(t, ':') OR {rx('n', V.FIELD_CUE)}))"
 
 @register("prompt_predicates", f"WITH {_B} SELECT page, block, array_to_string(list_sort({flags([(k, _prompt(k)) for k in V.PROMPTS] + [('anchor', '(' + ' OR '.join(map(_prompt, V.ANCHORS)) + ')')])}), ',') AS prompts, {CUE} AS cue FROM nb")
 def prompt_predicates(spark, sf_dir):
-    return prompt_blocks(spark, sf_dir).select("page", "block", F.array_join(P.prompt_flags(F.col("text")), ",").alias("prompts"), P.field_cue(F.col("text")).alias("cue"))
+    found = {"prompts": F.array_join(P.prompt_flags(F.col("text")), ","), "cue": P.field_cue(F.col("text"))}
+    return rows.each_value(prompt_blocks(spark, sf_dir).select("page", "block", "text"), "text", found).drop("text")
 
 
 def _structure_rules() -> list[tuple[str, float, list[str], str]]:
