@@ -6,8 +6,10 @@ page with very many boxes is many small keys. Boxes are structs (x, y, width, he
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,11 +17,12 @@ from pyspark.sql.window import Window
 from fieldloom.functions import numeric, text
 from fieldloom.operators import predicates, spatial
 from fieldloom.operators.rows import first_wins
+from fieldloom.storage import stored
 
 #: Least confidence of a mark's label, and choice words.
 PAIRING, CHOICE, CHOICE_ONLY = 0.58, r"\b(yes|no|include|exclude|true|false|selected|unselected|checkbox|indicator|option)\b", r"^(yes|no|include|exclude|selected|unselected)$"
-#: Pixels of a grid cell.
-CELL = 128.0
+#: Pixels of a grid cell, the least where cells follow the boxes, and the mean boxes that lie beside each other in one of these.
+CELL, LEAST_CELL, CELL_BOXES = 128.0, 16.0, 8
 
 
 def reading_order(df: DataFrame, doc: str, page: str, box: str, key: str, name: str = "ordinal") -> DataFrame:
@@ -159,16 +162,63 @@ def capped_samples(df: DataFrame, kind: str, order: Sequence[str], cap: int) ->
     return ranked.join(totals, kind)
 
 
+def _most_covered(least: float, rows: int = 64) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Of a cell's boxes and widgets (_n, x, y, width, height): each box's widgets of the greatest share, the first of equal ones, and those that rounding may make equal."""
+
+    def run(boxes: pa.Table, widgets: pa.Table) -> pa.Table:
+        read = lambda t: [t.column(c).to_numpy() for c in ("_n", "x", "y", "width", "height")]
+        n, x, y, w, h = (v[order] for order in [np.argsort(boxes.column("x").to_numpy(), kind="stable")] for v in read(boxes))
+        m, u, v, a, b = (v[order] for order in [np.argsort(widgets.column("x").to_numpy(), kind="stable")] for v in read(widgets))
+        wide = a.max(initial=0.0) + 1e-3
+        found: list[tuple] = []
+        for at in range(0, len(n) if len(m) else 0, rows):
+            cut = slice(at, at + rows)
+            near = slice(np.searchsorted(u, x[cut].min() - wide), np.searchsorted(u, (x[cut] + w[cut]).max(), "right"))
+            if near.start >= near.stop:
+                continue
+            one = lambda values: values[cut, None]  # noqa: B023, E731
+            across = np.minimum(one(x) + one(w), u[near] + a[near]) - np.maximum(one(x), u[near])
+            down = np.minimum(one(y) + one(h), v[near] + b[near]) - np.maximum(one(y), v[near])
+            smaller = np.minimum(one(w) * one(h), a[near] * b[near])
+            both = np.maximum(0.0, across) * np.maximum(0.0, down)
+            share = np.where((both > 0) & (smaller > 0), both / np.where(smaller > 0, smaller, 1.0), 0.0)
+            top = share.max(axis=1, keepdims=True)
+            equal = share == top
+            first = np.where(equal, m[near], np.iinfo(np.int64).max).min(axis=1)
+            fit = top[:, 0] >= least - 1e-6
+            found.append((n[cut][fit], first[fit], top[fit, 0]))
+            i, j = np.nonzero(~equal & (share >= top - 2e-6) & (share >= least - 1e-6))
+            found.append((n[cut][i], m[near][j], share[i, j]))
+        columns = [np.concatenate([f[k] for f in found]) if found else np.empty(0) for k in range(3)]
+        return pa.table({"_box": pa.array(columns[0].astype("int64")), "_place": pa.array(columns[1].astype("int64")), "share": pa.array(columns[2].astype("float64"))})
+
+    return run
+
+
 def merge_widgets(catalogue: DataFrame, widgets: DataFrame, page: str, least: float = 0.45) -> tuple[DataFrame, DataFrame]:
     """(catalogue, remap): widgets take the place of the entries they cover by ``least`` of the smaller area.
 
     ``catalogue``: page, entry, lb, kind; ``widgets``: page, widget, rb, kind2. ``remap``: page, entry, widget, for foreign keys.
-    An entry goes to the widget that covers it most; a widget may take several.
+    An entry goes to the widget that covers it most; a widget may take several. Boxes that repeat on a page meet once, with the first of their widgets, in cells of
+    about the mean box.
     """
-    share = F.round(numeric.covered(F.col("lb"), F.col("rb")), 6)
-    met = touching(catalogue, widgets, page).withColumn("share", share).filter(F.col("share") >= least)
-    remap = first_wins(met, [page, "entry"], [F.col("share").desc(), F.col("widget")]).select(page, "entry", "widget")
-    kept = catalogue.join(remap.select(page, "entry"), [page, "entry"], "left_anti").select(page, F.col("entry").alias("key"), F.col("lb").alias("box"), "kind", F.lit(False).alias("widget"))
+    boxes = stored(catalogue.select(page, "lb").distinct().withColumn("_box", F.monotonically_increasing_id()), "entry-boxes")
+    held = widgets.groupBy(page, "rb").agg(F.min("widget").alias("widget"))
+    held = stored(held.withColumn("_place", F.row_number().over(Window.partitionBy(page).orderBy("widget"))), "widget-boxes")
+    mean = boxes.agg(F.avg("lb.width").alias("width"), F.avg("lb.height").alias("height")).first()
+    size = CELL_BOXES * max(LEAST_CELL, mean["width"] or CELL), max(LEAST_CELL, mean["height"] or CELL)
+
+    def dealt(df: DataFrame, box: str, number: str) -> DataFrame:
+        each = df.select(page, F.col(number).cast("long").alias("_n"), f"{box}.*", F.explode(cells_of(F.col(box), size)).alias("_cell"))
+        return each.select(page, "_n", "x", "y", "width", "height", "_cell.c", "_cell.r").groupBy(page, "c", "r")
+
+    met = dealt(boxes, "lb", "_box").cogroup(dealt(held, "rb", "_place")).applyInArrow(_most_covered(least), "_box long, _place long, share double")
+    # shares are rounded before they are compared
+    shares = met.withColumn("share", F.round("share", 6)).filter(F.col("share") >= least).join(boxes, "_box").join(held.select(page, "_place", "widget"), [page, "_place"])
+    best = shares.groupBy(page, "lb").agg(F.min(F.struct((-F.col("share")).alias("share"), "widget")).alias("_best"))
+    covered = catalogue.select(page, "entry", "lb").join(best, [page, "lb"])
+    remap = covered.groupBy(page, "entry").agg(F.min("_best").alias("_best")).select(page, "entry", "_best.widget")
+    kept = catalogue.join(covered.select(page, "entry"), [page, "entry"], "left_anti").select(page, F.col("entry").alias("key"), F.col("lb").alias("box"), "kind", F.lit(False).alias("widget"))
     added = widgets.select(page, F.col("widget").alias("key"), F.col("rb").alias("box"), F.col("kind2").alias("kind"), F.lit(True).alias("widget"))
     return kept.unionByName(added), remap
 
